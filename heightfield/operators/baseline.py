@@ -268,8 +268,8 @@ def _chunked(curves: CurveSet, lam: float, p: float, iterations: int, chunk: int
             yield pd.Series([terms_of(*v) for v in zip(pieces, solve_inside(pieces))], dtype=object)
 
     @pandas_udf("array<array<double>>")
-    def borders(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for (parts,) in batches:
+    def borders(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for parts in batches:
             yield pd.Series([solve(t) for t in parts], dtype=object)
 
     def solve(parts):

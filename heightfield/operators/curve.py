@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,10 +76,25 @@ def range_statistics(curves: CurveSet, start: int = 0, count: int = 128) -> Data
     return fill_missing(values, live.scans.select("dataset_id"))
 
 
+@lru_cache(maxsize=256)
 def savgol_weights(width: int, order: int, at: int) -> np.ndarray:
-    """Weights of the local least-squares polynomial over ``width`` samples, evaluated at sample ``at``."""
-    x = np.arange(width, dtype=np.float64) - at
-    return np.linalg.pinv(np.vander(x, order + 1, increasing=True))[0]
+    """Weights of the local least-squares polynomial over ``width`` samples, evaluated at sample ``at``.
+
+    The small normal system is solved in exact fractions, so the weights are correctly rounded
+    for every order and width.
+    """
+    x = [j - at for j in range(width)]
+    power = [Fraction(sum(v**k for v in x)) for k in range(2 * order + 1)]
+    rows = [[power[a + b] for b in range(order + 1)] + [Fraction(int(a == 0))] for a in range(order + 1)]
+    for a in range(order + 1):
+        swap = next(k for k in range(a, order + 1) if rows[k][a])
+        rows[a], rows[swap] = rows[swap], rows[a]
+        rows[a] = [v / rows[a][a] for v in rows[a]]
+        for k in range(order + 1):
+            if k != a and rows[k][a]:
+                rows[k] = [v - rows[k][a] * w for v, w in zip(rows[k], rows[a])]
+    coef = [row[-1] for row in rows]
+    return np.array([float(sum(c * v**k for k, c in enumerate(coef))) for v in x])
 
 
 def smooth(curves: CurveSet, window: int = 5, order: int = 2, chunk: int = CHUNK) -> CurveSet:
@@ -108,7 +125,8 @@ def smooth(curves: CurveSet, window: int = 5, order: int = 2, chunk: int = CHUNK
         for at in np.unique(i - first):
             pick = (i - first) == at
             with np.errstate(invalid="ignore"):
-                out[pick] = views[pick] @ savgol_weights(wide, order, at)
+                own = views[pick]
+                out[pick] = sum(weight * own[:, k] for k, weight in enumerate(savgol_weights(wide, order, int(at))))
         for k in np.flatnonzero(~np.isfinite(views).all(axis=1)):
             good = np.isfinite(views[k])
             if good.sum() > order:

@@ -209,7 +209,7 @@ def _continue(packed: DataFrame, outlines: DataFrame, opened: DataFrame, chunk:
         out = []
         for row in frame[frame["top"].isna()].itertuples(index=False):
             k, j = row.k, int(row.c) - first
-            side, low = k["side"], k["low"]
+            side, low = int(k["side"]), k["low"]
             j += side
             while 0 <= j < len(tops):
                 if (tops[j] >= k["value"] or bottoms[j] <= k["level"]) if width else tops[j] > k["value"]:
@@ -217,7 +217,7 @@ def _continue(packed: DataFrame, outlines: DataFrame, opened: DataFrame, chunk:
                 low = min(low, bottoms[j])
                 j += side
             inside = 0 <= j < len(tops)
-            out.append((row.dataset_id, j + first if inside else -1, k["i"], side, k["value"], k["level"], low))
+            out.append((row.dataset_id, j + first if inside else -1, int(k["i"]), side, k["value"], k["level"], low))
         return pd.DataFrame(out, columns=["dataset_id", "c", "i", "side", "value", "level", "low"])
 
     routed = both.groupBy("dataset_id").applyInPandas(

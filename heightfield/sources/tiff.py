@@ -272,27 +272,30 @@ def export_rows(images: ImageSet) -> DataFrame:
     return written.withColumn("error", F.lit(None).cast("string")).unionByName(refused)
 
 
-def write_scans(images: ImageSet, path: str) -> DataFrame:
-    """Write one ``.tiff`` per scan under ``path`` (a file system every executor sees); returns the refusals.
+def write_files(rows: DataFrame, path: str) -> int:
+    """Write (dataset_id, content) rows as ``<dataset_id>.tiff`` under ``path``; returns the number of files.
 
-    Each file is written under a temporary name and renamed, so a retried task cannot leave a torn file.
+    ``path`` must be a folder every executor sees.  Each file is written under a temporary name
+    and renamed, so a retried task cannot leave a torn file.
     """
-    rows = export_rows(images)
-
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.makedirs(path, exist_ok=True)
         for batch in batches:
-            done = []
             for name, content in zip(batch["dataset_id"], batch["content"]):
                 part = os.path.join(path, f".{name}.{uuid.uuid4().hex}")
                 with open(part, "wb") as f:
                     f.write(content)
                 os.replace(part, os.path.join(path, f"{name}.tiff"))
-                done.append(1)
-            yield pd.DataFrame({"done": done}, dtype="int32")
+            yield pd.DataFrame({"done": [len(batch)]}, dtype="int32")
+
+    named = rows.select(F.col("dataset_id").cast("string").alias("dataset_id"), "content")
+    return named.mapInPandas(put, "done int").agg(F.sum("done")).first()[0] or 0
 
-    rows.filter("error is null").select(F.col("dataset_id").cast("string").alias("dataset_id"), "content").mapInPandas(
-        put, "done int").agg(F.sum("done")).collect()
+
+def write_scans(images: ImageSet, path: str) -> DataFrame:
+    """Write one file per scan under ``path``; returns the refusals as (dataset_id, error)."""
+    rows = export_rows(images)
+    write_files(rows.filter("error is null"), path)
     return rows.filter("error is not null").select("dataset_id", "error")

@@ -22,7 +22,7 @@ len AS (SELECT dataset_id, CAST(max(i) + 1 AS INT) AS n FROM cv GROUP BY 1)"""
 
 
 def r(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+    return f"round_even(CAST({expr} AS DOUBLE) * 1e6, 0) / 1e6 + 0.0 AS {name}"
 
 
 def b(expr: str, name: str | None = None) -> str:
