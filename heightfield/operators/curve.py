@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -22,6 +22,11 @@ MAD_TO_SIGMA = 1.482602
 SECOND_DIFFERENCE = float(np.sqrt(6.0))
 
 
+def single(a: Column, b: Column) -> Column:
+    """Sum of two samples in single precision, the precision samples are stored in."""
+    return (a.cast("float") + b.cast("float")).cast("double")
+
+
 def range_statistics(curves: CurveSet, start: int = 0, count: int = 128) -> DataFrame:
     """RangeMin/Max/Mean/Rms, PeakValue, PeakPosition, Area, Centroid, Fwhm over a sample range.
 
@@ -44,12 +49,12 @@ def range_statistics(curves: CurveSet, start: int = 0, count: int = 128) -> Data
         F.count(F.lit(1)).alias("rows"), F.count(F.when(ok, 1)).alias("n"),
         F.min(F.when(ok, c("z"))).alias("lo"), F.avg(F.when(ok, c("z"))).alias("mean"), peak.alias("peak"),
         F.sum(F.when(ok, c("z"))).alias("sum"), F.sum(F.when(ok, c("z") * c("xr"))).alias("sumx"),
-        F.sum(F.when((c("i") == start) | (c("i") == c("last")), c("z"))).alias("ends"),
+        F.max(F.when(c("i") == start, c("z"))).alias("z0"), F.max(F.when(c("i") == c("last"), c("z"))).alias("z1"),
         F.first("last").alias("last"), F.first("dx").alias("dx"), F.first("ax").alias("ax"))
     hi, at = c("peak.v"), -c("peak.ni")
     one = one.filter(c("n") > 0).select(
         "dataset_id", "rows", "n", "lo", "mean", "sum", "sumx", "last", "dx", "ax", hi.alias("hi"), at.alias("at"),
-        F.when(c("last") == start, 2 * c("ends")).otherwise(c("ends")).alias("ends"),
+        single(c("z0"), c("z1")).alias("ends"),
         (hi - (hi - c("lo")) * 0.5).alias("half"))
     seen = attach(live, rows.select("dataset_id", "i", "z"), one)
     stop = ~((c("z") > c("half")) & (c("z") < c("hi")) & ~F.isnan("z"))
@@ -63,8 +68,8 @@ def range_statistics(curves: CurveSet, start: int = 0, count: int = 128) -> Data
     three = near.filter((c("i") - c("ls")).isin(0, 1) | (c("rs") - c("i")).isin(0, 1)).groupBy("dataset_id").agg(
         *[F.max(F.when(c("i") == p, c("z"))).alias(name) for name, p in picks.items()])
     out = two.join(three, "dataset_id", "left")
-    left = c("ls") + (c("half") - c("l0")) / (c("l1") - c("l0"))
-    right = c("rs") - 1 + (c("r1") - c("half")) / (c("r1") - c("r0"))
+    left = c("ls") + (c("half") - c("l0")) / single(c("l1"), -c("l0"))
+    right = c("rs") - 1 + (c("r1") - c("half")) / single(c("r1"), -c("r0"))
     crossed = ((c("hi") > c("lo")) & (c("at") > start) & (c("at") < c("last"))
                & (c("l0") <= c("half")) & (c("r0") <= c("half")))
     values = out.select(

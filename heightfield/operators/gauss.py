@@ -20,14 +20,15 @@ from heightfield.plans.layout import (CHUNK, TILE, chunk_samples, halo_chunks, h
                                       with_curve_geometry, with_geometry)
 
 BANDS = ("Roughness", "Waviness")
+LONG = 2048  # kernel halves above this are applied by FFT
 SAMPLING_LENGTHS = 5  # fixed value: standard number of sampling lengths
 
 
-def gaussian_weights(sigma: float, reach: int) -> np.ndarray:
-    """Normalised weights at -reach..reach for a Gaussian of ``sigma`` samples."""
-    k = np.arange(-reach, reach + 1, dtype=np.float64)
-    w = np.exp(-np.pi * k * k / (sigma * sigma))
-    return w / w.sum()
+def gaussian_weights(sigma: float, reach: int) -> tuple[np.ndarray, float]:
+    """Half kernel at 0..reach for a Gaussian of ``sigma`` samples, and the sum of the full kernel."""
+    k = np.arange(reach + 1, dtype=np.float64)
+    w = np.exp(-np.pi / (sigma * sigma) * k * k)
+    return w, w[0] + 2.0 * w[1:].sum()
 
 
 def mirror(index: np.ndarray, n: int) -> np.ndarray:
@@ -38,14 +39,23 @@ def mirror(index: np.ndarray, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * (n - 1) - m)
 
 
-def smooth_rows(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Valid convolution of each row with symmetric weights."""
-    if weights.size > 256 and np.isfinite(rows).all():
-        size = 1 << int(rows.shape[1] + weights.size - 1).bit_length()
-        spectrum = np.fft.rfft(rows, size, axis=1) * np.fft.rfft(weights, size)
-        return np.fft.irfft(spectrum, size, axis=1)[:, weights.size - 1:rows.shape[1]]
+def smooth_rows(rows: np.ndarray, weights: np.ndarray, norm: float) -> np.ndarray:
+    """Symmetric smoothing of each row, dropping a margin of one kernel half on both sides.
+
+    Mirror samples are paired in the precision of ``rows`` before weighting: single for
+    stored samples, double for a surface that has already been smoothed along its other axis.
+    """
+    reach, n = len(weights) - 1, rows.shape[1] - 2 * (len(weights) - 1)
+    if reach > LONG and np.isfinite(rows).all():
+        full = np.concatenate([weights[:0:-1], weights])
+        size = 1 << int(rows.shape[1] + full.size - 1).bit_length()
+        out = np.fft.irfft(np.fft.rfft(rows.astype(np.float64), size, axis=1) * np.fft.rfft(full, size), size, axis=1)
+        return out[:, full.size - 1:full.size - 1 + n] / norm
     with np.errstate(invalid="ignore"):
-        return np.stack([np.convolve(r, weights, mode="valid") for r in rows])
+        out = weights[0] * rows[:, reach:reach + n].astype(np.float64)
+        for k in range(1, reach + 1):
+            out += weights[k] * (rows[:, reach - k:reach - k + n] + rows[:, reach + k:reach + k + n])
+        return out / norm
 
 
 def _cutoff_ok(cutoff: float) -> None:
@@ -80,10 +90,10 @@ def gaussian_filter(curves: CurveSet, band: str = "Roughness", cutoff: float = 0
             yield pd.Series([one(*v) for v in zip(*cols)], dtype=object)
 
     def one(p, z, i0, cn, a, wn, n, reach, dx):
-        line = np.full(wn, np.nan)
+        line = np.full(wn, np.nan, dtype=np.float32)
         line[p] = z
         at = mirror(np.arange(i0 - reach, i0 + cn + reach), n) - a
-        mean = smooth_rows(line[at][None, :], gaussian_weights(GAUSS_ALPHA * cutoff / dx, reach))[0]
+        mean = smooth_rows(line[at][None, :], *gaussian_weights(GAUSS_ALPHA * cutoff / dx, reach))[0]
         with np.errstate(invalid="ignore"):
             out = mean if band == "Waviness" else line[i0 - a:i0 - a + cn] - mean
         return out.astype(np.float32)
@@ -151,19 +161,19 @@ def gaussian_areal_filter(images: ImageSet, band: str = "Roughness", cutoff: flo
     names = tuple(geometry)
 
     def along_x(p, z, x0, cw, wx, wh, ww, w, r, d):
-        block = np.full(wh * ww, np.nan)
+        block = np.full(wh * ww, np.nan, dtype=np.float32)
         block[p] = z
         block = block.reshape(wh, ww)
         at = mirror(np.arange(x0 - r, x0 + cw + r), w) - wx
-        mid = smooth_rows(block[:, at], gaussian_weights(GAUSS_ALPHA * cutoff / d, r))
-        return mid.ravel(), block[:, x0 - wx:x0 - wx + cw].astype(np.float32).ravel()
+        mid = smooth_rows(block[:, at], *gaussian_weights(GAUSS_ALPHA * cutoff / d, r))
+        return mid.ravel(), block[:, x0 - wx:x0 - wx + cw].ravel()
 
     def along_y(p, z, mid, y0, ch, wy, wh, ww, h, r, d):
         block = np.full(wh * ww, np.nan)
         block[p] = mid
         at = mirror(np.arange(y0 - r, y0 + ch + r), h) - wy
         columns = np.ascontiguousarray(block.reshape(wh, ww)[at].T)
-        mean = smooth_rows(columns, gaussian_weights(GAUSS_ALPHA * cutoff / d, r)).T
+        mean = smooth_rows(columns, *gaussian_weights(GAUSS_ALPHA * cutoff / d, r)).T
         if band == "Roughness":
             own = np.full(wh * ww, np.nan)
             own[p] = z

@@ -55,14 +55,17 @@ def descend(line: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def crossing(line: np.ndarray, at: int, step: int, value: float, level: float, first: int, last: int) -> tuple[bool, float]:
-    """Walk from ``at`` while level < z < value; (stopped, interpolated crossing or NaN) within first..last."""
+    """Walk from ``at`` while level < z < value; (stopped, interpolated crossing or NaN) within first..last.
+
+    The step between the two samples is taken in single precision, as samples are stored.
+    """
     j = at + step
     while first <= j <= last:
         z = line[j]
         if not (z > level and z < value):
             if not z <= level:
                 return True, np.nan
-            return True, j - step * (level - z) / (line[j - step] - z)
+            return True, j - step * (level - z) / float(np.float32(line[j - step]) - np.float32(z))
         j += step
     return False, np.nan
 

@@ -55,11 +55,12 @@ def line_profiles(images: ImageSet, lines: DataFrame) -> CurveSet:
     met = images.pixels.join(corners, ["dataset_id", "y", "x"])
 
     def pick(dy: int, dx: int):
-        return F.max(F.when((c("k.dy") == dy) & (c("k.dx") == dx), c("z").cast("double")))
+        return F.max(F.when((c("k.dy") == dy) & (c("k.dx") == dx), c("z")))
 
     z = met.groupBy("line_id", "i").agg(
         pick(0, 0).alias("z00"), pick(0, 1).alias("z10"), pick(1, 0).alias("z01"), pick(1, 1).alias("z11"),
         F.first("fx").alias("fx"), F.first("fy").alias("fy"), F.min(finite(c("z"))).alias("ok"))
+    # differences of neighbouring samples stay in single precision, the rest is double
     top = c("z00") + c("fx") * (c("z10") - c("z00"))
     bottom = c("z01") + c("fx") * (c("z11") - c("z01"))
     value = F.when(c("ok"), (top + c("fy") * (bottom - top)).cast("float")).otherwise(nan().cast("float"))

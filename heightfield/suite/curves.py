@@ -10,7 +10,7 @@ from heightfield.operators import baseline, curve, flatten, gauss, peaks, pixel,
 from heightfield.sources.tables import embedding_curves, event_curves
 from heightfield.suite import query
 from heightfield.suite.sql import EM, LINE, NAN, SAM, b, ev, moments, r
-from heightfield.suite.surfaces import kernel, reflect
+from heightfield.suite.surfaces import kernel, paired, reflect
 
 OK = "isfinite(z)"
 
@@ -25,7 +25,7 @@ RANGE = f"""
 rw AS (SELECT cv.dataset_id, i, CAST(z AS DOUBLE) AS z, i * 0.1 AS xr, least(45, n) - 1 AS last FROM cv JOIN len USING (dataset_id) WHERE i >= 5 AND i < 45),
 s1 AS (SELECT dataset_id, any_value(last) AS last, count(*) AS rows, count(*) FILTER ({OK}) AS n, min(z) FILTER ({OK}) AS lo, max(z) FILTER ({OK}) AS hi,
               avg(z) FILTER ({OK}) AS mean, stddev_pop(z) FILTER ({OK}) AS sd, sum(z) FILTER ({OK}) AS sy, sum(z * xr) FILTER ({OK}) AS sxy,
-              sum(z) FILTER (i = 5 OR i = last) AS ends FROM rw GROUP BY 1),
+              CAST(CAST(max(z) FILTER (i = 5) AS FLOAT) + CAST(max(z) FILTER (i = last) AS FLOAT) AS DOUBLE) AS ends FROM rw GROUP BY 1),
 s2 AS (SELECT s1.*, (SELECT min(i) FROM rw WHERE rw.dataset_id = s1.dataset_id AND z = hi) AS top, hi - (hi - lo) * 0.5 AS half FROM s1),
 st AS (SELECT rw.dataset_id, max(i) FILTER (i < top) AS ls, min(i) FILTER (i > top) AS rs FROM rw JOIN s2 ON rw.dataset_id = s2.dataset_id
        WHERE NOT ({OK.replace('z', 'rw.z')} AND rw.z > half AND rw.z < hi) GROUP BY 1),
@@ -35,7 +35,7 @@ e AS (SELECT s2.*, ls, rs, l0.z AS l0, l1.z AS l1, r0.z AS r0, r1.z AS r1 FROM s
 SELECT dataset_id, {r('lo', 'RangeMin')}, {r('hi', 'RangeMax')}, {r('mean', 'RangeMean')}, {r('sd', 'RangeRms')}, {r('hi', 'PeakValue')},
   {r('top * 0.1', 'PeakPosition')}, {r(f'CASE WHEN rows = n THEN 0.1 * (sy - ends / 2) ELSE {NAN} END', 'Area')}, {r('sxy / sy', 'Centroid')},
   {r(f'''CASE WHEN hi > lo AND top > 5 AND top < last AND l0 <= half AND r0 <= half
-      THEN 0.1 * ((rs - 1 + (r1 - half) / (r1 - r0)) - (ls + (half - l0) / (l1 - l0))) ELSE {NAN} END''', 'Fwhm')} FROM e"""
+      THEN 0.1 * ((rs - 1 + (r1 - half) / (CAST(r1 AS FLOAT) - CAST(r0 AS FLOAT))) - (ls + (half - l0) / (CAST(l1 AS FLOAT) - CAST(l0 AS FLOAT)))) ELSE {NAN} END''', 'Fwhm')} FROM e"""
 
 
 @query("a7_range_statistics", f"WITH {ev(97)}, {RANGE}")
@@ -61,8 +61,8 @@ def _(spark, path):
 def gaussian(cutoff: float, band: str) -> str:
     out = "CAST(mean AS FLOAT)" if band == "Waviness" else "CAST(z - mean AS FLOAT)"
     return f"""{kernel(cutoff, 0.1)},
-sm AS (SELECT c.dataset_id, c.i, any_value(n) AS n, any_value(c.z) AS z, sum(wt * q.z) AS mean FROM cv c JOIN len USING (dataset_id), kw, cv q
-       WHERE q.dataset_id = c.dataset_id AND q.i = {reflect('c.i + k', 'n')} GROUP BY 1, 2),
+sm AS (SELECT c.dataset_id, c.i, any_value(n) AS n, any_value(c.z) AS z, {paired('a.z', 'q.z')} AS mean FROM cv c JOIN len USING (dataset_id), kr, nm, cv a, cv q
+       WHERE a.dataset_id = c.dataset_id AND a.i = {reflect('c.i - k', 'n')} AND q.dataset_id = c.dataset_id AND q.i = {reflect('c.i + k', 'n')} GROUP BY 1, 2),
 o AS (SELECT dataset_id, i, n, {out} AS z FROM sm)"""
 
 
@@ -134,7 +134,7 @@ kp AS MATERIALIZED (SELECT pr.*, v - prom * 0.5 AS lv FROM pr JOIN rg USING (dat
 sp AS (SELECT kp.dataset_id, kp.i, max(q.i) FILTER (q.i < kp.i) AS ls, min(q.i) FILTER (q.i > kp.i) AS rs
        FROM kp LEFT JOIN cv q ON q.dataset_id = kp.dataset_id AND q.i <> kp.i AND NOT (isfinite(q.z) AND q.z > lv AND q.z < v) GROUP BY 1, 2),
 wd AS (SELECT kp.*, CASE WHEN prom > 0 AND l0.z <= lv AND r0.z <= lv
-         THEN (rs - 1 + (CAST(r1.z AS DOUBLE) - lv) / (CAST(r1.z AS DOUBLE) - r0.z)) - (ls + (lv - l0.z) / (CAST(l1.z AS DOUBLE) - l0.z)) ELSE {NAN} END AS width
+         THEN (rs - 1 + (r1.z - lv) / (r1.z - r0.z)) - (ls + (lv - l0.z) / (l1.z - l0.z)) ELSE {NAN} END AS width
        FROM kp JOIN sp USING (dataset_id, i)
        LEFT JOIN cv l0 ON l0.dataset_id = kp.dataset_id AND l0.i = ls LEFT JOIN cv l1 ON l1.dataset_id = kp.dataset_id AND l1.i = ls + 1
        LEFT JOIN cv r0 ON r0.dataset_id = kp.dataset_id AND r0.i = rs LEFT JOIN cv r1 ON r1.dataset_id = kp.dataset_id AND r1.i = rs - 1),

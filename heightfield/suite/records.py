@@ -108,6 +108,10 @@ def links(spark, path):
     return e.withColumn("parent_id", F.when(F.col("dataset_id") > 0, F.when(parent % 11 == 10, -parent).otherwise(parent)))
 
 
+def known(table):
+    return table.select("dataset_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+
+
 LK = """lk AS (SELECT event_id AS dataset_id, CASE WHEN event_id > 0 THEN
     CASE WHEN (event_id // 3) % 11 = 10 THEN -(event_id // 3) ELSE event_id // 3 END END AS parent_id FROM events)"""
 TREE = f"""{LK}, walk(dataset_id) AS (SELECT event_id FROM events WHERE event_id BETWEEN 4 AND 6
@@ -118,9 +122,9 @@ def targets(spark, path):
     return links(spark, path).filter("dataset_id between 4 and 6").select("dataset_id")
 
 
-@query("j3_parents", f"WITH {LK} SELECT a.dataset_id, b.dataset_id AS parent_id FROM lk a LEFT JOIN lk b ON a.parent_id = b.dataset_id")
+@query("j3_parents", f"WITH {LK} SELECT a.dataset_id, coalesce(b.dataset_id, -1) AS parent_id FROM lk a LEFT JOIN lk b ON a.parent_id = b.dataset_id")
 def _(spark, path):
-    return lineage.parents(links(spark, path))
+    return known(lineage.parents(links(spark, path)))
 
 
 @query("j3_roots", f"WITH {LK} SELECT dataset_id FROM lk a WHERE NOT EXISTS (SELECT 1 FROM lk b WHERE b.dataset_id = a.parent_id)")
@@ -136,27 +140,27 @@ def _(spark, path):
 RING = f"""{LK}, ring AS (SELECT dataset_id, CASE WHEN dataset_id % 500 = 7 THEN dataset_id + 2 WHEN dataset_id % 500 IN (8, 9) THEN dataset_id - 1 ELSE parent_id END AS parent_id FROM lk)"""
 
 
-@query("g3_cycles", f"""WITH RECURSIVE {RING}, up(start, at) AS (SELECT a.dataset_id, b.dataset_id FROM ring a JOIN ring b ON a.parent_id = b.dataset_id
-    UNION SELECT start, ring.parent_id FROM up JOIN ring ON ring.dataset_id = up.at WHERE ring.parent_id IS NOT NULL)
-    SELECT DISTINCT start AS dataset_id FROM up WHERE start = at""")
+@query("g3_cycles", f"""WITH RECURSIVE {RING}, up(start, pos) AS (SELECT a.dataset_id, b.dataset_id FROM ring a JOIN ring b ON a.parent_id = b.dataset_id
+    UNION SELECT start, ring.parent_id FROM up JOIN ring ON ring.dataset_id = up.pos WHERE ring.parent_id IS NOT NULL)
+    SELECT DISTINCT start AS dataset_id FROM up WHERE start = pos""")
 def _(spark, path):
     d = F.col("dataset_id")
     ring = F.when(d % 500 == 7, d + 2).when((d % 500).isin(8, 9), d - 1).otherwise(F.col("parent_id"))
     return lineage.cycles(links(spark, path).withColumn("parent_id", ring))
 
 
-@query("g4_remove_cascade", f"WITH RECURSIVE {TREE} SELECT lk.dataset_id, lk.parent_id FROM lk WHERE dataset_id NOT IN (SELECT dataset_id FROM walk)")
+@query("g4_remove_cascade", f"WITH RECURSIVE {TREE} SELECT lk.dataset_id, coalesce(lk.parent_id, -1) AS parent_id FROM lk WHERE dataset_id NOT IN (SELECT dataset_id FROM walk)")
 def _(spark, path):
     table = links(spark, path)
-    return lineage.remove({"links": table}, table, targets(spark, path), "Cascade")["links"]
+    return known(lineage.remove({"links": table}, table, targets(spark, path), "Cascade")["links"])
 
 
 @query("g4_remove_block", f"""WITH {LK}, tg AS (SELECT dataset_id FROM lk WHERE dataset_id % 100 = 5)
-    SELECT dataset_id, parent_id FROM lk WHERE dataset_id % 100 <> 5 OR dataset_id IN (SELECT parent_id FROM lk WHERE parent_id IS NOT NULL)""")
+    SELECT dataset_id, coalesce(parent_id, -1) AS parent_id FROM lk WHERE dataset_id % 100 <> 5 OR dataset_id IN (SELECT parent_id FROM lk WHERE parent_id IS NOT NULL)""")
 def _(spark, path):
     table = links(spark, path)
     wanted = table.filter("dataset_id % 100 = 5").select("dataset_id")
-    return lineage.remove({"links": table}, table, wanted, "Block")["links"]
+    return known(lineage.remove({"links": table}, table, wanted, "Block")["links"])
 
 
 @query("j5_measurements_of_sources", f"""WITH {PX}, {moments('px')}

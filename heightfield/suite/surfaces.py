@@ -153,12 +153,17 @@ def _(spark, path):
 # --- W6, W7: areal Gaussian ----------------------------------------------------------------------
 
 def kernel(cutoff: float, step: float) -> str:
-    """CTE kw: normalised Gaussian weights at integer offsets."""
+    """CTEs kr (half kernel) and nm (sum of the full kernel)."""
     sigma = math.sqrt(math.log(2) / math.pi) * cutoff / step
     half = max(1, math.ceil(4 * sigma))
     return f"""
-kr AS (SELECT k, exp(-pi() * k * k / ({sigma!r} * {sigma!r})) AS e FROM (SELECT unnest(range({-half}, {half + 1})) AS k)),
-kw AS (SELECT k, e / (SELECT sum(e) FROM kr) AS wt FROM kr)"""
+kr AS (SELECT k, exp(-pi() / ({sigma!r} * {sigma!r}) * k * k) AS e FROM (SELECT unnest(range({half + 1})) AS k)),
+nm AS (SELECT sum(CASE WHEN k = 0 THEN e ELSE 2 * e END) AS nm FROM kr)"""
+
+
+# Mirror samples are added in the type of the column (FLOAT samples, DOUBLE sums), then weighted.
+def paired(a: str, q: str) -> str:
+    return f"sum(CASE WHEN k = 0 THEN e * {a} ELSE e * ({a} + {q}) END ORDER BY k) / any_value(nm)"
 
 
 def reflect(i: str, n: str) -> str:
@@ -170,10 +175,12 @@ def reflect(i: str, n: str) -> str:
 def areal(cutoff: float, band: str) -> str:
     out = "CAST(mean AS FLOAT)" if band == "Waviness" else "CAST(z - mean AS FLOAT)"
     return f"""{kernel(cutoff, 0.1)},
-rp AS MATERIALIZED (SELECT c.dataset_id, c.y, c.x, any_value(c.z) AS z, sum(wt * q.z) AS v FROM px c JOIN dims USING (dataset_id), kw, px q
-       WHERE q.dataset_id = c.dataset_id AND q.y = c.y AND q.x = {reflect('c.x + k', 'w')} GROUP BY 1, 2, 3),
-cp AS (SELECT c.dataset_id, c.y, c.x, any_value(c.z) AS z, sum(wt * q.v) AS mean FROM rp c JOIN dims USING (dataset_id), kw, rp q
-       WHERE q.dataset_id = c.dataset_id AND q.x = c.x AND q.y = {reflect('c.y + k', 'h')} GROUP BY 1, 2, 3),
+rp AS MATERIALIZED (SELECT c.dataset_id, c.y, c.x, any_value(c.z) AS z, {paired('a.z', 'q.z')} AS v FROM px c JOIN dims USING (dataset_id), kr, nm, px a, px q
+       WHERE a.dataset_id = c.dataset_id AND a.y = c.y AND a.x = {reflect('c.x - k', 'w')}
+         AND q.dataset_id = c.dataset_id AND q.y = c.y AND q.x = {reflect('c.x + k', 'w')} GROUP BY 1, 2, 3),
+cp AS (SELECT c.dataset_id, c.y, c.x, any_value(c.z) AS z, {paired('a.v', 'q.v')} AS mean FROM rp c JOIN dims USING (dataset_id), kr, nm, rp a, rp q
+       WHERE a.dataset_id = c.dataset_id AND a.x = c.x AND a.y = {reflect('c.y - k', 'h')}
+         AND q.dataset_id = c.dataset_id AND q.x = c.x AND q.y = {reflect('c.y + k', 'h')} GROUP BY 1, 2, 3),
 o AS (SELECT dataset_id, y, x, {out} AS z FROM cp)"""
 
 
