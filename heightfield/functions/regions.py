@@ -98,8 +98,8 @@ def in_fixed_polygon(px: Column, py: Column, vertices: tuple[tuple[float, float]
     return count % 2 == 1
 
 
-def contains(region: Column, px: Column, py: Column) -> Column:
-    """Membership in a region struct column of any kind."""
+def contains(region: Column | dict[str, Column], px: Column, py: Column) -> Column:
+    """Membership in a region of any kind, given as a struct column or as its fields."""
     box = (region["left"], region["top"], region["width"], region["height"])
     return (F.when(region["kind"] == "Rectangle", in_rectangle(px, py, *box))
             .when(region["kind"] == "Ellipse", in_ellipse(px, py, *box))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from heightfield.functions.expr import floordiv
 from heightfield.model import CurveSet
 from heightfield.plans.iterate import cut
 from heightfield.plans.layout import CHUNK, chunk_samples, halo_chunks, with_curve_geometry
 
 SEGMENT = 256  # samples eliminated together inside one chunk
 STEP = 64      # piece lengths are padded to a multiple of this
+FAN = 1024     # chunks, or groups of chunks, whose borders are solved together
 
 
 def penalty_bands(i0: int, count: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +83,7 @@ class Piece:
         m = self.inner
         b = np.zeros((m, 5))
         b[:, 0] = self.rhs[:m]
-        if not self.first:
+        if not self.first:  # the two samples before this piece are its left separator
             b[0, 1], b[0, 2] = self.d2[0], self.d1[0]
             if m > 1:
                 b[1, 2] = self.d2[1]
@@ -123,37 +126,76 @@ def solve_inside(pieces: list[Piece]) -> list[np.ndarray]:
     return out
 
 
-def reduced_rows(pieces: list[Piece], inside: list[np.ndarray]):
-    """Per piece: Schur terms G (4x4) and g (4) of its inside, and its separator block and data."""
-    for p, x in zip(pieces, inside):
-        c = p.columns()
-        g = c[:, 1:].T @ x
-        a, b = (np.zeros((2, 2)), np.zeros(2)) if p.final else p.separator()
-        yield g[:, 1:], g[:, 0], a, b
+@dataclass(frozen=True)
+class Stretch:
+    """A stretch whose inside is eliminated.
+
+    ``g`` (4x4) and ``f`` (4) are what the elimination takes away from the equations of the left
+    and right separators; ``a`` (2x2) and ``b`` (2) are the right separator's own equations.
+    """
+
+    g: np.ndarray
+    f: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.g.ravel(), self.f, self.a.ravel(), self.b])
+
+    @staticmethod
+    def unpacked(t) -> "Stretch":
+        t = np.asarray(t)
+        return Stretch(t[:16].reshape(4, 4), t[16:20], t[20:24].reshape(2, 2), t[24:26])
 
 
-def solve_separators(terms) -> np.ndarray:
-    """Block-tridiagonal elimination over the separators of consecutive pieces: (pieces - 1, 2)."""
-    terms = list(terms)
-    k = len(terms) - 1
-    if k <= 0:
-        return np.zeros((0, 2))
-    diag, off, rhs = [], [], []
+def stretch_of(piece: Piece, inside: np.ndarray) -> Stretch:
+    c = piece.columns()
+    g = c[:, 1:].T @ inside
+    a, b = (np.zeros((2, 2)), np.zeros(2)) if piece.final else piece.separator()
+    return Stretch(g[:, 1:], g[:, 0], a, b)
+
+
+def chain(parts: list[Stretch]) -> np.ndarray:
+    """Separators between consecutive stretches for the five right-hand sides: (parts - 1, 2, 5)."""
+    k = len(parts) - 1
+    rhs = np.zeros((k, 2, 5))
+    diag, off = np.zeros((k, 2, 2)), np.zeros((k, 2, 2))
     for j in range(k):
-        g_own, f_own, a, b = terms[j]
-        g_next, f_next, _, _ = terms[j + 1]
-        diag.append(a - g_own[2:, 2:] - g_next[:2, :2])
-        rhs.append(b - f_own[2:] - f_next[:2])
-        off.append(-g_next[:2, 2:])  # separator j with separator j + 1, through piece j + 1
+        own, after = parts[j], parts[j + 1]
+        diag[j] = own.a - own.g[2:, 2:] - after.g[:2, :2]
+        off[j] = -after.g[:2, 2:]
+        rhs[j, :, 0] = own.b - own.f[2:] - after.f[:2]
+    if k:
+        rhs[0, :, 1:3] = -parts[0].g[2:, :2]
+        rhs[k - 1, :, 3:5] = -parts[k].g[:2, 2:]
     for j in range(1, k):
-        f = np.linalg.solve(diag[j - 1], np.column_stack([off[j - 1], rhs[j - 1]]))
-        diag[j] = diag[j] - off[j - 1].T @ f[:, :2]
-        rhs[j] = rhs[j] - off[j - 1].T @ f[:, 2]
-    s = np.zeros((k, 2))
+        back = np.linalg.solve(diag[j - 1], np.concatenate([off[j - 1], rhs[j - 1]], axis=1))
+        diag[j] -= off[j - 1].T @ back[:, :2]
+        rhs[j] -= off[j - 1].T @ back[:, 2:]
     for j in range(k - 1, -1, -1):
-        r = rhs[j] - (off[j] @ s[j + 1] if j + 1 < k else 0.0)
-        s[j] = np.linalg.solve(diag[j], r)
-    return s
+        rhs[j] = np.linalg.solve(diag[j], rhs[j] - (off[j] @ rhs[j + 1] if j + 1 < k else 0.0))
+    return rhs
+
+
+def condense(parts: list[Stretch]) -> Stretch:
+    """Consecutive stretches as one: their inner separators are eliminated too."""
+    if len(parts) == 1:
+        return parts[0]
+    x, first, last = chain(parts), parts[0], parts[-1]
+    g, f = np.zeros((4, 4)), np.concatenate([first.f[:2], last.f[2:]])
+    g[:2, :2], g[2:, 2:] = first.g[:2, :2], last.g[2:, 2:]
+    couple = ((slice(0, 2), -first.g[:2, 2:], x[0]), (slice(2, 4), -last.g[2:, :2], x[-1]))
+    for rows, c, near in couple:
+        g[rows] += c @ near[:, 1:]
+        f[rows] += c @ near[:, 0]
+    return Stretch(g, f, last.a, last.b)
+
+
+def separators(parts: list[Stretch], left=np.zeros(2), right=np.zeros(2)) -> np.ndarray:
+    """All separators around consecutive stretches once the outer two are known: (parts + 1, 2)."""
+    x = chain(parts)
+    inner = x[:, :, 0] - x[:, :, 1:3] @ left - x[:, :, 3:5] @ right
+    return np.vstack([left[None], inner, right[None]])
 
 
 def expand(piece: Piece, inside: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -166,27 +208,41 @@ def reweight(y: np.ndarray, x: np.ndarray, ok: np.ndarray, p: float) -> np.ndarr
     return np.where(ok, np.where(y > x, p, 1.0 - p), 0.0)
 
 
-def split(y: np.ndarray, w: np.ndarray, lam: float) -> list[Piece]:
-    n = len(y)
-    bounds = list(range(0, n, SEGMENT))
-    return [Piece(y[s:s + SEGMENT], w[s:s + SEGMENT], s, n, lam) for s in bounds]
+def split(y: np.ndarray, w: np.ndarray, lam: float, i0: int = 0, n: int | None = None) -> list[Piece]:
+    """Pieces of the samples i0, i0 + 1, ... of a curve of n samples."""
+    n = len(y) if n is None else n
+    bounds = list(range(0, len(y), SEGMENT))
+    if len(bounds) > 1 and len(y) - bounds[-1] < 4:
+        bounds.pop()  # a piece needs an inside next to its separator
+    return [Piece(y[s:e], w[s:e], i0 + s, n, lam) for s, e in zip(bounds, [*bounds[1:], len(y)])]
 
 
-def whittaker(curves: list[tuple[np.ndarray, np.ndarray]], lam: float) -> list[np.ndarray]:
-    """Per (y, w): minimise sum w (y - x)^2 + lam * sum (second difference of x)^2; NaN when singular."""
-    parts = [split(y, w, lam) for y, w in curves]
+def reduce_all(parts: list[list[Piece]]) -> list[tuple[list[Piece], list[np.ndarray], list[Stretch] | None]]:
+    """Eliminate the insides of many lists of pieces in one vectorised pass; None where singular."""
     inside = iter(solve_inside([piece for part in parts for piece in part]))
     out = []
     for part in parts:
         own = [next(inside) for _ in part]
-        if any(np.isnan(x).any() for x in own):
+        ok = not any(np.isnan(x).any() for x in own)
+        out.append((part, own, [stretch_of(*v) for v in zip(part, own)] if ok else None))
+    return out
+
+
+def whittaker(curves: list[tuple[np.ndarray, np.ndarray]], lam: float) -> list[np.ndarray]:
+    """Per (y, w): minimise sum w (y - x)^2 + lam * sum (second difference of x)^2; NaN when singular."""
+    out = []
+    for part, own, stretches in reduce_all([split(y, w, lam) for y, w in curves]):
+        if stretches is None:
             out.append(np.full(sum(piece.count for piece in part), np.nan))
             continue
-        s = np.vstack([np.zeros((1, 2)), solve_separators(reduced_rows(part, own)), np.zeros((1, 2))])
-        out.append(np.concatenate([expand(piece, x, s[k], s[k + 1]) for k, (piece, x) in enumerate(zip(part, own))]))
+        out.append(unfold(part, own, separators(stretches)))
     return out
 
 
+def unfold(part: list[Piece], own: list[np.ndarray], s: np.ndarray) -> np.ndarray:
+    return np.concatenate([expand(piece, x, s[k], s[k + 1]) for k, (piece, x) in enumerate(zip(part, own))])
+
+
 def asls(lines: list[np.ndarray], lam: float, p: float, iterations: int) -> list[np.ndarray | None]:
     """Baselines of several curves; None where fewer than three samples are finite or the system is singular."""
     oks = [np.isfinite(z) for z in lines]
@@ -231,78 +287,66 @@ def baseline(curves: CurveSet, lam: float = 1e5, p: float = 0.01, iterations: in
 def _chunked(curves: CurveSet, lam: float, p: float, iterations: int, chunk: int) -> CurveSet:
     """The same solve with each chunk of a long curve in its own task.
 
-    A round eliminates the inside of every chunk, solves the small system of chunk borders
-    (two unknowns per chunk) per curve, and feeds the border values back.  The packed chunks
-    and their weights are the only state, checkpointed once per round.
+    A round eliminates the inside of every chunk, solves for the chunk borders (two unknowns per
+    chunk, again condensed in groups of FAN chunks, so no task sees more than FAN borders of a
+    level), and feeds the border values back.  The packed chunks and their weights are the
+    only state, checkpointed once per round.
     """
     if chunk < 8:
         raise ValueError("chunks must hold at least eight samples")
+    c = F.col
     packed = halo_chunks(with_curve_geometry(curves), size=chunk)
 
     @pandas_udf("struct<z:array<float>,w:array<double>,ok:bigint>")
     def begin(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
-            done = []
+            lines = []
             for pos, z, wn in zip(*cols):
                 line = np.full(wn, np.nan, dtype=np.float32)
                 line[pos] = z
-                done.append((line, np.isfinite(line).astype(float), int(np.isfinite(line).sum())))
-            yield pd.DataFrame({"z": pd.Series([d[0] for d in done], dtype=object),
-                                "w": pd.Series([d[1] for d in done], dtype=object),
-                                "ok": pd.Series([d[2] for d in done], dtype="int64")})
+                lines.append(line)
+            yield pd.DataFrame({"z": pd.Series(lines, dtype=object),
+                                "w": pd.Series([np.isfinite(v).astype(float) for v in lines], dtype=object),
+                                "ok": pd.Series([int(np.isfinite(v).sum()) for v in lines], dtype="int64")})
 
-    def piece_of(z, w, i0, n):
-        y = np.asarray(z, dtype=np.float64)
-        return Piece(np.where(np.isfinite(y), y, 0.0), np.asarray(w), int(i0), int(n), lam)
+    def pieces(z, w, i0, n):
+        y = samples(z)
+        return split(np.where(np.isfinite(y), y, 0.0), np.asarray(w), lam, int(i0), int(n))
 
-    def terms_of(piece, inside):
-        if np.isnan(inside).any():
-            return None
-        g, f, a, b = next(iter(reduced_rows([piece], [inside])))
-        return np.concatenate([g.ravel(), f, a.ravel(), b])
+    def samples(z):
+        return np.asarray(z, dtype=np.float64)  # a NULL element is a NaN that passed through Arrow
 
     @pandas_udf("array<double>")
     def eliminate(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
-            pieces = [piece_of(*v) for v in zip(*cols)]
-            yield pd.Series([terms_of(*v) for v in zip(pieces, solve_inside(pieces))], dtype=object)
-
-    @pandas_udf("array<array<double>>")
-    def borders(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield pd.Series([solve(t) for t in parts], dtype=object)
-
-    def solve(parts):
-        if any(t is None for t in parts):
-            return None
-        blocks = [(t[:16].reshape(4, 4), t[16:20], t[20:24].reshape(2, 2), t[24:26]) for t in map(np.asarray, parts)]
-        s = np.vstack([np.zeros((1, 2)), solve_separators(blocks), np.zeros((1, 2))])
-        return [np.concatenate([s[k], s[k + 1]]) for k in range(len(blocks))]
+            done = reduce_all([pieces(*v) for v in zip(*cols)])
+            yield pd.Series([None if s is None else condense(s).packed() for _, _, s in done], dtype=object)
 
     @pandas_udf("struct<w:array<double>,x:array<double>>")
     def advance(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
             ws, xs = [], []
-            pieces = [piece_of(*v) for v in zip(*cols[:4])]
-            for z, s, piece, inside in zip(cols[0], cols[4], pieces, solve_inside(pieces)):
-                x = expand(piece, inside, np.asarray(s[:2]), np.asarray(s[2:]))
-                y = np.asarray(z, dtype=np.float64)
+            done = reduce_all([pieces(*v) for v in zip(*cols[:4])])
+            for z, s, (part, own, stretches) in zip(cols[0], cols[4], done):
+                s, y = np.asarray(s), samples(z)
+                x = unfold(part, own, separators(stretches, s[:2], s[2:]))
                 ws.append(reweight(y, x, np.isfinite(y), p))
                 xs.append(x)
             yield pd.DataFrame({"w": pd.Series(ws, dtype=object), "x": pd.Series(xs, dtype=object)})
 
-    c = F.col
-    state = packed.select("dataset_id", "c", "i0", "n", begin("p", "z", "wn").alias("b")).select(
-        "dataset_id", "c", "i0", "n", c("b.z").alias("z"), c("b.w").alias("w"), c("b.ok").alias("ok"))
-    state = cut(state)
+    state = cut(packed.select("dataset_id", "c", "i0", "n", begin("p", "z", "wn").alias("b")).select(
+        "dataset_id", "c", "i0", "n", c("b.z").alias("z"), c("b.w").alias("w"), c("b.ok").alias("ok")))
     enough = state.groupBy("dataset_id").agg(F.sum("ok").alias("ok")).filter("ok >= 3").select("dataset_id")
     live = state.drop("ok").join(enough, "dataset_id", "left_semi").withColumn("x", F.lit(None).cast("array<double>"))
+    levels = 0
+    while curves.longest > chunk * FAN ** (levels + 1):
+        levels += 1
     for _ in range(iterations):
-        parts = live.select("dataset_id", "c", eliminate("z", "w", "i0", "n").alias("t"))
-        solved = (parts.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
-                  .select("dataset_id", borders("ts.t").alias("s")))
-        solved = solved.select("dataset_id", F.posexplode("s").alias("c", "s"))  # a singular curve drops out
-        live = cut(live.join(solved, ["dataset_id", "c"])
+        terms = cut(live.select("dataset_id", "c", eliminate("z", "w", "i0", "n").alias("t")))
+        # a curve with a singular chunk drops out and stays unchanged
+        singular = terms.filter("t is null").select("dataset_id")
+        borders = solve_borders(terms.join(singular, "dataset_id", "left_anti"), levels)
+        live = cut(live.join(borders, ["dataset_id", "c"])
                    .select("dataset_id", "c", "i0", "n", "z", advance("z", "w", "i0", "n", "s").alias("b"))
                    .select("dataset_id", "c", "i0", "n", "z", c("b.w").alias("w"), c("b.x").alias("x")))
     done = state.select("dataset_id", "c", "i0", "z").join(live.select("dataset_id", "c", "x"), ["dataset_id", "c"], "left")
@@ -311,6 +355,38 @@ def _chunked(curves: CurveSet, lam: float, p: float, iterations: int, chunk: int
     return curves.with_samples(chunk_samples(values, "out"))
 
 
+def solve_borders(terms: DataFrame, levels: int) -> DataFrame:
+    """Outer separators of every unit: (dataset_id, c, t) -> (dataset_id, c, s ARRAY<4>).
+
+    With ``levels`` left, groups of FAN units are condensed into one and solved a level up first.
+    """
+    @pandas_udf("array<double>")
+    def merge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for groups in batches:
+            yield pd.Series([condense([Stretch.unpacked(t) for t in g]).packed() for g in groups], dtype=object)
+
+    @pandas_udf("array<array<double>>")
+    def solve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for groups, outer in batches:
+            out = []
+            for g, o in zip(groups, outer):
+                o = np.asarray(o)
+                s = separators([Stretch.unpacked(t) for t in g], o[:2], o[2:])
+                out.append([np.concatenate([s[k], s[k + 1]]) for k in range(len(g))])
+            yield pd.Series(out, dtype=object)
+
+    group = floordiv(F.col("c"), FAN) if levels else F.lit(0)
+    units = terms.groupBy("dataset_id", group.alias("g")).agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("u"))
+    if levels:
+        units = cut(units)
+        above = solve_borders(units.select("dataset_id", F.col("g").alias("c"), merge("u.t").alias("t")), levels - 1)
+        units = units.join(above.select("dataset_id", F.col("c").alias("g"), F.col("s").alias("o")), ["dataset_id", "g"])
+    else:
+        units = units.withColumn("o", F.array(*[F.lit(0.0)] * 4))
+    solved = units.select("dataset_id", F.arrays_zip(F.col("u.c").alias("c"), solve("u.t", "o").alias("s")).alias("v"))
+    return solved.select("dataset_id", F.explode("v").alias("v")).select("dataset_id", "v.c", "v.s")
+
+
 def baseline_warnings(curves: CurveSet) -> DataFrame:
     """(dataset_id, code): non-finite samples excluded, or too few finite samples to fit."""
     good = F.count(F.when(F.abs("z") < float("inf"), 1))

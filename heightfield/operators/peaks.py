@@ -132,7 +132,8 @@ def _whole(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
             yield pd.Series([peaks_of(_line(*v), fraction) for v in zip(*cols)], dtype=object)
 
     packed = halo_chunks(with_curve_geometry(curves), size=chunk)
-    return packed.select("dataset_id", F.explode(run("p", "z", "wn")).alias("k")).select("dataset_id", "k.*")
+    found = packed.select("dataset_id", F.explode(run("p", "z", "wn")).alias("k")).select("dataset_id", "k.*")
+    return found.withColumn("width", F.coalesce("width", nan()))  # NaN inside a nested result arrives as NULL
 
 
 # --- curves longer than a chunk -------------------------------------------------------------

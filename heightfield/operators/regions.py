@@ -26,7 +26,8 @@ def masked_pixels(images: ImageSet, regions: DataFrame) -> DataFrame:
     (dataset_id, tile): a pixel meets only the regions near it, and a giant image is spread
     over its tiles.  The exact shape test follows as a filter.
     """
-    r = F.col("region")
+    fields = ("region_id", "kind", "left", "top", "width", "height", "vertices")
+    r = {f: F.col(f"_{f}") for f in fields}
 
     def span(start, size, count):
         lo = clamp(start, 0.0, F.col(count).cast("double"))
@@ -34,11 +35,11 @@ def masked_pixels(images: ImageSet, regions: DataFrame) -> DataFrame:
         first, last = floordiv(F.floor(lo), TILE), floordiv(F.ceil(hi) - 1, TILE)
         return F.when(hi > lo, F.sequence(first, F.greatest(first, last)))
 
-    spans = regions.withColumns({
+    flat = regions.select("dataset_id", "w", "h", *[F.col("region")[f].alias(f"_{f}") for f in fields])
+    spans = flat.withColumns({
         "_ys": span(r["top"], r["height"], "h"), "_xs": span(r["left"], r["width"], "w"),
-    }).filter(F.col("_ys").isNotNull() & F.col("_xs").isNotNull())
-    covered = (spans.withColumn("_by", F.explode("_ys")).withColumn("_bx", F.explode("_xs"))
-               .select("dataset_id", "_by", "_bx", "region"))
+    }).filter(F.col("_ys").isNotNull() & F.col("_xs").isNotNull()).drop("w", "h")
+    covered = spans.withColumn("_by", F.explode("_ys")).withColumn("_bx", F.explode("_xs")).drop("_ys", "_xs")
     rows = images.pixels.withColumns({"_by": floordiv(F.col("y"), TILE), "_bx": floordiv(F.col("x"), TILE)})
     return (rows.join(covered, ["dataset_id", "_by", "_bx"])
             .filter(contains(r, F.col("x") + 0.5, F.col("y") + 0.5))

@@ -103,7 +103,7 @@ def tile_pixels(tiles: DataFrame, values: str, *keep: str) -> DataFrame:
         "dataset_id",
         (F.col("y0") + floordiv(F.col("_p"), F.col("cw"))).alias("y"),
         (F.col("x0") + F.col("_p") % F.col("cw")).alias("x"),
-        F.col("z"), *keep,
+        _filled(), *keep,
     )
 
 
@@ -130,7 +130,12 @@ def halo_chunks(samples: DataFrame, *, reach=0, size=CHUNK, carry: tuple[str, ..
 def chunk_samples(chunks: DataFrame, values: str, *keep: str) -> DataFrame:
     """Back from one row per chunk (core array in ``values``) to one row per sample."""
     return chunks.select("dataset_id", "i0", *keep, F.posexplode(values).alias("_p", "z")).select(
-        "dataset_id", (F.col("i0") + F.col("_p")).alias("i"), "z", *keep)
+        "dataset_id", (F.col("i0") + F.col("_p")).alias("i"), _filled(), *keep)
+
+
+def _filled() -> Column:
+    """Samples are never NULL, but a NaN inside an array can come back from Arrow as one."""
+    return F.coalesce(F.col("z"), nan().cast("float")).alias("z")
 
 
 def _i(value):

@@ -30,7 +30,8 @@ def dense_asls(y, lam, p, iterations):
 
 @pytest.mark.parametrize("chunk", [8, 9, 65536])
 def test_baseline_equals_dense_solve_in_one_or_many_pieces(spark, chunk, monkeypatch):
-    monkeypatch.setattr(baseline, "SEGMENT", 8)
+    monkeypatch.setattr(baseline, "SEGMENT", 4)
+    monkeypatch.setattr(baseline, "FAN", 2)
     arrays = [wave(1, 50), wave(2, 33, gaps=9), wave(3, 17), np.array([1.0, NAN, 2.0, NAN]), wave(4, 3)]
     got = lines(baseline.baseline(curves(spark, *arrays), 50.0, 0.05, 5, chunk=chunk))
     for k, a in enumerate(arrays):
