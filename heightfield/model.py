@@ -54,12 +54,18 @@ class _Members:
     scans: DataFrame
     known_rows: int | None = field(default=None, kw_only=True)
 
+    @cached_property
+    def _facts(self):
+        """One small job over the catalog: members and their largest extents."""
+        y = "y.count" if "y" in self.scans.columns else "x.count"
+        return self.scans.agg(
+            F.count(F.lit(1)), F.max("x.count"), F.max(F.greatest("x.count", y)),
+            F.max(F.col("x.count").cast("long") * F.col(y))).first()
+
     @cached_property
     def catalog_rows(self) -> int:
-        """Number of members, counted once from the catalog and inherited by derived collections."""
-        if self.known_rows is not None:
-            return self.known_rows
-        return self.scans.select("dataset_id").count()
+        """Number of members (an upper bound where a derived collection inherited it)."""
+        return self._facts[0] if self.known_rows is None else self.known_rows
 
     @property
     def rows_if_known(self) -> int | None:
@@ -74,9 +80,6 @@ class _Members:
     def spark(self):
         return self.scans.sparkSession
 
-    def axis_fields(self, which: str, *names: str) -> list[Column]:
-        return [F.col(which)[n].alias(f"{which}_{n}") for n in names]
-
 
 @dataclass(frozen=True)
 class ImageSet(_Members):
@@ -89,6 +92,16 @@ class ImageSet(_Members):
             *[c.alias(k) for k, c in extra.items()],
         )
 
+    @property
+    def widest(self) -> int:
+        """Largest extent along either axis."""
+        return self._facts[2] or 0
+
+    @property
+    def largest(self) -> int:
+        """Largest pixel count of one image."""
+        return self._facts[3] or 0
+
     def with_pixels(self, pixels: DataFrame, scans: DataFrame | None = None) -> "ImageSet":
         """Same members (or a rewritten catalog of them) over other pixels."""
         return ImageSet(scans if scans is not None else self.scans, pixels=pixels, known_rows=self.rows_if_known)
@@ -105,10 +118,10 @@ class CurveSet(_Members):
             *[c.alias(k) for k, c in extra.items()],
         )
 
-    @cached_property
+    @property
     def longest(self) -> int:
         """Largest sample count in the catalog; decides between whole-curve and chunked plans."""
-        return self.scans.agg(F.max("x.count")).first()[0] or 0
+        return self._facts[1] or 0
 
     def with_samples(self, samples: DataFrame, scans: DataFrame | None = None) -> "CurveSet":
         return CurveSet(scans if scans is not None else self.scans, samples=samples, known_rows=self.rows_if_known)

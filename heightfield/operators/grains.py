@@ -74,8 +74,7 @@ def grain_table(images: ImageSet, threshold: float = 0.5, tile: int = TILE) -> D
     """
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("the threshold must be 0 to 1")
-    largest = images.scans.agg(F.max(F.greatest("x.count", "y.count"))).first()[0] or 0
-    several = largest > tile
+    several = images.widest > tile
     level = F.col("lo") + threshold * (F.col("hi") - F.col("lo"))
     cuts = finite_range(images.pixels).select("dataset_id", level.alias("level"))
     tiles = halo_tiles(attach(images, with_geometry(images), cuts), tile_h=tile, tile_w=tile, carry=("level",))

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from heightfield.functions.expr import nan, raw_to_real
+from heightfield.functions.expr import floordiv, nan, raw_to_real
 from heightfield.model import CurveSet
 from heightfield.operators.curve import _line, noise
 from heightfield.operators.statistics import finite_range
 from heightfield.plans.iterate import cut
 from heightfield.plans.layout import CHUNK, attach, halo_chunks, with_curve_geometry
 
+FAN = 1024  # chunks whose outlines are looked up together
 PEAK = "array<struct<i:int,value:double,prominence:double,width:double>>"
 
 
@@ -175,7 +176,8 @@ def _chunked(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
     opened = walks.select("dataset_id", "c", F.explode(F.array(
         F.when(c("lopen"), _walk(c("i"), -1, c("value"), F.lit(-np.inf), c("left"))),
         F.when(c("ropen"), _walk(c("i"), 1, c("value"), F.lit(-np.inf), c("right"))))).alias("k")).filter("k is not null")
-    lows = _continue(packed, outlines, opened, chunk, width=False).groupBy("dataset_id", "i").agg(
+    several = curves.longest > chunk * FAN
+    lows = _continue(packed, outlines, opened, chunk, False, several).groupBy("dataset_id", "i").agg(
         F.min(F.when(c("side") == -1, c("low"))).alias("l2"), F.min(F.when(c("side") == 1, c("low"))).alias("r2"))
     proms = walks.join(lows, ["dataset_id", "i"], "left").select(
         "dataset_id", "c", "i", "value",
@@ -188,7 +190,7 @@ def _chunked(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
     near = cut(_search(packed, sides.withColumn("at", c("k.i")), width=True))
     further = near.filter(~c("stopped")).select("dataset_id", "c", "k")
     ends = near.filter("stopped").select("dataset_id", c("k.i").alias("i"), c("k.side").alias("side"), c("low").alias("at"))
-    ends = ends.unionByName(_continue(packed, outlines, further, chunk, width=True).select(
+    ends = ends.unionByName(_continue(packed, outlines, further, chunk, True, several).select(
         "dataset_id", "i", "side", c("low").alias("at")))
     widths = ends.groupBy("dataset_id", "i").agg(
         (F.max(F.when(c("side") == 1, c("at"))) - F.max(F.when(c("side") == -1, c("at")))).alias("width"))
@@ -201,39 +203,64 @@ def _walk(i, side, value, level, low):
     return F.struct(i.alias("i"), F.lit(side).alias("side"), value.alias("value"), level.alias("level"), low.alias("low")).cast(WALK)
 
 
-def _continue(packed: DataFrame, outlines: DataFrame, opened: DataFrame, chunk: int, width: bool) -> DataFrame:
-    """Finish walks that left their chunk: (dataset_id, i, side, low) with low the minimum or the crossing."""
-    both = outlines.select("dataset_id", "c", "top", "bottom", F.lit(None).cast(WALK).alias("k")).unionByName(
-        opened.select("dataset_id", "c", F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), "k"))
-    key = outlines.schema["dataset_id"].dataType.simpleString()
+def _continue(packed: DataFrame, outlines: DataFrame, opened: DataFrame, chunk: int, width: bool, several: bool) -> DataFrame:
+    """Finish walks that left their chunk: (dataset_id, i, side, low) with low the minimum or the crossing.
 
-    def route(frame: pd.DataFrame) -> pd.DataFrame:
-        lines = frame[frame["top"].notna()].sort_values("c")
-        tops, bottoms, first = lines["top"].to_numpy(), lines["bottom"].to_numpy(), int(lines["c"].iloc[0])
-        out = []
-        for row in frame[frame["top"].isna()].itertuples(index=False):
-            k, j = row.k, int(row.c) - first
-            side, low = int(k["side"]), k["low"]
-            j += side
-            while 0 <= j < len(tops):
-                if (tops[j] >= k["value"] or bottoms[j] <= k["level"]) if width else tops[j] > k["value"]:
-                    break
-                low = min(low, bottoms[j])
-                j += side
-            inside = 0 <= j < len(tops)
-            out.append((row.dataset_id, j + first if inside else -1, int(k["i"]), side, k["value"], k["level"], low))
-        return pd.DataFrame(out, columns=["dataset_id", "c", "i", "side", "value", "level", "low"])
-
-    routed = both.groupBy("dataset_id").applyInPandas(
-        route, f"dataset_id {key}, c int, i int, side int, value double, level double, low double")
-    routed = cut(routed)
+    The stopping chunk is looked up among the FAN chunks around the walk.  For a curve of more
+    chunks (``several``) the few walks that leave even those are routed over outlines of FAN
+    chunks each, then down again inside the block where they must stop.
+    """
     c = F.col
-    off = routed.filter("c < 0").select("dataset_id", "i", "side", nan().alias("low") if width else c("low"))
-    inside = routed.filter("c >= 0").select(
-        "dataset_id", "c", F.struct("i", "side", "value", "level", "low").cast(WALK).alias("k"),
-        F.when(c("side") == -1, (c("c") + 1) * chunk).otherwise(c("c") * chunk - 1).alias("at"))
+    units = outlines.withColumn("g", floordiv(c("c"), FAN) if several else F.lit(0))
+    walks = opened.select("dataset_id", floordiv(c("c"), FAN).alias("g") if several else F.lit(0).alias("g"), c("c").alias("at"), "k")
+    routed = cut(_route(units, walks, width))
+    found, off = routed.filter("unit is not null"), routed.filter("unit is null")
+    if several:
+        blocks = units.groupBy("dataset_id", c("g").alias("c")).agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"))
+        over = off.select("dataset_id", F.lit(0).alias("g"), c("g").alias("at"), "k")
+        high = cut(_route(blocks.withColumn("g", F.lit(0)), over, width))
+        off = high.filter("unit is null")
+        edge = F.when(c("k.side") == -1, (c("unit") + 1) * FAN).otherwise(c("unit") * FAN - 1)
+        down = high.filter("unit is not null").select("dataset_id", c("unit").alias("g"), edge.alias("at"), "k")
+        found = found.unionByName(cut(_route(units, down, width)))
+    ends = off.select("dataset_id", c("k.i").alias("i"), c("k.side").alias("side"), nan().alias("low") if width else c("k.low").alias("low"))
+    inside = found.select("dataset_id", c("unit").alias("c"), "k",
+                          F.when(c("k.side") == -1, (c("unit") + 1) * chunk).otherwise(c("unit") * chunk - 1).alias("at"))
     met = _search(packed, inside, width).select("dataset_id", c("k.i").alias("i"), c("k.side").alias("side"), "low")
-    return off.unionByName(met)
+    return ends.unionByName(met)
+
+
+def _route(units: DataFrame, walks: DataFrame, width: bool) -> DataFrame:
+    """Nearest unit each walk must stop in, among the units of its group (dataset_id, g).
+
+    ``units`` is (dataset_id, g, c, top, bottom), ``walks`` (dataset_id, g, at, k); a walk
+    starts next to unit ``at``.  Gives (dataset_id, g, unit, k): unit NULL when the walk runs
+    out of the group, with k.low lowered by the units it crossed.
+    """
+    c = F.col
+    outline = units.groupBy("dataset_id", "g").agg(F.sort_array(F.collect_list(F.struct("c", "top", "bottom"))).alias("u"))
+    outline = outline.select("dataset_id", "g", c("u.c")[0].alias("first"), c("u.top").alias("top"), c("u.bottom").alias("bottom"))
+
+    @pandas_udf("struct<unit:int,low:double>")
+    def follow(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            done = [_step_over(*v, width) for v in zip(*cols)]
+            yield pd.DataFrame({"unit": pd.array([u for u, _ in done], dtype="Int32"), "low": [low for _, low in done]})
+
+    k = c("k")
+    return walks.join(outline, ["dataset_id", "g"]).select("dataset_id", "g", "k", follow(
+        "first", "top", "bottom", "at", k["side"].alias("side"), k["value"].alias("value"), k["level"].alias("level"), k["low"].alias("low"),
+    ).alias("r")).select("dataset_id", "g", c("r.unit").alias("unit"), k.withField("low", c("r.low")).alias("k"))
+
+
+def _step_over(first, tops, bottoms, at, side, value, level, low, width: bool):
+    j = at - first + side
+    ahead = slice(j, None) if side > 0 else slice(j, None, -1) if j >= 0 else slice(0, 0)
+    t, m = tops[ahead], bottoms[ahead]
+    stop = np.flatnonzero((t >= value) | (m <= level) if width else t > value)
+    crossed = m[:stop[0]] if stop.size else m
+    low = min(low, float(crossed.min(initial=np.inf)))
+    return (int(first + j + side * stop[0]) if stop.size else None), low
 
 
 def _search(packed: DataFrame, walks: DataFrame, width: bool) -> DataFrame:

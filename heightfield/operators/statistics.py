@@ -11,6 +11,7 @@ from heightfield.functions.expr import finite, floordiv, nan, ratio
 from heightfield.model import CurveSet, ImageSet
 from heightfield.plans.layout import CHUNK, attach
 
+FAN = 4096  # chunks merged together
 POINTS = 5  # fixed value: peaks and valleys averaged by the bounded point-average roughness
 
 
@@ -69,11 +70,12 @@ def histogram(images: ImageSet, bins: int = 256) -> DataFrame:
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def point_average(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def point_average(rows: DataFrame, chunk: int = CHUNK, longest: int | None = None) -> DataFrame:
     """Bounded point-average roughness of (dataset_id, p, d): d is the residue at sequence position p.
 
     Runs of equal sign are found inside chunks of the sequence; only the first and last run of
     a chunk can continue elsewhere, so the merge sees two rows per chunk, not the sequence.
+    Sequences of more than FAN chunks (``longest`` samples) are merged FAN units at a time.
     """
     c = F.col
     rows = rows.select("dataset_id", floordiv(c("p"), chunk).alias("c"), "p", "d", (c("d") > 0).alias("up"))
@@ -82,18 +84,15 @@ def point_average(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     runs = (rows.withColumn("turn", turn).withColumn("run", F.sum("turn").over(in_chunk))
             .groupBy("dataset_id", "c", "run", "up")
             .agg(F.when(c("up"), F.max("d")).otherwise(F.min("d")).alias("ext")))
-    runs = runs.withColumn("last", F.max("run").over(Window.partitionBy("dataset_id", "c")))
-    inner = runs.filter((c("run") > 0) & (c("run") < c("last"))).select("dataset_id", "up", "ext")
-    ends = runs.filter((c("run") == 0) | (c("run") == c("last")))
-    along = Window.partitionBy("dataset_id").orderBy("c", "run")
-    parted = (F.lag("c").over(along) == c("c")) | (F.lag("up").over(along) != c("up"))
-    merged = (ends.withColumn("cut", F.coalesce(parted.cast("int"), F.lit(0)))
-              .withColumn("g", F.sum("cut").over(along))
-              .groupBy("dataset_id", "g", "up")
-              .agg(F.when(c("up"), F.max("ext")).otherwise(F.min("ext")).alias("ext"))
-              .select("dataset_id", "up", "ext"))
+    done, ends = _complete_runs(runs)
+    unit = chunk
+    while longest is not None and longest > unit * FAN:
+        unit *= FAN
+        inner, ends = _complete_runs(_joined_runs(ends, F.floor(c("c") / FAN).cast("int")))
+        done = done.unionByName(inner)
+    merged = _joined_runs(ends, F.lit(0)).select("dataset_id", "up", "ext")
     best = Window.partitionBy("dataset_id", "up").orderBy(F.when(c("up"), -c("ext")).otherwise(c("ext")))
-    top = inner.unionByName(merged).withColumn("rk", F.row_number().over(best)).filter(c("rk") <= POINTS)
+    top = done.unionByName(merged).withColumn("rk", F.row_number().over(best)).filter(c("rk") <= POINTS)
     agg = top.groupBy("dataset_id").agg(
         F.count(F.when(c("up"), 1)).alias("ups"), F.count(F.when(~c("up"), 1)).alias("downs"),
         F.sum(F.when(c("up"), c("ext")).otherwise(-c("ext"))).alias("s"))
@@ -101,6 +100,24 @@ def point_average(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         (c("ups") >= POINTS) & (c("downs") >= POINTS), c("s") / POINTS).otherwise(nan()).alias("rz_points"))
 
 
+def _complete_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of a unit that end inside it, and its first and last run, which may continue outside."""
+    runs = runs.withColumn("last", F.max("run").over(Window.partitionBy("dataset_id", "c")))
+    at_end = (F.col("run") == 0) | (F.col("run") == F.col("last"))
+    return runs.filter(~at_end).select("dataset_id", "up", "ext"), runs.filter(at_end).select("dataset_id", "c", "run", "up", "ext")
+
+
+def _joined_runs(ends: DataFrame, unit) -> DataFrame:
+    """Join end runs that continue into the next unit; the units are numbered within larger ones."""
+    c = F.col
+    along = Window.partitionBy("dataset_id", "u").orderBy("c", "run")
+    parted = (F.lag("c").over(along) == c("c")) | (F.lag("up").over(along) != c("up"))
+    return (ends.withColumn("u", unit).withColumn("cut", F.coalesce(parted.cast("int"), F.lit(0)))
+            .withColumn("g", F.sum("cut").over(along))
+            .groupBy("dataset_id", c("u").alias("c"), c("g").alias("run"), "up")
+            .agg(F.when(c("up"), F.max("ext")).otherwise(F.min("ext")).alias("ext")))
+
+
 def image_point_average(images: ImageSet, stats: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """A8 over each image in row-major order.  ``stats`` needs dataset_id and mean."""
     stats = image_moments(images) if stats is None else stats
@@ -109,7 +126,7 @@ def image_point_average(images: ImageSet, stats: DataFrame | None = None, chunk:
         "dataset_id", (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("p"),
         (F.col("z").cast("double") - F.col("mean")).alias("d"))
     ok = stats.select("dataset_id", finite(F.col("mean")).alias("ok"))
-    return point_average(rows, chunk).join(ok, "dataset_id").select(
+    return point_average(rows, chunk, images.largest).join(ok, "dataset_id").select(
         "dataset_id", F.when(F.col("ok"), F.col("rz_points")).otherwise(nan()).alias("rz_points"))
 
 

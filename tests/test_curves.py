@@ -81,7 +81,8 @@ def brute_peaks(z, fraction):
 
 @pytest.mark.parametrize("chunk", [3, 8, 65536])
 @pytest.mark.parametrize("fraction", [0.0, 0.25])
-def test_peaks_equal_brute_force_in_one_or_many_chunks(spark, chunk, fraction):
+def test_peaks_equal_brute_force_in_one_or_many_chunks(spark, chunk, fraction, monkeypatch):
+    monkeypatch.setattr(peaks, "FAN", 3)
     rng = np.random.default_rng(9)
     ties = rng.integers(0, 4, 60).astype(np.float32)
     spikes = wave(8, 41, gaps=4)

@@ -38,7 +38,8 @@ def brute_points(z):
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 7, 65536])
-def test_point_average_merges_runs_across_chunks(spark, chunk):
+def test_point_average_merges_runs_across_chunks(spark, chunk, monkeypatch):
+    monkeypatch.setattr(statistics, "FAN", 3)
     rng = np.random.default_rng(3)
     arrays = [rng.normal(size=(9, 13)).cumsum(axis=1), np.repeat(rng.normal(size=(4, 9)), 3, axis=1), np.zeros((3, 3))]
     got = {r["dataset_id"]: r["rz_points"] for r in statistics.image_point_average(images(spark, *arrays), chunk=chunk).collect()}
