@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from heightfield.functions.expr import finite, floordiv, ratio
 from heightfield.model import ImageSet
 from heightfield.operators.statistics import finite_range
-from heightfield.plans.iterate import components
+from heightfield.plans.iterate import components, cut
 from heightfield.plans.layout import TILE, attach, halo_tiles, with_geometry
 
 
@@ -50,19 +50,18 @@ def _tile_grains(p, z, wh, ww, y0, x0, w, threshold, edges: bool):
         mask = np.isfinite(grid) & (grid >= threshold)
     y, x, length, parent = label_runs(mask)
     if not y.size:
-        return [], []
+        none = np.empty(0, dtype=np.int64)
+        return none, none, np.empty(0), none, none, none
     name = (y0 + y[parent]).astype(np.int64) * w + (x0 + x[parent])
     area = np.bincount(parent, weights=length, minlength=y.size)
     height = np.bincount(np.repeat(parent, length), weights=grid[mask], minlength=y.size)
     heads = np.flatnonzero(parent == np.arange(y.size))
-    grains = [{"grain": int(name[k]), "area": int(area[k]), "height": float(height[k])} for k in heads]
-    rim = []
+    rim_y = rim_x = rim_name = np.empty(0, dtype=np.int64)
     if edges:
         py, px = np.nonzero(mask)
-        owner = np.repeat(name, length)
         on = (py == 0) | (px == 0) | (py == wh - 1) | (px == ww - 1)
-        rim = [{"y": int(b) + y0, "x": int(c) + x0, "grain": int(g)} for b, c, g in zip(py[on], px[on], owner[on])]
-    return grains, rim
+        rim_y, rim_x, rim_name = py[on] + y0, px[on] + x0, np.repeat(name, length)[on]
+    return name[heads], area[heads].astype(np.int64), height[heads], rim_y, rim_x, rim_name
 
 
 def grain_table(images: ImageSet, threshold: float = 0.5, tile: int = TILE) -> DataFrame:
@@ -79,20 +78,24 @@ def grain_table(images: ImageSet, threshold: float = 0.5, tile: int = TILE) -> D
     cuts = finite_range(images.pixels).select("dataset_id", level.alias("level"))
     tiles = halo_tiles(attach(images, with_geometry(images), cuts), tile_h=tile, tile_w=tile, carry=("level",))
 
-    @pandas_udf("struct<grains:array<struct<grain:bigint,area:bigint,height:double>>,"
-                "rim:array<struct<y:int,x:int,grain:bigint>>>")
+    fields = ("grain", "area", "height", "ry", "rx", "rg")
+
+    @pandas_udf("struct<grain:array<bigint>,area:array<bigint>,height:array<double>,"
+                "ry:array<bigint>,rx:array<bigint>,rg:array<bigint>>")
     def label(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
             done = [_tile_grains(*v, several) for v in zip(*cols)]
-            yield pd.DataFrame({"grains": pd.Series([g for g, _ in done], dtype=object),
-                                "rim": pd.Series([r for _, r in done], dtype=object)})
+            yield pd.DataFrame({f: pd.Series([d[k] for d in done], dtype=object) for k, f in enumerate(fields)})
 
-    labelled = tiles.select("dataset_id", label("p", "z", "wh", "ww", "y0", "x0", "w", "level").alias("t"))
-    parts = labelled.select("dataset_id", F.explode("t.grains").alias("g")).select(
+    labelled = tiles.select("dataset_id", label("p", "z", "wh", "ww", "y0", "x0", "w", "level").alias("t")).select("dataset_id", "t.*")
+    if several:
+        labelled = cut(labelled)  # read by the grains and by the rims; far smaller than the pixels
+    parts = labelled.select("dataset_id", F.explode(F.arrays_zip("grain", "area", "height")).alias("g")).select(
         "dataset_id", F.col("g.grain").alias("grain"), F.col("g.area").alias("area"), F.col("g.height").alias("height_sum"))
     if not several:
         return parts
-    rim = labelled.select("dataset_id", F.explode("t.rim").alias("r")).select("dataset_id", "r.y", "r.x", "r.grain")
+    rim = labelled.select("dataset_id", F.explode(F.arrays_zip("ry", "rx", "rg")).alias("r")).select(
+        "dataset_id", F.col("r.ry").cast("int").alias("y"), F.col("r.rx").cast("int").alias("x"), F.col("r.rg").alias("grain"))
     step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
                                for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     ny, nx = F.col("y") + F.col("s.dy"), F.col("x") + F.col("s.dx")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from heightfield.functions.expr import finite, floordiv, nan, ratio
 from heightfield.model import CurveSet, ImageSet
@@ -73,17 +76,22 @@ def histogram(images: ImageSet, bins: int = 256) -> DataFrame:
 def point_average(rows: DataFrame, chunk: int = CHUNK, longest: int | None = None) -> DataFrame:
     """Bounded point-average roughness of (dataset_id, p, d): d is the residue at sequence position p.
 
-    Runs of equal sign are found inside chunks of the sequence; only the first and last run of
-    a chunk can continue elsewhere, so the merge sees two rows per chunk, not the sequence.
+    Runs of equal sign are found inside chunks of the sequence.  A chunk hands on its best
+    POINTS complete runs of each sign and its first and last run, the only ones that can
+    continue elsewhere, so the merge sees a dozen rows per chunk, not the sequence.
     Sequences of more than FAN chunks (``longest`` samples) are merged FAN units at a time.
     """
     c = F.col
-    rows = rows.select("dataset_id", floordiv(c("p"), chunk).alias("c"), "p", "d", (c("d") > 0).alias("up"))
-    in_chunk = Window.partitionBy("dataset_id", "c").orderBy("p")
-    turn = F.coalesce((c("up") != F.lag("up").over(in_chunk)).cast("int"), F.lit(0))
-    runs = (rows.withColumn("turn", turn).withColumn("run", F.sum("turn").over(in_chunk))
-            .groupBy("dataset_id", "c", "run", "up")
-            .agg(F.when(c("up"), F.max("d")).otherwise(F.min("d")).alias("ext")))
+    unit = floordiv(c("p"), chunk)
+    packed = rows.groupBy("dataset_id", unit.alias("c")).agg(
+        F.collect_list((c("p") - unit.cast("long") * chunk).cast("int")).alias("p"), F.collect_list("d").alias("d"))
+
+    @pandas_udf("array<struct<run:int,up:boolean,ext:double>>")
+    def runs_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for cols in batches:
+            yield pd.Series([_chunk_runs(*v) for v in zip(*cols)], dtype=object)
+
+    runs = packed.select("dataset_id", "c", F.explode(runs_of("p", "d")).alias("r")).select("dataset_id", "c", "r.*")
     done, ends = _complete_runs(runs)
     unit = chunk
     while longest is not None and longest > unit * FAN:
@@ -100,6 +108,18 @@ def point_average(rows: DataFrame, chunk: int = CHUNK, longest: int | None = Non
         (c("ups") >= POINTS) & (c("downs") >= POINTS), c("s") / POINTS).otherwise(nan()).alias("rz_points"))
 
 
+def _chunk_runs(p: np.ndarray, d: np.ndarray) -> list[dict]:
+    d = d[np.argsort(p)]
+    up = d > 0
+    starts = np.concatenate([[0], np.flatnonzero(up[1:] != up[:-1]) + 1])
+    rising = up[starts]
+    ext = np.where(rising, np.maximum.reduceat(d, starts), np.minimum.reduceat(d, starts))
+    inner = np.arange(1, len(starts) - 1)
+    best = [k[np.argsort(sign * ext[k])[:POINTS]] for sign, k in ((-1, inner[rising[inner]]), (1, inner[~rising[inner]]))]
+    keep = np.unique(np.concatenate([[0, len(starts) - 1], *best]).astype(int))
+    return [{"run": int(k), "up": bool(rising[k]), "ext": float(ext[k])} for k in keep]
+
+
 def _complete_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs of a unit that end inside it, and its first and last run, which may continue outside."""
     runs = runs.withColumn("last", F.max("run").over(Window.partitionBy("dataset_id", "c")))
@@ -118,16 +138,18 @@ def _joined_runs(ends: DataFrame, unit) -> DataFrame:
             .agg(F.when(c("up"), F.max("ext")).otherwise(F.min("ext")).alias("ext")))
 
 
-def image_point_average(images: ImageSet, stats: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """A8 over each image in row-major order.  ``stats`` needs dataset_id and mean."""
-    stats = image_moments(images) if stats is None else stats
-    per = stats.select("dataset_id", "mean").join(images.geometry(), "dataset_id")
+def image_point_average(images: ImageSet, chunk: int = CHUNK) -> DataFrame:
+    """Bounded point-average roughness of each image in row-major order; a non-finite pixel makes it NaN.
+
+    A non-finite mean leaves no residue above zero (or only undefined ones below), so the
+    result is NaN without a separate test.
+    """
+    mean = images.pixels.groupBy("dataset_id").agg(F.avg(F.col("z").cast("double")).alias("mean"))
+    per = mean.join(images.geometry(), "dataset_id").select("dataset_id", "w", "mean")
     rows = attach(images, images.pixels, per).select(
         "dataset_id", (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("p"),
         (F.col("z").cast("double") - F.col("mean")).alias("d"))
-    ok = stats.select("dataset_id", finite(F.col("mean")).alias("ok"))
-    return point_average(rows, chunk, images.largest).join(ok, "dataset_id").select(
-        "dataset_id", F.when(F.col("ok"), F.col("rz_points")).otherwise(nan()).alias("rz_points"))
+    return point_average(rows, chunk, images.largest)
 
 
 # Measurement names of the image statistics operation.
@@ -138,7 +160,7 @@ STATISTICS = ("min", "max", "peakToPeak", "mid", "mean", "meanAbsoluteDeviation"
 def image_statistics(images: ImageSet) -> DataFrame:
     """Eleven scalars per image as (dataset_id, name, value)."""
     m = image_moments(images)
-    wide = m.join(image_point_average(images, m), "dataset_id", "left")
+    wide = m.join(image_point_average(images), "dataset_id", "left")
     cols = ["lo", "hi", "p2p", "mid", "mean", "sa", "sq", "rz_points", "skew", "kurt", "n"]
     return unpivot(wide, dict(zip(STATISTICS, cols)))
 

@@ -259,7 +259,7 @@ LINES = [("2.25", "1.5", "60.75", "40.25", 97), ("-10.0", "8.0", "200.0", "8.0",
   FROM dims, (VALUES {', '.join(f'({k}, {a}, {c}, {d}, {e}, {n})' for k, (a, c, d, e, n) in enumerate(LINES))}) t(k, x0, y0, x1, y1, n)),
 pt AS (SELECT *, unnest(range(n)) AS i FROM ln),
 pp AS (SELECT *, CAST(x0 AS DOUBLE) + (CAST(i AS DOUBLE) / (n - 1)) * (CAST(x1 AS DOUBLE) - x0) AS px, CAST(y0 AS DOUBLE) + (CAST(i AS DOUBLE) / (n - 1)) * (CAST(y1 AS DOUBLE) - y0) AS py FROM pt),
-ii AS (SELECT *, CAST(least(floor(px), w - 2) AS INT) AS ix, CAST(least(floor(py), h - 2) AS INT) AS iy FROM pp)
+ii AS MATERIALIZED (SELECT *, CAST(least(floor(px), w - 2) AS INT) AS ix, CAST(least(floor(py), h - 2) AS INT) AS iy FROM pp)
 SELECT line_id AS dataset_id, i, {r('''CAST((a.z + (px - ix) * (b.z - a.z)) + (py - iy) * ((c.z + (px - ix) * (d.z - c.z))
        - (a.z + (px - ix) * (b.z - a.z))) AS FLOAT)''', 'z')}
 FROM ii JOIN px a ON a.dataset_id = ii.dataset_id AND a.y = iy AND a.x = ix JOIN px b ON b.dataset_id = ii.dataset_id AND b.y = iy AND b.x = ix + 1

@@ -36,13 +36,14 @@ def exported(spark, path) -> str:
     return folder
 
 
-LABEL = F.regexp_extract(F.col("source.path"), r"(\d+)\.tiff$", 1).cast("bigint")
+def label():
+    return F.regexp_extract(F.col("source.path"), r"(\d+)\.tiff$", 1).cast("bigint")
 
 
 @query("s1_s5_tiff_round_trip", f"WITH {PX} {PIX} px")
 def _(spark, path):
     images, _errors = tiff.read_scans(spark, exported(spark, path))
-    named = images.scans.select("dataset_id", LABEL.alias("label"))
+    named = images.scans.select("dataset_id", label().alias("label"))
     return images.pixels.join(named, "dataset_id").select(F.col("label").alias("dataset_id"), "y", "x", "z")
 
 
@@ -52,7 +53,7 @@ def _(spark, path):
 def _(spark, path):
     scans = tiff.read_scans(spark, exported(spark, path))[0].scans
     return scans.select(
-        LABEL.alias("dataset_id"), "channel.key", "channel.kind", "channel.unit", F.col("instrument_model").alias("model"),
+        label().alias("dataset_id"), "channel.key", "channel.kind", "channel.unit", F.col("instrument_model").alias("model"),
         F.col("x.origin").alias("x_origin"), F.col("x.step").alias("x_step"), F.col("x.direction").alias("x_direction"),
         F.col("y.origin").alias("y_origin"), F.col("y.step").alias("y_step"), F.col("y.count").alias("y_count"),
         F.col("extended")["psia.width"].alias("width_text"), F.col("extended")["psia.unitRaw"].alias("raw_unit"), F.size("extended").alias("keys"))

@@ -27,8 +27,9 @@ def near(radius: int, source: str = "px") -> str:
     span = f"range({-radius}, {radius + 1})"
     return f"""
 off AS (SELECT dy, dx FROM (SELECT unnest({span}) AS dy), (SELECT unnest({span}) AS dx)),
-nb AS (SELECT c.dataset_id, c.y, c.x, c.z AS own, dy, dx, q.z FROM {source} c JOIN dims USING (dataset_id), off, {source} q
-       WHERE q.dataset_id = c.dataset_id AND q.y = greatest(0, least(h - 1, c.y + dy)) AND q.x = greatest(0, least(w - 1, c.x + dx)))"""
+at_ AS MATERIALIZED (SELECT c.dataset_id, c.y, c.x, c.z AS own, dy, dx, CAST(greatest(0, least(h - 1, c.y + dy)) AS INT) AS ny,
+        CAST(greatest(0, least(w - 1, c.x + dx)) AS INT) AS nx FROM {source} c JOIN dims USING (dataset_id) CROSS JOIN off),
+nb AS (SELECT c.dataset_id, c.y, c.x, own, dy, dx, q.z FROM at_ c JOIN {source} q ON q.dataset_id = c.dataset_id AND q.y = ny AND q.x = nx)"""
 
 
 def _gauss_sql(size: int) -> str:
