@@ -15,7 +15,8 @@ from pyspark.sql.functions import pandas_udf
 from heightfield.functions.expr import finite, nan, raw_to_real, ratio
 from heightfield.model import CurveSet
 from heightfield.operators.statistics import fill_missing
-from heightfield.plans.layout import CHUNK, attach, chunk_samples, halo_chunks, with_curve_geometry
+from heightfield.plans.iterate import cut
+from heightfield.plans.layout import CHUNK, attach, attach_salted, chunk_samples, halo_chunks, with_curve_geometry
 
 # MAD to sigma of a normal distribution, and the second-difference gain.
 MAD_TO_SIGMA = 1.482602
@@ -181,7 +182,9 @@ def noise(curves: CurveSet, chunk: int = CHUNK) -> DataFrame:
             return second_differences(line[lo:hi]).view(np.int64)
 
         packed = halo_chunks(with_curve_geometry(curves), reach=1, size=chunk)
-        bits = packed.select("dataset_id", F.explode(patterns("p", "z", "wn", "i0", "cn", "a")).alias("b"))
+        # every digit reads the differences again: keep them, packed, instead of exchanging the samples each time
+        kept = cut(packed.select("dataset_id", patterns("p", "z", "wn", "i0", "cn", "a").alias("b")))
+        bits = kept.select("dataset_id", F.explode("b").alias("b"))
         values = _median_of_bits(curves, bits).select(
             "dataset_id", (F.lit(MAD_TO_SIGMA) * F.col("median") / SECOND_DIFFERENCE).alias("sigma"))
     return curves.scans.select("dataset_id").join(values, "dataset_id", "left").select(
@@ -213,7 +216,7 @@ def _median_of_bits(curves: CurveSet, bits: DataFrame) -> DataFrame:
     ).select("dataset_id", F.col("k").alias("rank"), F.col("k").alias("left"), F.lit(0).cast("long").alias("head"))
     state = state.distinct()
     for shift in (48, 32, 16, 0):
-        rows = attach_values(curves, bits, state)
+        rows = bits.join(F.broadcast(state), "dataset_id") if curves.small_catalog else attach_salted(bits, state, ("dataset_id",), F.col("b"))
         digit = F.shiftright("b", shift).bitwiseAND((1 << DIGIT) - 1)
         held = F.lit(True) if shift == 48 else (F.shiftright("b", shift + DIGIT) == F.col("head"))
         counts = rows.filter(held).groupBy("dataset_id", "rank", "head", "left", digit.alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -228,12 +231,3 @@ def _median_of_bits(curves: CurveSet, bits: DataFrame) -> DataFrame:
         return pd.Series(b.to_numpy(dtype=np.int64).view(np.float64))
 
     return state.select("dataset_id", decode("head").alias("v")).groupBy("dataset_id").agg(F.avg("v").alias("median"))
-
-
-def attach_values(curves: CurveSet, bits: DataFrame, state: DataFrame) -> DataFrame:
-    """Join the (at most two) search states of each curve onto its values, salted when the catalog is large."""
-    if curves.small_catalog:
-        return bits.join(F.broadcast(state), "dataset_id")
-    salts = 64
-    spread = state.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
-    return bits.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(spread, ["dataset_id", "_s"]).drop("_s")

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from heightfield.functions.expr import finite, floordiv, nan, ratio
 from heightfield.model import CurveSet, ImageSet
-from heightfield.plans.layout import CHUNK, attach
+from heightfield.plans.layout import CHUNK, attach, attach_salted
 
 FAN = 4096  # chunks merged together
 POINTS = 5  # fixed value: peaks and valleys averaged by the bounded point-average roughness
@@ -23,13 +23,13 @@ def moments(rows: DataFrame, keys: tuple[str, ...] = ("dataset_id",), value: str
     """Two-pass moments per key: n, lo, hi, p2p, mid, mean, sa, sq, skew, kurt (population, about the mean).
 
     Both passes are hash aggregates with map-side combine; between them only one row per key
-    travels.  Without ``attach_mean`` the join back is left to Catalyst/AQE.
+    travels.  Without ``attach_mean`` the join back is salted by the value.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
     first = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    joined = attach_mean(rows, first) if attach_mean else rows.join(first, keys)
+    joined = attach_mean(rows, first) if attach_mean else attach_salted(rows, first, tuple(keys), v)
     d = v - F.col("mean")
     second = joined.select(*keys, "n", "mean", "lo", "hi", d.alias("d"), (d * d).alias("d2")).groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("mean").alias("mean"),

@@ -19,6 +19,7 @@ from heightfield.model import BROADCAST_ROWS, CurveSet, ImageSet
 
 TILE = 256       # image block edge, pixels
 CHUNK = 65_536   # curve block length, samples
+SALTS = 64       # copies of a per-key table where no block is known
 
 
 def attach(members: ImageSet | CurveSet, rows: DataFrame, table: DataFrame, *,
@@ -50,6 +51,16 @@ def attach(members: ImageSet | CurveSet, rows: DataFrame, table: DataFrame, *,
     return salted.join(spread, on).drop("_by", "_bx")
 
 
+def attach_salted(rows: DataFrame, table: DataFrame, keys: tuple[str, ...], spread_by: Column) -> DataFrame:
+    """Join a table of few rows per key onto rows of no known geometry.
+
+    The table is repeated once per salt and rows take a salt from ``spread_by``, so a key with
+    a third of the rows is met by SALTS tasks.  Catalyst still broadcasts a small table.
+    """
+    salted = table.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_s"]).drop("_s")
+
+
 def with_geometry(images: ImageSet, **extra: Column) -> DataFrame:
     """Pixels carrying their image's w, h and any further per-image expression of the catalog."""
     return attach(images, images.pixels, images.geometry(**extra))

@@ -115,12 +115,12 @@ def known(table):
 
 LK = """lk AS (SELECT event_id AS dataset_id, CASE WHEN event_id > 0 THEN
     CASE WHEN (event_id // 3) % 11 = 10 THEN -(event_id // 3) ELSE event_id // 3 END END AS parent_id FROM events)"""
-TREE = f"""{LK}, walk(dataset_id) AS (SELECT event_id FROM events WHERE event_id BETWEEN 4 AND 6
+TREE = f"""{LK}, walk(dataset_id) AS (SELECT dataset_id FROM lk WHERE parent_id = 1
     UNION SELECT lk.dataset_id FROM lk JOIN walk ON lk.parent_id = walk.dataset_id)"""
 
 
 def targets(spark, path):
-    return links(spark, path).filter("dataset_id between 4 and 6").select("dataset_id")
+    return links(spark, path).filter("parent_id = 1").select("dataset_id")
 
 
 @query("j3_parents", f"WITH {LK} SELECT a.dataset_id, coalesce(b.dataset_id, -1) AS parent_id FROM lk a LEFT JOIN lk b ON a.parent_id = b.dataset_id")
@@ -133,7 +133,7 @@ def _(spark, path):
     return lineage.roots(links(spark, path))
 
 
-@query("g2_descendants", f"WITH RECURSIVE {TREE} SELECT dataset_id FROM walk WHERE dataset_id NOT BETWEEN 4 AND 6")
+@query("g2_descendants", f"WITH RECURSIVE {TREE} SELECT dataset_id FROM walk WHERE dataset_id NOT IN (SELECT dataset_id FROM lk WHERE parent_id = 1)")
 def _(spark, path):
     return lineage.descendants(links(spark, path), targets(spark, path))
 
@@ -156,19 +156,19 @@ def _(spark, path):
     return known(lineage.remove({"links": table}, table, targets(spark, path), "Cascade")["links"])
 
 
-@query("g4_remove_block", f"""WITH {LK}, tg AS (SELECT dataset_id FROM lk WHERE dataset_id % 100 = 5)
-    SELECT dataset_id, coalesce(parent_id, -1) AS parent_id FROM lk WHERE dataset_id % 100 <> 5 OR dataset_id IN (SELECT parent_id FROM lk WHERE parent_id IS NOT NULL)""")
+@query("g4_remove_block", f"""WITH {LK}, tg AS (SELECT dataset_id FROM lk a WHERE NOT EXISTS (SELECT 1 FROM lk b WHERE b.dataset_id = a.parent_id))
+    SELECT dataset_id, coalesce(parent_id, -1) AS parent_id FROM lk WHERE dataset_id NOT IN (SELECT dataset_id FROM tg)
+    OR dataset_id IN (SELECT parent_id FROM lk WHERE parent_id IS NOT NULL)""")
 def _(spark, path):
     table = links(spark, path)
-    wanted = table.filter("dataset_id % 100 = 5").select("dataset_id")
-    return known(lineage.remove({"links": table}, table, wanted, "Block")["links"])
+    return known(lineage.remove({"links": table}, table, lineage.roots(table), "Block")["links"])
 
 
 @query("j5_measurements_of_sources", f"""WITH {PX}, {moments('px')}
-    SELECT dataset_id AS source_id, 'Sq' AS name, {r('sq', 'value')} FROM m WHERE dataset_id % 2 = 0
-    UNION ALL SELECT dataset_id, 'Sa', {r('sa', 'value')} FROM m WHERE dataset_id % 2 = 0""")
+    SELECT dataset_id AS source_id, 'Sq' AS name, {r('sq', 'value')} FROM m JOIN dims USING (dataset_id) WHERE h >= 50
+    UNION ALL SELECT dataset_id, 'Sa', {r('sa', 'value')} FROM m JOIN dims USING (dataset_id) WHERE h >= 50""")
 def _(spark, path):
     images = embedding_images(spark, path)
     found = registry.standard().run("image.roughness", images).measurements.filter(F.col("name").isin("Sq", "Sa"))
     attached = found.unionByName(found.filter("name = 'Sq'"))
-    return lineage.measurements_of(attached, images.scans.filter("dataset_id % 2 = 0")).select("source_id", "name", "value")
+    return lineage.measurements_of(attached, images.scans.filter("y.count >= 50")).select("source_id", "name", "value")
