@@ -55,20 +55,21 @@ def range_statistics(curves: CurveSet, start: int = 0, count: int = 128) -> Data
     hi, at = c("peak.v"), -c("peak.ni")
     one = one.filter(c("n") > 0).select(
         "dataset_id", "rows", "n", "lo", "mean", "sum", "sumx", "last", "dx", "ax", hi.alias("hi"), at.alias("at"),
-        single(c("z0"), c("z1")).alias("ends"),
-        (hi - (hi - c("lo")) * 0.5).alias("half"))
-    seen = attach(live, rows.select("dataset_id", "i", "z"), one)
+        single(c("z0"), c("z1")).alias("ends"), (hi - (hi - c("lo")) * 0.5).alias("half"))
+
+    def carried(table: DataFrame) -> list[Column]:
+        # what is already known rides along, so no earlier pass is evaluated twice
+        return [F.first(name).alias(name) for name in table.columns if name != "dataset_id"]
+
+    plain = live.samples.filter((c("i") >= start) & (c("i") < start + count)).select("dataset_id", "i", c("z").cast("double").alias("z"))
     stop = ~((c("z") > c("half")) & (c("z") < c("hi")) & ~F.isnan("z"))
-    two = seen.groupBy("dataset_id").agg(
-        F.sqrt(F.avg(F.when(ok, (c("z") - c("mean")) * (c("z") - c("mean"))))).alias("rms"),
+    two = attach(live, plain, one).groupBy("dataset_id").agg(
+        *carried(one), F.sqrt(F.avg(F.when(ok, (c("z") - c("mean")) * (c("z") - c("mean"))))).alias("rms"),
         F.max(F.when((c("i") < c("at")) & stop, c("i"))).alias("ls"),
         F.min(F.when((c("i") > c("at")) & stop, c("i"))).alias("rs"))
-    two = one.join(two, "dataset_id")
-    near = attach(live, rows.select("dataset_id", "i", "z"), two.select("dataset_id", "ls", "rs"))
     picks = {"l0": c("ls"), "l1": c("ls") + 1, "r0": c("rs"), "r1": c("rs") - 1}
-    three = near.filter((c("i") - c("ls")).isin(0, 1) | (c("rs") - c("i")).isin(0, 1)).groupBy("dataset_id").agg(
-        *[F.max(F.when(c("i") == p, c("z"))).alias(name) for name, p in picks.items()])
-    out = two.join(three, "dataset_id", "left")
+    out = attach(live, plain, two).groupBy("dataset_id").agg(
+        *carried(two), *[F.max(F.when(c("i") == p, c("z"))).alias(name) for name, p in picks.items()])
     left = c("ls") + (c("half") - c("l0")) / single(c("l1"), -c("l0"))
     right = c("rs") - 1 + (c("r1") - c("half")) / single(c("r1"), -c("r0"))
     crossed = ((c("hi") > c("lo")) & (c("at") > start) & (c("at") < c("last"))

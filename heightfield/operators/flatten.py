@@ -50,7 +50,7 @@ def flatten(images: ImageSet, scope: str = "Line", order: int = 1, orientation:
     elif scope == "Line":
         fitted = _per_line(base, order, along, n, across)
     else:
-        fitted = _whole(images, base, order, along, n)
+        fitted = _whole(images, order, along, n)
     flat = fitted.select("dataset_id", "y", "x", "z", F.when(
         F.col("base").isNull(), F.col("z")).otherwise(F.col("z") - F.col("base").cast("float")).alias("flat"))
     if basement == "PreserveOriginalMidpoint":
@@ -76,13 +76,13 @@ def _per_line(base: DataFrame, order: int, along: str, n: str, across: str) -> D
     return base.join(fits, ["dataset_id", across], "left").withColumn("base", _evaluate(basis))
 
 
-def _whole(images: ImageSet, base: DataFrame, order: int, along: str, n: str) -> DataFrame:
+def _whole(images: ImageSet, order: int, along: str, n: str) -> DataFrame:
     length = F.col(n)
     basis = gram_basis(F.col("i"), length, order)
     norms = [F.when(g > 0, g) for g in gram_norm(length, order)]
     means = column_mean(images, along).join(images.geometry(), "dataset_id").filter(length > order)
     fits = means.groupBy("dataset_id").agg(*_coefficients(basis, norms, F.col("mean")))
-    rows = attach(images, base, images.scans.select("dataset_id").join(fits, "dataset_id", "left"))
+    rows = attach(images, images.pixels, images.geometry().join(fits, "dataset_id", "left"))
     return rows.withColumn("base", _evaluate(gram_basis(F.col(along), length, order)))
 
 
@@ -96,7 +96,7 @@ def _surface(images: ImageSet, base: DataFrame, order: int) -> DataFrame:
     norms = [F.when(gx[a] * gy[b] > 0, gx[a] * gy[b]) for a, b in pairs]
     fits = (base.filter((w > order) & (h > order)).groupBy("dataset_id")
             .agg(*_coefficients(terms, norms, F.col("z").cast("double"))))
-    rows = attach(images, base, images.scans.select("dataset_id").join(fits, "dataset_id", "left"))
+    rows = attach(images, images.pixels, images.geometry().join(fits, "dataset_id", "left"))
     return rows.withColumn("base", _evaluate(terms))
 
 

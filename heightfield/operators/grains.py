@@ -14,7 +14,7 @@ from heightfield.functions.expr import finite, floordiv, ratio
 from heightfield.model import ImageSet
 from heightfield.operators.statistics import finite_range
 from heightfield.plans.iterate import components, cut
-from heightfield.plans.layout import TILE, attach, halo_tiles, with_geometry
+from heightfield.plans.layout import TILE, attach, halo_tiles
 
 
 def label_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +75,8 @@ def grain_table(images: ImageSet, threshold: float = 0.5, tile: int = TILE) -> D
         raise ValueError("the threshold must be 0 to 1")
     several = images.widest > tile
     level = F.col("lo") + threshold * (F.col("hi") - F.col("lo"))
-    cuts = finite_range(images.pixels).select("dataset_id", level.alias("level"))
-    tiles = halo_tiles(attach(images, with_geometry(images), cuts), tile_h=tile, tile_w=tile, carry=("level",))
+    cuts = images.geometry().join(finite_range(images.pixels).select("dataset_id", level.alias("level")), "dataset_id")
+    tiles = halo_tiles(attach(images, images.pixels, cuts), tile_h=tile, tile_w=tile, carry=("level",))
 
     fields = ("grain", "area", "height", "ry", "rx", "rg")
 

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from heightfield.functions.expr import floordiv, nan, raw_to_real
 from heightfield.model import CurveSet
-from heightfield.operators.curve import _line, noise
+from heightfield.operators.curve import _line, _sigma, noise
 from heightfield.operators.statistics import finite_range
 from heightfield.plans.iterate import cut
 from heightfield.plans.layout import CHUNK, attach, halo_chunks, with_curve_geometry
@@ -103,10 +103,12 @@ def peak_table(curves: CurveSet, prominence: float = 0.1, min_snr: float = 0.0,
     """
     if not 0.0 <= prominence <= 1.0 or min_snr < 0 or min_width < 0:
         raise ValueError("prominence must be 0 to 1; minimum SNR and width must not be negative")
-    found = _whole(curves, prominence, chunk) if curves.longest <= chunk else _chunked(curves, prominence, chunk)
     c = F.col
-    per = curves.scans.select("dataset_id", c("x").alias("ax")).join(noise(curves, chunk), "dataset_id")
-    rows = attach(curves, found, per)
+    if curves.longest <= chunk:
+        found = _whole(curves, prominence, chunk)
+    else:
+        found = attach(curves, _chunked(curves, prominence, chunk), noise(curves, chunk))
+    rows = attach(curves, found, curves.scans.select("dataset_id", c("x").alias("ax")))
     snr = F.when(c("sigma") > 0, c("prominence") / F.when(c("sigma") > 0, c("sigma")).otherwise(F.lit(1.0))).otherwise(F.lit(float("inf")))
     rows = rows.select("dataset_id", "i", raw_to_real(c("ax"), c("i")).alias("position"), "value", "prominence",
                        (c("width") * F.abs(c("ax.step"))).alias("width"), snr.alias("snr"))
@@ -126,14 +128,15 @@ def dominant_peaks(curves: CurveSet, peaks: DataFrame) -> DataFrame:
 
 
 def _whole(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
-    """Every curve fits a chunk: one packed row each."""
-    @pandas_udf(PEAK)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """Every curve fits a chunk: one packed row each gives its peaks and its noise."""
+    @pandas_udf(f"struct<sigma:double,peaks:{PEAK}>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
-            yield pd.Series([peaks_of(_line(*v), fraction) for v in zip(*cols)], dtype=object)
+            lines = [_line(*v) for v in zip(*cols)]
+            yield pd.DataFrame({"sigma": [_sigma(v) for v in lines], "peaks": pd.Series([peaks_of(v, fraction) for v in lines], dtype=object)})
 
-    packed = halo_chunks(with_curve_geometry(curves), size=chunk)
-    found = packed.select("dataset_id", F.explode(run("p", "z", "wn")).alias("k")).select("dataset_id", "k.*")
+    packed = halo_chunks(with_curve_geometry(curves), size=chunk).select("dataset_id", run("p", "z", "wn").alias("r"))
+    found = packed.select("dataset_id", F.col("r.sigma").alias("sigma"), F.explode("r.peaks").alias("k")).select("dataset_id", "sigma", "k.*")
     return found.withColumn("width", F.coalesce("width", nan()))  # NaN inside a nested result arrives as NULL
 
 

@@ -118,10 +118,10 @@ def spatial_filter(images: ImageSet, kind: str = "Mean", size: int = 3, tile: in
 def deglitch(images: ImageSet, threshold: float = 3.0, tile: int = TILE) -> ImageSet:
     """Replace spikes and non-finite pixels by the median of the finite 3x3 neighbourhood."""
     z = F.col("z")
-    noise = images.scans.select("dataset_id").join(
+    noise = images.geometry().join(
         images.pixels.filter(finite(z)).groupBy("dataset_id").agg(F.stddev_pop(z.cast("double")).alias("sd")),
         "dataset_id", "left")
-    rows = attach(images, with_geometry(images), noise)
+    rows = attach(images, images.pixels, noise)
 
     @pandas_udf("array<float>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
