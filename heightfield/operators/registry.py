@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heightfield.functions.expr import clamp, finite
+from heightfield.functions.regions import Region
 from heightfield.functions.units import is_length
 from heightfield.model import CurveSet, ImageSet
 from heightfield.operators import baseline, curve, flatten, gauss, grains, peaks, pixel, profiles, regions, spectral, statistics, stencil
@@ -90,17 +92,23 @@ class Operation:
     version: int = 1
     deterministic: bool = True
     extra_errors: Callable[[dict], list[str]] | None = None
-    warnings: Callable | None = None
+    warnings: Callable | None = None              # (data, params, output) -> (dataset_id, code)
+    effective: Callable[[dict], dict] | None = None  # parameters that actually took effect, where they differ
+    tables: Callable | None = None                # (data, params) -> further result tables by name
 
 
 @dataclass(frozen=True)
 class Result:
-    """Exactly one of ``derived`` and ``measurements``, with diagnostics and provenance rows."""
+    """Exactly one of ``derived`` and ``measurements``, with diagnostics and provenance rows.
+
+    ``tables`` holds what belongs beside the scalars: a histogram, a list of peaks.
+    """
 
     derived: ImageSet | CurveSet | None
     measurements: DataFrame | None
     warnings: DataFrame
     steps: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
 class Registry:
@@ -133,7 +141,9 @@ class Registry:
         return spark.createDataFrame(
             rows, "operation_id string, operation_version int, parameter string, code double, label string")
 
-    def run(self, op_id: str, data: ImageSet | CurveSet, values: dict[str, object] | None = None) -> Result:
+    def run(self, op_id: str, data: ImageSet | CurveSet, values: dict[str, object] | None = None,
+            areas: list[Region] | None = None) -> Result:
+        """Validate, then plan the operation on every applicable member; ``areas`` restricts region-capable ones."""
         op = self.get(op_id)
         values = coerce(op.params, dict(values or {}))
         errors = validate(op.params, values)
@@ -142,49 +152,83 @@ class Registry:
             errors = op.extra_errors(params)
         if (op.accepts == IMAGE) != isinstance(data, ImageSet):
             errors.append(f"'{op.id}' requires {op.accepts} data.")
+        if areas and not op.uses_region:
+            errors.append(f"'{op.id}' does not take regions.")
         if errors:
             raise ValueError(f"cannot run {op.id!r}: " + "; ".join(errors))
         if op.applicable:
             fit = data.scans.filter(op.applicable())
             data = data.with_pixels(data.pixels, fit) if isinstance(data, ImageSet) else data.with_samples(data.samples, fit)
-        out = op.run(data, **params)
+        out = op.run(data, **params, regions=areas) if areas else op.run(data, **params)
         empty = data.scans.select("dataset_id", F.lit("").alias("code")).limit(0)
-        warnings = op.warnings(data, params) if op.warnings else empty
-        steps = provenance_steps(op, data.scans, params, warnings)
+        told = params | ({"regions": areas} if areas else {})
+        warnings = op.warnings(data, told, out) if op.warnings else empty
+        steps = provenance_steps(op, data.scans, params, warnings, areas)
         if op.output == "DerivedDataset":
             return Result(out, None, warnings, steps)
-        return Result(None, measurements(op, data, out, params), warnings, steps)
+        return Result(None, measurements(op, data, out, params, areas), warnings, steps, op.tables(data, params) if op.tables else {})
 
 
-def artifact_id(op: Operation, params: dict) -> Column:
-    """Stable identity of a result: the same input, operation and parameters give the same id."""
+def artifact_id(op: Operation, params: dict, region: Column | None = None) -> Column:
+    """Stable identity of a result: the same input, operation, parameters and region give the same id."""
     text = json.dumps([op.id, op.version, params], sort_keys=True, default=str)
-    return F.sha2(F.concat_ws("|", F.col("dataset_id").cast("string"), F.lit(text)), 256)
-
-
-def provenance_steps(op: Operation, scans: DataFrame, params: dict, warnings: DataFrame) -> DataFrame:
-    """One step per input dataset: what ran, with which effective parameters, and its diagnostics."""
-    codes = {p.name: float(p.choices.index(params[p.name])) if p.choices else params[p.name] for p in op.params}
-    numeric = {k: float(v) for k, v in codes.items() if isinstance(v, (int, float))}
-    told = warnings.groupBy("dataset_id").agg(F.sort_array(F.collect_set("code")).alias("warnings"))
-    pairs = [F.lit(v) for kv in numeric.items() for v in kv]
-    table = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,double>)")
-    return scans.select("dataset_id").join(told, "dataset_id", "left").select(
-        artifact_id(op, params).alias("artifact_id"), F.col("dataset_id").alias("input_dataset_id"), F.lit(0).alias("input_version"),
+    parts = [F.col("dataset_id").cast("string"), F.lit(text)] + ([] if region is None else [region.cast("string")])
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+# Recorded codes of the region kinds.
+REGION_CODES = {"Rectangle": 0, "Ellipse": 1, "Polygon": 2}
+
+
+def region_parameters(region: Region) -> dict[str, float]:
+    """What identifies a region in provenance: shape, bounds and, for a polygon, its vertices."""
+    out = {"regionShape": REGION_CODES[region.kind], "regionLeft": region.left, "regionTop": region.top,
+           "regionWidth": region.width, "regionHeight": region.height}
+    if region.vertices:
+        out["regionVertexCount"] = len(region.vertices)
+        for k, (x, y) in enumerate(region.vertices):
+            out |= {f"regionX{k}": x, f"regionY{k}": y}
+    return out
+
+
+def provenance_steps(op: Operation, scans: DataFrame, params: dict, warnings: DataFrame, areas: list[Region] | None = None) -> DataFrame:
+    """One step per input dataset (and region): what ran, with which effective parameters, and its diagnostics.
+
+    Choices are recorded by code; values an input clamps are recorded as clamped for that input.
+    """
+    used = params | (op.effective(params) if op.effective else {})
+    choices = {p.name: p.choices for p in op.params if p.choices}
+    coded = {k: float(choices[k].index(v)) if k in choices else v for k, v in used.items()}
+
+    def table(extra: dict) -> Column:
+        pairs = [x for k, v in (coded | extra).items() for x in (F.lit(k), (v if isinstance(v, Column) else F.lit(float(v))).cast("double"))]
+        return F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,double>)")
+
+    keys = ["dataset_id", "region_id"] if areas else ["dataset_id"]
+    told = warnings.groupBy(*keys).agg(F.sort_array(F.collect_set("code")).alias("warnings"))
+    rows, region, parameters = scans, None, table({})
+    if areas:
+        one = F.explode(F.array(*[F.struct(F.lit(r.region_id).alias("region_id"), table(region_parameters(r)).alias("parameters")) for r in areas]))
+        rows = scans.withColumn("_r", one).withColumn("region_id", F.col("_r.region_id"))
+        region, parameters = F.col("region_id"), F.col("_r.parameters")
+    rows = rows.join(told, keys, "left")
+    return rows.select(
+        artifact_id(op, params, region).alias("artifact_id"), F.col("dataset_id").alias("input_dataset_id"), F.lit(0).alias("input_version"),
         F.lit(op.id).alias("operation_id"), F.lit(op.version).alias("operation_version"), F.lit(0).alias("step_order"),
-        table.alias("parameters"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+        parameters.alias("parameters"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
 
 
-def measurements(op: Operation, data, wide: DataFrame, params: dict) -> DataFrame:
-    """Long form of a scalar table: (artifact_id, source_id, operation_id, name, value, unit)."""
+def measurements(op: Operation, data, wide: DataFrame, params: dict, areas: list[Region] | None = None) -> DataFrame:
+    """Long form of a scalar table: (artifact_id, source_id, operation_id, [region_id,] name, value, unit)."""
     names = [c for c in wide.columns if c in op.units]
+    keys = ["region_id"] if areas else []
     unit = {"z": F.col("channel.unit"), "x": F.col("x.unit"), "1": F.lit("1"),
             "zx": F.concat_ws("·", F.col("channel.unit"), F.col("x.unit"))}
     rows = wide.join(data.scans.select("dataset_id", "x", "channel"), "dataset_id").select(
-        "dataset_id", artifact_id(op, params).alias("artifact_id"),
+        "dataset_id", *keys, artifact_id(op, params, F.col("region_id") if areas else None).alias("artifact_id"),
         F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"), unit[op.units[n]].alias("unit"))
                             for n in names])).alias("m"))
-    return rows.select("artifact_id", F.col("dataset_id").alias("source_id"), F.lit(op.id).alias("operation_id"), "m.*")
+    return rows.select("artifact_id", F.col("dataset_id").alias("source_id"), F.lit(op.id).alias("operation_id"), *keys, "m.*")
 
 
 def _length_x() -> Column:
@@ -201,28 +245,84 @@ def _one_line(images: ImageSet, x0, y0, x1, y1, samples) -> CurveSet:
     return profiles.line_profiles(images, lines)
 
 
+def _roughness(images: ImageSet, **given) -> DataFrame:
+    areas = given.get("regions")
+    return regions.region_roughness(images, areas) if areas else statistics.areal_roughness(images)
+
+
 def _statistics(images: ImageSet, binCount: int) -> DataFrame:
     long = statistics.image_statistics(images)
     return long.groupBy("dataset_id").pivot("name", list(statistics.STATISTICS)).agg(F.first("value"))
 
 
-def _range(images: ImageSet) -> DataFrame:
-    return images.pixels.groupBy("dataset_id").agg(
-        F.max((~(F.abs("z") < float("inf"))).cast("int")).alias("gaps"),
-        F.min(F.when(F.abs("z") < float("inf"), F.col("z"))).alias("lo"), F.max(F.when(F.abs("z") < float("inf"), F.col("z"))).alias("hi"))
+def _gaps(rows: DataFrame, code: str) -> DataFrame:
+    """(dataset_id, code) of members with a non-finite sample among ``rows``."""
+    bad = F.max((~finite(F.col("z"))).cast("int")) == 1
+    return rows.groupBy("dataset_id").agg(bad.alias("bad")).filter("bad").select("dataset_id", F.lit(code).alias("code"))
+
+
+def _non_finite(code: str) -> Callable:
+    return lambda data, params, out: _gaps(data.pixels if isinstance(data, ImageSet) else data.samples, code)
+
+
+def _flagged(out: DataFrame, condition: Column, code: str) -> DataFrame:
+    return out.filter(condition).select("dataset_id", F.lit(code).alias("code")).distinct()
+
 
+def _statistics_warnings(data: ImageSet, params: dict, out: DataFrame) -> DataFrame:
+    spread = data.pixels.groupBy("dataset_id").agg(
+        F.min(F.when(finite(F.col("z")), F.col("z"))).alias("lo"), F.max(F.when(finite(F.col("z")), F.col("z"))).alias("hi"))
+    flat = spread.filter(~F.coalesce(F.col("hi") > F.col("lo"), F.lit(False)))
+    return _gaps(data.pixels, "statistics.non-finite").unionByName(flat.select("dataset_id", F.lit("statistics.degenerate-range").alias("code")))
 
-def _non_finite(code: str, degenerate: str | None = None) -> Callable:
-    def rows(data, params):
-        seen = _range(data) if isinstance(data, ImageSet) else data.samples.groupBy("dataset_id").agg(
-            F.max((~(F.abs("z") < float("inf"))).cast("int")).alias("gaps"), F.lit(0).alias("lo"), F.lit(1).alias("hi"))
-        found = F.array(F.when(F.col("gaps") == 1, F.lit(code)),
-                        F.when(~(F.col("hi") > F.col("lo")), F.lit(degenerate)) if degenerate else F.lit(None).cast("string"))
-        return seen.select("dataset_id", F.explode(F.array_compact(found)).alias("code"))
+
+def _region_warnings(gap: str, none: str) -> Callable:
+    """Per image, or per image and region: the region decides which pixels count."""
+    def rows(data: ImageSet, params: dict, out: DataFrame) -> DataFrame:
+        if not params.get("regions"):
+            return _gaps(data.pixels, gap)
+        counted = out.join(regions.mask_counts(data, params["regions"]), ["dataset_id", "region_id"])
+        code = F.when(F.col("n") == 0, F.lit(none)).when(~finite(F.col("Sq")), F.lit(gap))
+        return counted.select("dataset_id", "region_id", code.alias("code")).filter("code is not null")
 
     return rows
 
 
+def _roi_warnings(data: ImageSet, p: dict, out: DataFrame) -> DataFrame:
+    # finite pixels are counted in the result; the region's own pixels come from the same operator on zeroed data
+    solid = data.with_pixels(data.pixels.withColumn("z", F.lit(0.0).cast("float")))
+    whole = regions.roi_statistics(solid, **p).select("dataset_id", F.col("PixelCount").alias("all"))
+    both = out.join(whole, "dataset_id")
+    return _flagged(both, F.col("PixelCount") < F.col("all"), "roi.non-finite").unionByName(_flagged(both, F.col("PixelCount") == 0, "roi.empty"))
+
+
+def _range_warnings(data: CurveSet, p: dict, out: DataFrame) -> DataFrame:
+    i = F.col("i")
+    told = _gaps(data.samples.filter((i >= p["start"]) & (i < p["start"] + p["count"])), "range-statistics.non-finite")
+    return told.unionByName(_flagged(out, F.isnan("RangeMin"), "range-statistics.empty"))
+
+
+def _filtered_curve_warnings(data: CurveSet, p: dict, out: DataFrame) -> DataFrame:
+    told = _gaps(data.samples, "filtered-roughness.non-finite")
+    return told.unionByName(_flagged(out, F.col("SamplingLengths") < gauss.SAMPLING_LENGTHS, "filtered-roughness.short"))
+
+
+def _clamped_box(p: dict) -> dict:
+    return {"width": F.least(F.lit(p["width"]), F.col("x.count") - p["left"]), "height": F.least(F.lit(p["height"]), F.col("y.count") - p["top"])}
+
+
+def _clamped_count(p: dict) -> dict:
+    return {"count": F.least(F.lit(p["count"]), F.col("x.count") - p["start"])}
+
+
+def _clamped_line(p: dict) -> dict:
+    return {n: clamp(F.lit(p[n]), 0.0, (F.col(f"{n[0]}.count") - 1).cast("double")) for n in ("x0", "y0", "x1", "y1")}
+
+
+def _band_cutoffs(p: dict) -> dict:
+    return ({"lowCutoff": 0.0} if p["kind"] == "LowPass" else {}) | ({"highCutoff": 1.0} if p["kind"] == "HighPass" else {})
+
+
 def _cutoffs(p: dict) -> list[str]:
     if p["kind"] in ("BandPass", "BandStop") and not p["lowCutoff"] < p["highCutoff"]:
         return ["The low cutoff must be below the high cutoff."]
@@ -262,15 +362,16 @@ def standard() -> Registry:
     artifact("reference.identity", IMAGE, (), lambda d: d.scans.select("dataset_id", F.lit(1.0).alias("value")), {"value": "1"})
     artifact("image.statistics", IMAGE, (Param("binCount", int, 256, 1),), _statistics,
              dict.fromkeys(statistics.STATISTICS[:8], "z") | {"skewness": "1", "kurtosis": "1", "count": "1"},
-             warnings=_non_finite("statistics.non-finite", "statistics.degenerate-range"))
-    artifact("image.roughness", IMAGE, (), statistics.areal_roughness, areal, uses_region=True,
-             warnings=_non_finite("roughness.non-finite"))
+             warnings=_statistics_warnings, tables=lambda d, p: {"histogram": statistics.histogram(d, p["binCount"])})
+    artifact("image.roughness", IMAGE, (), _roughness, areal, uses_region=True,
+             warnings=_region_warnings("roughness.non-finite", "roughness.empty-region"))
     artifact("image.roughness-filtered", IMAGE, (cutoff,), gauss.filtered_roughness, areal, uses_region=True,
-             applicable=_lengths, extra_errors=_positive_cutoff, warnings=_non_finite("filtered-roughness.non-finite"))
+             applicable=_lengths, extra_errors=_positive_cutoff,
+             warnings=_region_warnings("filtered-roughness.non-finite", "filtered-roughness.empty-region"))
     artifact("image.roi-statistics", IMAGE,
              (Param("shape", str, "Rectangle", choices=("Rectangle", "Ellipse")), *box,
               Param("width", int, 64, **extent), Param("height", int, 64, **extent)), regions.roi_statistics,
-             dict.fromkeys(("Sq", "Sa", "Sz", "Mean", "Min", "Max"), "z") | {"PixelCount": "1"})
+             dict.fromkeys(("Sq", "Sa", "Sz", "Mean", "Min", "Max"), "z") | {"PixelCount": "1"}, warnings=_roi_warnings, effective=_clamped_box)
     artifact("image.grains", IMAGE, (Param("threshold", float, 0.5, 0.0, 1.0), Param("minArea", int, 3, 1, 100_000)),
              lambda d, threshold, minArea: grains.grains(d, threshold, minArea),
              {"GrainCount": "1", "Coverage": "1", "MeanArea": "1", "MeanHeight": "z"}, warnings=_non_finite("grains.non-finite"))
@@ -278,41 +379,49 @@ def standard() -> Registry:
             (Param("scope", str, "Line", choices=flatten.SCOPES), Param("order", int, 1, 0, 8),
              Param("orientation", str, "FastAxis", choices=flatten.ORIENTATIONS),
              Param("basement", str, "RegressionToZero", choices=flatten.BASEMENTS)), flatten.flatten,
-            warnings=lambda d, p: flatten.flatten_warnings(d, p["scope"], p["order"], p["orientation"]))
-    derived("image.crop", IMAGE, (*box, Param("width", int, 128, **extent), Param("height", int, 128, **extent)), pixel.crop)
+            warnings=lambda d, p, out: flatten.flatten_warnings(d, p["scope"], p["order"], p["orientation"]))
+    derived("image.crop", IMAGE, (*box, Param("width", int, 128, **extent), Param("height", int, 128, **extent)), pixel.crop,
+            effective=_clamped_box)
     derived("image.geometry", IMAGE, (Param("kind", str, "Rotate90Cw", choices=pixel.GEOMETRY_KINDS),), pixel.transform)
-    derived("image.pixelmath", IMAGE, (Param("kind", str, "Invert", choices=pixel.PIXEL_KINDS), Param("amount", float, 0.0)), pixel.pixel_math)
+    derived("image.pixelmath", IMAGE, (Param("kind", str, "Invert", choices=pixel.PIXEL_KINDS), Param("amount", float, 0.0)), pixel.pixel_math,
+            effective=lambda p: {} if p["kind"] in ("Offset", "Scale") else {"amount": 0.0})
     derived("image.filter", IMAGE, (Param("kind", str, "Mean", choices=stencil.FILTER_KINDS), Param("size", int, 3)),
-            stencil.spatial_filter, extra_errors=_odd_size)
+            stencil.spatial_filter, extra_errors=_odd_size, effective=lambda p: {} if p["kind"] in stencil.SIZED else {"size": 3})
     derived("image.deglitch", IMAGE, (Param("threshold", float, 3.0, 0.1, 100.0),), stencil.deglitch)
     derived("image.fourier", IMAGE,
             (Param("kind", str, "LowPass", choices=spectral.FOURIER_KINDS), Param("lowCutoff", float, 0.1, 0.0, 1.0),
              Param("highCutoff", float, 0.5, 0.0, 1.0)),
-            lambda d, kind, lowCutoff, highCutoff: spectral.fourier_filter(d, kind, lowCutoff, highCutoff), extra_errors=_cutoffs)
+            lambda d, kind, lowCutoff, highCutoff: spectral.fourier_filter(d, kind, lowCutoff, highCutoff),
+            extra_errors=_cutoffs, effective=_band_cutoffs)
     derived("image.psd", IMAGE, (), spectral.psd_curves, applicable=lambda: _length_x() & (F.col("x.count") >= 2),
-            warnings=lambda d, p: spectral.psd_warnings(d))
+            warnings=lambda d, p, out: spectral.psd_warnings(d))
     derived("image.profile", IMAGE, (Param("orientation", str, "Row", choices=("Row", "Column")), Param("index", int, 0, **side)),
             pixel.cross_section)
     derived("image.line-profile", IMAGE, (*[Param(n, float, 0.0) for n in ("x0", "y0", "x1", "y1")], Param("samples", int, 256, 2, 100_000)),
-            _one_line, applicable=_lengths)
-    artifact("profile.roughness", CURVE, (), statistics.curve_roughness, line, warnings=_non_finite("profile-roughness.non-finite"))
+            _one_line, applicable=_lengths, effective=_clamped_line)
+    artifact("profile.roughness", CURVE, (), statistics.curve_roughness, line, warnings=lambda d, p, out: _gaps(
+        d.samples, "profile-roughness.non-finite").unionByName(_flagged(out, F.isnan("Ra"), "profile-roughness.empty")))
     artifact("profile.roughness-filtered", CURVE, (cutoff,), gauss.filtered_curve_roughness,
-             line | {"SamplingLengths": "1", "EvaluationLength": "x"}, applicable=_length_x, extra_errors=_positive_cutoff)
+             line | {"SamplingLengths": "1", "EvaluationLength": "x"}, applicable=_length_x, extra_errors=_positive_cutoff,
+             warnings=_filtered_curve_warnings)
     artifact("curve.range-statistics", CURVE, (Param("start", int, 0, 0), Param("count", int, 128, 1)), curve.range_statistics,
              dict.fromkeys(("RangeMin", "RangeMax", "RangeMean", "RangeRms", "PeakValue"), "z")
-             | dict.fromkeys(("PeakPosition", "Centroid", "Fwhm"), "x") | {"Area": "zx"})
+             | dict.fromkeys(("PeakPosition", "Centroid", "Fwhm"), "x") | {"Area": "zx"}, warnings=_range_warnings, effective=_clamped_count)
     artifact("curve.peaks", CURVE,
              (Param("prominence", float, 0.1, 0.0, 1.0), Param("minSnr", float, 0.0, 0.0), Param("minWidth", float, 0.0, 0.0)),
              lambda d, prominence, minSnr, minWidth: peaks.dominant_peaks(d, peaks.peak_table(d, prominence, minSnr, minWidth)),
-             {"PeakCount": "1", "DominantPosition": "x", "DominantValue": "z", "DominantProminence": "z", "DominantWidth": "x", "DominantSnr": "1"})
-    derived("profile.crop", CURVE, (Param("start", int, 0, 0), Param("count", int, 128, 1)), pixel.crop_curve)
+             {"PeakCount": "1", "DominantPosition": "x", "DominantValue": "z", "DominantProminence": "z", "DominantWidth": "x", "DominantSnr": "1"},
+             warnings=lambda d, p, out: _flagged(out, F.col("PeakCount") == 0, "peaks.none"),
+             tables=lambda d, p: {"peaks": peaks.peak_table(d, p["prominence"], p["minSnr"], p["minWidth"])})
+    derived("profile.crop", CURVE, (Param("start", int, 0, 0), Param("count", int, 128, 1)), pixel.crop_curve, effective=_clamped_count)
     derived("profile.flatten", CURVE, (Param("order", int, 1, 0, 8),), flatten.flatten_curves,
-            warnings=lambda d, p: flatten.flatten_curve_warnings(d, p["order"]))
-    derived("profile.smooth", CURVE, (Param("window", int, 5, 3), Param("order", int, 2, 0, 8)), curve.smooth, extra_errors=_window)
+            warnings=lambda d, p, out: flatten.flatten_curve_warnings(d, p["order"]))
+    derived("profile.smooth", CURVE, (Param("window", int, 5, 3), Param("order", int, 2, 0, 8)), curve.smooth, extra_errors=_window,
+            warnings=_non_finite("profile-smooth.non-finite"))
     derived("profile.filter", CURVE, (Param("band", str, "Roughness", choices=gauss.BANDS), cutoff), gauss.gaussian_filter,
             applicable=_length_x, extra_errors=_positive_cutoff)
     derived("profile.baseline", CURVE, (Param("lambda", float, 1e5, 1.0), Param("p", float, 0.01, 1e-4, 0.5), Param("iterations", int, 10, 1, 100)),
-            lambda d, p, iterations, **lam: baseline.baseline(d, lam["lambda"], p, iterations), warnings=lambda d, p: baseline.baseline_warnings(d))
+            lambda d, p, iterations, **lam: baseline.baseline(d, lam["lambda"], p, iterations), warnings=lambda d, p, out: baseline.baseline_warnings(d))
     return r
 
 

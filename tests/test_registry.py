@@ -6,6 +6,7 @@ from helpers import curves, grids, images, lines
 from pyspark.sql import functions as F
 
 from heightfield.functions import units
+from heightfield.functions.regions import polygon, rectangle
 from heightfield.operators import lineage, registry
 
 OPS = registry.standard()
@@ -114,3 +115,32 @@ def test_removal_policies(spark):
     assert sorted(r[0] for r in kept.collect()) == [1, 2, 3]
     kept = lineage.remove({"t": table}, table, gone, "Cascade")["t"]
     assert kept.count() == 0
+
+
+def test_regions_enter_measurements_and_provenance(spark):
+    im = images(spark, np.arange(30.0).reshape(5, 6))
+    areas = [rectangle(1, 0, 0, 3, 2), polygon(2, [(50, 50), (60, 50), (55, 60)])]
+    res = OPS.run("image.roughness", im, areas=areas)
+    sz = {r["region_id"]: r["value"] for r in res.measurements.filter("name = 'Sz'").collect()}
+    assert sz[1] == 8 and math.isnan(sz[2])
+    steps = {r["parameters"]["regionShape"]: r for r in res.steps.collect()}
+    assert steps[0.0]["parameters"]["regionWidth"] == 3 and steps[2.0]["parameters"]["regionX2"] == 55
+    assert (steps[0.0]["warnings"], steps[2.0]["warnings"]) == ([], ["roughness.empty-region"])
+    assert {r[0] for r in res.steps.select("artifact_id").collect()} == {r[0] for r in res.measurements.select("artifact_id").distinct().collect()}
+    with pytest.raises(ValueError):
+        OPS.run("image.grains", im, areas=areas)
+
+
+def test_effective_parameters_and_side_tables(spark):
+    im = images(spark, np.arange(30.0).reshape(5, 6))
+    assert OPS.run("image.crop", im, {"left": 4}).steps.first()["parameters"] == {"left": 4, "top": 0, "width": 2, "height": 5}
+    assert OPS.run("image.pixelmath", im, {"amount": 7.0}).steps.first()["parameters"]["amount"] == 0
+    assert OPS.run("image.fourier", im).steps.first()["parameters"]["lowCutoff"] == 0
+    assert OPS.run("image.statistics", im, {"binCount": 4}).tables["histogram"].count() == 4
+    c = curves(spark, [0, 3, 0, 1, 0], [1, 1, 1], [math.nan, math.nan])
+    res = OPS.run("curve.peaks", c)
+    assert res.tables["peaks"].count() == 2 and res.warnings.filter("code = 'peaks.none'").count() == 2
+    codes = sorted((r["dataset_id"], r["code"]) for r in OPS.run("curve.range-statistics", c).warnings.collect())
+    assert codes == [(2, "range-statistics.empty"), (2, "range-statistics.non-finite")]
+    holes = images(spark, [[math.nan, 1.0], [2.0, 3.0]])
+    assert [r["code"] for r in OPS.run("image.roi-statistics", holes, {"width": 1, "height": 1}).warnings.orderBy("code").collect()] == ["roi.empty", "roi.non-finite"]
