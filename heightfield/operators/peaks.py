@@ -58,7 +58,8 @@ def descend(line: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def crossing(line: np.ndarray, at: int, step: int, value: float, level: float, first: int, last: int) -> tuple[bool, float]:
     """Walk from ``at`` while level < z < value; (stopped, interpolated crossing or NaN) within first..last.
 
-    The step between the two samples is taken in single precision, as samples are stored.
+    The drop between the two samples is taken in single precision, as samples are stored, and the
+    crossing is measured from the left one of them.
     """
     j = at + step
     while first <= j <= last:
@@ -66,7 +67,9 @@ def crossing(line: np.ndarray, at: int, step: int, value: float, level: float, f
         if not (z > level and z < value):
             if not z <= level:
                 return True, np.nan
-            return True, j - step * (level - z) / float(np.float32(line[j - step]) - np.float32(z))
+            inner = line[j - step]
+            drop = float(np.float32(inner) - np.float32(z))
+            return True, (j + (level - z) / drop if step < 0 else j - 1 + (inner - level) / drop)
         j += step
     return False, np.nan
 
