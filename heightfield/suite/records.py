@@ -16,7 +16,12 @@ from heightfield.suite.sql import PIX, PX, b, moments, r
 
 
 def scratch(spark, what: str) -> str:
-    return f"{scratch_dir(spark).removeprefix('file:')}/{what}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def mounted(folder: str) -> str:
+    """The folder as executors open it, without a scheme."""
+    return "/" + folder.removeprefix("file:").lstrip("/")
 
 
 def described(images):
@@ -32,8 +37,8 @@ def described(images):
 def exported(spark, path) -> str:
     """Write the images as files, one per label, named by the label."""
     folder = scratch(spark, "scans")
-    tiff.write_scans(described(embedding_images(spark, path)), folder)
-    return folder
+    tiff.write_scans(described(embedding_images(spark, path)), mounted(folder))
+    return "file://" + mounted(folder)
 
 
 def label():
@@ -74,8 +79,8 @@ def _(spark, path):
     # directory entries of 12 bytes start at byte 10: description, magic, data, header
     damaged = (F.when(k == 0, patched(10 + 24 + 4, "04000000")).when(k == 1, F.substring(h, 1, 2 * 300))
                .when(k == 2, patched(10 + 12, "01C5")).when(k == 3, patched(10 + 36 + 4, "64000000")).otherwise(h))
-    tiff.write_files(good.select("dataset_id", F.unhex(damaged).alias("content")), folder)
-    errors = tiff.read_scans(spark, folder)[1]
+    tiff.write_files(good.select("dataset_id", F.unhex(damaged).alias("content")), mounted(folder))
+    errors = tiff.read_scans(spark, "file://" + mounted(folder))[1]
     return errors.select(F.regexp_extract("path", r"(\d+)\.tiff$", 1).cast("bigint").alias("dataset_id"), "kind")
 
 
