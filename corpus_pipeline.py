@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from heightfield.llm import common as C
-from heightfield.llm import langid, minhash
+from heightfield.llm import decontaminate, langid, minhash, packing, secrets
+from heightfield.llm.suite import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.kept(docs)
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, C.table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets in them are masked."""
+    return secrets.redacted(docs, secrets.learn(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in sequences of at most 4096 tokens, one row per piece."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scan),
+          ("best_fit_packing", best_fit_packing)]
 ORACLE_SQL = None
 
 

@@ -199,12 +199,13 @@ def extend(docs: DataFrame, work, fields: str, keep: list[str], need: tuple[str,
     """
     spark = docs.sparkSession
     bounded(spark)
-    names = [f.split()[0] for f in fields.split(",")]
+    new = fields.split(", ")  # "name type, name type", no blank inside a type
+    names = [f.split()[0] for f in new]
     keep = [c for c in keep if c not in names]
     carried = list(dict.fromkeys([*keep, *need]))
     source = docs.select(*[F.col(f"`{c}`") for c in carried])
     kinds = dict(source.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f.strip() for f in fields.split(","))])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *new])
 
     def run(batches):
         for block in blocks(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightfield.llm import common as C
-from heightfield.llm import langid, minhash
+from heightfield.llm import decontaminate, hmm, langid, minhash, neighbours, packing, pii, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -33,7 +33,66 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1), "lang_pred", "score", "phrase_rate", "n_letters")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file stays where the tokenizers' package has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(C.table(spark, folder, "documents"), C.table(spark, folder, "benchmark"))
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(C.table(spark, folder, "documents"), tokenizer_path())
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.duplicates(C.table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+@query
+def op5_hidden_markov_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents").select("doc_id", "text")
+    learned = docs.filter(C.crc_mod("doc_id", 7) != 2)
+    vocab = hmm.vocabulary(learned)
+    lexicon = hmm.Lexicon(vocab)
+    found = hmm.scored(docs, vocab, lexicon, hmm.train(learned, lexicon), ["doc_id"])
+    return found.select("doc_id", held_out(7, 2), "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op6_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.sharded(C.table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = C.table(spark, folder, "documents"), C.table(spark, folder, "labels")
+    model = toxicity.learn(docs, labels.filter(C.crc_mod("doc_id", 4) != 2))
+    found = toxicity.scored(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents")
+    return pii.find(docs, pii.learn(docs), ["doc_id"])
+
+
+@query
+def op9_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = C.table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents")
+    return secrets.find(docs, secrets.learn(docs), ["doc_id"])
