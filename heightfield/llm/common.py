@@ -92,12 +92,12 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int, column: str = "text")
     for b in blocks(batches, size, column):
         n = int(text_of(b, column)[1][-1])
         if held and total + n > size:
-            yield _one(held)
+            yield one(held)
             held, total = [], 0
         held.append(b)
         total += n
     if held:
-        yield _one(held)
+        yield one(held)
 
 
 def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -6,7 +6,8 @@ Repetitions with fresh bits each sample a few places of the walk as a bucket key
 a bucket with an item of its size is a candidate, and the edit distance to the whole item decides.
 
 Windows stand at every word and have the size of the items' size class (sizes a quarter apart; an item takes the largest class within it).
-Windows with too few words that occur in any item are passed over: they are further from every item than the limit.
+Windows with too few words, or pairs of neighbouring words, that occur in any item are passed over: each edit spoils one word
+and two pairs, so they are further from every item than the limit.
 The number of repetitions is what the items themselves, edited at random, need for the wanted recall.
 
 Defined results: null, empty and wordless texts and items match nothing; items under eight words must match word by word; a document
@@ -29,9 +30,9 @@ from heightfield.llm import common as C
 # Edits per word that still count as the item, for items of at least SHORT words.
 RATE, SHORT = 0.25, 8
 # Sampled places of one repetition, the edit rate and recall it is designed for, and bounds of their number.
-SAMPLED, DESIGN, RECALL, LEAST, MOST = 3, 0.15, 0.99, 6, 40
-# Items looked for in one pass over the documents.
-ITEMS = 8192
+SAMPLED, DESIGN, RECALL, LEAST, MOST = 4, 0.15, 0.99, 6, 64
+# Items looked for in one pass over the documents, and words searched together.
+ITEMS, TOGETHER = 8192, 1_000_000
 
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -46,17 +47,23 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return C.spans_hash(data, starts, ends), at
 
 
+def pairs(x: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return C.mix(x[:-1] * np.uint64(0x9FB21C651E98DF25) + x[1:])
+
+
 def walk(x: np.ndarray, start: np.ndarray, size: int, salt: int, places: np.ndarray) -> np.ndarray:
     """Bucket keys: the words that the walk from each start writes at the sampled places (nothing beyond the window)."""
-    x = C.mix(x ^ np.uint64(salt))
     pos, stop = start.copy(), start + size
     key = np.full(len(start), np.uint64(salt), np.uint64)
+    sampled = set(places.tolist())
     for step in range(int(places[-1]) + 1):
         inside = pos < stop
         word = np.where(inside, x[np.minimum(pos, len(x) - 1)], np.uint64(0))
-        if step in places:
+        if step in sampled:
             key = C.mix(key * np.uint64(0x9FB21C651E98DF25) + word)
-        pos += ((word >> np.uint64(step % 61)) & np.uint64(1)).astype(np.int64)
+        odd = np.uint64((salt * (2 * step + 1) | 1) & 0xFFFFFFFFFFFFFFFF)
+        pos += ((word * odd) >> np.uint64(63)).astype(np.int64)
     return key
 
 
@@ -85,8 +92,9 @@ class Index:
         self.words, self.at = word_hashes(np.frombuffer(b"".join(data), np.uint8), off) if items else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         self.ids = [i for i, _ in items]
         size = np.diff(self.at)
-        self.seen = np.zeros(1 << 20, bool)
+        self.seen, self.beside = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
         self.seen[self.words >> np.uint64(44)] = True
+        self.beside[pairs(self.words) >> np.uint64(44)] = True
         ladder = [1]
         while size.size and ladder[-1] < size.max():
             ladder.append(max(ladder[-1] + 1, int(ladder[-1] * 1.25)))
@@ -119,7 +127,8 @@ class Index:
         out, missed = [], np.ones(len(edited))
         for r in range(MOST):
             salt = int(rng.integers(1, 1 << 62))
-            places = np.sort(rng.choice(max(2 * width, SAMPLED), SAMPLED, replace=False))
+            bounds = np.linspace(0, max(2 * width, SAMPLED), SAMPLED + 1).astype(int)  # one place in each part of the walk
+            places = np.array([int(rng.integers(a, b)) for a, b in zip(bounds[:-1], bounds[1:])])
             hit = walk(flat, starts, width, salt, places) == walk(self.words, self.at[np.array(chosen)], width, salt, places)
             missed = missed * ~hit
             out.append((salt, places))
@@ -130,13 +139,15 @@ class Index:
     def search(self, x: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item): (distance, first word, words) of the closest place, for all pairs within the limit."""
         known = np.concatenate([[0], np.cumsum(self.seen[x >> np.uint64(44)])])
+        joined = np.concatenate([[0], np.cumsum(self.beside[pairs(x) >> np.uint64(44)]), [0]])
         last = np.repeat(at[1:], np.diff(at))  # end of the text that holds each word
         spots = []
         for width, slack, buckets in self.classes:
             here = np.arange(len(x))
             stop = np.minimum(here + width, last)
-            # a place within the limit has all but that many of its words in the item, and at most that many are missing
+            # within the limit, all but ``slack`` words and all but twice as many neighbouring pairs occur in the item
             start = np.flatnonzero(known[stop] - known[here] >= width - slack)
+            start = start[joined[stop[start] - 1] - joined[start] >= width - 1 - 2 * slack]
             if not len(start):
                 continue
             # a window near the end of a text is read as if nothing followed
@@ -162,6 +173,8 @@ class Index:
             item = self.words[self.at[i]:self.at[i + 1]]
             most = limit(len(item))
             lo, hi = max(int(at[t]), p - len(item) // 2 - most), min(int(at[t + 1]), p + len(item) + len(item) // 2 + most)
+            if np.count_nonzero(np.isin(item, x[lo:hi])) < len(item) - most:  # more words are missing than edits allowed
+                continue
             d, end = distance(item, x[lo:hi])
             if d > most:
                 continue
@@ -205,11 +218,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _many(batches):
+    """Blocks of rows with about TOGETHER words, their words, and where each text's begin."""
+    held, size = [], 0
+    for block in C.blocks(batches):
+        x, at = word_hashes(*C.text_of(block))
+        held.append((block, x, at))
+        size += len(x)
+        if size >= TOGETHER:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held):
+    before = np.cumsum([0, *(len(x) for _, x, _ in held)])
+    at = np.concatenate([np.zeros(1, np.int64), *(a[1:] + n for (_, _, a), n in zip(held, before))])
+    return C.one([b for b, _, _ in held]), np.concatenate([x for _, x, _ in held]), at
+
+
 def _reporter(items, item_type):
     def run(batches):
         ix = index(items)
-        for block in C.blocks(batches):
-            x, at = word_hashes(*C.text_of(block))
+        for block, x, at in _many(batches):
             hits = sorted(ix.search(x, at).items())
             rows = pa.array([t for (t, _), _ in hits], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -223,15 +255,14 @@ def _reporter(items, item_type):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with their own columns."""
-    columns = docs.columns
+    C.bounded(docs.sparkSession)
     for items in item_blocks(benchmark):
-        def count(block, items=items):
-            hits = index(items).search(*word_hashes(*C.text_of(block)))
-            n = np.bincount([t for t, _ in hits], minlength=block.num_rows)
-            return [pa.array(n.astype(np.int64))]
-
-        name = "items_held"
-        while name in columns:
-            name += "_"
-        docs = C.extend(docs, count, f"{name} bigint", columns).filter(F.col(name) == 0).select(*columns)
+        def without(batches, items=items):
+            ix = index(items)
+            for block, x, at in _many(batches):
+                stay = np.ones(block.num_rows, bool)
+                stay[[t for t, _ in ix.search(x, at)]] = False
+                yield block.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(without, docs.schema)
     return docs

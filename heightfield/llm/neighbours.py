@@ -2,7 +2,8 @@
 
 The trees are fitted on a bounded sample and split it at the median of random projections.  Every vector is routed to one leaf of each tree; a query
 walks all trees from one priority queue, nearest boundary first, until the leaves it has reached hold enough
-vectors.  Leaves are compared exactly, in double precision, and the best over all leaves stay.
+vectors.  How many are enough is measured: a bounded sample of queries is compared with every vector, and the reach is what meets
+the wanted share of their true neighbours.  Leaves are compared exactly, in double precision, and the best over all leaves stay.
 
 Equal vectors are one candidate that carries its smallest ids, which is all that a list of k neighbours can show of them; equal queries are
 searched once.  Leaves are dealt out in parts of bounded size.
@@ -26,8 +27,10 @@ from heightfield.llm import common as C
 TREES = 12
 # Vectors the trees are fitted on at most, and the least of them in a leaf.
 SAMPLE, SAMPLE_LEAF = 32_768, 12
-# Vectors wanted in a leaf, in a part of a leaf, and in the leaves a query reaches.
-LEAF, PART, REACH = 192, 4096, 9000
+# Vectors wanted in a leaf and in a part of a leaf.
+LEAF, PART = 192, 4096
+# Queries compared with every vector to find how far a search must reach, and the share of their true neighbours it must meet.
+PROBES, RECALL = 96, 0.96
 
 
 class Forest:
@@ -81,7 +84,7 @@ class Forest:
             out[:, t] = ~node
         return out
 
-    def search(self, q: np.ndarray, size: np.ndarray, reach: int) -> list[int]:
+    def search(self, q: np.ndarray, size: np.ndarray, reach: float) -> list[int]:
         """Leaves for one query, nearest boundary first over all trees, until they hold ``reach`` vectors."""
         side = self.normal @ q - self.offset
         queue = [(0.0, root) for root in self.roots]
@@ -137,8 +140,42 @@ def _compare(keep: int):
     return run
 
 
+def _exact(points: DataFrame, sample: np.ndarray, keep: int) -> list:
+    """(sample row, vector, distance): the ``keep`` vectors nearest to each of a bounded sample, by comparison with all."""
+    element = dict(points.dtypes)["v"]
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(0)).astype(np.float64)
+            d = np.sqrt(np.maximum((x**2).sum(axis=1) + (sample**2).sum(axis=1)[:, None] - 2 * sample @ x.T, 0))
+            near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if len(x) > keep else np.tile(np.arange(len(x)), (len(sample), 1))
+            rows = np.repeat(np.arange(len(sample)), near.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), b.column(0).take(pa.array(near.ravel())), pa.array(d[rows, near.ravel()])], names=["s", "v", "d"])
+
+    found = points.select("v").mapInArrow(run, f"s int, v {element}, d double")
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("d", "v"))).filter(F.col("n") <= keep).select("s", "v", "d").collect()
+
+
+def reach_for(points: DataFrame, forest: Forest, size: np.ndarray, sample: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """Vectors a search must reach so that it meets this share of the sample's true neighbours."""
+    found = _exact(points, sample, k + 1)
+    need = []
+    for s, q in enumerate(sample):
+        order = np.array(forest.search(q.astype(np.float32), size, np.inf))
+        held = np.cumsum(size[order])
+        at = np.zeros(len(size), np.int64)
+        at[order] = np.arange(len(order))
+        near = np.array([r["v"] for r in found if r["s"] == s and r["d"] > 1e-6], np.float32)
+        if len(near):
+            first = at[forest.route(near)].min(axis=1)  # the first tree in which the search meets the neighbour
+            need.extend(held[first] - size[order[first]] + 1)
+    return float(np.quantile(need, recall)) if need else np.inf
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding",
-            reach: int = REACH) -> DataFrame:
+            recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest other rows of ``vectors``, found among the leaves it reaches."""
     spark = vectors.sparkSession
     C.bounded(spark)
@@ -169,6 +206,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
 
     asked = usable(queries, key, column).filter(F.size("v") == dim)
     ask = C.stored(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
+    tried = ask.orderBy(F.xxhash64("v"), "v").limit(PROBES).select("v").toArrow()
+    if not tried.num_rows:
+        return spark.createDataFrame([], schema)
+    reach = reach_for(points, forest, size, matrix(tried.column("v").combine_chunks()).astype(np.float64), k, recall)
     element = dict(points.dtypes)["v"]
     dealt = f"leaf bigint, part bigint, query bigint, ids array<bigint>, v {element}"
 

@@ -39,26 +39,25 @@ class Reader:
             self.codes[letter & (lower == c)] = k + 1
 
     def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols, with a mark before, between and after the words of each text, and the offsets of the texts."""
+        """Symbols, with a mark before every word of each text, and the offsets of the texts."""
         points, off = C.code_points(*C.text_of(batch))
         s = self.codes[points]
-        s = np.insert(s, off, 0)  # a mark before each text and after the last
+        s = np.insert(s, off, 0)  # a mark before each text
         off = off + np.arange(len(off))
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
         keep[off[:-1]] = True
         before = np.concatenate([[0], np.cumsum(keep)])
-        return s[keep], before[off]
+        return s[keep][:before[off[-1]]], before[off]
 
 
 def grams(s: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Code of the symbols that end at each place (marks stand before the beginning of a text)."""
-    code = s.astype(np.int64)
+    code, first = s.astype(np.int64), np.repeat(off[:-1], np.diff(off))
     for k in range(1, order):
         back = np.zeros(len(s), np.int64)
         back[k:] = s[:-k]
-        reach = np.arange(len(s)) - np.repeat(off[:-1], np.diff(off)) < k if len(off) > 1 else np.zeros(0, bool)
-        back[:len(reach)][reach] = 0
+        back[np.arange(len(s)) - first < k] = 0
         code += back * SIZE**k
     return code
 
