@@ -100,7 +100,8 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int, column: str = "text")
         yield one(held)
 
 
-def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The rows of several batches as one batch."""
     if len(held) == 1:
         return held[0]
     t = pa.Table.from_batches(held).combine_chunks()
