@@ -49,6 +49,22 @@ def channel(key: str, kind: str = "Topography", unit: str = "um", display_name=N
     ).cast(CHANNEL)
 
 
+def reason(rules: list[tuple[Column, str, str]]) -> Column:
+    """struct(code, message) of the first rule (condition, code, message) that rejects a catalog row; NULL where none does."""
+    told = [F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))) for bad, code, message in rules]
+    return F.coalesce(*told) if told else F.lit(None).cast("struct<code:string,message:string>")
+
+
+def fitting(scans: DataFrame, rules: list[tuple[Column, str, str]]) -> DataFrame:
+    """Catalog rows that no rule rejects."""
+    return scans.filter(reason(rules).isNull())
+
+
+def rejected(scans: DataFrame, rules: list[tuple[Column, str, str]], key: str = "dataset_id") -> DataFrame:
+    """(key, code, message) of every catalog row that a rule rejects."""
+    return scans.select(key, reason(rules).alias("r")).filter("r is not null").select(key, "r.*")
+
+
 @dataclass(frozen=True)
 class _Members:
     scans: DataFrame

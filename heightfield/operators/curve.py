@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -87,21 +86,22 @@ def range_statistics(curves: CurveSet, start: int = 0, count: int = 128) -> Data
 def savgol_weights(width: int, order: int, at: int) -> np.ndarray:
     """Weights of the local least-squares polynomial over ``width`` samples, evaluated at sample ``at``.
 
-    The small normal system is solved in exact fractions, so the weights are correctly rounded
-    for every order and width.
     """
-    x = [j - at for j in range(width)]
-    power = [Fraction(sum(v**k for v in x)) for k in range(2 * order + 1)]
-    rows = [[power[a + b] for b in range(order + 1)] + [Fraction(int(a == 0))] for a in range(order + 1)]
-    for a in range(order + 1):
-        swap = next(k for k in range(a, order + 1) if rows[k][a])
-        rows[a], rows[swap] = rows[swap], rows[a]
-        rows[a] = [v / rows[a][a] for v in rows[a]]
-        for k in range(order + 1):
-            if k != a and rows[k][a]:
-                rows[k] = [v - rows[k][a] * w for v, w in zip(rows[k], rows[a])]
-    coef = [row[-1] for row in rows]
-    return np.array([float(sum(c * v**k for k, c in enumerate(coef))) for v in x])
+    basis = savgol_basis(width, order)
+    return (basis.T @ basis[:, at]).astype(np.float64)
+
+
+@lru_cache(maxsize=64)
+def savgol_basis(width: int, order: int) -> np.ndarray:
+    """Orthonormal polynomials of degree 0..order on ``width`` equally spaced samples (Gram polynomials), in extended precision."""
+    x = np.arange(width, dtype=np.longdouble) - np.longdouble(width - 1) / 2
+    n2, rows = np.longdouble(width) ** 2, [np.full(width, 1 / np.sqrt(np.longdouble(width)))]
+    before, step = np.zeros(width, np.longdouble), np.longdouble(0)
+    for k in range(1, order + 1):
+        ahead = np.longdouble(k) / 2 * np.sqrt((n2 - k * k) / np.longdouble(4 * k * k - 1))
+        rows.append((x * rows[-1] - step * before) / ahead)
+        before, step = rows[-2], ahead
+    return np.array(rows)
 
 
 def smooth(curves: CurveSet, window: int = 5, order: int = 2, chunk: int = CHUNK) -> CurveSet:
@@ -127,20 +127,32 @@ def smooth(curves: CurveSet, window: int = 5, order: int = 2, chunk: int = CHUNK
         wide = min(window, n)
         i = np.arange(i0, i0 + cn)
         first = np.clip(i - window // 2, 0, n - wide)
-        views = np.lib.stride_tricks.sliding_window_view(line.astype(np.float64), wide)[first - a]
-        out = np.empty(cn)
-        for at in np.unique(i - first):
-            pick = (i - first) == at
-            with np.errstate(invalid="ignore"):
-                own = views[pick]
-                out[pick] = sum(weight * own[:, k] for k, weight in enumerate(savgol_weights(wide, order, int(at))))
-        for k in np.flatnonzero(~np.isfinite(views).all(axis=1)):
-            good = np.isfinite(views[k])
-            if good.sum() > order:
-                x = np.arange(wide, dtype=np.float64)[good] - (i[k] - first[k])
-                out[k] = np.linalg.lstsq(np.vander(x, order + 1, increasing=True), views[k][good], rcond=None)[0][0]
-            else:
-                out[k] = line[i[k] - a]
+        offset, wide_line = i - first, line.astype(np.float64)
+        out = np.zeros(cn)
+        inner = np.flatnonzero(offset == wide // 2)  # consecutive samples, all weighted alike
+        with np.errstate(invalid="ignore"):
+            if len(inner):
+                begin = first[inner[0]] - a
+                for k, weight in enumerate(savgol_weights(wide, order, wide // 2)):
+                    out[inner] += weight * wide_line[begin + k:begin + k + len(inner)]
+            for k in np.flatnonzero(offset != wide // 2):
+                out[k] = savgol_weights(wide, order, int(offset[k])) @ wide_line[first[k] - a:first[k] - a + wide]
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(wide_line))])
+        gaps = np.flatnonzero(bad[first - a + wide] > bad[first - a])
+        basis = savgol_basis(wide, order).astype(np.float64).T
+        views = np.lib.stride_tricks.sliding_window_view(wide_line, wide)
+        few = max(1, (1 << 20) // (wide * (order + 1)))  # windows solved together
+        for k in range(0, len(gaps), few):
+            at = gaps[k:k + few]
+            own = views[first[at] - a]
+            good = np.isfinite(own)
+            enough = good.sum(axis=1) > order
+            out[at[~enough]] = line[i[at[~enough]] - a]
+            at, own, good = at[enough], own[enough], good[enough]
+            if len(at):
+                q, r = np.linalg.qr(good[:, :, None] * basis[None])
+                fit = np.linalg.solve(r, np.einsum("mwo,mw->mo", q, np.where(good, own, 0.0))[:, :, None])[:, :, 0]
+                out[at] = (basis[offset[at]] * fit).sum(axis=1)
         return out.astype(np.float32)
 
     packed = halo_chunks(with_curve_geometry(kept), reach=reach, size=size)

@@ -13,14 +13,13 @@ from pyspark.sql.functions import pandas_udf
 from heightfield.functions.expr import GAUSS_ALPHA, finite, floordiv, gauss_reach
 from heightfield.functions.regions import Region
 from heightfield.functions.units import is_length, scale_of
-from heightfield.model import CurveSet, ImageSet
+from heightfield.model import CurveSet, ImageSet, fitting
 from heightfield.operators.regions import masked_pixels, region_moments, region_table
 from heightfield.operators.statistics import areal, curve_moments, fill_missing, image_moments, profile
 from heightfield.plans.layout import (CHUNK, TILE, chunk_samples, halo_chunks, halo_tiles, tile_pixels,
                                       with_curve_geometry, with_geometry)
 
 BANDS = ("Roughness", "Waviness")
-LONG = 2048  # kernel halves above this are applied by FFT
 SAMPLING_LENGTHS = 5  # fixed value: standard number of sampling lengths
 
 
@@ -33,10 +32,10 @@ def gaussian_weights(sigma: float, reach: int) -> tuple[np.ndarray, float]:
 
 def mirror(index: np.ndarray, n: int) -> np.ndarray:
     """Reflect indices into 0..n-1 about both end samples, any number of times."""
-    if n == 1:
+    last = n - 1
+    if not last:
         return np.zeros_like(index)
-    m = np.mod(index, 2 * (n - 1))
-    return np.where(m < n, m, 2 * (n - 1) - m)
+    return last - np.abs(last - np.mod(index, 2 * last))
 
 
 def smooth_rows(rows: np.ndarray, weights: np.ndarray, norm: float) -> np.ndarray:
@@ -46,11 +45,6 @@ def smooth_rows(rows: np.ndarray, weights: np.ndarray, norm: float) -> np.ndarra
     stored samples, double for a surface that has already been smoothed along its other axis.
     """
     reach, n = len(weights) - 1, rows.shape[1] - 2 * (len(weights) - 1)
-    if reach > LONG and np.isfinite(rows).all():
-        full = np.concatenate([weights[:0:-1], weights])
-        size = 1 << int(rows.shape[1] + full.size - 1).bit_length()
-        out = np.fft.irfft(np.fft.rfft(rows.astype(np.float64), size, axis=1) * np.fft.rfft(full, size), size, axis=1)
-        return out[:, full.size - 1:full.size - 1 + n] / norm
     with np.errstate(invalid="ignore"):
         out = weights[0] * rows[:, reach:reach + n].astype(np.float64)
         for k in range(1, reach + 1):
@@ -68,10 +62,22 @@ def _band_ok(band: str) -> None:
         raise ValueError(f"unknown band {band!r}")
 
 
-def filterable_curves(curves: CurveSet, cutoff: float) -> DataFrame:
-    """Catalog rows a cutoff applies to: length abscissa, at least two samples per cutoff."""
+NOT_LENGTH = ("axis.not-length", "an axis is not a length")
+
+
+def curve_rejects(cutoff: float, whole: bool = False) -> list[tuple[Column, str, str]]:
+    """(condition, code, message) of curves a cutoff cannot apply to; ``whole`` asks for one full cutoff within the curve."""
     step = F.abs(F.col("x.step"))
-    return curves.scans.filter(is_length(F.col("x.unit")) & (F.lit(cutoff) >= 2.0 * step))
+    told = [(~is_length(F.col("x.unit")), *NOT_LENGTH),
+            (F.lit(cutoff) < 2.0 * step, "cutoff.below-sampling", "the cutoff spans fewer than two samples")]
+    if whole:
+        told.append(((F.col("x.count") - 1) * step < cutoff, "cutoff.beyond-extent", "the cutoff is longer than the curve"))
+    return told
+
+
+def filterable_curves(curves: CurveSet, cutoff: float, whole: bool = False) -> DataFrame:
+    """Catalog rows a cutoff applies to: length abscissa, at least two samples per cutoff."""
+    return fitting(curves.scans, curve_rejects(cutoff, whole))
 
 
 def gaussian_filter(curves: CurveSet, band: str = "Roughness", cutoff: float = 0.8, chunk: int = CHUNK) -> CurveSet:
@@ -118,9 +124,7 @@ def filtered_curve_roughness(curves: CurveSet, cutoff: float = 0.8, chunk: int =
 
     Curves shorter than one cutoff are left out.
     """
-    span_ok = (F.col("x.count") - 1) * F.abs(F.col("x.step")) >= cutoff
-    usable = CurveSet(filterable_curves(curves, cutoff).filter(span_ok), samples=curves.samples,
-                      known_rows=curves.rows_if_known)
+    usable = CurveSet(filterable_curves(curves, cutoff, whole=True), samples=curves.samples, known_rows=curves.rows_if_known)
     rough = gaussian_filter(usable, "Roughness", cutoff, chunk)
     window = evaluation_window(F.col("x.count"), F.abs(F.col("x.step")), cutoff)
     rows = with_curve_geometry(rough, start=window["start"], length=window["length"])
@@ -139,12 +143,18 @@ def y_step_in_x_unit() -> Column:
     return F.abs(F.col("y.step")) * scale_of(F.col("y.unit")) / scale_of(F.col("x.unit"))
 
 
+def image_rejects(cutoff: float) -> list[tuple[Column, str, str]]:
+    """(condition, code, message) of images an areal cutoff cannot apply to."""
+    dx, dy = F.abs(F.col("x.step")), y_step_in_x_unit()
+    spans = F.least((F.col("x.count") - 1) * dx, (F.col("y.count") - 1) * dy)
+    return [(~(is_length(F.col("x.unit")) & is_length(F.col("y.unit"))), *NOT_LENGTH),
+            (F.lit(cutoff) < 2.0 * F.greatest(dx, dy), "cutoff.below-sampling", "the cutoff spans fewer than two samples"),
+            (F.lit(cutoff) > spans, "cutoff.beyond-extent", "the cutoff is longer than the image")]
+
+
 def filterable_images(images: ImageSet, cutoff: float) -> DataFrame:
     """Catalog rows an areal cutoff applies to: lengths on both axes, two samples or more, within both spans."""
-    dx, dy = F.abs(F.col("x.step")), y_step_in_x_unit()
-    return images.scans.filter(
-        is_length(F.col("x.unit")) & is_length(F.col("y.unit")) & (F.lit(cutoff) >= 2.0 * F.greatest(dx, dy))
-        & (F.lit(cutoff) <= (F.col("x.count") - 1) * dx) & (F.lit(cutoff) <= (F.col("y.count") - 1) * dy))
+    return fitting(images.scans, image_rejects(cutoff))
 
 
 def gaussian_areal_filter(images: ImageSet, band: str = "Roughness", cutoff: float = 0.8, tile: int = TILE) -> ImageSet:

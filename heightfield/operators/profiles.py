@@ -7,24 +7,41 @@ from pyspark.sql import functions as F
 
 from heightfield.functions.expr import clamp, finite, nan
 from heightfield.functions.units import is_length, scale_of
-from heightfield.model import CurveSet, ImageSet, axis
+from heightfield.model import CurveSet, ImageSet, axis, fitting, rejected
 
-CORNER_ROWS = 4_000_000  # corner rows broadcast at most; beyond that both sides are exchanged
+CORNER_ROWS = 200_000  # corner rows broadcast at most; beyond that both sides are exchanged
+SAMPLES = (2, 100_000)  # fixed values: samples a line may ask for
 
 
-def effective_lines(images: ImageSet, lines: DataFrame) -> DataFrame:
-    """Lines with endpoints clamped into their image; zero-length lines and non-length axes are left out.
-
-    ``lines`` is (line_id, dataset_id, x0, y0, x1, y1, samples).
-    """
+def _placed(images: ImageSet, lines: DataFrame) -> DataFrame:
+    """Lines beside their image's axes (NULL where there is no such image), with endpoints clamped into it."""
     c = F.col
-    g = images.scans.filter(is_length(c("x.unit")) & is_length(c("y.unit"))).select(
-        "dataset_id", c("x").alias("ax"), c("y").alias("ay"), "channel")
+    g = images.scans.select("dataset_id", c("x").alias("ax"), c("y").alias("ay"), "channel")
     mx, my = (c("ax.count") - 1).cast("double"), (c("ay.count") - 1).cast("double")
-    kept = lines.filter((c("samples") >= 2) & (c("samples") <= 100_000)).join(g, "dataset_id").withColumns({
+    return lines.join(g, "dataset_id", "left").withColumns({
         "x0": clamp(c("x0"), 0.0, mx), "x1": clamp(c("x1"), 0.0, mx),
         "y0": clamp(c("y0"), 0.0, my), "y1": clamp(c("y1"), 0.0, my)})
-    return kept.filter((c("x0") != c("x1")) | (c("y0") != c("y1")))
+
+
+def _line_rules() -> list:
+    c = F.col
+    return [(c("ax").isNull(), "image.unknown", "there is no such image"),
+            (~c("samples").between(*SAMPLES), "samples.out-of-range", f"a line takes {SAMPLES[0]} to {SAMPLES[1]} samples"),
+            (~(is_length(c("ax.unit")) & is_length(c("ay.unit"))), "axis.not-length", "an axis is not a length"),
+            ((c("x0") == c("x1")) & (c("y0") == c("y1")), "line.no-length", "the line has no length inside the image")]
+
+
+def effective_lines(images: ImageSet, lines: DataFrame) -> DataFrame:
+    """Lines that can be sampled, with endpoints clamped into their image; the others are in :func:`rejected_lines`.
+
+    ``lines`` is (line_id, dataset_id, x0, y0, x1, y1, samples).
+    """
+    return fitting(_placed(images, lines), _line_rules())
+
+
+def rejected_lines(images: ImageSet, lines: DataFrame) -> DataFrame:
+    """(line_id, code, message) of every line without a profile."""
+    return rejected(_placed(images, lines), _line_rules(), "line_id")
 
 
 def line_profiles(images: ImageSet, lines: DataFrame) -> CurveSet:

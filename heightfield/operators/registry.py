@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from heightfield.functions.expr import clamp, finite
 from heightfield.functions.regions import Region
 from heightfield.functions.units import is_length
-from heightfield.model import CurveSet, ImageSet
+from heightfield.model import CurveSet, ImageSet, fitting, rejected
 from heightfield.operators import baseline, curve, flatten, gauss, grains, peaks, pixel, profiles, regions, spectral, statistics, stencil
 
 IMAGE, CURVE = "ScanImage", "LineProfile"
+VERSION = "2"
 
 
 @dataclass(frozen=True)
@@ -29,30 +30,37 @@ class Param:
     choices: tuple[str, ...] = ()
 
 
+def _of_type(p: Param, v: object) -> bool:
+    """Whole numbers pass for real ones; booleans are never numbers."""
+    if isinstance(v, bool) or p.type is bool:
+        return isinstance(v, bool) and p.type is bool
+    return isinstance(v, (int, float)) if p.type is float else isinstance(v, p.type)
+
+
+def _number(v: object) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+# What can be wrong with a value: the first rule that holds is reported.
+RULES: tuple[tuple[Callable[[Param, object], bool], str], ...] = (
+    (lambda p, v: v is None, "no value given"),
+    (lambda p, v: bool(p.choices) and v not in p.choices, "{v!r} is not one of its choices"),
+    (lambda p, v: not p.choices and not _of_type(p, v), "expected {p.type.__name__}, got {v!r}"),
+    (lambda p, v: _number(v) and not math.isfinite(v), "{v} is not a finite number"),
+    (lambda p, v: _number(v) and p.low is not None and v < p.low, "{v} is too small, the least is {p.low}"),
+    (lambda p, v: _number(v) and p.high is not None and v > p.high, "{v} is too large, the most is {p.high}"),
+)
+
+
 def validate(schema: tuple[Param, ...], values: dict[str, object]) -> list[str]:
     """All complaints about a parameter set, before any plan is built; empty when it is valid."""
-    known = {p.name: p for p in schema}
-    errors = [f"Unknown parameter '{n}'." for n in values if n not in known]
-    for p in schema:
-        if p.name not in values:
-            if p.default is None:
-                errors.append(f"Missing required parameter '{p.name}'.")
-            continue
+    names = {p.name for p in schema}
+    told = [f"{name}: not a parameter here" for name in values if name not in names]
+    told += [f"{p.name}: required" for p in schema if p.default is None and p.name not in values]
+    for p in (p for p in schema if p.name in values):
         v = values[p.name]
-        if v is None:
-            errors.append(f"Parameter '{p.name}' must not be null.")
-        elif p.choices:
-            if v not in p.choices:
-                errors.append(f"Parameter '{p.name}' has an undefined value ({v}).")
-        elif isinstance(v, bool) != (p.type is bool) or not isinstance(v, (int, float) if p.type is float else p.type):
-            errors.append(f"Parameter '{p.name}' must be {p.type.__name__} but was {type(v).__name__}.")
-        elif isinstance(v, (int, float)) and not math.isfinite(v):
-            errors.append(f"Parameter '{p.name}' must be finite (was {v}).")
-        elif p.low is not None and v < p.low:
-            errors.append(f"Parameter '{p.name}' ({v}) is below the minimum {p.low}.")
-        elif p.high is not None and v > p.high:
-            errors.append(f"Parameter '{p.name}' ({v}) is above the maximum {p.high}.")
-    return errors
+        told += [f"{p.name}: " + text.format(p=p, v=v) for holds, text in RULES if holds(p, v)][:1]
+    return told
 
 
 def coerce(schema: tuple[Param, ...], values: dict[str, object]) -> dict[str, object]:
@@ -95,19 +103,22 @@ class Operation:
     warnings: Callable | None = None              # (data, params, output) -> (dataset_id, code)
     effective: Callable[[dict], dict] | None = None  # parameters that actually took effect, where they differ
     tables: Callable | None = None                # (data, params) -> further result tables by name
+    rejects: Callable[[dict], list[tuple[Column, str, str]]] | None = None  # params -> (condition, code, message) of members it cannot take
 
 
 @dataclass(frozen=True)
 class Result:
     """Exactly one of ``derived`` and ``measurements``, with diagnostics and provenance rows.
 
-    ``tables`` holds what belongs beside the scalars: a histogram, a list of peaks.
+    ``rejects`` names the members the operation could not be given to, with the reason; ``tables`` holds what belongs
+    beside the scalars: a histogram, a list of peaks.
     """
 
     derived: ImageSet | CurveSet | None
     measurements: DataFrame | None
     warnings: DataFrame
     steps: DataFrame
+    rejects: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -156,8 +167,12 @@ class Registry:
             errors.append(f"'{op.id}' does not take regions.")
         if errors:
             raise ValueError(f"cannot run {op.id!r}: " + "; ".join(errors))
+        rules = op.rejects(params) if op.rejects else []
         if op.applicable:
-            fit = data.scans.filter(op.applicable())
+            rules = [*rules, (~F.coalesce(op.applicable(), F.lit(False)), "not-applicable", "the operation does not apply to this dataset")]
+        refused = rejected(data.scans, rules).select("dataset_id", F.lit(op.id).alias("operation_id"), "code", "message")
+        if rules:
+            fit = fitting(data.scans, rules)
             data = data.with_pixels(data.pixels, fit) if isinstance(data, ImageSet) else data.with_samples(data.samples, fit)
         out = op.run(data, **params, regions=areas) if areas else op.run(data, **params)
         empty = data.scans.select("dataset_id", F.lit("").alias("code")).limit(0)
@@ -165,8 +180,8 @@ class Registry:
         warnings = op.warnings(data, told, out) if op.warnings else empty
         steps = provenance_steps(op, data.scans, params, warnings, areas)
         if op.output == "DerivedDataset":
-            return Result(out, None, warnings, steps)
-        return Result(None, measurements(op, data, out, params, areas), warnings, steps, op.tables(data, params) if op.tables else {})
+            return Result(_identified(op, out, params), None, warnings, steps, refused)
+        return Result(None, measurements(op, data, out, params, areas), warnings, steps, refused, op.tables(data, params) if op.tables else {})
 
 
 def artifact_id(op: Operation, params: dict, region: Column | None = None) -> Column:
@@ -176,6 +191,15 @@ def artifact_id(op: Operation, params: dict, region: Column | None = None) -> Co
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def _identified(op: Operation, out: ImageSet | CurveSet, params: dict) -> ImageSet | CurveSet:
+    """A result under its own id, with the input as parent; the id is a function of the old one, so no row is joined."""
+    name = artifact_id(op, params)
+    scans = out.scans.withColumns({"parent_id": F.col("dataset_id").cast("string"), "dataset_id": name})
+    if isinstance(out, ImageSet):
+        return out.with_pixels(out.pixels.withColumn("dataset_id", name), scans)
+    return out.with_samples(out.samples.withColumn("dataset_id", name), scans)
+
+
 # Recorded codes of the region kinds.
 REGION_CODES = {"Rectangle": 0, "Ellipse": 1, "Polygon": 2}
 
@@ -191,6 +215,18 @@ def region_parameters(region: Region) -> dict[str, float]:
     return out
 
 
+# Units of parameters: of the channel (z) or of the X axis (x); the others have none.
+PARAMETER_UNITS = {("image.pixelmath", "amount"): "z", ("image.roughness-filtered", "cutoff"): "x", ("profile.roughness-filtered", "cutoff"): "x",
+                   ("profile.filter", "cutoff"): "x", ("curve.peaks", "minWidth"): "x"}
+
+
+def parameter_units(op: Operation) -> Column:
+    """Map of each parameter to its unit, ``1`` where it has none."""
+    unit = {"z": F.col("channel.unit"), "x": F.col("x.unit"), "1": F.lit("1")}
+    pairs = [x for p in op.params for x in (F.lit(p.name), unit[PARAMETER_UNITS.get((op.id, p.name), "1")])]
+    return F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
+
+
 def provenance_steps(op: Operation, scans: DataFrame, params: dict, warnings: DataFrame, areas: list[Region] | None = None) -> DataFrame:
     """One step per input dataset (and region): what ran, with which effective parameters, and its diagnostics.
 
@@ -215,7 +251,8 @@ def provenance_steps(op: Operation, scans: DataFrame, params: dict, warnings: Da
     return rows.select(
         artifact_id(op, params, region).alias("artifact_id"), F.col("dataset_id").alias("input_dataset_id"), F.lit(0).alias("input_version"),
         F.lit(op.id).alias("operation_id"), F.lit(op.version).alias("operation_version"), F.lit(0).alias("step_order"),
-        parameters.alias("parameters"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+        parameters.alias("parameters"), parameter_units(op).alias("parameter_units"), F.lit(VERSION).alias("library_version"),
+        F.current_timestamp().alias("ran_at"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
 
 
 def measurements(op: Operation, data, wide: DataFrame, params: dict, areas: list[Region] | None = None) -> DataFrame:
@@ -344,6 +381,17 @@ def _positive_cutoff(p: dict) -> list[str]:
     return [] if p["cutoff"] > 0 else ["The cutoff wavelength must be greater than zero."]
 
 
+def _origin(axes: tuple[tuple[str, str], ...]) -> Callable[[dict], list]:
+    """Rejects members that do not reach a start given by (axis, parameter)."""
+    return lambda p: [(F.col(f"{ax}.count") <= p[name], "origin.outside", "the start lies outside the data") for ax, name in axes]
+
+
+def _no_line(p: dict) -> list:
+    ends = _clamped_line(p)
+    return [(~_lengths(), *gauss.NOT_LENGTH), ((ends["x0"] == ends["x1"]) & (ends["y0"] == ends["y1"]), "line.no-length", "the line has no length inside the image")]
+
+
+# Fixed values in the registrations below: operation ids, parameter names, defaults, ranges and warning codes.
 def standard() -> Registry:
     """Every operation of the library under its stable id."""
     r = Registry()
@@ -366,12 +414,13 @@ def standard() -> Registry:
     artifact("image.roughness", IMAGE, (), _roughness, areal, uses_region=True,
              warnings=_region_warnings("roughness.non-finite", "roughness.empty-region"))
     artifact("image.roughness-filtered", IMAGE, (cutoff,), gauss.filtered_roughness, areal, uses_region=True,
-             applicable=_lengths, extra_errors=_positive_cutoff,
+             applicable=_lengths, extra_errors=_positive_cutoff, rejects=lambda p: gauss.image_rejects(p["cutoff"]),
              warnings=_region_warnings("filtered-roughness.non-finite", "filtered-roughness.empty-region"))
     artifact("image.roi-statistics", IMAGE,
              (Param("shape", str, "Rectangle", choices=("Rectangle", "Ellipse")), *box,
               Param("width", int, 64, **extent), Param("height", int, 64, **extent)), regions.roi_statistics,
-             dict.fromkeys(("Sq", "Sa", "Sz", "Mean", "Min", "Max"), "z") | {"PixelCount": "1"}, warnings=_roi_warnings, effective=_clamped_box)
+             dict.fromkeys(("Sq", "Sa", "Sz", "Mean", "Min", "Max"), "z") | {"PixelCount": "1"}, warnings=_roi_warnings, effective=_clamped_box,
+             rejects=_origin((("x", "left"), ("y", "top"))))
     artifact("image.grains", IMAGE, (Param("threshold", float, 0.5, 0.0, 1.0), Param("minArea", int, 3, 1, 100_000)),
              lambda d, threshold, minArea: grains.grains(d, threshold, minArea),
              {"GrainCount": "1", "Coverage": "1", "MeanArea": "1", "MeanHeight": "z"}, warnings=_non_finite("grains.non-finite"))
@@ -381,7 +430,7 @@ def standard() -> Registry:
              Param("basement", str, "RegressionToZero", choices=flatten.BASEMENTS)), flatten.flatten,
             warnings=lambda d, p, out: flatten.flatten_warnings(d, p["scope"], p["order"], p["orientation"]))
     derived("image.crop", IMAGE, (*box, Param("width", int, 128, **extent), Param("height", int, 128, **extent)), pixel.crop,
-            effective=_clamped_box)
+            effective=_clamped_box, rejects=_origin((("x", "left"), ("y", "top"))))
     derived("image.geometry", IMAGE, (Param("kind", str, "Rotate90Cw", choices=pixel.GEOMETRY_KINDS),), pixel.transform)
     derived("image.pixelmath", IMAGE, (Param("kind", str, "Invert", choices=pixel.PIXEL_KINDS), Param("amount", float, 0.0)), pixel.pixel_math,
             effective=lambda p: {} if p["kind"] in ("Offset", "Scale") else {"amount": 0.0})
@@ -394,32 +443,36 @@ def standard() -> Registry:
             lambda d, kind, lowCutoff, highCutoff: spectral.fourier_filter(d, kind, lowCutoff, highCutoff),
             extra_errors=_cutoffs, effective=_band_cutoffs)
     derived("image.psd", IMAGE, (), spectral.psd_curves, applicable=lambda: _length_x() & (F.col("x.count") >= 2),
+            rejects=lambda p: [(~_length_x(), *gauss.NOT_LENGTH), (F.col("x.count") < 2, "axis.too-short", "a line has fewer than two pixels")],
             warnings=lambda d, p, out: spectral.psd_warnings(d))
     derived("image.profile", IMAGE, (Param("orientation", str, "Row", choices=("Row", "Column")), Param("index", int, 0, **side)),
-            pixel.cross_section)
+            pixel.cross_section, rejects=lambda p: _origin((("y" if p["orientation"] == "Row" else "x", "index"),))(p))
     derived("image.line-profile", IMAGE, (*[Param(n, float, 0.0) for n in ("x0", "y0", "x1", "y1")], Param("samples", int, 256, 2, 100_000)),
-            _one_line, applicable=_lengths, effective=_clamped_line)
+            _one_line, applicable=_lengths, effective=_clamped_line, rejects=_no_line)
     artifact("profile.roughness", CURVE, (), statistics.curve_roughness, line, warnings=lambda d, p, out: _gaps(
         d.samples, "profile-roughness.non-finite").unionByName(_flagged(out, F.isnan("Ra"), "profile-roughness.empty")))
     artifact("profile.roughness-filtered", CURVE, (cutoff,), gauss.filtered_curve_roughness,
              line | {"SamplingLengths": "1", "EvaluationLength": "x"}, applicable=_length_x, extra_errors=_positive_cutoff,
-             warnings=_filtered_curve_warnings)
+             warnings=_filtered_curve_warnings, rejects=lambda p: gauss.curve_rejects(p["cutoff"], whole=True))
     artifact("curve.range-statistics", CURVE, (Param("start", int, 0, 0), Param("count", int, 128, 1)), curve.range_statistics,
              dict.fromkeys(("RangeMin", "RangeMax", "RangeMean", "RangeRms", "PeakValue"), "z")
-             | dict.fromkeys(("PeakPosition", "Centroid", "Fwhm"), "x") | {"Area": "zx"}, warnings=_range_warnings, effective=_clamped_count)
+             | dict.fromkeys(("PeakPosition", "Centroid", "Fwhm"), "x") | {"Area": "zx"}, warnings=_range_warnings, effective=_clamped_count,
+             rejects=_origin((("x", "start"),)))
     artifact("curve.peaks", CURVE,
              (Param("prominence", float, 0.1, 0.0, 1.0), Param("minSnr", float, 0.0, 0.0), Param("minWidth", float, 0.0, 0.0)),
              lambda d, prominence, minSnr, minWidth: peaks.dominant_peaks(d, peaks.peak_table(d, prominence, minSnr, minWidth)),
              {"PeakCount": "1", "DominantPosition": "x", "DominantValue": "z", "DominantProminence": "z", "DominantWidth": "x", "DominantSnr": "1"},
              warnings=lambda d, p, out: _flagged(out, F.col("PeakCount") == 0, "peaks.none"),
              tables=lambda d, p: {"peaks": peaks.peak_table(d, p["prominence"], p["minSnr"], p["minWidth"])})
-    derived("profile.crop", CURVE, (Param("start", int, 0, 0), Param("count", int, 128, 1)), pixel.crop_curve, effective=_clamped_count)
+    derived("profile.crop", CURVE, (Param("start", int, 0, 0), Param("count", int, 128, 1)), pixel.crop_curve, effective=_clamped_count,
+            rejects=_origin((("x", "start"),)))
     derived("profile.flatten", CURVE, (Param("order", int, 1, 0, 8),), flatten.flatten_curves,
             warnings=lambda d, p, out: flatten.flatten_curve_warnings(d, p["order"]))
     derived("profile.smooth", CURVE, (Param("window", int, 5, 3), Param("order", int, 2, 0, 8)), curve.smooth, extra_errors=_window,
+            rejects=lambda p: [(F.col("x.count") <= p["order"], "curve.too-short", "the curve has no more samples than the order")],
             warnings=_non_finite("profile-smooth.non-finite"))
     derived("profile.filter", CURVE, (Param("band", str, "Roughness", choices=gauss.BANDS), cutoff), gauss.gaussian_filter,
-            applicable=_length_x, extra_errors=_positive_cutoff)
+            applicable=_length_x, extra_errors=_positive_cutoff, rejects=lambda p: gauss.curve_rejects(p["cutoff"]))
     derived("profile.baseline", CURVE, (Param("lambda", float, 1e5, 1.0), Param("p", float, 0.01, 1e-4, 0.5), Param("iterations", int, 10, 1, 100)),
             lambda d, p, iterations, **lam: baseline.baseline(d, lam["lambda"], p, iterations), warnings=lambda d, p, out: baseline.baseline_warnings(d))
     return r
@@ -428,7 +481,7 @@ def standard() -> Registry:
 def humanise(name: Column) -> Column:
     """Display label of a camelCase key."""
     spaced = F.regexp_replace(name, "(?<=[^A-Z])([A-Z])", " $1")
-    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), spaced.substr(F.lit(2), F.length(spaced)))
 
 
 __all__ = ["CURVE", "IMAGE", "Operation", "Param", "Registry", "Result", "coerce", "humanise", "standard", "validate"]

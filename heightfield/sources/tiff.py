@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightfield.functions.units import KIND_OF_DIMENSION, convert, dimension_of, is_length, scale_of
 from heightfield.model import CHANNEL, ImageSet, axis
+from heightfield.plans.iterate import scratch_dir
 
 # Tag numbers of the format.
 TAG_DESCRIPTION = 0x010E
@@ -195,9 +197,17 @@ def ingest_errors(parsed: DataFrame) -> DataFrame:
 def read_scans(spark: SparkSession, path: str, pattern: str | None = None) -> tuple[ImageSet, DataFrame]:
     """All scans under ``path`` and the errors of the files that are not scans.
 
-    Catalog and errors prune the pixel lines from the parse, so each output costs one read.
+    Every file is read and decoded once: the parse is written to the shared folder, and all outputs read that table, each
+    only its columns.  Of files that carry the same dataset id, the first by path is a scan, the others are errors.
     """
-    parsed = parse_files(spark, path, pattern)
+    table = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    parse_files(spark, path, pattern).write.parquet(table)
+    parsed = spark.read.parquet(table)
+    owner = parsed.filter("kind is null").groupBy("dataset_id").agg(F.min("path").alias("owner"))
+    again = F.col("kind").isNull() & (F.col("path") != F.col("owner"))
+    parsed = parsed.join(owner, "dataset_id", "left").withColumns({
+        "message": F.when(again, F.concat(F.lit("the dataset id is that of "), "owner")).otherwise(F.col("message")),
+        "kind": F.when(again, "Duplicate").otherwise(F.col("kind"))}).drop("owner")
     lines = parsed.filter("kind is null").select("dataset_id", F.posexplode("lines").alias("y", "line"))
     pixels = lines.select("dataset_id", "y", F.posexplode("line").alias("x", "z"))
     return ImageSet(scan_catalog(parsed), pixels=pixels), ingest_errors(parsed)
@@ -275,19 +285,20 @@ def export_rows(images: ImageSet) -> DataFrame:
 def write_files(rows: DataFrame, path: str) -> int:
     """Write (dataset_id, content) rows as ``<dataset_id>.tiff`` under ``path``; returns the number of files.
 
-    ``path`` must be a folder every executor sees.  Each file is written under a temporary name
-    and renamed, so a retried task cannot leave a torn file.
+    ``path`` is a folder every executor sees, with or without a scheme.  Each file is written under a temporary name
+    and moved, so a retried task cannot leave a torn file.  A name that would leave the folder is refused.
     """
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.makedirs(path, exist_ok=True)
+        store, folder = FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
         for batch in batches:
             for name, content in zip(batch["dataset_id"], batch["content"]):
-                part = os.path.join(path, f".{name}.{uuid.uuid4().hex}")
-                with open(part, "wb") as f:
+                if "/" in name or "\\" in name or name in ("", ".", ".."):
+                    raise ValueError(f"{name!r} cannot name a file")
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
                     f.write(content)
-                os.replace(part, os.path.join(path, f"{name}.tiff"))
+                store.move(part, f"{folder}/{name}.tiff")
             yield pd.DataFrame({"done": [len(batch)]}, dtype="int32")
 
     named = rows.select(F.col("dataset_id").cast("string").alias("dataset_id"), "content")

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightfield.functions.expr import floordiv
 from heightfield.functions.units import dimension_of
 from heightfield.model import CHANNEL_KINDS, ImageSet
+from heightfield.operators.lineage import cycles
 
 SCHEMA_VERSION = "1.0.0"
 MANIFEST = "version string, schema_version string, saved_at bigint, active_id string, comparison array<string>"
@@ -46,6 +47,10 @@ def save(workspace: Workspace, root: str) -> str:
     spark = images.spark
     if images.scans.filter("kind <> 'ScanImage'").head(1):
         raise ValueError("only scan images can be saved")
+    if images.scans.groupBy("dataset_id").count().filter("count > 1").head(1):
+        raise ValueError("a dataset id occurs twice")
+    if "parent_id" in images.scans.columns and cycles(images.scans.select("dataset_id", "parent_id")).head(1):
+        raise ValueError("the lineage of the datasets has a cycle")
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     base = f"{root}/versions/{version}"
     images.scans.write.parquet(f"{base}/scans")
@@ -59,15 +64,29 @@ def save(workspace: Workspace, root: str) -> str:
     return version
 
 
+def whole(name: str) -> Column:
+    return F.col(name).cast("decimal(18,0)")
+
+
+def _moments(x: Column, y: Column) -> dict[str, Column]:
+    return {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+
+
 def problems(images: ImageSet, active_id: str | None, comparison: tuple[str, ...]) -> DataFrame:
     """Integrity violations as (dataset_id STRING, problem); empty for a sound workspace."""
     c = F.col
     ident = c("dataset_id").cast("string").alias("dataset_id")
     counted = images.pixels.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+        *[F.sum(v.cast("decimal(38,0)")).alias(n) for n, v in _moments(whole("x"), whole("y")).items()])
     full = images.geometry().join(counted, "dataset_id", "full_outer")
     exact = ((c("n") == c("w").cast("long") * c("h")) & (c("x0") == 0) & (c("y0") == 0)
              & (c("x1") == c("w") - 1) & (c("y1") == c("h") - 1))
+    # a pixel written twice in place of another leaves the count but not the sums of the positions
+    w, h = whole("w"), whole("h")
+    line, square = lambda n: n * (n - 1), lambda n: n * (n - 1) * (2 * n - 1)
+    for name, factor, closed in (("sx", 2, line(w) * h), ("sy", 2, line(h) * w), ("sxx", 6, square(w) * h), ("syy", 6, square(h) * w), ("sxy", 4, line(w) * line(h))):
+        exact = exact & (c(name) * factor == closed)
     checks = [
         full.filter(c("w").isNotNull() & ~F.coalesce(exact, F.lit(False))).select(ident, F.lit("pixel buffer does not match its axes").alias("problem")),
         full.filter(c("w").isNull()).select(ident, F.lit("pixels without a catalog row").alias("problem")),

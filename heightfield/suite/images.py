@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from heightfield.functions import units
 from heightfield.functions.regions import ellipse, polygon, rectangle
 from heightfield.operators import pixel, profiles, regions, registry, statistics
-from heightfield.sources.tables import embedding_images, event_curves
+from heightfield.operators.lineage import descendants
+from heightfield.plans.iterate import cut
+from heightfield.sources.tables import embedding_curves, embedding_images, event_curves
 from heightfield.suite import query
-from heightfield.suite.sql import AREAL, PIX, PX, b, ev, moments, point_average, r
+from heightfield.suite.sql import AREAL, EM, PIX, PX, b, ev, moments, point_average, r
 
 M = moments("px")
 
@@ -185,7 +187,21 @@ def _(spark, path):
 
 UNIT_PAIRS = [("nm", "um"), ("um", "nm"), ("Å", "pm"), ("degC", "K"), ("K", "degC"), ("kV", "mV"), ("1/cm", "1/m"), ("V", "nm"), ("bogus", "m")]
 UNIT_SQL = ", ".join(f"({k}, '{s}', '{t}')" for k, (s, t) in enumerate(UNIT_PAIRS))
-UNIT_ROWS = ", ".join(f"('{s}', '{d}', CAST({sc!r} AS DOUBLE), CAST({o!r} AS DOUBLE))" for s, d, sc, o in units.UNITS)
+# Fixed values, written out apart from the registry under test: symbol, dimension, scale, offset.
+UNIT_ROWS = """
+    ('m', 'Length', 1.0::DOUBLE, 0.0::DOUBLE), ('mm', 'Length', 0.001::DOUBLE, 0.0::DOUBLE), ('um', 'Length', 1e-06::DOUBLE, 0.0::DOUBLE),
+    ('nm', 'Length', 1e-09::DOUBLE, 0.0::DOUBLE), ('pm', 'Length', 1e-12::DOUBLE, 0.0::DOUBLE), ('Å', 'Length', 1e-10::DOUBLE, 0.0::DOUBLE),
+    ('N', 'Force', 1.0::DOUBLE, 0.0::DOUBLE), ('mN', 'Force', 0.001::DOUBLE, 0.0::DOUBLE), ('uN', 'Force', 1e-06::DOUBLE, 0.0::DOUBLE),
+    ('nN', 'Force', 1e-09::DOUBLE, 0.0::DOUBLE), ('pN', 'Force', 1e-12::DOUBLE, 0.0::DOUBLE), ('A', 'Current', 1.0::DOUBLE, 0.0::DOUBLE),
+    ('mA', 'Current', 0.001::DOUBLE, 0.0::DOUBLE), ('uA', 'Current', 1e-06::DOUBLE, 0.0::DOUBLE), ('nA', 'Current', 1e-09::DOUBLE, 0.0::DOUBLE),
+    ('pA', 'Current', 1e-12::DOUBLE, 0.0::DOUBLE), ('V', 'Voltage', 1.0::DOUBLE, 0.0::DOUBLE), ('mV', 'Voltage', 0.001::DOUBLE, 0.0::DOUBLE),
+    ('uV', 'Voltage', 1e-06::DOUBLE, 0.0::DOUBLE), ('kV', 'Voltage', 1000.0::DOUBLE, 0.0::DOUBLE), ('Hz', 'Frequency', 1.0::DOUBLE, 0.0::DOUBLE),
+    ('kHz', 'Frequency', 1000.0::DOUBLE, 0.0::DOUBLE), ('MHz', 'Frequency', 1000000.0::DOUBLE, 0.0::DOUBLE), ('Pa', 'Pressure', 1.0::DOUBLE, 0.0::DOUBLE),
+    ('kPa', 'Pressure', 1000.0::DOUBLE, 0.0::DOUBLE), ('MPa', 'Pressure', 1000000.0::DOUBLE, 0.0::DOUBLE), ('GPa', 'Pressure', 1000000000.0::DOUBLE, 0.0::DOUBLE),
+    ('N/m', 'Stiffness', 1.0::DOUBLE, 0.0::DOUBLE), ('1/m', 'WaveNumber', 1.0::DOUBLE, 0.0::DOUBLE), ('1/cm', 'WaveNumber', 100.0::DOUBLE, 0.0::DOUBLE),
+    ('F', 'Capacitance', 1.0::DOUBLE, 0.0::DOUBLE), ('uF', 'Capacitance', 1e-06::DOUBLE, 0.0::DOUBLE), ('nF', 'Capacitance', 1e-09::DOUBLE, 0.0::DOUBLE),
+    ('pF', 'Capacitance', 1e-12::DOUBLE, 0.0::DOUBLE), ('K', 'Temperature', 1.0::DOUBLE, 0.0::DOUBLE), ('degC', 'Temperature', 1.0::DOUBLE, 273.15::DOUBLE),
+    ('1', 'Dimensionless', 1.0::DOUBLE, 0.0::DOUBLE)"""
 
 
 @query("p12_unit_conversion", f"""WITH u(symbol, dimension, scale, off) AS (VALUES {UNIT_ROWS}), p(k, s, t) AS (VALUES {UNIT_SQL})
@@ -274,9 +290,63 @@ def _(spark, path):
     return profiles.line_profiles(images, lines).samples
 
 
-@query("j4_applicable_operations", f"""WITH {PX} SELECT dataset_id, unnest([{', '.join(repr(o.id) for o in registry.standard().for_kind('ScanImage'))}]) AS operation_id FROM dims""")
+# Every third image has a voltage along X, and every seventh is one pixel wide: some operations ask for lengths or lines.
+@query("j4_applicable_operations", f"""WITH {PX}, o AS (SELECT dataset_id, unnest([
+    'image.grains', 'image.roi-statistics', 'image.roughness', 'image.roughness-filtered',
+    'image.statistics', 'reference.identity', 'image.crop', 'image.deglitch',
+    'image.filter', 'image.flatten', 'image.fourier', 'image.geometry',
+    'image.line-profile', 'image.pixelmath', 'image.profile', 'image.psd'
+    ]) AS operation_id FROM dims)
+    SELECT * FROM o WHERE NOT (dataset_id % 3 = 0 AND operation_id IN ('image.psd', 'image.line-profile', 'image.roughness-filtered'))
+    AND NOT (dataset_id % 7 = 1 AND operation_id = 'image.psd')""")
 def _(spark, path):
-    return registry.standard().applicable(embedding_images(spark, path).scans)
+    x = F.col("x").withField("unit", F.when(F.col("dataset_id") % 3 == 0, "V").otherwise(F.col("x.unit")))
+    x = x.withField("count", F.when(F.col("dataset_id") % 7 == 1, 1).otherwise(F.col("x.count")))
+    return registry.standard().applicable(embedding_images(spark, path).scans.withColumn("x", x))
+
+
+@query("u1_rejects", f"""WITH {EM}, o AS (SELECT dataset_id, CASE WHEN dataset_id % 5 = 0 THEN 'axis.not-length'
+    WHEN 0.3 < 2 * 0.06 * (1 + dataset_id % 4) THEN 'cutoff.below-sampling' WHEN (n - 1) * 0.06 * (1 + dataset_id % 4) < 0.3 THEN 'cutoff.beyond-extent' END AS code FROM len)
+    SELECT dataset_id, 'profile.roughness-filtered' AS operation_id, code, CAST(0 AS BIGINT) AS measured FROM o WHERE code IS NOT NULL
+    UNION ALL SELECT dataset_id, 'profile.roughness-filtered', '', CAST(9 AS BIGINT) FROM o WHERE code IS NULL""")
+def _(spark, path):
+    """Members an operation cannot take are named with the reason, the others are measured."""
+    given = embedding_curves(spark, path)
+    d = F.col("dataset_id")
+    x = F.col("x").withField("unit", F.when(d % 5 == 0, "V").otherwise("um")).withField("step", 0.06 * (1 + d % 4))
+    done = registry.standard().run("profile.roughness-filtered", given.with_samples(given.samples, given.scans.withColumn("x", x)), {"cutoff": 0.3})
+    counted = done.measurements.groupBy(F.col("source_id").alias("dataset_id")).agg(F.count(F.lit(1)).alias("measured"))
+    none = done.rejects.select("dataset_id", "operation_id", "code", F.lit(0).cast("bigint").alias("measured"))
+    return none.unionByName(counted.select("dataset_id", F.lit("profile.roughness-filtered").alias("operation_id"), F.lit("").alias("code"), "measured"))
+
+
+@query("j1_line_rejects", f"""WITH {PX} SELECT dataset_id * 10 + k AS line_id, code FROM dims, (VALUES (1, 'line.no-length'), (2, 'samples.out-of-range'),
+    (3, 'samples.out-of-range'), (4, 'image.unknown')) v(k, code)""")
+def _(spark, path):
+    images = embedding_images(spark, path)
+    shapes = [(0, 0.0, 9.0, 5, 0), (1, 4.0, 4.0, 5, 0), (2, 0.0, 9.0, 1, 0), (3, 0.0, 9.0, 100_001, 0), (4, 0.0, 9.0, 5, 1_000_000)]
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("k", "x0", "x1", "samples", "shift"), s)]) for s in shapes])
+    lines = images.scans.select("dataset_id", F.explode(rows).alias("s")).select(
+        (F.col("dataset_id") * 10 + F.col("s.k")).alias("line_id"), (F.col("dataset_id") + F.col("s.shift")).alias("dataset_id"),
+        "s.x0", F.lit(1.0).alias("y0"), "s.x1", F.lit(1.0).alias("y1"), "s.samples")
+    return profiles.rejected_lines(images, lines).select("line_id", "code")
+
+
+@query("u5_chain", f"""WITH {PX} SELECT dataset_id AS source_id, k AS step, k AS descendants_above FROM dims, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) v(k)""")
+def _(spark, path):
+    """Two operations in a row: every result has its own id and its input as parent, so the walk down from the source finds both."""
+    ops, images = registry.standard(), embedding_images(spark, path)
+    level = ops.run("image.flatten", images, {"order": 1}).derived
+    mean = ops.run("image.filter", level, {"kind": "Mean", "size": 3}).derived
+    sets = [s.select(F.col("dataset_id").cast("string").alias("dataset_id"), (F.col("parent_id") if k else F.lit(None).cast("string")).alias("parent_id"), F.lit(k).alias("step"))
+            for k, s in enumerate((images.scans, level.scans, mean.scans))]
+    table = cut(sets[0].unionByName(sets[1]).unionByName(sets[2]))
+    roots = table.filter("step = 0").select("dataset_id")
+    below = descendants(table.select("dataset_id", "parent_id"), roots).join(table, "dataset_id").select("dataset_id", "parent_id", "step")
+    first = below.filter("step = 1").select("dataset_id", F.col("parent_id").alias("source_id"), F.lit(1).alias("n"))
+    second = below.filter("step = 2").join(first.select(F.col("dataset_id").alias("parent_id"), "source_id"), "parent_id").select("dataset_id", "source_id", F.lit(2).alias("n"))
+    rows = roots.select("dataset_id", F.col("dataset_id").alias("source_id"), F.lit(0).alias("n")).unionByName(first).unionByName(second)
+    return rows.select(F.col("source_id").cast("bigint").alias("source_id"), F.col("n").alias("step"), F.col("n").alias("descendants_above"))
 
 
 @query("u4_measurements", f"""WITH {PX}, {M} """ + " UNION ALL ".join(

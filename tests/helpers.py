@@ -38,7 +38,7 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
     return [tuple(v.item() if hasattr(v, "item") else v for v in row) for row in frame.itertuples(index=False, name=None)]
 
 
-def grids(result: ImageSet | object) -> dict[int, np.ndarray]:
+def grids(result: ImageSet | object, name=int) -> dict[int, np.ndarray]:
     pixels = result.pixels if isinstance(result, ImageSet) else result
     frame = pixels.toPandas()
     out = {}
@@ -46,10 +46,10 @@ def grids(result: ImageSet | object) -> dict[int, np.ndarray]:
         a = np.full((g["y"].max() + 1, g["x"].max() + 1), -999.0, dtype=np.float64)
         a[g["y"], g["x"]] = g["z"]
         assert len(g) == a.size
-        out[int(k)] = a
+        out[name(k)] = a
     return out
 
 
-def lines(result: CurveSet) -> dict[int, np.ndarray]:
+def lines(result: CurveSet, name=int) -> dict[int, np.ndarray]:
     frame = result.samples.toPandas().sort_values(["dataset_id", "i"])
-    return {int(k): g["z"].to_numpy() for k, g in frame.groupby("dataset_id")}
+    return {name(k): g["z"].to_numpy() for k, g in frame.groupby("dataset_id")}

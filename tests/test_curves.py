@@ -178,3 +178,32 @@ def test_crop_curve_clamps_and_moves_origin(spark):
     np.testing.assert_array_equal(lines(out)[0], [4, 5])
     x = out.scans.first()["x"]
     assert x["count"] == 2 and x["origin"] == pytest.approx(0.4)
+
+
+def test_smoothing_next_to_gaps_is_the_local_fit(spark):
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=90)
+    z[[3, 20, 21, 50]] = np.nan
+    got = lines(curve.smooth(curves(spark, z), 9, 3, chunk=16))[0]
+    z = z.astype(np.float32).astype(np.float64)
+    for i in range(len(z)):
+        first = min(max(i - 4, 0), len(z) - 9)
+        x = np.arange(first, first + 9)
+        ok = np.isfinite(z[x])
+        assert got[i] == pytest.approx(np.polyval(np.polyfit(x[ok] - i, z[x][ok], 3), 0), abs=1e-5)
+
+
+def test_smoothing_weights_of_a_wide_window():
+    for width, order, at in ((5, 2, 2), (5, 2, 0), (501, 8, 3), (2001, 4, 1000)):
+        w = curve.savgol_weights(width, order, at)
+        x = (np.arange(width) - at) / width
+        assert w.sum() == pytest.approx(1.0, abs=1e-12) and all(abs((w * x**k).sum()) < 1e-11 for k in range(1, order + 1))
+
+
+def test_long_kernels_do_not_depend_on_gaps_elsewhere():
+    row = np.random.default_rng(2).normal(size=(1, 3 * 2600)).astype(np.float32)
+    weights, norm = gauss.gaussian_weights(1200.0, 2500)
+    whole = gauss.smooth_rows(row, weights, norm)
+    row[0, -1] = np.nan
+    part = gauss.smooth_rows(row, weights, norm)
+    assert np.array_equal(whole[0, :-1], part[0, :-1]) and np.isnan(part[0, -1])

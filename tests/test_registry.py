@@ -12,6 +12,13 @@ from heightfield.operators import lineage, registry
 OPS = registry.standard()
 
 
+def by_parent(result):
+    """Values of each result under the id of its input."""
+    names = {r["dataset_id"]: r["parent_id"] for r in result.scans.collect()}
+    values = (grids if hasattr(result, "pixels") else lines)(result, str)
+    return {names[k]: v for k, v in values.items()}
+
+
 def test_every_operation_is_registered_once():
     assert len(OPS.all()) == 25 and len(OPS.for_kind("ScanImage")) == 16
     with pytest.raises(ValueError):
@@ -19,13 +26,13 @@ def test_every_operation_is_registered_once():
 
 
 @pytest.mark.parametrize("values,complaint", [
-    ({"bogus": 1}, "Unknown"), ({"order": None}, "null"), ({"order": 1.5}, "must be int"), ({"order": True}, "must be int"),
-    ({"order": 9}, "above"), ({"order": -1}, "below"), ({"scope": "Sideways"}, "undefined")])
+    ({"bogus": 1}, "not a parameter"), ({"order": None}, "no value"), ({"order": 1.5}, "expected int"), ({"order": True}, "expected int"),
+    ({"order": 9}, "too large"), ({"order": -1}, "too small"), ({"scope": "Sideways"}, "choices")])
 def test_validation(values, complaint):
     errors = registry.validate(OPS.get("image.flatten").params, values)
     assert len(errors) == 1 and complaint in errors[0]
     assert "finite" in registry.validate(OPS.get("image.grains").params, {"threshold": math.nan})[0]
-    assert "Missing" in registry.validate((registry.Param("need", int),), {})[0]
+    assert "required" in registry.validate((registry.Param("need", int),), {})[0]
 
 
 def test_coercion_of_text_and_codes():
@@ -43,7 +50,7 @@ def test_run_gives_one_result_with_steps_and_warnings(spark):
     warned = {(r["input_dataset_id"], tuple(r["warnings"])) for r in res.steps.collect()}
     assert warned == {(0, ("statistics.non-finite",)), (1, ("statistics.degenerate-range",))}
     res = OPS.run("image.flatten", im, {"scope": 2})
-    assert res.measurements is None and np.isnan(grids(res.derived)[0]).all()
+    assert res.measurements is None and np.isnan(by_parent(res.derived)["0"]).all()
     step = res.steps.filter("input_dataset_id = 1").first()
     assert step["parameters"] == {"scope": 2.0, "order": 1.0, "orientation": 0.0, "basement": 0.0}
     again = OPS.run("image.flatten", im, {"scope": "Surface"}).steps.filter("input_dataset_id = 1").first()
@@ -60,10 +67,12 @@ def test_every_operation_runs_with_its_defaults(spark, op):
         rows = res.measurements.collect()
         assert rows and all(math.isfinite(r["value"]) for r in rows if r["name"] not in ("DominantWidth", "Fwhm"))
     elif hasattr(res.derived, "pixels"):
-        assert np.isfinite(grids(res.derived)[0]).all()
+        assert np.isfinite(by_parent(res.derived)["0"]).all()
     else:
-        assert np.isfinite(lines(res.derived)[0]).all()
-    assert res.steps.count() == 1
+        assert np.isfinite(by_parent(res.derived)["0"]).all()
+    assert res.steps.count() == 1 and res.rejects.count() == 0
+    if res.derived is not None:
+        assert {r["artifact_id"] for r in res.steps.collect()} == {r["dataset_id"] for r in res.derived.scans.collect()}
 
 
 def test_rejections(spark):
@@ -144,3 +153,14 @@ def test_effective_parameters_and_side_tables(spark):
     assert codes == [(2, "range-statistics.empty"), (2, "range-statistics.non-finite")]
     holes = images(spark, [[math.nan, 1.0], [2.0, 3.0]])
     assert [r["code"] for r in OPS.run("image.roi-statistics", holes, {"width": 1, "height": 1}).warnings.orderBy("code").collect()] == ["roi.empty", "roi.non-finite"]
+
+
+def test_members_that_do_not_fit_are_named(spark):
+    two = images(spark, np.zeros((3, 3)), np.zeros((9, 9)))
+    res = OPS.run("image.crop", two, {"left": 5, "top": 5, "width": 2, "height": 2})
+    assert [tuple(r) for r in res.rejects.select("dataset_id", "operation_id", "code").collect()] == [(0, "image.crop", "origin.outside")]
+    assert set(by_parent(res.derived)) == {"1"} and res.steps.count() == 1
+    volts = OPS.run("image.psd", images(spark, np.zeros((3, 3)), unit="V"), {})
+    assert [r["code"] for r in volts.rejects.collect()] == ["axis.not-length"] and volts.derived.scans.count() == 0
+    step = OPS.run("image.pixelmath", two, {"kind": "Offset", "amount": 2.0}).steps.first()
+    assert step["parameter_units"] == {"kind": "1", "amount": two.scans.first()["channel"]["unit"]} and step["library_version"] and step["ran_at"]
