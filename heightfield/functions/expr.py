@@ -40,10 +40,6 @@ def raw_to_real(ax: Column, index: Column) -> Column:
     return ax["origin"] + ax["step"] * step_no
 
 
-def in_axis(ax: Column, index: Column) -> Column:
-    return (index >= 0) & (index < ax["count"])
-
-
 def gram_basis(index: Column, n: Column, order: int) -> list[Column]:
     """Monic discrete orthogonal polynomials on 0..n-1, evaluated at ``index``.
 

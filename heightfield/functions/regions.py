@@ -85,19 +85,6 @@ def in_polygon(px: Column, py: Column, vertices: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda acc, v: acc + v) % 2 == 1
 
 
-def in_fixed_polygon(px: Column, py: Column, vertices: tuple[tuple[float, float], ...]) -> Column:
-    """Even-odd rule against constant vertices: plain arithmetic, so it stays inside generated code."""
-    count = F.lit(0)
-    previous = vertices[-1]
-    for x, y in vertices:
-        bx, by = previous
-        if by != y:
-            straddles = (F.lit(y) > py) != (F.lit(by) > py)
-            count = count + (straddles & (px < (bx - x) * (py - y) / (by - y) + x)).cast("int")
-        previous = (x, y)
-    return count % 2 == 1
-
-
 def contains(region: Column | dict[str, Column], px: Column, py: Column) -> Column:
     """Membership in a region of any kind, given as a struct column or as its fields."""
     box = (region["left"], region["top"], region["width"], region["height"])

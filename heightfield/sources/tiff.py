@@ -116,7 +116,7 @@ def decode(data: bytes) -> dict:
         raise BadFile("UnsupportedImageType", f"image type {name} is not supported")
     w, h = head["width"], head["height"]
     if w <= 0 or h <= 0:
-        raise BadFile("Corrupt", f"invalid image dimensions {w}x{h}")
+        raise BadFile("Corrupt", f"a scan of {w} by {h} pixels cannot be")
     if not (0 < head["x_size"] < np.inf and 0 < head["y_size"] < np.inf):
         raise BadFile("Corrupt", f"invalid scan size {head['x_size']} x {head['y_size']}")
     if head["pixel_type"] not in PIXEL_TYPES:

@@ -225,3 +225,22 @@ def _(spark, path):
     x = F.col("x").withField("step", 0.03 * (1 + F.col("dataset_id") % 6))
     scans = gauss.filterable_curves(given.with_samples(given.samples, given.scans.withColumn("x", x)), 0.2)
     return scans.select("dataset_id", F.lit(gauss.GAUSS_ALPHA).alias("alpha"))
+
+
+@query("w5_filter_propagates", f"WITH {ev(97)}, {gaussian(0.8, 'Waviness')} {SAM} o")
+def _(spark, path):
+    return gauss.gaussian_filter(event_curves(spark, path, gaps=97), "Waviness", 0.8).samples
+
+
+# The first four orthogonal polynomials of a complete curve, centred on its middle.
+CUBIC = """
+tt AS (SELECT cv.*, i - (n - 1) / 2.0 AS t FROM cv JOIN len USING (dataset_id)),
+mm AS (SELECT dataset_id, avg(t * t) AS m2, avg(t * t * t * t) / avg(t * t) AS m4 FROM tt GROUP BY 1),
+bs AS (SELECT tt.dataset_id, i, z, unnest([1.0::DOUBLE, t, t * t - m2, t * (t * t - m4)]) AS q, unnest(range(4)) AS k FROM tt JOIN mm USING (dataset_id)),
+ft AS (SELECT dataset_id, k, sum(q * CAST(z AS DOUBLE)) / sum(q * q) AS c FROM bs GROUP BY 1, 2),
+o AS (SELECT bs.dataset_id, i, CAST(any_value(z) - sum(c * q) AS FLOAT) AS z FROM bs JOIN ft USING (dataset_id, k) GROUP BY 1, 2)"""
+
+
+@query("f1_curve_order3", f"WITH {ev()}, {CUBIC} {SAM} o")
+def _(spark, path):
+    return flatten.flatten_curves(event_curves(spark, path), 3).samples

@@ -228,6 +228,7 @@ def _(spark, path):
     return pixel.normalise(embedding_images(spark, path))
 
 
+# The colour ramps as functions of the level 0 to 255, before clamping.
 RGB = {
     "Gold": ("i * 2", "i * 2 - 128", "i * 2 - 256"), "Grayscale": ("i", "i", "i"),
     "Aqua": ("(2.0 * i / 256 - 1) * 256", "(2.0 * i / 256 - 0.5) * 256", "2.0 * i / 256 * 256"),

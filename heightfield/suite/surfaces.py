@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from heightfield.functions.regions import ellipse, rectangle
 from heightfield.model import ImageSet
 from heightfield.operators import flatten, gauss, grains, spectral, stencil
+from heightfield.operators.statistics import areal_roughness
 from heightfield.sources.tables import embedding_images
 from heightfield.suite import query
 from heightfield.suite.sql import AREAL, PIX, PX, moments, r
@@ -168,9 +169,8 @@ def paired(a: str, q: str) -> str:
 
 
 def reflect(i: str, n: str) -> str:
-    period = f"(2 * ({n} - 1))"
-    m = f"((({i}) % {period} + {period}) % {period})"
-    return f"(CASE WHEN {m} < {n} THEN {m} ELSE {period} - {m} END)"
+    last = f"({n} - 1)"
+    return f"({last} - abs({last} - ((({i}) % (2 * {last}) + 2 * {last}) % (2 * {last}))))"
 
 
 def areal(cutoff: float, band: str) -> str:
@@ -296,3 +296,50 @@ def _(spark, path):
     return grains.grain_table(embedding_images(spark, path), 0.62, tile=32)
 
 
+
+
+# --- what a non-finite sample does, and fits of higher order -------------------------------------
+
+HOLED = (PX.replace("px AS MATERIALIZED", "p0 AS MATERIALIZED").replace("FROM px GROUP BY", "FROM p0 GROUP BY")
+         + ", px AS MATERIALIZED (SELECT dataset_id, y, x, CASE WHEN dataset_id % 2 = 0 AND y = 3 AND x = 5 THEN CAST('nan' AS FLOAT) ELSE z END AS z FROM p0)")
+POISONED = AREAL.replace("mean - lo", "mean - CASE WHEN isnan(hi) THEN hi ELSE lo END").replace("hi - lo", "hi - CASE WHEN isnan(hi) THEN hi ELSE lo END")
+
+
+def holed(spark, path) -> ImageSet:
+    """The images, every second with one missing pixel."""
+    images = embedding_images(spark, path)
+    hole = (F.col("dataset_id") % 2 == 0) & (F.col("y") == 3) & (F.col("x") == 5)
+    return images.with_pixels(images.pixels.withColumn("z", F.when(hole, F.lit(float("nan")).cast("float")).otherwise(F.col("z"))))
+
+
+@query("a4_roughness_poisoned", f"WITH {HOLED}, {moments('px')} SELECT dataset_id, {POISONED} FROM m")
+def _(spark, path):
+    return areal_roughness(holed(spark, path))
+
+
+@query("w6_areal_filter_propagates", f"WITH {HOLED}, {areal(0.8, 'Waviness')} {PIX} o")
+def _(spark, path):
+    return gauss.gaussian_areal_filter(holed(spark, path), "Waviness", 0.8).pixels
+
+
+@query("w7_filtered_roughness_poisoned", f"WITH {HOLED}, {areal(0.8, 'Roughness')}, {moments('o')} SELECT dataset_id, {POISONED} FROM m")
+def _(spark, path):
+    return gauss.filtered_roughness(holed(spark, path), 0.8)
+
+
+@query("f3_flatten_surface_poisoned", f"""WITH {HOLED}, {PLANE}, o2 AS (SELECT dataset_id, y, x, f AS z FROM o) {PIX} o2""")
+def _(spark, path):
+    return flatten.flatten(holed(spark, path), "Surface").pixels
+
+
+# Products of the first three orthogonal polynomials of a full grid; their sums over a line are closed forms of its length.
+QUADRIC = """
+tt AS (SELECT px.*, x - (w - 1) / 2.0 AS u, y - (h - 1) / 2.0 AS v, (w * w - 1) / 12.0 AS mu, (h * h - 1) / 12.0 AS mv FROM px JOIN dims USING (dataset_id)),
+bs AS (SELECT dataset_id, y, x, z, unnest([1.0::DOUBLE, u, v, u * u - mu, u * v, v * v - mv]) AS q, unnest(range(6)) AS k FROM tt),
+ft AS (SELECT dataset_id, k, sum(q * CAST(z AS DOUBLE)) / sum(q * q) AS c FROM bs GROUP BY 1, 2),
+o AS (SELECT bs.dataset_id, y, x, any_value(z) - CAST(sum(c * q) AS FLOAT) AS z FROM bs JOIN ft USING (dataset_id, k) GROUP BY 1, 2, 3)"""
+
+
+@query("f2_flatten_surface_order2", f"WITH {PX}, {QUADRIC} {PIX} o")
+def _(spark, path):
+    return flatten.flatten(embedding_images(spark, path), "Surface", 2).pixels

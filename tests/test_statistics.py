@@ -7,7 +7,7 @@ from helpers import curves, images
 from heightfield.functions.regions import ellipse, polygon, rectangle
 from heightfield.operators import regions, statistics
 
-# Published golden cases: input and (min, max, p2p, mid, mean, mad, rms, skewness, kurtosis).
+# Published golden cases, input and (min, max, p2p, mid, mean, mad, rms, skewness, kurtosis).
 NAN, INF = math.nan, math.inf
 GOLDEN = {
     "ramp-16": (list(range(16)), (0, 15, 15, 7.5, 7.5, 4, 4.6097722286464435, 0, 1.7905882352941178)),
