@@ -28,8 +28,9 @@ ROWS, WINDOW = 160, 256
 SEGMENT = 256
 # Letters told apart; beyond that many, several letters share a symbol (in references and texts alike).
 ALPHABET = 400
-# A text of at least this many letters whose phrases are shorter than two letters on average is in none of the languages.
-CERTAIN, LOST = 100, 0.5
+# A text of at least this many letters whose phrases are shorter than two letters on average is in none of the languages,
+# provided that the references are long enough to tell (in bits of a position).
+CERTAIN, LOST, TELLING = 100, 0.5, 12
 
 
 def references(labelled: DataFrame, rows: int = ROWS, window: int = WINDOW) -> list[tuple[str, str]]:
@@ -179,7 +180,8 @@ class Parser:
             second = np.maximum(self.bits[0], first)
         score = np.where(first + second > 0, second / np.maximum(first + second, 1e-300), 0.5)
         none = letters == 0
-        return self.answer(np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, 0.0, phrases[row, best] / np.maximum(n, 1)), letters)
+        rate = np.where(none | (self.bits.max() < TELLING), 0.0, phrases[row, best] / np.maximum(n, 1))
+        return self.answer(np.where(none, -1, best), np.where(none, 0.0, score), rate, letters)
 
     def answer(self, best, score, rate, letters):
         names = np.array([*self.langs, "und"], dtype=object)
@@ -199,7 +201,8 @@ def parser(refs: list[tuple[str, str]]) -> Parser:
 
 
 def identify(docs: DataFrame, refs: list[tuple[str, str]], keep: list[str]) -> DataFrame:
-    """``keep`` plus lang_pred, score (0.5 to 1, the share of the runner-up's rate; 0 for und), phrase_rate and n_letters."""
+    """``keep`` plus lang_pred, score (0.5 to 1, the share of the runner-up's rate; 0 for und), phrase_rate (0 where there is too
+    little reference to tell) and n_letters."""
     return C.extend(docs, lambda batch: parser(refs)(batch), "lang_pred string, score double, phrase_rate double, n_letters bigint", keep)
 
 

@@ -255,5 +255,5 @@ def kept(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Documents that stay: the smallest doc_id of every component, once, and every row without shingles or id."""
     found = duplicates(docs, percent)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -196,8 +196,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
             n, whole, best = _model(key, parts).evidence(block).T
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n, whole, best, block.column(1).to_numpy().astype(float))], names=["n", "whole", "best", "toxic"])
 
-    back = _held(docs, labels, 1).select("text", "toxic").mapInArrow(weigh, "n double, whole double, best double, toxic double").toArrow()
-    n, whole, best, y = (back.column(c).to_numpy() for c in ("n", "whole", "best", "toxic"))
+    def weighed(held: DataFrame):
+        back = held.select("text", "toxic").mapInArrow(weigh, "n double, whole double, best double, toxic double").toArrow()
+        return [back.column(c).to_numpy() for c in ("n", "whole", "best", "toxic")]
+
+    n, whole, best, y = weighed(_held(docs, labels, 1))
+    if len(np.unique(y)) < 2:  # too few labels to set some apart
+        n, whole, best, y = weighed(rows)
+    if len(np.unique(y)) < 2:
+        return Toxicity(none, none, none, none, None, float(share[0]))
     return Toxicity(*parts, _calibrate(_columns(n, whole, best), y, float(share[0])), float(share[0]))
 
 
