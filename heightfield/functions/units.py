@@ -42,13 +42,27 @@ def _lookup(symbol: Column, position: int, extra: list[tuple] | None = None) ->
     return F.create_map(*pairs)[symbol]
 
 
+# Units that operations compose: a product, a product with a squared first factor, and the inverse of a length.
+_PRODUCT, _INVERSE = "^(.+?)(²?)·(.+)$", "^1/(.+)$"
+
+
 def scale_of(symbol: Column, extra=None) -> Column:
-    """Scale to the base unit; NULL for an unknown symbol.  The map is a fixed literal, folded by Catalyst."""
-    return _lookup(symbol, 2, extra)
+    """Scale to the base unit, also of a composed unit; NULL for an unknown symbol.  The map is a fixed literal, folded by Catalyst."""
+    a, b = (_lookup(F.regexp_extract(symbol, _PRODUCT, k), 2, extra) for k in (1, 3))
+    of = F.regexp_extract(symbol, _INVERSE, 1)
+    inverse = F.when(_lookup(of, 1, extra) == "Length", 1.0 / _lookup(of, 2, extra))
+    return F.coalesce(_lookup(symbol, 2, extra), F.when(F.regexp_extract(symbol, _PRODUCT, 2) == "²", a * a).otherwise(a) * b, inverse)
 
 
 def dimension_of(symbol: Column, extra=None) -> Column:
-    return _lookup(symbol, 1, extra)
+    a, b = (_lookup(F.regexp_extract(symbol, _PRODUCT, k), 1, extra) for k in (1, 3))
+    power = F.when(F.regexp_extract(symbol, _PRODUCT, 2) == "²", "^2*").otherwise("*")
+    inverse = F.when(_lookup(F.regexp_extract(symbol, _INVERSE, 1), 1, extra) == "Length", "WaveNumber")
+    return F.coalesce(_lookup(symbol, 1, extra), F.concat(a, power, b), inverse)
+
+
+def _offset_of(symbol: Column, extra=None) -> Column:
+    return F.coalesce(_lookup(symbol, 3, extra), F.lit(0.0))
 
 
 def is_length(symbol: Column) -> Column:
@@ -59,8 +73,7 @@ def convert(value: Column, source: Column, target: Column, extra=None) -> Column
     """struct(value, error): the converted value, or NULL with a reason for unknown or unlike units."""
     sd, td = dimension_of(source, extra), dimension_of(target, extra)
     ok = sd == td
-    converted = ((value * scale_of(source, extra) + _lookup(source, 3, extra) - _lookup(target, 3, extra))
-                 / scale_of(target, extra))
+    converted = (value * scale_of(source, extra) + _offset_of(source, extra) - _offset_of(target, extra)) / scale_of(target, extra)
     error = (F.when(sd.isNull() | td.isNull(), F.lit("unknown unit"))
              .when(~ok, F.concat(F.lit("cannot convert "), sd, F.lit(" to "), td)))
     return F.struct(F.when(ok, converted).alias("value"), error.alias("error"))

@@ -387,11 +387,21 @@ def solve_borders(terms: DataFrame, levels: int) -> DataFrame:
     return solved.select("dataset_id", F.explode("v").alias("v")).select("dataset_id", "v.c", "v.s")
 
 
-def baseline_warnings(curves: CurveSet) -> DataFrame:
-    """(dataset_id, code): non-finite samples excluded, or too few finite samples to fit."""
+def baseline_warnings(curves: CurveSet, fitted: CurveSet | None = None) -> DataFrame:
+    """(dataset_id, code): non-finite samples excluded, too few finite samples to fit, or a singular fit.
+
+    ``fitted`` is the result: a curve that it hands back unchanged, with enough samples and not zero throughout, had no solution.
+    """
     good = F.count(F.when(F.abs("z") < float("inf"), 1))
     seen = curves.geometry().join(curves.samples.groupBy("dataset_id").agg(good.alias("ok")), "dataset_id", "left")
     ok = F.coalesce("ok", F.lit(0))
     codes = F.array_compact(F.array(F.when(ok < F.col("n"), F.lit("profile-baseline.non-finite")),
                                     F.when(ok < 3, F.lit("profile-baseline.low-rank"))))
-    return seen.select("dataset_id", F.explode(codes).alias("code"))
+    told = seen.select("dataset_id", F.explode(codes).alias("code"))
+    if fitted is None:
+        return told
+    z, after = F.when(F.abs("z") < float("inf"), F.col("z")), F.col("after")
+    both = curves.samples.join(fitted.samples.select("dataset_id", "i", F.col("z").alias("after")), ["dataset_id", "i"])
+    same = both.groupBy("dataset_id").agg(F.count(z).alias("ok"), F.max(F.abs(z)).alias("top"), F.max((z != after).cast("int")).alias("moved"))
+    unsolved = same.filter((F.col("ok") >= 3) & (F.col("top") > 0) & (F.col("moved") == 0))
+    return told.unionByName(unsolved.select("dataset_id", F.lit("profile-baseline.singular").alias("code")))

@@ -474,7 +474,7 @@ def standard() -> Registry:
     derived("profile.filter", CURVE, (Param("band", str, "Roughness", choices=gauss.BANDS), cutoff), gauss.gaussian_filter,
             applicable=_length_x, extra_errors=_positive_cutoff, rejects=lambda p: gauss.curve_rejects(p["cutoff"]))
     derived("profile.baseline", CURVE, (Param("lambda", float, 1e5, 1.0), Param("p", float, 0.01, 1e-4, 0.5), Param("iterations", int, 10, 1, 100)),
-            lambda d, p, iterations, **lam: baseline.baseline(d, lam["lambda"], p, iterations), warnings=lambda d, p, out: baseline.baseline_warnings(d))
+            lambda d, p, iterations, **lam: baseline.baseline(d, lam["lambda"], p, iterations), warnings=lambda d, p, out: baseline.baseline_warnings(d, out))
     return r
 
 

@@ -94,6 +94,14 @@ def test_units_round_trip_and_composites(spark):
     assert len(units.UNITS) == 37 and units.units_table(spark).select("dimension").distinct().count() == 11
 
 
+def test_composed_units_are_units(spark):
+    rows = spark.createDataFrame([(2.0, "nm²·um", "um²·um"), (2.0, "nm·um", "um·um"), (1.0, "1/um", "1/cm"), (1.0, "nm²·um", "nm·um"), (1.0, "1/V", "1/m")],
+                                 "v double, s string, t string")
+    out = rows.select(units.convert(F.col("v"), F.col("s"), F.col("t")).alias("r")).select("r.*").collect()
+    assert [r["value"] for r in out][:3] == pytest.approx([2e-6, 2e-3, 1e4])
+    assert out[3]["error"] == "cannot convert Length^2*Length to Length*Length" and out[4]["error"] == "unknown unit"
+
+
 def test_humanised_labels(spark):
     rows = spark.createDataFrame([("meanAbsoluteDeviation",), ("order",), ("minSNR",)], "k string")
     assert [r[0] for r in rows.select(registry.humanise(F.col("k"))).collect()] == ["Mean Absolute Deviation", "Order", "Min SNR"]
@@ -164,3 +172,10 @@ def test_members_that_do_not_fit_are_named(spark):
     assert [r["code"] for r in volts.rejects.collect()] == ["axis.not-length"] and volts.derived.scans.count() == 0
     step = OPS.run("image.pixelmath", two, {"kind": "Offset", "amount": 2.0}).steps.first()
     assert step["parameter_units"] == {"kind": "1", "amount": two.scans.first()["channel"]["unit"]} and step["library_version"] and step["ran_at"]
+
+
+def test_singular_baselines_are_told(spark):
+    two = curves(spark, np.arange(40.0), np.zeros(40))
+    res = OPS.run("profile.baseline", two, {"lambda": 1.7e308})
+    assert [tuple(r) for r in res.warnings.collect()] == [(0, "profile-baseline.singular")]
+    assert OPS.run("profile.baseline", two, {}).warnings.count() == 0
