@@ -113,18 +113,32 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return whole.select(F.col(key).alias("id"), v.alias("v"))
 
 
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keep: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``keep`` nearest of each query among (query, id, distance), each id once."""
+    q, i, d = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.lexsort((i, d, q))
+    q, i, d = q[order], i[order], d[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])
+    q, i, d = q[new], i[new], d[new]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return [(q[rank < keep], i[rank < keep], d[rank < keep])]
+
+
 def _compare(keep: int):
-    def run(group: pa.Table) -> pa.Table:
+    """Compare queries and vectors leaf by leaf; a task hands on only the best of each query over all its leaves."""
+    def leaf(group: pa.Table):
         query = group.column("query").to_numpy()
-        point = group.column("ids").combine_chunks().is_valid().to_numpy(zero_copy_only=False)  # a query carries no ids
-        x = matrix(group.column("v").combine_chunks()).astype(np.float64)
         ids = group.column("ids").combine_chunks()
+        point = ids.is_valid().to_numpy(zero_copy_only=False)  # a query carries no ids
         rows, asks = np.flatnonzero(point), np.flatnonzero(~point)
+        if not len(rows) or not len(asks):
+            return
+        x = matrix(group.column("v").combine_chunks()).astype(np.float64)
         size = ids.value_lengths().fill_null(0).to_numpy()
         begin = np.concatenate([[0], np.cumsum(size)])
         flat = ids.flatten().to_numpy()
-        out = []
-        for q in asks if len(rows) else []:
+        for q in asks:
             d = np.sqrt(((x[rows] - x[q]) ** 2).sum(axis=1))
             near = rows
             if len(rows) > keep:
@@ -133,9 +147,32 @@ def _compare(keep: int):
             far = np.repeat(d, size[near])
             who = np.concatenate([flat[begin[k]:begin[k + 1]] for k in near])
             order = np.lexsort((who, far))[:keep]
-            out.append((np.full(len(order), query[q]), who[order], far[order]))
-        a, b, c = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
-        return pa.table({"q": pa.array(a.astype(np.int64)), "id": pa.array(b.astype(np.int64)), "d": pa.array(c.astype(np.float64))})
+            yield np.full(len(order), query[q]), who[order], far[order]
+
+    def run(batches):
+        found, held, key, many = [], [], None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                now = (int(name[0, a]), int(name[1, a]))
+                if now != key and held:
+                    for f in leaf(pa.Table.from_batches(held)):
+                        found.append(f)
+                        many += len(f[0])
+                    held = []
+                    if many > 400_000:
+                        found = _best(found, keep)
+                        many = 0
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            found.extend(leaf(pa.Table.from_batches(held)))
+        if found:
+            q, i, d = _best(found, keep)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(d)], names=["q", "id", "d"])
 
     return run
 
@@ -236,7 +273,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
             yield rows_of(b, owner, leaf, part, b.column(1).take(pa.array(owner)), pa.nulls(len(owner), pa.list_(pa.int64())))
 
     both = points.select("v", "ids").mapInArrow(place, dealt).unionByName(ask.select("v", "q").mapInArrow(probe, dealt))
-    best = both.groupBy("leaf", "part").applyInArrow(_compare(k + 1), "q bigint, id bigint, d double").distinct()
+    leafwise = both.repartition("leaf", "part").sortWithinPartitions("leaf", "part")
+    best = leafwise.mapInArrow(_compare(k + 1), "q bigint, id bigint, d double").distinct()
     order = Window.partitionBy("q").orderBy("d", "id")
     lists = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
     named = asked.join(ask, "v").select(F.col("id").alias("query_id"), "q").distinct()
