@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from heightfield.functions.expr import finite, floordiv, nan, ratio
 from heightfield.model import CurveSet, ImageSet
+from heightfield.plans.iterate import cut
 from heightfield.plans.layout import CHUNK, attach, attach_salted
 
 FAN = 4096  # chunks merged together
@@ -35,6 +36,10 @@ def moments(rows: DataFrame, keys: tuple[str, ...] = ("dataset_id",), value: str
         F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("mean").alias("mean"),
         F.avg(F.abs("d")).alias("sa"), F.avg("d2").alias("m2"),
         F.avg(F.col("d2") * F.col("d")).alias("m3"), F.avg(F.col("d2") * F.col("d2")).alias("m4"))
+    return _named_moments(second, keys)
+
+
+def _named_moments(second: DataFrame, keys: list[str]) -> DataFrame:
     lo = F.when(F.isnan("hi"), nan()).otherwise(F.col("lo"))  # a NaN anywhere makes both extremes NaN
     sq = F.sqrt("m2")
     return second.select(
@@ -81,17 +86,27 @@ def point_average(rows: DataFrame, chunk: int = CHUNK, longest: int | None = Non
     continue elsewhere, so the merge sees a dozen rows per chunk, not the sequence.
     Sequences of more than FAN chunks (``longest`` samples) are merged FAN units at a time.
     """
+    return _best_points(_unit_runs(rows, chunk), chunk, longest)
+
+
+def _unit_runs(rows: DataFrame, chunk: int, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per chunk: its runs, and aggregates ``extra`` of its rows."""
     c = F.col
     unit = floordiv(c("p"), chunk)
     packed = rows.groupBy("dataset_id", unit.alias("c")).agg(
-        F.collect_list((c("p") - unit.cast("long") * chunk).cast("int")).alias("p"), F.collect_list("d").alias("d"))
+        F.collect_list((c("p") - unit.cast("long") * chunk).cast("int")).alias("p"), F.collect_list("d").alias("d"), *extra)
 
     @pandas_udf("array<struct<run:int,up:boolean,ext:double>>")
     def runs_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
             yield pd.Series([_chunk_runs(*v) for v in zip(*cols)], dtype=object)
 
-    runs = packed.select("dataset_id", "c", F.explode(runs_of("p", "d")).alias("r")).select("dataset_id", "c", "r.*")
+    return packed.withColumn("runs", runs_of("p", "d")).drop("p", "d")
+
+
+def _best_points(units: DataFrame, chunk: int, longest: int | None) -> DataFrame:
+    c = F.col
+    runs = units.select("dataset_id", "c", F.explode("runs").alias("r")).select("dataset_id", "c", "r.*")
     done, ends = _complete_runs(runs)
     unit = chunk
     while longest is not None and longest > unit * FAN:
@@ -159,8 +174,19 @@ STATISTICS = ("min", "max", "peakToPeak", "mid", "mean", "meanAbsoluteDeviation"
 
 def image_statistics(images: ImageSet) -> DataFrame:
     """Eleven scalars per image as (dataset_id, name, value)."""
-    m = image_moments(images)
-    wide = m.join(image_point_average(images), "dataset_id", "left")
+    # two passes over the pixels: means, then everything about the mean by chunks of the row-major sequence
+    c = F.col
+    v = c("z").cast("double")
+    first = cut(images.pixels.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi")))
+    per = first.join(images.geometry(), "dataset_id").select("dataset_id", "w", "mean")
+    rows = attach(images, images.pixels, per).select(
+        "dataset_id", (c("y").cast("long") * c("w") + c("x")).alias("p"), (v - c("mean")).alias("d"))
+    d2 = c("d") * c("d")
+    sums = {"sa": F.abs("d"), "m2": d2, "m3": d2 * c("d"), "m4": d2 * d2}
+    units = cut(_unit_runs(rows, CHUNK, tuple(F.sum(e).alias(k) for k, e in sums.items())))
+    total = units.groupBy("dataset_id").agg(*[F.sum(k).alias(k) for k in sums])
+    wide = first.join(total, "dataset_id").select("dataset_id", "n", "lo", "hi", "mean", *[(c(k) / c("n")).alias(k) for k in sums])
+    wide = _named_moments(wide, ["dataset_id"]).join(_best_points(units, CHUNK, images.largest), "dataset_id", "left")
     cols = ["lo", "hi", "p2p", "mid", "mean", "sa", "sq", "rz_points", "skew", "kurt", "n"]
     return unpivot(wide, dict(zip(STATISTICS, cols)))
 
