@@ -20,6 +20,14 @@ from heightfield.model import BROADCAST_ROWS, CurveSet, ImageSet
 TILE = 256       # image block edge, pixels
 CHUNK = 65_536   # curve block length, samples
 SALTS = 64       # copies of a per-key table where no block is known
+BATCH = 64       # blocks or files handed to a Python worker at once: a block may hold half a megabyte
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Hold the session's Arrow batches to BATCH rows, for rows that are whole blocks or files."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
 
 
 def attach(members: ImageSet | CurveSet, rows: DataFrame, table: DataFrame, *,
@@ -85,6 +93,7 @@ def halo_tiles(pixels: DataFrame, *, reach_y=0, reach_x=0, tile_h=TILE, tile_w=T
     wy, wx (window origin), wh, ww (window size), p ARRAY<INT> (row-major position in the
     window), z ARRAY<FLOAT> and an array per value column in ``also``.  Each row holds at most (tile + 2 reach)^2 samples.
     """
+    bound_batches(pixels)
     c = F.col
     if isinstance(reach_y, int) and isinstance(reach_x, int) and reach_y == reach_x == 0:
         rows = pixels.withColumns({"ty": floordiv(c("y"), tile_h), "tx": floordiv(c("x"), tile_w)})
@@ -124,6 +133,7 @@ def halo_chunks(samples: DataFrame, *, reach=0, size=CHUNK, carry: tuple[str, ..
     Output: dataset_id, c, n, carry..., i0 (core start), cn (core length), a (window start),
     wn (window length), p ARRAY<INT> (position in the window), z ARRAY<FLOAT>.
     """
+    bound_batches(samples)
     k = F.col
     rows = samples.withColumn("c", _block_span(k("i"), _i(reach), size, k("n")))
     a = F.greatest(F.lit(0), k("c") * _i(size) - _i(reach))

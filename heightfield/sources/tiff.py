@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from heightfield.functions.units import KIND_OF_DIMENSION, convert, dimension_of, is_length, scale_of
 from heightfield.model import CHANNEL, ImageSet, axis
 from heightfield.plans.iterate import scratch_dir
+from heightfield.plans.layout import bound_batches
 
 # Tag numbers of the format.
 TAG_DESCRIPTION = 0x010E
@@ -139,7 +140,9 @@ def parse_files(spark: SparkSession, path: str, pattern: str | None = None) -> D
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path).select("path", "content", F.sha2("content", 256).alias("content_hash"))
+    files = reader.load(path)
+    bound_batches(files)
+    files = files.select("path", "content", F.sha2("content", 256).alias("content_hash"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
