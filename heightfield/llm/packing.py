@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,25 @@ ROUNDS = 4
 # White space at which a text may be divided before tokenising: the tokenizer drops it and no token spans it.
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0D]] = True
+# Marks at the end of a word that the tokenizer takes apart from a letter or digit before them.
+_MARK, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in ".,!?;:"]] = True
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# Words of letters given to the tokenizer as one text.
+_LINE = 256
+
+
+def parts_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches that are tokenised apart, and where each text's begin: words, and marks at their ends."""
+    starts, ends, at = C.word_spans(data, off, _GAP)
+    if not len(starts):
+        return starts, ends, at
+    body = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[ends - 1]  # the last byte that is no mark
+    cut = (body >= starts) & (body < ends - 1) & _ALNUM[data[np.maximum(body, 0)]]
+    place = np.flatnonzero(cut)
+    new_ends = np.insert(ends, place, body[place] + 1)
+    new_starts = np.insert(starts, place + 1, body[place] + 1)
+    return new_starts, new_ends, np.searchsorted(new_starts, off)
 
 PLACED = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -42,12 +62,42 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(words.values()) + 1, bool)  # ids that end a word
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.names = np.zeros(0, np.uint64)
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin among them and how many it has.
+
+        Words of letters only are one unit of the tokenizer each; many of them go in one call, parted by blanks, and their
+        ids are told apart by the ids that end a word.
+        """
+        letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        alone = np.flatnonzero(~letters).tolist()
+        lines = np.array_split(np.flatnonzero(letters), -(-int(letters.sum()) // _LINE)) if letters.any() else []
+        begin, sizes, pool, total = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in line]) for line in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int32)
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) != len(line) or stop[-1] != len(ids):  # a letter that lower case takes apart
+                alone.extend(line.tolist())
+                continue
+            sizes[line] = np.diff(stop, prepend=0)
+            begin[line] = total + stop - sizes[line]
+            pool.append(ids)
+            total += len(ids)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)]
+        if rest:
+            sizes[alone] = list(map(len, rest))
+            begin[alone] = total + np.cumsum(sizes[alone]) - sizes[alone]
+            pool.append(np.fromiter(chain.from_iterable(rest), np.int32))
+        return (np.concatenate(pool) if pool else np.zeros(0, np.int32)), begin, sizes
+
     def ids(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text followed by the end id, and the offsets of the texts."""
-        starts, ends, at = C.word_spans(data, off, _GAP)
+        starts, ends, at = parts_of(data, off)
         names, first, which = np.unique(C.spans_hash(data, starts, ends), return_index=True, return_inverse=True)
         slot = np.searchsorted(self.names, names)
         known = slot < len(self.names)
@@ -55,30 +105,28 @@ class Vocabulary:
         fresh = np.flatnonzero(~known)
         raw = data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))
+        flat, at_flat, sizes = self.encoded(texts)
         # one pool for this block: remembered ids, fresh ids, the end id
         size, begin = np.zeros(len(names) + 1, np.int64), np.zeros(len(names) + 1, np.int64)
         old = slot[known]
         size[:-1][known], begin[:-1][known] = self.begin[old + 1] - self.begin[old], self.begin[old]
-        size[:-1][fresh], begin[:-1][fresh] = sizes, len(self.pool) + np.cumsum(sizes) - sizes
+        size[:-1][fresh], begin[:-1][fresh] = sizes, len(self.pool) + at_flat
         size[-1], begin[-1] = 1, len(self.pool) + len(flat)
         pool = np.concatenate([self.pool, flat, np.array([end], np.int32)])
         which = np.insert(which, at[1:], len(names))  # the end of each text
         count = size[which]
         before = np.concatenate([[0], np.cumsum(count)])
         out = pool[np.repeat(begin[which] - before[:-1], count) + np.arange(before[-1])]
-        self.remember(names[fresh], sizes, flat)
+        self.remember(names[fresh], at_flat, sizes, flat)
         return out, before[at + np.arange(len(at))]
 
-    def remember(self, names: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+    def remember(self, names: np.ndarray, at_flat: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         if not len(names) or len(self.names) + len(names) > REMEMBERED:
             return
         every = np.concatenate([self.names, names])
         order = np.argsort(every)
         size = np.concatenate([np.diff(self.begin), sizes])
-        begin = np.concatenate([self.begin[:-1], len(self.pool) + np.cumsum(sizes) - sizes])[order]
+        begin = np.concatenate([self.begin[:-1], len(self.pool) + at_flat])[order]
         pool, size = np.concatenate([self.pool, flat]), size[order]
         self.names, self.begin = every[order], np.concatenate([[0], np.cumsum(size)])
         self.pool = pool[np.repeat(begin - self.begin[:-1], size) + np.arange(self.begin[-1])]
