@@ -12,7 +12,7 @@ from heightfield.llm.suite import tokenizer_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay; references are learned from the stage's own labelled rows outside the held-out third."""
     refs = langid.references(docs.filter(C.crc_mod("doc_id", 3) != 1))
-    return langid.accepted(langid.identify(docs, refs, docs.columns)).select(*docs.columns)
+    return langid.accepted(docs, refs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

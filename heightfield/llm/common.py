@@ -33,9 +33,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def bounded(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold the Arrow batches of the session to at most ``rows`` rows: ten thousand long texts would not fit a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Hold the Arrow batches of the session to ``rows`` rows: ten thousand long texts would not fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -202,7 +201,7 @@ def extend(docs: DataFrame, work, fields: str, keep: list[str], need: tuple[str,
     bounded(spark)
     new = fields.split(", ")  # "name type, name type", no blank inside a type
     names = [f.split()[0] for f in new]
-    keep = [c for c in keep if c not in names]
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
     carried = list(dict.fromkeys([*keep, *need]))
     source = docs.select(*[F.col(f"`{c}`") for c in carried])
     kinds = dict(source.dtypes)

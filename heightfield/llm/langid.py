@@ -206,6 +206,14 @@ def identify(docs: DataFrame, refs: list[tuple[str, str]], keep: list[str]) -> D
     return C.extend(docs, lambda batch: parser(refs)(batch), "lang_pred string, score double, phrase_rate double, n_letters bigint", keep)
 
 
-def accepted(found: DataFrame) -> DataFrame:
-    """Rows in one of the languages: a language was found and, for texts long enough to tell, its reference explains the text."""
-    return found.filter((F.col("lang_pred") != "und") & ~((F.col("n_letters") >= CERTAIN) & (F.col("phrase_rate") > LOST)))
+def accepted(docs: DataFrame, refs: list[tuple[str, str]]) -> DataFrame:
+    """Documents in one of the languages, with their own columns: a language was found and, for texts long enough to tell, its reference
+    explains the text."""
+    C.bounded(docs.sparkSession)
+
+    def run(batches):
+        for block in C.blocks(batches):
+            lang, _, rate, letters = (a.to_numpy(zero_copy_only=False) for a in parser(refs)(block))
+            yield block.filter(pa.array((lang != "und") & ~((letters >= CERTAIN) & (rate > LOST))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,9 @@ def test_stages_bear_odd_rows(spark, odd, none):
     for docs in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:4]:
             docs, before = C.stored(stage(spark, docs, SMALL), "t"), docs
-            assert docs.columns == before.columns, name
+            assert docs.dtypes == before.dtypes, name
+            rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+            assert docs.select(rest).exceptAll(before.select(rest)).count() == 0, name
         last = corpus_pipeline.STAGES[4][1](spark, docs, SMALL)
         assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
