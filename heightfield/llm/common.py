@@ -6,7 +6,6 @@ bounded block whatever the partition size; one text is never cut.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heightfield.plans.iterate import scratch_dir
+
 # Rows a Python task is handed at once; texts are grouped again by bytes inside the task.
 BATCH_ROWS = 1024
 # Bytes of text that a task treats together (one longer text is treated alone).
@@ -37,18 +38,10 @@ def bounded(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    folder = scratch_dir(df.sparkSession).rstrip("/")  # spark.checkpoint.dir, or in local mode one of our own
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
