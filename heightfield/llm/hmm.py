@@ -14,6 +14,8 @@ text every score is 0; repeated rows count and are scored each; a null id is nev
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 from heightfield.llm import common as C
 
 STATES, PASSES = 8, 2
+# Steps of an octave in which counts are told apart when the commonest words are chosen.
+LEVELS = 12
 # Commonest words that are symbols of their own, commonest words whose counts the tasks hold, and classes of spelling.
 WORDS, KNOWN, CLASSES = 16_384, 262_144, 1024
-# Rows and rounds of the start, tokens of a training stretch, tokens scored together, weight of the corpus counts in each state.
-START_ROWS, START_ROUNDS, STRETCH, TOGETHER, PRIOR = 300, 12, 1024, 2_000_000, 60.0
+# Rows and rounds of the start, tokens of a training stretch, weight of the corpus counts in each state.
+START_ROWS, START_ROUNDS, STRETCH, PRIOR = 300, 12, 1024, 60.0
+# Tokens learned from and scored together in a task.
+LEARNED, TOGETHER = 300_000, 1_000_000
 # The word hash that stands for the end of a text.
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
@@ -73,21 +79,22 @@ class Lexicon:
     def __init__(self, vocab: DataFrame):
         n = F.col("n")
         self.total, self.distinct = (int(x or 0) for x in vocab.agg(F.sum(n), F.count(n)).first())
-        heap = vocab.groupBy("n").count().orderBy(F.desc("n")).toArrow()  # one row per different count
-        counts, many = heap.column("n").to_numpy(), np.cumsum(heap.column("count").to_numpy())
+        level = F.floor(F.log2("n") * LEVELS)  # counts by steps of a twelfth of an octave: a few hundred rows at any size
+        heap = vocab.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+        many = np.cumsum([r["count"] for r in heap])
 
-        def least(room: int) -> int:  # words at least so frequent fit the room
-            fits = np.flatnonzero(many <= room)
-            return int(counts[fits[-1]]) if len(fits) else (int(counts[0]) + 1 if len(counts) else 1)
+        def least(room: int) -> int:  # words of this level and above fit the room
+            fits = int(np.searchsorted(many, room, side="right"))
+            return heap[fits - 1]["level"] if fits else (heap[0]["level"] + 1 if heap else 0)
 
         common, own = least(KNOWN), least(WORDS)
         end = F.col("h") == int(END.view(np.int64))
-        got = vocab.filter((n >= common) | end).toArrow()
+        got = vocab.withColumn("level", level).filter((F.col("level") >= common) | end).toArrow()
         h, c = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
         order = np.argsort(h)
         self.hash, self.count = h[order], c[order]
-        self.least = common
-        mine = (self.count >= own) & (self.hash != END)
+        self.away = (level < common) & ~end  # words whose counts only the table has
+        mine = (got.column("level").to_numpy()[order] >= own) & (self.hash != END)
         self.symbol = np.full(len(self.hash), -1, np.int64)
         self.words = int(mine.sum())
         self.symbol[mine] = np.arange(self.words)
@@ -96,7 +103,7 @@ class Lexicon:
         # words in a class, and what they count
         self.mass = np.ones(CLASSES, np.int64)
         class_count = np.zeros(CLASSES, np.int64)
-        for r in vocab.filter((n < own) & ~end).groupBy("kind").agg(F.sum(n).alias("t"), F.count(n).alias("v")).collect():  # one row per class
+        for r in vocab.filter((level < own) & ~end).groupBy("kind").agg(F.sum(n).alias("t"), F.count(n).alias("v")).collect():  # one row per class
             self.mass[r["kind"]] += r["t"] + r["v"]
             class_count[r["kind"]] = r["t"]
         self.weight = np.ones(self.symbols)
@@ -104,6 +111,12 @@ class Lexicon:
         self.weight[self.words + 1:] += class_count
         self.weight /= self.weight.sum()
 
+    def carried(self) -> Lexicon:
+        """The same without what belongs to the driver's session."""
+        out = copy.copy(self)
+        out.away = None
+        return out
+
     def look(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each token, and its count (-1 where the tasks do not hold it)."""
         at = np.searchsorted(self.hash, h)
@@ -210,16 +223,27 @@ def _start(texts: DataFrame, lexicon: Lexicon) -> Model:
 def train(texts: DataFrame, lexicon: Lexicon, passes: int = PASSES) -> Model:
     """Baum-Welch: every pass sums expected counts over all texts in Spark."""
     C.bounded(texts.sparkSession)
+    lexicon = lexicon.carried()
     model = _start(texts, lexicon)
     names = [f"s{k}" for k in range(STATES)]
     schema = "row int, " + ", ".join(f"{s} double" for s in names)
     for _ in range(passes):
         def expected(batches, model=model):
-            sums = None
+            sums, held, size = None, [], 0
+
+            def add(sums):
+                at = np.concatenate([np.zeros(1, np.int64), *(a[1:] + n for (_, a), n in zip(held, np.cumsum([0, *(len(x) for x, _ in held)])))])
+                got = expectations(Lanes(np.concatenate([x for x, _ in held]), *stretches(at)), model.first, model.move, model.emit)
+                return got if sums is None else tuple(a + b for a, b in zip(sums, got))
+
             for block in C.blocks(batches):
                 h, kind, at = read(block)
-                got = expectations(Lanes(lexicon.look(h, kind)[0], *stretches(at)), model.first, model.move, model.emit)
-                sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
+                held.append((lexicon.look(h, kind)[0], at))
+                size += len(h)
+                if size >= LEARNED:
+                    sums, held, size = add(sums), [], 0
+            if held:
+                sums = add(sums)
             if sums is not None:
                 full = np.flatnonzero(sums[2].any(axis=1))
                 rows = np.concatenate([full, -1 - np.arange(STATES), [-1 - STATES]]).astype(np.int32)
@@ -250,6 +274,7 @@ def scored(docs: DataFrame, vocab: DataFrame, lexicon: Lexicon, model: Model, ke
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint, known bigint, logs double, score double, rare array<bigint>"])
     carried = list(dict.fromkeys([*keep, "text"]))
     class_log = np.log10(lexicon.mass)
+    lexicon, away = lexicon.carried(), lexicon.away
 
     def finish(held):
         at = np.concatenate([[0], np.cumsum([len(s) for *_, s in held])])
@@ -289,7 +314,7 @@ def scored(docs: DataFrame, vocab: DataFrame, lexicon: Lexicon, model: Model, ke
     first = C.stored(first, "scored")
     # counts of the words that the tasks do not hold: joined by word, summed by text
     asked = first.select("at", F.explode("rare").alias("h")).groupBy("at", "h").count()
-    told = vocab.filter(F.col("n") < lexicon.least).select("h", "n")
+    told = vocab.filter(away).select("h", "n")
     answer = asked.join(told, "h").groupBy("at").agg(F.sum("count").alias("more"), F.sum(F.col("count") * F.log10(F.col("n") + 1.0)).alias("extra"))
     both = first.drop("rare").join(answer, "at", "left")
     extra, more = F.coalesce("extra", F.lit(0.0)), F.coalesce("more", F.lit(0))
