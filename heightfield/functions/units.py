@@ -37,9 +37,9 @@ def units_table(spark: SparkSession) -> DataFrame:
 
 
 def _lookup(symbol: Column, position: int, extra: list[tuple] | None = None) -> Column:
-    table = UNITS + list(extra or [])
-    pairs = [F.lit(v) for u in table for v in (u[0], u[position])]
-    return F.create_map(*pairs)[symbol]
+    # one literal map in one expression: built column by column it costs a call to the JVM per entry
+    pairs = ", ".join(f"'{u[0]}', " + (f"{u[position]!r}D" if position > 1 else f"'{u[position]}'") for u in UNITS + list(extra or []))
+    return F.expr(f"map({pairs})")[symbol]
 
 
 # Units that operations compose: a product, a product with a squared first factor, and the inverse of a length.
@@ -66,7 +66,7 @@ def _offset_of(symbol: Column, extra=None) -> Column:
 
 
 def is_length(symbol: Column) -> Column:
-    return F.coalesce(dimension_of(symbol) == "Length", F.lit(False))
+    return F.coalesce(_lookup(symbol, 1) == "Length", F.lit(False))  # no composed unit is a length
 
 
 def convert(value: Column, source: Column, target: Column, extra=None) -> Column:
