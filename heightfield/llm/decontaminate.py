@@ -1,14 +1,10 @@
 """Documents that hold a benchmark item, also with words added, dropped or changed.
 
-Words (letters and digits, lower case) are the symbols.  The random walk of Chakraborty, Goldenberg and Koucky maps edit distance to Hamming
-distance: a window is read from its start, each step writes the current word and moves on or stays by a random bit of that word.
-Repetitions with fresh bits each sample a few places of the walk as a bucket key; a window of a document that shares
-a bucket with an item of its size is a candidate, and the edit distance to the whole item decides.
-
-Windows stand at every word and have the size of the items' size class (sizes a quarter apart; an item takes the largest class within it).
-Windows with too few words, or pairs of neighbouring words, that occur in any item are passed over: each edit spoils one word
-and two pairs, so they are further from every item than the limit.
-The number of repetitions is what the items themselves, edited at random, need for the wanted recall.
+Words (letters and digits, lower case) are the symbols.  An item that may have k edits is cut into k + 1 pieces of neighbouring words.
+An edit spoils at most one piece, so whatever is within the limit holds at least one piece word by word, and no more than k words
+from where the item has it: every place of a piece in a document is a candidate, whatever the length of the item and wherever
+the text ends.  Candidates with too few words of the item around them are further away than the limit; the edit distance to the whole item
+decides on the rest.  Nothing within the limit is passed over.
 
 Defined results: null, empty and wordless texts and items match nothing; items under eight words must match word by word; a document
 that holds an item several times is reported with the closest place (the first of equals); repeated rows are
@@ -29,9 +25,7 @@ from heightfield.llm import common as C
 
 # Edits per word that still count as the item, for items of at least SHORT words.
 RATE, SHORT = 0.25, 8
-# Sampled places of one repetition, the edit rate and recall it is designed for, and bounds of their number.
-SAMPLED, DESIGN, RECALL, LEAST, MOST = 4, 0.15, 0.99, 6, 64
-# Items looked for in one pass over the documents, and words searched together.
+# Items looked for in one pass over the documents, and words (or candidates) searched together.
 ITEMS, TOGETHER = 8192, 1_000_000
 
 _BREAK = np.ones(256, dtype=bool)
@@ -47,24 +41,20 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return C.spans_hash(data, starts, ends), at
 
 
-def pairs(x: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words."""
-    return C.mix(x[:-1] * np.uint64(0x9FB21C651E98DF25) + x[1:])
+def grams(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n neighbouring words."""
+    count = max(len(x) - n + 1, 0)
+    key = np.full(count, np.uint64(n), np.uint64)
+    for k in range(n):
+        key = C.mix(key * np.uint64(0x9FB21C651E98DF25) + x[k:k + count])
+    return key
 
 
-def walk(x: np.ndarray, start: np.ndarray, size: int, salt: int, places: np.ndarray) -> np.ndarray:
-    """Bucket keys: the words that the walk from each start writes at the sampled places (nothing beyond the window)."""
-    pos, stop = start.copy(), start + size
-    key = np.full(len(start), np.uint64(salt), np.uint64)
-    sampled = set(places.tolist())
-    for step in range(int(places[-1]) + 1):
-        inside = pos < stop
-        word = np.where(inside, x[np.minimum(pos, len(x) - 1)], np.uint64(0))
-        if step in sampled:
-            key = C.mix(key * np.uint64(0x9FB21C651E98DF25) + word)
-        odd = np.uint64((salt * (2 * step + 1) | 1) & 0xFFFFFFFFFFFFFFFF)
-        pos += ((word * odd) >> np.uint64(63)).astype(np.int64)
-    return key
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start up to its stop, and which start each belongs to."""
+    n = stop - start
+    who = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + start[who], who
 
 
 def limit(n: int) -> int:
@@ -84,95 +74,90 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Buckets of a block of items."""
+    """Pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         data = [t.encode("utf-8", "surrogatepass") for _, t in items]
         off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
         self.words, self.at = word_hashes(np.frombuffer(b"".join(data), np.uint8), off) if items else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         self.ids = [i for i, _ in items]
-        size = np.diff(self.at)
-        self.seen, self.beside = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
-        self.seen[self.words >> np.uint64(44)] = True
-        self.beside[pairs(self.words) >> np.uint64(44)] = True
-        ladder = [1]
-        while size.size and ladder[-1] < size.max():
-            ladder.append(max(ladder[-1] + 1, int(ladder[-1] * 1.25)))
-        place = np.searchsorted(ladder, size, side="right") - 1
-        self.classes = []
-        for c in np.unique(place[size > 0]):
-            mine = np.flatnonzero(place == c)
-            width, largest = ladder[c], int(size[mine].max())
-            repeats = self.repetitions(mine, width)
-            buckets = []
-            for salt, places in repeats:
-                key = walk(self.words, self.at[mine], width, salt, places)
-                order = np.argsort(key, kind="stable")
-                buckets.append((salt, places, key[order], mine[order]))
-            self.classes.append((width, limit(largest), buckets))
-
-    def repetitions(self, mine: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
-        """Salts and places, as many as edited copies of the items need for the recall."""
-        rng = np.random.default_rng(width)
-        chosen, edited = [], []
-        for i in mine[rng.integers(0, len(mine), 64)]:
-            w = self.words[self.at[i]:self.at[i] + width].tolist()
-            for _ in range(max(1, round(DESIGN * width)) if width >= SHORT else 0):
-                p, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
-                w[p:p + (kind > 0)] = [int(rng.integers(0, 1 << 62))] if kind < 2 else []
-                w = w or [0]
-            edited.append(np.array((w + [1] * width)[:width], np.uint64))
-            chosen.append(i)
-        flat, starts = np.concatenate(edited), np.arange(len(edited)) * width
-        out, missed = [], np.ones(len(edited))
-        for r in range(MOST):
-            salt = int(rng.integers(1, 1 << 62))
-            bounds = np.linspace(0, max(2 * width, SAMPLED), SAMPLED + 1).astype(int)  # one place in each part of the walk
-            places = np.array([int(rng.integers(a, b)) for a, b in zip(bounds[:-1], bounds[1:])])
-            hit = walk(flat, starts, width, salt, places) == walk(self.words, self.at[np.array(chosen)], width, salt, places)
-            missed = missed * ~hit
-            out.append((salt, places))
-            if r + 1 >= LEAST and missed.mean() <= 1 - RECALL:
-                break
+        self.size = np.diff(self.at)
+        self.most = np.array([limit(n) for n in self.size.tolist()], np.int64)
+        self.member = np.zeros(1 << 22, bool)
+        self.member[self.own(self.words, np.repeat(np.arange(len(self.size)), self.size))] = True
+        full = np.flatnonzero(self.size)
+        part, which = ranges(np.zeros(len(full), np.int64), self.most[full] + 1)
+        owner = full[which]
+        first = part * self.size[owner] // (self.most[owner] + 1)
+        length = (part + 1) * self.size[owner] // (self.most[owner] + 1) - first
+        self.pieces = []
+        for n in np.unique(length).tolist():
+            mine = length == n
+            key = grams(self.words, n)[self.at[owner[mine]] + first[mine]]
+            order = np.argsort(key, kind="stable")
+            held = np.zeros(1 << 20, bool)
+            held[key >> np.uint64(44)] = True
+            self.pieces.append((n, held, key[order], owner[mine][order], first[mine][order]))
+
+    @staticmethod
+    def own(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Place of a word of an item among the members."""
+        return C.mix(words + item.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(42)
+
+    def candidates(self, x: np.ndarray, at: np.ndarray):
+        """Texts, items and stretches (from, to) around each place of a piece that have enough words of the item."""
+        last = np.repeat(at[1:], np.diff(at))  # end of the text that holds each word
+        for n, held, keys, owners, firsts in self.pieces:
+            key = grams(x, n)
+            place = np.flatnonzero(held[key >> np.uint64(44)])
+            place = place[place + n <= last[place]]
+            lo, hi = np.searchsorted(keys, key[place], "left"), np.searchsorted(keys, key[place], "right")
+            place, lo, hi = place[hi > lo], lo[hi > lo], hi[hi > lo]
+            upto = np.concatenate([[0], np.cumsum(hi - lo)])
+            for a in range(0, int(upto[-1]), TOGETHER):
+                hit = np.arange(a, min(a + TOGETHER, int(upto[-1])))
+                who = np.searchsorted(upto, hit, side="right") - 1
+                piece = hit - upto[who] + lo[who]
+                item, start = owners[piece], place[who] - firsts[piece]
+                text = np.searchsorted(at, place[who], side="right") - 1
+                order = np.lexsort((start, item, text))
+                text, item, start = text[order], item[order], start[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(start) != 0)
+                text, item, start = text[new], item[new], start[new]
+                begin = np.maximum(at[text], start - self.most[item])
+                stop = np.minimum(at[text + 1], start + self.size[item] + self.most[item])
+                enough = self.enough(x, item, begin, stop)
+                yield np.stack([text[enough], item[enough], begin[enough], stop[enough]])
+
+    def enough(self, x: np.ndarray, item: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether a stretch has as many words of the item as the limit asks for."""
+        out = np.zeros(len(item), bool)
+        group = (np.cumsum(stop - begin) - (stop - begin)) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(item)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at, who = ranges(begin[a:b], stop[a:b])
+            count = np.bincount(who[self.member[self.own(x[at], item[a:b][who])]], minlength=b - a)
+            out[a:b] = count >= self.size[item[a:b]] - self.most[item[a:b]]
         return out
 
     def search(self, x: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item): (distance, first word, words) of the closest place, for all pairs within the limit."""
-        known = np.concatenate([[0], np.cumsum(self.seen[x >> np.uint64(44)])])
-        joined = np.concatenate([[0], np.cumsum(self.beside[pairs(x) >> np.uint64(44)]), [0]])
-        last = np.repeat(at[1:], np.diff(at))  # end of the text that holds each word
-        spots = []
-        for width, slack, buckets in self.classes:
-            here = np.arange(len(x))
-            stop = np.minimum(here + width, last)
-            # within the limit, all but ``slack`` words and all but twice as many neighbouring pairs occur in the item
-            start = np.flatnonzero(known[stop] - known[here] >= width - slack)
-            start = start[joined[stop[start] - 1] - joined[start] >= width - 1 - 2 * slack]
-            if not len(start):
-                continue
-            # a window near the end of a text is read as if nothing followed
-            x_end = np.minimum(width, last[start] - start)
-            for salt, places, keys, owners in buckets:
-                full = x_end == width
-                key = walk(x, start[full], width, salt, places)
-                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                n = hi - lo
-                if n.any():
-                    who = np.repeat(np.arange(len(key)), n)
-                    which = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + lo[who]
-                    spots.append(np.stack([start[full][who], owners[which]]))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        spots = list(self.candidates(x, at))
         if not spots:
             return found
-        spots = np.unique(np.concatenate(spots, axis=1), axis=1)
-        text = np.searchsorted(at, spots[0], side="right") - 1
-        # places within a quarter of an item are looked at once
-        size = np.diff(self.at)[spots[1]]
-        _, once = np.unique(np.stack([text, spots[1], spots[0] // np.maximum(size // 4, 1)]), axis=1, return_index=True)
-        for p, i, t in zip(spots[0][once].tolist(), spots[1][once].tolist(), text[once].tolist()):
-            item = self.words[self.at[i]:self.at[i + 1]]
-            most = limit(len(item))
-            lo, hi = max(int(at[t]), p - len(item) // 2 - most), min(int(at[t + 1]), p + len(item) + len(item) // 2 + most)
+        spots = np.concatenate(spots, axis=1)
+        spots = spots[:, np.lexsort((spots[2], spots[1], spots[0]))]
+        # stretches of one text and item that touch are looked at once
+        joined: list[list[int]] = []
+        for t, i, lo, hi in spots.T.tolist():
+            if joined and joined[-1][:2] == [t, i] and lo <= joined[-1][3]:
+                joined[-1][3] = max(joined[-1][3], hi)
+            else:
+                joined.append([t, i, lo, hi])
+        for t, i, lo, hi in joined:
+            item, most = self.words[self.at[i]:self.at[i + 1]], int(self.most[i])
             if np.count_nonzero(np.isin(item, x[lo:hi])) < len(item) - most:  # more words are missing than edits allowed
                 continue
             d, end = distance(item, x[lo:hi])

@@ -242,6 +242,32 @@ def test_edited_items_are_found_and_nothing_else(spark):
         assert edit_distance(item[r["item_id"]].split(), words[r["first_word"]:r["first_word"] + r["n_words"]]) == r["distance"]
 
 
+def searched(items, docs):
+    x, at = decontaminate.word_hashes(*C.text_of(batch([" ".join(d) for d in docs])))
+    return decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)]).search(x, at)
+
+
+def test_items_with_words_dropped_are_found_alone_and_at_the_end_of_a_text():
+    rng = np.random.default_rng(4)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((8, 10, 12, 15, 18, 20, 22, 27, 33, 41, 51, 63))]
+    docs, want = [], {}
+    for k, w in enumerate(items):
+        for n in range(1, len(w) // 4 + 1):
+            for rest in (w[:-n], w[n:], [w[j] for j in sorted(rng.permutation(len(w))[n:])]):
+                for before in ([], ["other", "words", "first"]):
+                    want[len(docs), k] = n
+                    docs.append(before + rest)
+    assert {p: d for p, (d, _, _) in searched(items, docs).items()} == want
+
+
+def test_pairs_found_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    items = [[f"w{v}" for v in rng.integers(0, 6, n)] for n in range(1, 25)]
+    docs = [[f"w{v}" for v in rng.integers(0, 7, n)] for n in rng.integers(0, 40, 120)]
+    want = {(t, i): d for t, doc in enumerate(docs) for i, w in enumerate(items) if (d := edit_distance(w, doc)) <= decontaminate.limit(len(w))}
+    assert {p: d for p, (d, _, _) in searched(items, docs).items()} == want
+
+
 def test_decontamination_of_odd_rows(odd, none, spark):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the LAZY dog"), (2, None), (3, ""), (4, "x"), (5, "!!"), (None, "hund"), (6, "haus " * 3)],
                                   "item_id int, text string")
