@@ -260,6 +260,23 @@ def test_items_with_words_dropped_are_found_alone_and_at_the_end_of_a_text():
     assert {p: d for p, (d, _, _) in searched(items, docs).items()} == want
 
 
+def test_recall_does_not_depend_on_the_length_of_the_item():
+    rng = np.random.default_rng(8)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((8, 20, 50, 100, 200, 400))]
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        for _ in range(20):
+            w = list(item)
+            for _ in range(len(w) // 4):
+                p, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+                w[p:p + (kind > 0)] = ["zz"] if kind < 2 else []
+            want.add((len(docs), k))
+            docs.append([f"before{j}" for j in range(len(docs) % 3 * 10)] + w + ["after"] * 60)
+    found = searched(items, docs)
+    assert set(found) == want
+    assert all(found[t, k][0] == edit_distance(items[k], docs[t]) for t, k in want if k < 4)
+
+
 def test_pairs_found_are_those_of_brute_force():
     rng = np.random.default_rng(6)
     items = [[f"w{v}" for v in rng.integers(0, 6, n)] for n in range(1, 25)]
