@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 Per language a bounded reference text is drawn from labelled rows and indexed by a suffix automaton.  A text is
-parsed greedily into the longest pieces that occur in the reference; the number of phrases times the bits
-of one reference position, per symbol, estimates the cross entropy, and the language with the least wins.
+parsed greedily into the longest pieces that occur in the reference; a phrase costs the bits of one reference position and
+of its length, a symbol that the reference lacks also those of one symbol of the alphabet.  The cost per symbol estimates the cross
+entropy, and the language with the least wins; a reference of few symbols has cheap positions, but short phrases and many lacking symbols.
 
 Text is lower-cased and every run of non-letters becomes one separator.  The parse restarts every ``SEGMENT`` symbols
 in all languages alike, so that the segments of a text (all of them) advance side by side.
@@ -26,10 +27,12 @@ from heightfield.llm import common as C
 ROWS, WINDOW = 160, 256
 # Symbols after which the parse restarts.
 SEGMENT = 256
+# Bits for the length of a phrase.
+LENGTH = 2
 # Letters told apart; beyond that many, several letters share a symbol (in references and texts alike).
 ALPHABET = 400
 # A text of at least this many letters whose phrases are shorter than two letters on average is in none of the languages,
-# provided that the references are long enough to tell (in bits of a position).
+# provided that the reference of its language is long enough to tell (in bits of a position).
 CERTAIN, LOST, TELLING = 100, 0.5, 12
 
 
@@ -116,6 +119,9 @@ class Parser:
         seqs = [self.symbols(p, np.array([0, len(p)]))[0] for p in points]
         self.tables = [parse_table(automaton(s), self.width) for s in seqs]
         self.bits = np.array([np.log2(max(len(s), 2)) for s in seqs])
+        self.lacks = np.ones((len(seqs), self.width), bool)
+        for j, s in enumerate(seqs):
+            self.lacks[j, s] = False
 
     def symbols(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols with one separator for each run of non-letters, and the offsets of each text."""
@@ -158,6 +164,13 @@ class Parser:
             out[:, j] = np.bincount(owner, found, len(size)).astype(np.int64)
         return out
 
+    def literals(self, s: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Symbols per text that each language's reference lacks."""
+        out = np.zeros((len(off) - 1, len(self.langs)), np.int64)
+        for j, lacks in enumerate(self.lacks):
+            out[:, j] = np.bincount(np.searchsorted(off, np.flatnonzero(lacks[s]), side="right") - 1, minlength=len(off) - 1)
+        return out
+
     def __call__(self, batch: pa.RecordBatch):
         data, off = C.text_of(batch)
         points, off = C.code_points(data, off)
@@ -168,7 +181,7 @@ class Parser:
         if not self.langs:
             return self.answer(np.full(len(n), -1), np.zeros(len(n)), np.zeros(len(n)), letters)
         phrases = self.counts(s, off)
-        rate = phrases * self.bits / np.maximum(n, 1)[:, None]
+        rate = (phrases * (self.bits + LENGTH) + self.literals(s, off) * np.log2(self.width)) / np.maximum(n, 1)[:, None]
         best = np.argmin(rate, axis=1)
         row = np.arange(len(n))
         first = rate[row, best]
@@ -180,7 +193,7 @@ class Parser:
             second = np.maximum(self.bits[0], first)
         score = np.where(first + second > 0, second / np.maximum(first + second, 1e-300), 0.5)
         none = letters == 0
-        rate = np.where(none | (self.bits.max() < TELLING), 0.0, phrases[row, best] / np.maximum(n, 1))
+        rate = np.where(none | (self.bits[best] < TELLING), 0.0, phrases[row, best] / np.maximum(n, 1))
         return self.answer(np.where(none, -1, best), np.where(none, 0.0, score), rate, letters)
 
     def answer(self, best, score, rate, letters):
@@ -201,14 +214,14 @@ def parser(refs: list[tuple[str, str]]) -> Parser:
 
 
 def identify(docs: DataFrame, refs: list[tuple[str, str]], keep: list[str]) -> DataFrame:
-    """``keep`` plus lang_pred, score (0.5 to 1, the share of the runner-up's rate; 0 for und), phrase_rate (0 where there is too
-    little reference to tell) and n_letters."""
+    """``keep`` plus lang_pred, score (0.5 to 1, the share of the runner-up's rate; 0 for und), phrase_rate (0 where the language has
+    too little reference to tell) and n_letters."""
     return C.extend(docs, lambda batch: parser(refs)(batch), "lang_pred string, score double, phrase_rate double, n_letters bigint", keep)
 
 
 def accepted(docs: DataFrame, refs: list[tuple[str, str]]) -> DataFrame:
-    """Documents in one of the languages, with their own columns: a language was found and, for texts long enough to tell, its reference
-    explains the text."""
+    """Documents in one of the languages, with their own columns: a language was found and, for texts and references long enough to tell,
+    its reference explains the text."""
     C.bounded(docs.sparkSession)
 
     def run(batches):

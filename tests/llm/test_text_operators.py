@@ -73,6 +73,27 @@ def test_languages_of_held_out_rows(spark):
     assert found.filter("score < 0 or score > 1 or lang_pred is null").count() == 0 and found.count() == truth.count()
 
 
+@pytest.mark.parametrize("stray", ["ok", "e ta", "ok thanks for the help"])
+def test_one_short_row_of_a_language_takes_no_other_texts(spark, stray):
+    docs = C.table(spark, MIDDLE, "documents").filter(C.crc_mod("doc_id", 3) == 1)
+    refs = langid.references(C.table(spark, MIDDLE, "documents").filter(C.crc_mod("doc_id", 3) != 1))
+    found = langid.identify(docs, [*refs, ("xx", stray)], ["doc_id", "lang"])
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.96
+    assert langid.accepted(docs, [*refs, ("xx", stray)]).count() == langid.accepted(docs, refs).count()
+
+
+@pytest.mark.parametrize("size", [256, 1024])
+def test_a_language_with_little_labelled_text_is_found_and_kept(spark, size):
+    docs = C.table(spark, MIDDLE, "documents").filter(C.crc_mod("doc_id", 3) == 1)
+    refs = langid.references(C.table(spark, MIDDLE, "documents").filter(C.crc_mod("doc_id", 3) != 1))
+    refs = [(lang, text[:size] if lang == "de" else text) for lang, text in refs]
+    found = langid.identify(docs, refs, ["doc_id", "lang"])
+    right = dict(found.groupBy(F.col("lang") == "de").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).collect())
+    assert right[True] > 0.96 and right[False] > 0.96
+    german = docs.filter("lang = 'de'")
+    assert langid.accepted(german, refs).count() == german.count()
+
+
 def test_language_of_odd_rows(odd, none):
     refs = langid.references(odd)
     found = [tuple(r) for r in langid.identify(odd, refs, ["doc_id", "source", "score"]).select("doc_id", "lang_pred", "score", "source").collect()]
