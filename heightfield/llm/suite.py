@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightfield.llm import common as C
-from heightfield.llm import decontaminate, hmm, langid, minhash, neighbours, packing, pii, secrets, sharding, toxicity
+from heightfield.llm import decontaminate, hmm, langid, merkle, minhash, neighbours, packing, pii, secrets, sharding, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -109,3 +109,11 @@ def op9_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = C.table(spark, folder, "documents")
     return secrets.find(docs, secrets.learn(docs), ["doc_id"])
+
+
+ORACLE["op11_merkle_manifest"] = sql.hash_tree()
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(C.table(spark, folder, "documents"))
