@@ -57,3 +57,13 @@ b AS (SELECT a AS word, count(*) AS n_near, first(p.b ORDER BY v.n DESC, p.b) AS
 f AS MATERIALIZED (SELECT v.word, CASE WHEN most >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN most END AS form_n FROM v LEFT JOIN b USING (word)),
 r(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL"""
+
+
+# Windows of 20 words of equal words are ranked by place; words of any but the first go.
+REPEATS = r"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+k AS (SELECT r, doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS s FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+g AS (SELECT r, i FROM (SELECT r, i, rank() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, i) AS n FROM k) WHERE n > 1),
+x AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS j FROM g),
+t AS (SELECT w.r, u.j, ws[u.j] AS v FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS j) u),
+o AS (SELECT t.r, count(x.j) AS n_removed, sha256(coalesce(string_agg(t.v, ' ' ORDER BY t.j) FILTER (WHERE x.j IS NULL), '')) AS kept_sha256 FROM t LEFT JOIN x ON x.r = t.r AND x.j = t.j GROUP BY 1)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(o.n_removed, 0) AS n_removed, coalesce(o.kept_sha256, sha256('')) AS kept_sha256 FROM w LEFT JOIN o USING (r)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightfield.llm import common as C
-from heightfield.llm import decontaminate, hmm, langid, merkle, minhash, neighbours, packing, pii, secrets, sharding, sql, toxicity, variants
+from heightfield.llm import decontaminate, hmm, langid, merkle, minhash, neighbours, packing, pii, secrets, sharding, sql, substrings, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -119,6 +119,15 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified(C.table(spark, folder, "documents"))
 
 
+ORACLE["op12_substring_dedup"] = sql.REPEATS
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.deduplicated(C.table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 ORACLE["op13_spelling_variants"] = sql.VARIANTS
 
 
