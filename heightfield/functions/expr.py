@@ -81,8 +81,8 @@ GAUSS_ALPHA = math.sqrt(math.log(2.0) / math.pi)
 
 
 def gauss_reach(cutoff, step: Column) -> Column:
-    """Samples on each side covered by the Gaussian weighting function (four sigma, at least one)."""
-    return F.greatest(F.lit(1), F.ceil(4.0 * (GAUSS_ALPHA * _lit(cutoff) / step))).cast("int")
+    """Samples on each side covered by the Gaussian weighting function (four sigma, at least one), within what an index can hold."""
+    return F.least(F.lit(1 << 30), F.greatest(F.lit(1), F.ceil(4.0 * (GAUSS_ALPHA * _lit(cutoff) / step)))).cast("int")
 
 
 def _lit(value):

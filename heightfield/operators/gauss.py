@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from heightfield.functions.expr import GAUSS_ALPHA, finite, floordiv, gauss_reach
+from heightfield.functions.expr import GAUSS_ALPHA, INF, NAN, finite, floordiv, gauss_reach, total
 from heightfield.functions.regions import Region
 from heightfield.functions.units import is_length, scale_of
 from heightfield.model import CurveSet, ImageSet, fitting
 from heightfield.operators.regions import masked_pixels, region_moments, region_table
 from heightfield.operators.statistics import areal, curve_moments, fill_missing, image_moments, profile
-from heightfield.plans.layout import (CHUNK, TILE, chunk_samples, halo_chunks, halo_tiles, tile_pixels,
+from heightfield.plans.layout import (CHUNK, TILE, attach, chunk_samples, halo_chunks, halo_tiles, tile_pixels,
                                       with_curve_geometry, with_geometry)
 
 BANDS = ("Roughness", "Waviness")
@@ -81,13 +81,28 @@ def filterable_curves(curves: CurveSet, cutoff: float, whole: bool = False) -> D
 
 
 def gaussian_filter(curves: CurveSet, band: str = "Roughness", cutoff: float = 0.8, chunk: int = CHUNK) -> CurveSet:
-    """Split each curve at wavelength ``cutoff`` (in its X unit); curves the cutoff cannot apply to are left out."""
+    """Split each curve at wavelength ``cutoff`` (in its X unit); curves the cutoff cannot apply to are left out.
+
+    A kernel shorter than its curve smooths chunk by chunk; one that reaches over the whole curve is folded onto the
+    period of the reflected curve, so its length costs nothing.  One small job over the catalog tells which curves are which.
+    """
     _cutoff_ok(cutoff)
     _band_ok(band)
     scans = filterable_curves(curves, cutoff)
-    kept = CurveSet(scans, samples=curves.samples, known_rows=curves.rows_if_known)
+    folds = 4.0 * GAUSS_ALPHA * cutoff / F.abs(F.col("x.step")) >= F.col("x.count") - 1
+    rows, folded = scans.agg(F.count(F.lit(1)), F.count(F.when(folds, 1))).first()
+    kept = CurveSet(scans, samples=curves.samples, known_rows=rows)
+    parts = []
+    if folded:
+        parts.append(_by_period(CurveSet(scans.filter(folds), samples=curves.samples, known_rows=folded), band, cutoff))
+    if folded < rows or not parts:
+        parts.append(_by_chunks(CurveSet(scans.filter(~folds), samples=curves.samples, known_rows=rows - folded), band, cutoff, chunk))
+    return kept.with_samples(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+
+def _by_chunks(curves: CurveSet, band: str, cutoff: float, chunk: int) -> DataFrame:
     reach = gauss_reach(cutoff, F.abs(F.col("x.step")))
-    rows = with_curve_geometry(kept, reach=reach, size=F.greatest(F.lit(chunk), reach))
+    rows = with_curve_geometry(curves, reach=reach, size=F.greatest(F.lit(chunk), reach))
     packed = halo_chunks(rows, reach=F.col("reach"), size=F.col("size"), carry=("reach", "size", "dx"))
 
     @pandas_udf("array<float>")
@@ -105,7 +120,46 @@ def gaussian_filter(curves: CurveSet, band: str = "Roughness", cutoff: float = 0
         return out.astype(np.float32)
 
     out = packed.withColumn("out", run("p", "z", "i0", "cn", "a", "wn", "n", "reach", "dx"))
-    return kept.with_samples(chunk_samples(out, "out"))
+    return chunk_samples(out, "out")
+
+
+# Cosines of the reflected curve that a kernel reaching over the curve still passes: the next is damped by exp(-pi * 30^2 / 64).
+COSINES = 30
+
+
+def _by_period(curves: CurveSet, band: str, cutoff: float) -> DataFrame:
+    """The mean line of a kernel that reaches over the whole curve.
+
+    A reflected curve repeats after 2 (n - 1) samples, so it is a sum of n cosines, and a symmetric kernel only scales each of them.
+    A kernel this long leaves a handful: their amplitudes are plain sums over the samples, with map-side combine, whatever
+    the length of the curve or the cutoff.  Every output sees every sample, so one that is not finite reaches all of them.
+    """
+    c = F.col
+    last = F.greatest(c("n") - 1, F.lit(1)).cast("double")
+    turn = F.lit(np.pi) * c("i") / last
+    z = c("z").cast("double")
+    weight = F.when((c("i") == 0) | (c("i") == c("n") - 1), 1.0).otherwise(2.0) * F.when(finite(z), z).otherwise(0.0)
+    rows = with_curve_geometry(curves)
+    sums = rows.groupBy("dataset_id", "n", "dx").agg(
+        *[F.sum(weight * F.cos(j * turn)).alias(f"s{j}") for j in range(COSINES)], F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(F.isnan("z"), 1)).alias("nans"), F.count(F.when(z == F.lit(INF), 1)).alias("ups"), F.count(F.when(z == F.lit(-INF), 1)).alias("downs"))
+    sigma = F.lit(GAUSS_ALPHA * cutoff) / c("dx")
+    period = F.greatest(2 * (c("n") - 1), F.lit(1)).cast("double")
+
+    def passed(frequency):
+        """Sum over the kernel's samples at a frequency, up to a factor common to all frequencies."""
+        return F.aggregate(F.sequence(F.lit(-4), F.lit(4)), F.lit(0.0), lambda s, m: s + F.exp(-np.pi * F.pow(sigma * (frequency + m), F.lit(2.0))))
+
+    def amplitude(s, j):
+        both = F.when((j == 0) | (c("n") - 1 == j), 1.0).otherwise(2.0)
+        return F.when(c("n") > j, passed(j / period) / passed(F.lit(0.0)) * both / period * s).otherwise(0.0)
+
+    spoilt = (c("nans") > 0) | ((c("ups") > 0) & (c("downs") > 0)) | (c("rows") < c("n"))
+    level = F.when(spoilt, NAN).when(c("ups") > 0, INF).when(c("downs") > 0, -INF)
+    lines = sums.select("dataset_id", level.alias("level"), F.transform(F.array(*[f"s{j}" for j in range(COSINES)]), amplitude).alias("c"))
+    mean = F.coalesce("level", total([c("c")[j] * F.cos(j * turn) for j in range(COSINES)]))
+    out = mean if band == "Waviness" else z - mean
+    return attach(curves, rows, lines).select("dataset_id", "i", out.cast("float").alias("z"))
 
 
 def evaluation_window(n: Column, dx: Column, cutoff: float, lengths: int = SAMPLING_LENGTHS) -> dict[str, Column]:

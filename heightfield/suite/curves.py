@@ -232,6 +232,32 @@ def _(spark, path):
     return gauss.gaussian_filter(event_curves(spark, path, gaps=97), "Waviness", 0.8).samples
 
 
+def folded(cutoffs: str, reach_of: str) -> str:
+    """Mean line of a kernel of any length: its weights are summed per place of the reflected curve's period first."""
+    sigma = f"({math.sqrt(math.log(2) / math.pi)!r} * cut / 0.1)"
+    return f"""ct AS (SELECT dataset_id, n, 2 * (n - 1) AS p, {cutoffs} AS cut FROM len),
+fk AS (SELECT n, p, cut, k, exp(-pi() * k * k / ({sigma} * {sigma})) AS wt FROM (SELECT *, unnest(range(-{reach_of}, {reach_of} + 1)) AS k FROM (SELECT DISTINCT n, p, cut FROM ct))),
+fw AS MATERIALIZED (SELECT n, cut, ((k % p) + p) % p AS m, sum(wt) AS wt FROM fk GROUP BY ALL),
+ft AS MATERIALIZED (SELECT n, cut, sum(wt) AS wt FROM fw GROUP BY ALL),
+sm AS (SELECT c.dataset_id, c.i, any_value(c.z) AS z, sum(fw.wt * CAST(q.z AS DOUBLE)) / any_value(ft.wt) AS mean
+    FROM cv c JOIN ct USING (dataset_id) JOIN fw ON fw.n = ct.n AND fw.cut = ct.cut JOIN ft ON ft.n = ct.n AND ft.cut = ct.cut
+    JOIN cv q ON q.dataset_id = c.dataset_id AND q.i = ct.n - 1 - abs(ct.n - 1 - (c.i + fw.m) % ct.p) GROUP BY 1, 2)"""
+
+
+LONG = folded("40.0", "ceil(4 * 0.46971863934982566 * cut / 0.1)::BIGINT")
+
+
+@query("w5_long_cutoff", f"WITH {ev()}, {LONG} SELECT dataset_id, {b('i')}, round_even(CAST(z - mean AS FLOAT)::DOUBLE * 1e3, 0) / 1e3 + 0.0 AS z FROM sm")
+def _(spark, path):
+    return level_rows(gauss.gaussian_filter(event_curves(spark, path), "Roughness", 40.0))
+
+
+@query("w5_cutoff_beyond_all", f"""WITH {ev(97)}, av AS (SELECT dataset_id, sum(CASE WHEN i IN (0, n - 1) THEN 1 ELSE 2 END * CAST(z AS DOUBLE)) / any_value(2 * (n - 1)) AS mean
+    FROM cv JOIN len USING (dataset_id) GROUP BY 1) SELECT dataset_id, {b('i')}, round_even(CAST(mean AS FLOAT)::DOUBLE * 1e3, 0) / 1e3 + 0.0 AS z FROM cv JOIN av USING (dataset_id)""")
+def _(spark, path):
+    return level_rows(gauss.gaussian_filter(event_curves(spark, path, gaps=97), "Waviness", 1e9))
+
+
 # The first four orthogonal polynomials of a complete curve, centred on its middle.
 CUBIC = """
 tt AS (SELECT cv.*, i - (n - 1) / 2.0 AS t FROM cv JOIN len USING (dataset_id)),

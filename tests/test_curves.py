@@ -207,3 +207,34 @@ def test_long_kernels_do_not_depend_on_gaps_elsewhere():
     row[0, -1] = np.nan
     part = gauss.smooth_rows(row, weights, norm)
     assert np.array_equal(whole[0, :-1], part[0, :-1]) and np.isnan(part[0, -1])
+
+
+def reflected_mean(a, cutoff, dx):
+    """Mean line by a kernel summed sample by sample over the reflected curve."""
+    sigma = gauss.GAUSS_ALPHA * cutoff / dx
+    reach = math.ceil(4 * sigma)
+    k = np.arange(-reach, reach + 1)
+    w = np.exp(-np.pi * k * k / sigma**2)
+    at = gauss.mirror(np.arange(len(a))[:, None] + k[None, :], len(a))
+    return (w * a.astype(np.float64)[at]).sum(1) / w.sum()
+
+
+@pytest.mark.parametrize("cutoff", [0.2, 1.3, 2.9, 6.0, 21.0, 1e4])
+def test_kernels_of_any_length_equal_the_plain_sum(spark, cutoff):
+    arrays = [wave(k, n) for k, n in enumerate((1, 2, 3, 5, 24, 60, 61))]
+    got = lines(gauss.gaussian_filter(curves(spark, *arrays), "Waviness", cutoff))
+    for k, a in enumerate(arrays):
+        if cutoff < 1e4:
+            np.testing.assert_allclose(got[k], reflected_mean(a, cutoff, 0.1), rtol=1e-6, atol=1e-6, err_msg=f"{len(a)}")
+        else:
+            ends = np.r_[a[:-1], a[:0:-1]] if len(a) > 1 else a
+            np.testing.assert_allclose(got[k], np.full(len(a), ends.astype(float).mean()), rtol=1e-6, atol=1e-6)
+
+
+def test_longest_cutoff_runs_and_non_finite_samples_reach_all(spark):
+    a, up, both = wave(1, 300), wave(2, 300), wave(3, 300)
+    a[7], up[9], both[1], both[2] = NAN, np.inf, np.inf, -np.inf
+    got = lines(gauss.gaussian_filter(curves(spark, a, up, both, wave(4, 300)), "Waviness", 1e9))
+    assert np.isnan(got[0]).all() and np.isposinf(got[1]).all() and np.isnan(got[2]).all() and np.isfinite(got[3]).all()
+    rough = lines(gauss.gaussian_filter(curves(spark, wave(5, 300_000)), "Roughness", 1e9))[0]
+    assert rough.astype(float).mean() == pytest.approx(0, abs=1e-2)
