@@ -99,7 +99,10 @@ class _Members:
 
 @dataclass(frozen=True)
 class ImageSet(_Members):
+    """Images as pixels; ``lines`` holds the same samples packed by scan line where the source delivers whole lines."""
+
     pixels: DataFrame = field(kw_only=True)
+    lines: DataFrame | None = field(default=None, kw_only=True)
 
     def geometry(self, **extra: Column) -> DataFrame:
         """(dataset_id, w, h, ...) with one row per image."""
@@ -118,9 +121,13 @@ class ImageSet(_Members):
         """Largest pixel count of one image."""
         return self._facts[3] or 0
 
-    def with_pixels(self, pixels: DataFrame, scans: DataFrame | None = None) -> "ImageSet":
-        """Same members (or a rewritten catalog of them) over other pixels."""
-        return ImageSet(scans if scans is not None else self.scans, pixels=pixels, known_rows=self.rows_if_known)
+    def with_pixels(self, pixels: DataFrame, scans: DataFrame | None = None, lines: DataFrame | None = None) -> "ImageSet":
+        """Same members (or a rewritten catalog of them) over other pixels, and their lines where they are at hand."""
+        return ImageSet(scans if scans is not None else self.scans, pixels=pixels, lines=lines, known_rows=self.rows_if_known)
+
+    def among(self, scans: DataFrame) -> "ImageSet":
+        """The images of a smaller catalog; samples of others stay in the tables and drop out where the catalog is joined."""
+        return self.with_pixels(self.pixels, scans, self.lines)
 
 
 @dataclass(frozen=True)

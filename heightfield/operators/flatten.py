@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from heightfield.functions.expr import finite, gram_basis, gram_norm, total
+from heightfield.functions.expr import finite, gram_basis, gram_norm, nan, total
 from heightfield.model import CurveSet, ImageSet
 from heightfield.operators.statistics import column_mean
 from heightfield.plans.layout import attach, with_curve_geometry, with_geometry
+from heightfield.plans.lines import attach_lines, mapped, unpacked
 
 SCOPES = ("Line", "Whole", "Surface")
 ORIENTATIONS = ("FastAxis", "SlowAxis")
@@ -43,6 +44,8 @@ def flatten(images: ImageSet, scope: str = "Line", order: int = 1, orientation:
     _check("orientation", orientation, ORIENTATIONS)
     _check("basement", basement, BASEMENTS)
     _order_ok(order)
+    if scope == "Line" and orientation == "FastAxis" and images.lines is not None:
+        return _along_lines(images, order, basement)
     along, n, across = ("x", "w", "y") if orientation == "FastAxis" else ("y", "h", "x")
     base = with_geometry(images)
     if scope == "Surface":
@@ -52,12 +55,41 @@ def flatten(images: ImageSet, scope: str = "Line", order: int = 1, orientation:
     else:
         fitted = _whole(images, order, along, n)
     flat = fitted.select("dataset_id", "y", "x", "z", F.when(
-        F.col("base").isNull(), F.col("z")).otherwise(F.col("z") - F.col("base").cast("float")).alias("flat"))
+        F.col("base").isNull(), F.col("z")).when(finite(F.col("base")), F.col("z") - F.col("base").cast("float")).otherwise(nan().cast("float")).alias("flat"))
     if basement == "PreserveOriginalMidpoint":
         flat = _restore_midpoint(images, flat)
     return images.with_pixels(flat.select("dataset_id", "y", "x", F.col("flat").alias("z")))
 
 
+def _along_lines(images: ImageSet, order: int, basement: str) -> ImageSet:
+    """The fit per scan line on packed lines: no exchange of samples."""
+    def level(block: np.ndarray, _: dict) -> np.ndarray:
+        n = block.shape[1]
+        if n <= order:
+            return block
+        t = (2.0 * np.arange(n) - (n - 1)) / max(n - 1, 1)
+        basis = [np.ones(n), t]
+        for k in range(1, order):
+            basis.append(t * basis[k] - k * k * (n * n - k * k) / ((4.0 * k * k - 1.0) * (n - 1) ** 2) * basis[k - 1])
+        p = np.stack(basis[:order + 1], axis=1)
+        with np.errstate(invalid="ignore"):
+            fit = (block.astype(np.float64) @ p / (p * p).sum(axis=0)) @ p.T
+            fit[~np.isfinite(block).all(axis=1)] = np.nan
+            return block - fit.astype(np.float32)
+
+    given = attach_lines(images, images.lines, images.geometry()).select("dataset_id", "y", "z")
+    flat = mapped(given, level)
+    if basement == "PreserveOriginalMidpoint":
+        was, now = (unpacked(t).groupBy("dataset_id").agg(_middle("z").alias(name)) for t, name in ((given, "was"), (flat, "now")))
+        shift = was.join(now, "dataset_id").select("dataset_id", (F.col("was") - F.col("now")).cast("float").alias("shift"))
+        flat = attach_lines(images, flat, shift).select("dataset_id", "y", F.transform("z", lambda v: v + F.col("shift")).alias("z"))
+    return images.with_pixels(unpacked(flat), lines=flat)
+
+
+def _middle(value: str) -> Column:
+    return (F.max(F.col(value).cast("double")) + F.min(F.col(value).cast("double"))) / 2
+
+
 def _coefficients(basis: list[Column], norms: list[Column], value: Column) -> list[Column]:
     return [(F.sum(p * value) / F.first(g)).alias(f"a{k}") for k, (p, g) in enumerate(zip(basis, norms))]
 
@@ -101,8 +133,7 @@ def _surface(images: ImageSet, base: DataFrame, order: int) -> DataFrame:
 
 
 def _restore_midpoint(images: ImageSet, flat: DataFrame) -> DataFrame:
-    mids = flat.groupBy("dataset_id").agg(*[
-        ((F.max(F.col(v).cast("double")) + F.min(F.col(v).cast("double"))) / 2).alias(f"mid_{v}") for v in ("z", "flat")])
+    mids = flat.groupBy("dataset_id").agg(*[_middle(v).alias(f"mid_{v}") for v in ("z", "flat")])
     shift = mids.select("dataset_id", (F.col("mid_z") - F.col("mid_flat")).cast("float").alias("shift"))
     return attach(images, flat, shift).withColumn("flat", F.col("flat") + F.col("shift"))
 

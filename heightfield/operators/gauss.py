@@ -17,7 +17,8 @@ from heightfield.model import CurveSet, ImageSet, fitting
 from heightfield.operators.regions import masked_pixels, region_moments, region_table
 from heightfield.operators.statistics import areal, curve_moments, fill_missing, image_moments, profile
 from heightfield.plans.layout import (CHUNK, TILE, attach, chunk_samples, halo_chunks, halo_tiles, tile_pixels,
-                                      with_curve_geometry, with_geometry)
+                                      with_curve_geometry)
+from heightfield.plans.lines import attach_lines, lines_of, mapped
 
 BANDS = ("Roughness", "Waviness")
 SAMPLING_LENGTHS = 5  # fixed value: standard number of sampling lengths
@@ -212,7 +213,7 @@ def filterable_images(images: ImageSet, cutoff: float) -> DataFrame:
 
 
 def gaussian_areal_filter(images: ImageSet, band: str = "Roughness", cutoff: float = 0.8, tile: int = TILE) -> ImageSet:
-    """Separable Gaussian filter: one exchange of tiles with an X margin, one with a Y margin.
+    """Separable Gaussian filter: packed lines are smoothed where they lie, one exchange of tiles with a Y margin follows.
 
     The X pass hands its unrounded sums to the Y pass; only the result is rounded to float.
     """
@@ -220,17 +221,12 @@ def gaussian_areal_filter(images: ImageSet, band: str = "Roughness", cutoff: flo
     _band_ok(band)
     rx = gauss_reach(cutoff, F.abs(F.col("x.step")))
     ry = gauss_reach(cutoff, y_step_in_x_unit())
-    geometry = dict(rx=rx, ry=ry, dx=F.abs(F.col("x.step")), dy=y_step_in_x_unit(),
-                    tw=F.greatest(F.lit(tile), rx), th=F.greatest(F.lit(tile), ry))
+    geometry = dict(rx=rx, ry=ry, dx=F.abs(F.col("x.step")), dy=y_step_in_x_unit(), th=F.greatest(F.lit(tile), ry))
     names = tuple(geometry)
 
-    def along_x(p, z, x0, cw, wx, wh, ww, w, r, d):
-        block = np.full(wh * ww, np.nan, dtype=np.float32)
-        block[p] = z
-        block = block.reshape(wh, ww)
-        at = mirror(np.arange(x0 - r, x0 + cw + r), w) - wx
-        mid = smooth_rows(block[:, at], *gaussian_weights(GAUSS_ALPHA * cutoff / d, r))
-        return mid.ravel(), block[:, x0 - wx:x0 - wx + cw].ravel()
+    def along_x(block: np.ndarray, row: dict) -> np.ndarray:
+        w, r = block.shape[1], row["rx"]
+        return smooth_rows(block[:, mirror(np.arange(-r, w + r), w)], *gaussian_weights(GAUSS_ALPHA * cutoff / row["dx"], r))
 
     def along_y(p, z, mid, y0, ch, wy, wh, ww, h, r, d):
         block = np.full(wh * ww, np.nan)
@@ -245,26 +241,16 @@ def gaussian_areal_filter(images: ImageSet, band: str = "Roughness", cutoff: flo
                 mean = own.reshape(wh, ww)[y0 - wy:y0 - wy + ch] - mean
         return mean.astype(np.float32).ravel()
 
-    @pandas_udf("struct<mid:array<double>,z:array<float>>")
-    def pass_x(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for cols in batches:
-            done = [along_x(*v) for v in zip(*cols)]
-            yield pd.DataFrame({"mid": pd.Series([m for m, _ in done], dtype=object),
-                                "z": pd.Series([own for _, own in done], dtype=object)})
-
     @pandas_udf("array<float>")
     def pass_y(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
             yield pd.Series([along_y(*v) for v in zip(*cols)], dtype=object)
 
     c = F.col
-    first = halo_tiles(with_geometry(images, **geometry), reach_x=c("rx"), tile_w=c("tw"), carry=names)
-    first = first.withColumn("out", pass_x("p", "z", "x0", "cw", "wx", "wh", "ww", "w", "rx", "dx"))
-    between = first.select(
-        "dataset_id", "y0", "x0", "cw", "w", "h", *names,
-        F.posexplode(F.arrays_zip(c("out.mid").alias("mid"), c("out.z").alias("z"))).alias("_p", "v"),
-    ).select("dataset_id", (c("y0") + floordiv(c("_p"), c("cw"))).alias("y"), (c("x0") + c("_p") % c("cw")).alias("x"),
-             c("v.z").alias("z"), c("v.mid").alias("mid"), "w", "h", *names)
+    rows = attach_lines(images, lines_of(images), images.geometry(**geometry)).select("dataset_id", "y", "z", c("z").alias("own"), "w", "h", *names)
+    mids = mapped(rows, along_x, "array<double>", same=("dataset_id",))
+    between = mids.select("dataset_id", "y", "w", "h", *names, F.posexplode(F.arrays_zip(c("z").alias("mid"), c("own").alias("z"))).alias("x", "v"))
+    between = between.select("dataset_id", "y", "x", c("v.z").alias("z"), c("v.mid").alias("mid"), "w", "h", *names)
     second = halo_tiles(between, reach_y=c("ry"), tile_h=c("th"), carry=names, also=("mid",))
     second = second.withColumn("out", pass_y("p", "z", "mid", "y0", "ch", "wy", "wh", "ww", "h", "ry", "dy"))
     return images.with_pixels(tile_pixels(second, "out"))
@@ -276,7 +262,7 @@ def filtered_roughness(images: ImageSet, cutoff: float = 0.8, regions: list[Regi
 
     Images the cutoff cannot apply to are left out.
     """
-    usable = images.with_pixels(images.pixels, filterable_images(images, cutoff))
+    usable = images.among(filterable_images(images, cutoff))
     rough = gaussian_areal_filter(usable, "Roughness", cutoff, tile)
     if regions is None:
         return areal(image_moments(rough), "dataset_id")

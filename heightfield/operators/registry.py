@@ -173,7 +173,7 @@ class Registry:
         refused = rejected(data.scans, rules).select("dataset_id", F.lit(op.id).alias("operation_id"), "code", "message")
         if rules:
             fit = fitting(data.scans, rules)
-            data = data.with_pixels(data.pixels, fit) if isinstance(data, ImageSet) else data.with_samples(data.samples, fit)
+            data = data.among(fit) if isinstance(data, ImageSet) else data.with_samples(data.samples, fit)
         out = op.run(data, **params, regions=areas) if areas else op.run(data, **params)
         empty = data.scans.select("dataset_id", F.lit("").alias("code")).limit(0)
         told = params | ({"regions": areas} if areas else {})

@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from heightfield.functions.expr import floordiv
 from heightfield.functions.units import is_length
 from heightfield.model import CurveSet, ImageSet, axis
-from heightfield.plans.layout import attach, halo_tiles, tile_pixels, with_geometry
+from heightfield.plans.layout import tile_pixels
+from heightfield.plans.lines import BLOCK, attach_lines, blocks, lines_of, listed
 
 FOURIER_KINDS = ("LowPass", "HighPass", "BandPass", "BandStop")
-BLOCK = 1 << 18  # samples handled together by one row- or column-block
 
 
 def pow2(n: int) -> int:
@@ -28,46 +28,32 @@ def pow2_expr(n):
     return F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")) - 1e-12)).cast("int")
 
 
-def rows_per_block(width):
-    """Scan lines per block: whole lines, about BLOCK samples, at least one line."""
-    return F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / width)).cast("int")
-
-
-def _grid(p, z, wh: int, ww: int) -> np.ndarray:
-    grid = np.full(wh * ww, np.nan)
-    grid[p] = z
-    return grid.reshape(wh, ww)
-
-
 def line_psd(images: ImageSet) -> DataFrame:
     """(dataset_id, k, frequency, psd, rows_used): one-sided line-average spectrum along X, DC dropped.
 
-    Lines with a non-finite sample are skipped.  A block of whole lines is transformed and
-    summed in one call, so the exchange carries one spectrum per block.  Images narrower than
-    two pixels or without a length X axis are left out.
+    Lines with a non-finite sample are skipped.  Packed lines are transformed where they lie and summed per image and task, so
+    what is exchanged is one spectrum per image and batch.  Images narrower than two pixels or without a length X axis are left out.
     """
-    ok = images.scans.filter((F.col("x.count") >= 2) & is_length(F.col("x.unit")))
-    kept = images.with_pixels(images.pixels, ok)
-
-    @pandas_udf("struct<used:long,power:array<double>>")
-    def power(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for cols in batches:
-            done = [one(*v) for v in zip(*cols)]
-            yield pd.DataFrame({"used": pd.Series([u for u, _ in done], dtype="int64"),
-                                "power": pd.Series([s for _, s in done], dtype=object)})
-
-    def one(p, z, wh, ww):
-        lines = _grid(p, z, wh, ww)
-        lines = lines[np.isfinite(lines).all(axis=1)]
-        m = pow2(ww)
-        if not len(lines):
-            return 0, np.zeros(m // 2)
-        spectrum = np.fft.rfft(lines - lines.mean(axis=1, keepdims=True), m, axis=1)[:, 1:]
-        return len(lines), (spectrum.real ** 2 + spectrum.imag ** 2).sum(axis=0)
-
-    rows = with_geometry(kept, rb=rows_per_block(F.col("x.count")))
-    blocks = halo_tiles(rows, tile_h=F.col("rb"), tile_w=F.col("w"), carry=("rb",))
-    parts = blocks.select("dataset_id", power("p", "z", "wh", "ww").alias("s"))
+    kept = images.among(images.scans.filter((F.col("x.count") >= 2) & is_length(F.col("x.unit"))))
+    key = images.pixels.schema["dataset_id"].dataType.simpleString()
+
+    def power(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, used, spectra = [], [], []
+            for at, lines in blocks(b):
+                lines = lines[np.isfinite(lines).all(axis=1)].astype(np.float64)
+                m = pow2(lines.shape[1])
+                s = np.fft.rfft(lines - lines.mean(axis=1, keepdims=True), m, axis=1)[:, 1:] if len(lines) else np.zeros((1, m // 2))
+                first.append(at)
+                used.append(len(lines))
+                spectra.append((s.real ** 2 + s.imag ** 2).sum(axis=0))
+            if first:
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in spectra])])
+                yield pa.RecordBatch.from_arrays([b.column("dataset_id").take(pa.array(first)), pa.array(used, pa.int64()), listed(ends, np.concatenate(spectra))],
+                                                 names=["dataset_id", "used", "power"])
+
+    parts = lines_of(kept).select("dataset_id", "z").mapInArrow(power, f"dataset_id {key}, used long, power array<double>")
+    parts = parts.select("dataset_id", F.struct("used", "power").alias("s"))
     sums = (parts.select("dataset_id", F.col("s.used").alias("used"), F.posexplode("s.power").alias("k", "v"))
             .groupBy("dataset_id", (F.col("k") + 1).alias("k")).agg(F.sum("v").alias("total"), F.sum("used").alias("used")))
     g = kept.geometry(dx=F.abs(F.col("x.step")))
@@ -117,10 +103,9 @@ def fourier_filter(images: ImageSet, kind: str = "LowPass", low: float = 0.1, hi
                    block: int = BLOCK) -> ImageSet:
     """Ideal radial filter on the mean-padded power-of-two grid.
 
-    Row-column transform with two exchanges each way: row blocks are transformed and cut into
-    column strips, strips of one column block meet for the column transform, mask and
-    inverse, then travel back.  A task holds one block (about ``block`` samples, never less
-    than one full line or column), not an image.  Real input needs only the non-negative row
+    Row-column transform: packed lines are transformed where they lie and cut into strips, the strips of one column block meet
+    for the column transform, mask and inverse, then travel back in blocks of lines.  A task holds one block (about
+    ``block`` samples, never less than one full line or column), not an image.  Real input needs only the non-negative row
     frequencies.
     """
     if kind not in FOURIER_KINDS:
@@ -136,25 +121,28 @@ def fourier_filter(images: ImageSet, kind: str = "LowPass", low: float = 0.1, hi
         F.greatest(F.lit(1), F.floor(F.lit(block) / c("w"))).cast("int").alias("rb"),
         F.greatest(F.lit(1), F.floor(F.lit(block) / pow2_expr(c("h")))).cast("int").alias("cb"))
     keep = ("w", "h", "mean", "rb", "cb")
-    rows = halo_tiles(attach(images, images.pixels, per), tile_h=c("rb"), tile_w=c("w"), carry=("mean", "rb", "cb"))
-    strips_type = "array<struct<u:int,re:array<double>,im:array<double>>>"
-
-    @pandas_udf(strips_type)
-    def forward_rows(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for cols in batches:
-            yield pd.Series([cut_rows(*v) for v in zip(*cols)], dtype=object)
-
-    def cut_rows(p, z, wh, ww, average, cb):
-        m = pow2(ww)
-        padded = np.full((wh, m), average)
-        padded[:, :ww] = _grid(p, z, wh, ww)
-        spectrum = np.fft.rfft(padded, axis=1)
-        return [{"u": u, "re": spectrum[:, u * cb:(u + 1) * cb].real.ravel(), "im": spectrum[:, u * cb:(u + 1) * cb].imag.ravel()}
-                for u in range(-(-spectrum.shape[1] // cb))]
-
-    strips = rows.select("dataset_id", c("ty").alias("v"), "y0", *keep,
-                         F.explode(forward_rows("p", "z", "wh", "ww", "mean", "cb")).alias("s"))
-    columns = strips.groupBy("dataset_id", c("s.u").alias("u"), *keep).agg(
+    rows = attach_lines(images, lines_of(images), per)
+    key = images.pixels.schema["dataset_id"].dataType.simpleString()
+
+    def forward_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, lines in blocks(b):
+                m, (count, w), cb = pow2(lines.shape[1]), lines.shape, b.column("cb")[first].as_py()
+                padded = np.full((count, m), b.column("mean")[first].as_py())
+                padded[:, :w] = lines
+                spectrum = np.fft.rfft(padded, axis=1)
+                own = b.slice(first, count)
+                for u in range(-(-spectrum.shape[1] // cb)):
+                    strip = spectrum[:, u * cb:(u + 1) * cb]
+                    at = np.arange(count + 1) * strip.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [own.column("dataset_id"), own.column("y"), *(own.column(k) for k in keep), pa.array(np.full(count, u, np.int32)),
+                         pa.StructArray.from_arrays([listed(at, strip.real.ravel()), listed(at, strip.imag.ravel())], names=["re", "im"])],
+                        names=["dataset_id", "y0", *keep, "u", "s"])
+
+    strips = rows.select("dataset_id", "y", "z", *keep).mapInArrow(
+        forward_rows, f"dataset_id {key}, y0 int, w int, h int, mean double, rb int, cb int, u int, s struct<re:array<double>,im:array<double>>")
+    columns = strips.groupBy("dataset_id", "u", *keep).agg(
         F.sort_array(F.collect_list(F.struct("y0", c("s.re").alias("re"), c("s.im").alias("im")))).alias("parts"))
     columns = columns.select("dataset_id", "u", *keep, F.flatten("parts.re").alias("re"), F.flatten("parts.im").alias("im"))
 

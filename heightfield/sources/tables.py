@@ -32,13 +32,13 @@ def embedding_images(spark: SparkSession, path: str, *, dx: float = 0.1, dy: flo
     e = spark.read.parquet(f"{path}/embeddings.parquet")
     lines = ranked(e.select("vec_id", "label", "embedding"), "label", ["vec_id"],
                    floordiv(F.col("vec_id"), VECTORS_PER_BLOCK))
-    pixels = lines.select(F.col("label").cast("long").alias("dataset_id"), F.col("rank").alias("y"),
-                          F.posexplode("embedding").alias("x", "z"))
+    lines = lines.select(F.col("label").cast("long").alias("dataset_id"), F.col("rank").alias("y"), F.col("embedding").alias("z"))
+    pixels = lines.select("dataset_id", "y", F.posexplode("z").alias("x", "z"))
     scans = (e.groupBy("label").agg(F.count(F.lit(1)).alias("h"), F.max(F.size("embedding")).alias("w"))
              .select(F.col("label").cast("long").alias("dataset_id"), F.lit("ScanImage").alias("kind"),
                      axis("X", unit, F.col("w"), step=dx).alias("x"), axis("Y", unit, F.col("h"), step=dy).alias("y"),
                      channel("height", unit="nm").alias("channel")))
-    return ImageSet(scans, pixels=pixels)
+    return ImageSet(scans, pixels=pixels, lines=lines)
 
 
 def embedding_curves(spark: SparkSession, path: str, *, dx: float = 0.1, unit: str = "um") -> CurveSet:

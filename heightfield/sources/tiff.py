@@ -211,9 +211,9 @@ def read_scans(spark: SparkSession, path: str, pattern: str | None = None) -> tu
     parsed = parsed.join(owner, "dataset_id", "left").withColumns({
         "message": F.when(again, F.concat(F.lit("the dataset id is that of "), "owner")).otherwise(F.col("message")),
         "kind": F.when(again, "Duplicate").otherwise(F.col("kind"))}).drop("owner")
-    lines = parsed.filter("kind is null").select("dataset_id", F.posexplode("lines").alias("y", "line"))
-    pixels = lines.select("dataset_id", "y", F.posexplode("line").alias("x", "z"))
-    return ImageSet(scan_catalog(parsed), pixels=pixels), ingest_errors(parsed)
+    lines = parsed.filter("kind is null").select("dataset_id", F.posexplode("lines").alias("y", "z"))
+    pixels = lines.select("dataset_id", "y", F.posexplode("z").alias("x", "z"))
+    return ImageSet(scan_catalog(parsed), pixels=pixels, lines=lines), ingest_errors(parsed)
 
 
 def encode(row, z: np.ndarray) -> bytes:

@@ -26,7 +26,7 @@ def described(images):
         "x": axis("X", "um", c("x.count"), origin=3.5, step=0.1, direction="Reverse"),
         "y": axis("Y", "nm", c("y.count"), origin=-250.0, step=100.0),
         "channel": channel("Z Height", unit="nm"), "instrument_model": F.lit("scan")})
-    return images.with_pixels(images.pixels, scans)
+    return images.among(scans)
 
 
 def exported(spark, path) -> str:
