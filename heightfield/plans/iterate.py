@@ -1,11 +1,10 @@
-"""Helpers of the iterative operators: lineage cuts and connected components."""
+"""Helpers of the iterative operators: the shared folder and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,35 +25,3 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (dataset_id, a, b): (dataset_id, node, root), root the smallest member.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): every node is hooked
-    onto the smallest neighbour until only stars remain, in a number of rounds that grows with
-    the logarithm of the graph.  All grouping is by (dataset_id, node) with map-side minima.
-    """
-    e = cut(edges.select("dataset_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-            .filter("u <> v").distinct())
-    mark = _fingerprint(e)
-    while mark[0]:
-        both = e.unionByName(e.select("dataset_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("dataset_id", "u").agg(F.min("v").alias("m"))
-        large = (both.filter("v > u").join(least, ["dataset_id", "u"])
-                 .select("dataset_id", F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        low = large.groupBy("dataset_id", "u").agg(F.min("v").alias("m"))
-        small = (large.join(low, ["dataset_id", "u"]).filter("v <> m")
-                 .select("dataset_id", F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("dataset_id", "u", F.col("m").alias("v"))).distinct())
-        e = cut(small)
-        now = _fingerprint(e)
-        if now == mark:
-            break
-        mark = now
-    return e.select("dataset_id", F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def _fingerprint(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("dataset_id", "u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]

@@ -216,8 +216,19 @@ def test_run_labelling_equals_flood_fill():
         assert len(set(zip(got[mask], want[mask]))) == n
 
 
-@pytest.mark.parametrize("tile", [3, 64])
-def test_snaking_grains_merge_across_tiles(spark, tile):
+def test_one_grain_over_all_tiles_meets_in_bounded_groups(spark):
+    big = np.ones((64, 96))
+    big[0, 0] = 0.0
+    got = grains.grain_table(images(spark, big, np.eye(30)), 0.5, tile=4, fan=2).collect()
+    assert sorted((r["dataset_id"], r["area"], r["height_sum"]) for r in got) == [(0, 64 * 96 - 1, 64 * 96 - 1.0), (1, 30, 30.0)]
+    # what a super-tile of 8 pixels hands on is its rim, whatever lies inside
+    y, x = np.mgrid[:8, :8]
+    _, root, ry, _, name = grains._merge([y[:4].ravel(), y[4:].ravel()], [x[:4].ravel(), x[4:].ravel()], [np.zeros(32), np.full(32, 5)], 8)
+    assert len(ry) == 28 and set(name) == {0} and list(root) == [0]
+
+
+@pytest.mark.parametrize("tile, fan", [(3, 2), (3, 16), (2, 3), (64, 16)])
+def test_snaking_grains_merge_across_tiles(spark, tile, fan):
     spiral = np.zeros((12, 12))
     spiral[1, 1:11] = spiral[1:11, 10] = spiral[10, 2:11] = spiral[4:11, 2] = spiral[4, 2:8] = 1
     spots = np.eye(12)
@@ -225,7 +236,7 @@ def test_snaking_grains_merge_across_tiles(spark, tile):
     flat = np.full((4, 5), 2.5)
     holes = np.where(np.arange(36).reshape(6, 6) % 7 == 0, NAN, spiral[:6, :6])
     arrays = [spiral, spots, flat, holes]
-    got = {r["dataset_id"]: r for r in grains.grains(images(spark, *arrays), 0.5, 2, tile=tile).collect()}
+    got = {r["dataset_id"]: r for r in grains.grains(images(spark, *arrays), 0.5, 2, tile=tile, fan=fan).collect()}
     for k, a in enumerate(arrays):
         lo, hi = np.nanmin(a), np.nanmax(a)
         mask = np.nan_to_num(a, nan=-9) >= lo + 0.5 * (hi - lo)
