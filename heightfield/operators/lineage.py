@@ -1,6 +1,7 @@
 """Derivation lineage of datasets and the measurements attached to them.
 
-``links`` tables are (dataset_id, parent_id), one row per dataset, parent_id NULL for a source.
+``links`` tables are (dataset_id, parent_id), one row per dataset, parent_id NULL for a source.  One parent may have nearly all rows as its
+children: joins by a parent deal the rows of heavy parents out (:mod:`heightfield.plans.skew`).
 """
 
 from __future__ import annotations
@@ -9,19 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heightfield.plans.iterate import cut
+from heightfield.plans.skew import join_unique
 
 
 def parents(links: DataFrame) -> DataFrame:
     """Keep a parent only where it is present itself; otherwise the dataset counts as a root (NULL)."""
     known = links.select(F.col("dataset_id").alias("parent_id"), F.lit(True).alias("_known"))
-    return links.join(known, "parent_id", "left").select(
+    return join_unique(links, known, "parent_id", "left", "dataset_id").select(
         "dataset_id", F.when(F.col("_known"), F.col("parent_id")).alias("parent_id"))
 
 
 def roots(links: DataFrame) -> DataFrame:
     """Datasets without a present parent."""
     known = links.select(F.col("dataset_id").alias("parent_id"))
-    return links.join(known, "parent_id", "left_anti").select("dataset_id")
+    return join_unique(links, known, "parent_id", "left_anti", "dataset_id").select("dataset_id")
 
 
 def descendants(links: DataFrame, targets: DataFrame) -> DataFrame:
@@ -33,19 +35,20 @@ def descendants(links: DataFrame, targets: DataFrame) -> DataFrame:
     """
     marks = targets.select(F.col("dataset_id").alias("up"), F.lit(True).alias("_t")).distinct()
     start = parents(links).select("dataset_id", F.col("parent_id").alias("up")).filter("up is not null")
-    state = cut(start.join(marks, "up", "left").select("dataset_id", "up", F.coalesce("_t", F.lit(False)).alias("hit")))
-    hits, stride, total = state.filter("hit").count(), 1, None
+    start = cut(start)
+    size = start.count()
+    state = cut(join_unique(start, marks, "up", "left", "dataset_id", size).select("dataset_id", "up", F.coalesce("_t", F.lit(False)).alias("hit")))
+    hits, stride = state.filter("hit").count(), 1
     while True:
         far = state.select(F.col("dataset_id").alias("up"), F.col("up").alias("up2"), F.col("hit").alias("hit2"))
-        state = cut(state.join(far, "up", "left").select(
+        state = cut(join_unique(state, far, "up", "left", "dataset_id", size).select(
             "dataset_id", F.col("up2").alias("up"), (F.col("hit") | F.coalesce("hit2", F.lit(False))).alias("hit")))
         stride *= 2
         now = state.agg(F.count(F.when(F.col("hit"), 1)), F.count("up")).first()
         if not now[1]:
             break
         if now[0] == hits:  # nothing new this round: done once every distinct chain has been walked
-            total = state.count() if total is None else total
-            if stride > total:
+            if stride > size:
                 break
         hits = now[0]
     return state.filter("hit").select("dataset_id").join(
@@ -63,7 +66,7 @@ def cycles(links: DataFrame) -> DataFrame:
     total, stride = state.count(), 1
     while stride <= total:
         far = state.select(F.col("dataset_id").alias("up"), F.col("up").alias("up2"))
-        state = cut(state.join(far, "up").select("dataset_id", F.col("up2").alias("up")))
+        state = cut(join_unique(state, far, "up", "inner", "dataset_id", total).select("dataset_id", F.col("up2").alias("up")))
         stride *= 2
         if not state.head(1):
             break
@@ -72,7 +75,7 @@ def cycles(links: DataFrame) -> DataFrame:
 
 def blocked(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets a blocking removal must refuse: those with at least one child."""
-    children = links.select(F.col("parent_id").alias("dataset_id"))
+    children = links.select(F.col("parent_id").alias("dataset_id")).distinct()
     return targets.select("dataset_id").join(children, "dataset_id", "left_semi")
 
 
@@ -96,7 +99,7 @@ def measurements_of(measurements: DataFrame, sources: DataFrame) -> DataFrame:
     ``measurements`` is (artifact_id, source_id, operation_id, name, value, unit).
     """
     once = measurements.dropDuplicates(["artifact_id", "name"])
-    return once.join(sources.select(F.col("dataset_id").alias("source_id")), "source_id", "left_semi")
+    return join_unique(once, sources.select(F.col("dataset_id").alias("source_id")).distinct(), "source_id", "left_semi", "artifact_id")
 
 
 def enum_labels(steps: DataFrame, labels: DataFrame) -> DataFrame:
