@@ -30,48 +30,71 @@ def local_maxima(line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(top) + 1
 
 
-def descend(line: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Walk left from each wanted index while samples are not higher.
+class Heights:
+    """Maxima and minima of all runs of 1, 2, 4, ... samples, by which many walks over a line are followed at once."""
+
+    def __init__(self, line: np.ndarray):
+        self.n = len(line)
+        self.high = [np.where(np.isnan(line), np.inf, line)]  # a NaN stops every walk
+        self.low = [np.where(np.isnan(line), np.inf, line)]
+        while 2 << (len(self.high) - 1) <= self.n:
+            half = 1 << (len(self.high) - 1)
+            for table, pick in ((self.high, np.maximum), (self.low, np.minimum)):
+                table.append(pick(table[-1][:-half], table[-1][half:]))
+
+    def stops(self, at: np.ndarray, side: int, ceiling: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """The first sample from each place on, to one side, that is not below its ceiling or not above its floor; -1 or n if none."""
+        at = at + side
+        for k in range(len(self.high) - 1, -1, -1):
+            size = 1 << k
+            start = at if side > 0 else at - size + 1
+            inside = (start >= 0) & (start + size <= self.n)
+            run = np.clip(start, 0, self.n - size)
+            free = inside & (self.high[k][run] < ceiling) & ~(self.low[k][run] <= floor)
+            at = np.where(free, at + side * size, at)
+        return at
+
+    def lowest(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Least sample of each stretch, ends included; stretches are not empty."""
+        k = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(first))
+        for level in np.unique(k):
+            w = k == level
+            out[w] = np.minimum(self.low[level][first[w]], self.low[level][last[w] - (1 << int(level)) + 1])
+        return out
+
 
-    Returns the lowest finite value met (the start value if none) and whether the walk ran
-    off the beginning.  One pass with a stack of not-yet-overtopped samples.
+def descend(line: np.ndarray, wanted: np.ndarray, side: int, heights: Heights | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Walk to one side from each wanted index while samples are not higher.
+
+    Returns the lowest finite value met (the start value if none) and whether the walk ran off the end.
     """
-    low, open_ = np.empty(len(wanted)), np.zeros(len(wanted), dtype=bool)
-    stack: list[tuple[float, float]] = []
-    walled = False  # a NaN somewhere to the left stops every walk
-    marks = {int(i): k for k, i in enumerate(wanted)}
-    for j, v in enumerate(line.tolist()):
-        if v != v:
-            stack.clear()
-            walled = True
-            continue
-        least = v if abs(v) != np.inf else np.inf
-        while stack and stack[-1][0] <= v:
-            least = min(least, stack.pop()[1])
-        if j in marks:
-            low[marks[j]] = least
-            open_[marks[j]] = not stack and not walled
-        stack.append((v, least))
-    return low, open_
-
-
-def crossing(line: np.ndarray, at: int, step: int, value: float, level: float, first: int, last: int) -> tuple[bool, float]:
-    """Walk from ``at`` while level < z < value; (stopped, interpolated crossing or NaN) within first..last.
+    if not len(wanted):
+        return np.empty(0), np.zeros(0, dtype=bool)
+    heights = heights or Heights(line)
+    stop = heights.stops(wanted, side, np.nextafter(line[wanted], np.inf), np.full(len(wanted), np.nan))
+    if np.isneginf(line).any():
+        heights = Heights(np.where(np.isneginf(line), np.inf, line))
+    near, far = (stop + 1, wanted) if side < 0 else (wanted, stop - 1)
+    return heights.lowest(near, far), (stop < 0) | (stop == len(line))
+
+
+def crossings(line: np.ndarray, at: np.ndarray, side: int, value: np.ndarray, level: np.ndarray, first: int, last: int,
+              heights: Heights | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Walk from each place to one side while level < z < value; (stopped, interpolated crossing or NaN) within first..last.
 
     The drop between the two samples is taken in single precision, as samples are stored, and the
     crossing is measured from the left one of them.
     """
-    j = at + step
-    while first <= j <= last:
-        z = line[j]
-        if not (z > level and z < value):
-            if not z <= level:
-                return True, np.nan
-            inner = line[j - step]
-            drop = float(np.float32(inner) - np.float32(z))
-            return True, (j + (level - z) / drop if step < 0 else j - 1 + (inner - level) / drop)
-        j += step
-    return False, np.nan
+    core = line[first:last + 1]
+    j = (heights or Heights(core)).stops(at - first, side, value, level)
+    stopped = (j >= 0) & (j < len(core))
+    j = np.clip(j, 0, len(core) - 1) + first
+    z, inner = line[j], line[np.clip(j - side, 0, len(line) - 1)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        drop = (inner.astype(np.float32) - z.astype(np.float32)).astype(np.float64)
+        place = j + (level - z) / drop if side < 0 else j - 1 + (inner - level) / drop
+        return stopped, np.where(stopped & (z <= level), place, np.nan)
 
 
 def peaks_of(line: np.ndarray, fraction: float) -> list[dict]:
@@ -82,19 +105,14 @@ def peaks_of(line: np.ndarray, fraction: float) -> list[dict]:
     span = float(line[ok].max() - line[ok].min())
     if not span > 0:
         return []
-    top = local_maxima(line)
-    left, _ = descend(line, top)
-    right, _ = descend(line[::-1], len(line) - 1 - top)
-    prominence = line[top] - np.maximum(left, right)
-    found = []
-    for i, prom in zip(top.tolist(), prominence.tolist()):
-        if prom >= fraction * span:
-            value = float(line[i])
-            level = value - prom * 0.5
-            ends = [crossing(line, i, s, value, level, 0, len(line) - 1)[1] for s in (-1, 1)]
-            width = ends[1] - ends[0] if prom > 0 else np.nan
-            found.append({"i": i, "value": value, "prominence": prom, "width": width})
-    return found
+    top, heights = local_maxima(line), Heights(line)
+    prominence = line[top] - np.maximum(descend(line, top, -1, heights)[0], descend(line, top, 1, heights)[0])
+    kept = prominence >= fraction * span
+    top, prominence = top[kept], prominence[kept]
+    value = line[top]
+    left, right = (crossings(line, top, side, value, value - prominence * 0.5, 0, len(line) - 1, heights)[1] for side in (-1, 1))
+    width = np.where(prominence > 0, right - left, np.nan)
+    return [{"i": i, "value": v, "prominence": p, "width": w} for i, v, p, w in zip(top.tolist(), value.tolist(), prominence.tolist(), width.tolist())]
 
 
 def peak_table(curves: CurveSet, prominence: float = 0.1, min_snr: float = 0.0, min_width: float = 0.0,
@@ -167,8 +185,9 @@ def _chunked(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
         core = line[lo:hi]
         top = local_maxima(line)
         top = top[(top >= lo) & (top < hi)] - lo
-        left, lopen = descend(core, top)
-        right, ropen = descend(core[::-1], cn - 1 - top)
+        heights = Heights(core)
+        left, lopen = descend(core, top, -1, heights)
+        right, ropen = descend(core, top, 1, heights)
         ok = np.isfinite(core)
         walks = [{"i": int(i0 + t), "value": float(core[t]), "left": float(x), "right": float(y),
                   "lopen": bool(u and i0 > 0), "ropen": bool(v and i0 + cn < n)}
@@ -280,22 +299,29 @@ def _search(packed: DataFrame, walks: DataFrame, width: bool) -> DataFrame:
 
     def one(p, z, wn, a, i0, cn, n, asked):
         line = _line(p, z, wn)
-        lo, hi = i0 - a, i0 - a + cn - 1
-        out = []
-        for q in asked:
-            k, at = q["k"], q["at"] - a
+        first, last = i0 - a, i0 - a + cn - 1
+        side, value, level, low = (np.array([q["k"][f] for q in asked]) for f in ("side", "value", "level", "low"))
+        at = np.array([q["at"] for q in asked]) - a
+        out = np.full(len(asked), np.nan)
+        stopped = np.zeros(len(asked), dtype=bool)
+        for s in (-1, 1):
+            k = np.flatnonzero(side == s)
+            if not k.size:
+                continue
+            edge = i0 == 0 if s < 0 else i0 + cn == n
             if width:
-                stopped, low = crossing(line, at, k["side"], k["value"], k["level"], lo, hi)
-                edge = (k["side"] < 0 and i0 == 0) or (k["side"] > 0 and i0 + cn == n)
-                out.append({"stopped": stopped or edge, "low": low + a})
+                stopped[k], out[k] = crossings(line, at[k], s, value[k], level[k], first, last)
+                stopped[k] |= edge
                 continue
-            stretch = line[lo:at][::-1] if k["side"] < 0 else line[at + 1:hi + 1]
-            with np.errstate(invalid="ignore"):
-                over = np.flatnonzero(~(stretch <= k["value"]))
-            stretch = stretch[:over[0]] if over.size else stretch
-            stretch = stretch[np.isfinite(stretch)]
-            out.append({"stopped": bool(over.size), "low": float(min(k["low"], stretch.min(initial=np.inf)))})
-        return out
+            core = line[first:last + 1]
+            stop = Heights(core).stops(at[k] - first, s, np.nextafter(value[k], np.inf), np.full(k.size, np.nan))
+            stopped[k] = (stop >= 0) & (stop < cn)
+            begin, end = (stop + 1, at[k] - first - 1) if s < 0 else (at[k] - first + 1, stop - 1)
+            met = np.full(k.size, np.inf)
+            some = begin <= end
+            met[some] = Heights(np.where(np.isfinite(core), core, np.inf)).lowest(begin[some], end[some])
+            out[k] = np.minimum(low[k], met)
+        return [{"stopped": bool(x), "low": float(y + a if width else y)} for x, y in zip(stopped, out)]
 
     hit = packed.join(asked, ["dataset_id", "c"])
     return hit.select("dataset_id", "c", F.explode(F.arrays_zip(

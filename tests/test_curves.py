@@ -238,3 +238,60 @@ def test_longest_cutoff_runs_and_non_finite_samples_reach_all(spark):
     assert np.isnan(got[0]).all() and np.isposinf(got[1]).all() and np.isnan(got[2]).all() and np.isfinite(got[3]).all()
     rough = lines(gauss.gaussian_filter(curves(spark, wave(5, 300_000)), "Roughness", 1e9))[0]
     assert rough.astype(float).mean() == pytest.approx(0, abs=1e-2)
+
+
+def walked_peaks(line, fraction):
+    """Prominence and width by walking sample by sample."""
+    ok = np.isfinite(line)
+    if len(line) < 3 or not ok.any() or not line[ok].max() > line[ok].min():
+        return []
+    out = []
+    for i in peaks.local_maxima(line).tolist():
+        v, low = line[i], []
+        for side in (-1, 1):
+            j, least = i + side, v
+            while 0 <= j < len(line) and line[j] <= v:
+                least = min(least, line[j]) if ok[j] else least
+                j += side
+            low.append(least)
+        prominence = v - max(low)
+        if prominence < fraction * (line[ok].max() - line[ok].min()):
+            continue
+        level, ends = v - prominence * 0.5, []
+        for side in (-1, 1):
+            j = i + side
+            while 0 <= j < len(line) and level < line[j] < v:
+                j += side
+            if not (0 <= j < len(line) and line[j] <= level):
+                ends.append(NAN)
+                continue
+            inner, z = line[j - side], line[j]
+            with np.errstate(invalid="ignore"):
+                drop = float(np.float32(inner) - np.float32(z))
+                ends.append(j + (level - z) / drop if side < 0 else j - 1 + (inner - level) / drop)
+        out.append((i, v, prominence, ends[1] - ends[0] if prominence > 0 else NAN))
+    return out
+
+
+def test_peaks_equal_walks_sample_by_sample():
+    rng = np.random.default_rng(0)
+    for t in range(600):
+        n = rng.integers(1, 50)
+        line = (rng.integers(0, 6, n) if t % 2 else rng.normal(size=n)).astype(np.float32).astype(float)
+        for k, bad in ((3, NAN), (5, np.inf), (7, -np.inf)):
+            if t % k == 0:
+                line[rng.random(n) < 0.08] = bad
+        fraction = (0.0, 0.1, 0.5)[t % 3]
+        got = [tuple(p.values()) for p in peaks.peaks_of(line, fraction)]
+        np.testing.assert_array_equal(np.array(got).reshape(-1, 4), np.array(walked_peaks(line, fraction)).reshape(-1, 4))
+
+
+def test_noise_of_a_whole_chunk_takes_milliseconds():
+    import time
+    line = np.random.default_rng(1).normal(size=65_536)
+    took = []
+    for _ in range(3):
+        start = time.process_time()
+        peaks.peaks_of(line, 0.1)
+        took.append(time.process_time() - start)
+    assert min(took) < 0.2  # tens of milliseconds on an idle core
