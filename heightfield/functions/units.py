@@ -36,44 +36,52 @@ def units_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(UNITS, SCHEMA)
 
 
-def _lookup(symbol: Column, position: int, extra: list[tuple] | None = None) -> Column:
-    # one literal map in one expression: built column by column it costs a call to the JVM per entry
-    pairs = ", ".join(f"'{u[0]}', " + (f"{u[position]!r}D" if position > 1 else f"'{u[position]}'") for u in UNITS + list(extra or []))
-    return F.expr(f"map({pairs})")[symbol]
+def _registry(extra: list[tuple] | None) -> Column:
+    # one literal map in one expression, folded by Catalyst: built column by column it costs a call to the JVM per entry
+    pairs = ", ".join(f"'{u[0]}', named_struct('dimension', '{u[1]}', 'scale', {u[2]!r}D, 'offset', {u[3]!r}D)" for u in UNITS + list(extra or []))
+    return F.expr(f"map({pairs})")
 
 
 # Units that operations compose: a product, a product with a squared first factor, and the inverse of a length.
 _PRODUCT, _INVERSE = "^(.+?)(²?)·(.+)$", "^1/(.+)$"
 
 
-def scale_of(symbol: Column, extra=None) -> Column:
-    """Scale to the base unit, also of a composed unit; NULL for an unknown symbol.  The map is a fixed literal, folded by Catalyst."""
-    a, b = (_lookup(F.regexp_extract(symbol, _PRODUCT, k), 2, extra) for k in (1, 3))
-    of = F.regexp_extract(symbol, _INVERSE, 1)
-    inverse = F.when(_lookup(of, 1, extra) == "Length", 1.0 / _lookup(of, 2, extra))
-    return F.coalesce(_lookup(symbol, 2, extra), F.when(F.regexp_extract(symbol, _PRODUCT, 2) == "²", a * a).otherwise(a) * b, inverse)
+def unit_of(symbol: Column, extra=None) -> Column:
+    """struct(dimension, scale, offset) of a unit, also of a composed one; NULL for an unknown symbol.
 
+    A symbol is taken apart only where the registry does not have it as it is.
+    """
+    known = _registry(extra)
+    a, b, of = known[F.regexp_extract(symbol, _PRODUCT, 1)], known[F.regexp_extract(symbol, _PRODUCT, 3)], known[F.regexp_extract(symbol, _INVERSE, 1)]
+    squared = F.regexp_extract(symbol, _PRODUCT, 2) == "²"
 
-def dimension_of(symbol: Column, extra=None) -> Column:
-    a, b = (_lookup(F.regexp_extract(symbol, _PRODUCT, k), 1, extra) for k in (1, 3))
-    power = F.when(F.regexp_extract(symbol, _PRODUCT, 2) == "²", "^2*").otherwise("*")
-    inverse = F.when(_lookup(F.regexp_extract(symbol, _INVERSE, 1), 1, extra) == "Length", "WaveNumber")
-    return F.coalesce(_lookup(symbol, 1, extra), F.concat(a, power, b), inverse)
+    def unit(dimension, scale):
+        return F.struct(dimension.alias("dimension"), scale.alias("scale"), F.lit(0.0).alias("offset"))
 
+    product = unit(F.concat(a["dimension"], F.when(squared, "^2*").otherwise("*"), b["dimension"]), F.when(squared, a["scale"] * a["scale"]).otherwise(a["scale"]) * b["scale"])
+    composed = F.when(a.isNotNull() & b.isNotNull(), product).when(of["dimension"] == "Length", unit(F.lit("WaveNumber"), 1.0 / of["scale"]))
+    return F.coalesce(known[symbol], composed)
 
-def _offset_of(symbol: Column, extra=None) -> Column:
-    return F.coalesce(_lookup(symbol, 3, extra), F.lit(0.0))
+
+def scale_of(symbol: Column, extra=None) -> Column:
+    """Scale to the base unit; NULL for an unknown symbol."""
+    return unit_of(symbol, extra)["scale"]
+
+
+def dimension_of(symbol: Column, extra=None) -> Column:
+    return unit_of(symbol, extra)["dimension"]
 
 
 def is_length(symbol: Column) -> Column:
-    return F.coalesce(_lookup(symbol, 1) == "Length", F.lit(False))  # no composed unit is a length
+    return F.coalesce(_registry(None)[symbol]["dimension"] == "Length", F.lit(False))  # no composed unit is a length
 
 
 def convert(value: Column, source: Column, target: Column, extra=None) -> Column:
     """struct(value, error): the converted value, or NULL with a reason for unknown or unlike units."""
-    sd, td = dimension_of(source, extra), dimension_of(target, extra)
+    s, t = unit_of(source, extra), unit_of(target, extra)
+    sd, td = s["dimension"], t["dimension"]
     ok = sd == td
-    converted = (value * scale_of(source, extra) + _offset_of(source, extra) - _offset_of(target, extra)) / scale_of(target, extra)
+    converted = (value * s["scale"] + s["offset"] - t["offset"]) / t["scale"]
     error = (F.when(sd.isNull() | td.isNull(), F.lit("unknown unit"))
              .when(~ok, F.concat(F.lit("cannot convert "), sd, F.lit(" to "), td)))
     return F.struct(F.when(ok, converted).alias("value"), error.alias("error"))

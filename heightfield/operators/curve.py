@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from heightfield.functions.expr import finite, nan, raw_to_real, ratio
+from heightfield.functions.expr import finite, floordiv, nan, raw_to_real, ratio
 from heightfield.model import CurveSet
 from heightfield.operators.statistics import fill_missing
 from heightfield.plans.iterate import cut
@@ -30,55 +30,78 @@ def single(a: Column, b: Column) -> Column:
 def range_statistics(curves: CurveSet, start: int = 0, count: int = 128) -> DataFrame:
     """RangeMin/Max/Mean/Rms, PeakValue, PeakPosition, Area, Centroid, Fwhm over a sample range.
 
-    Three hash aggregates; between them only one row per curve travels.  The half-level
-    crossings are found as the nearest stopping index on each side of the first maximum, so a
-    range of any length needs no ordered scan.
+    The range is packed by chunks with one neighbour on either side, in one exchange that both passes read: the first sums up
+    each chunk, the second looks up, from the level the first has set, the stopping sample nearest the first maximum on each side
+    together with its neighbour.  What travels between them is one row per chunk and curve.
     """
     if start < 0 or count < 1:
         raise ValueError("start must not be negative and count must be positive")
     c = F.col
-    live = CurveSet(curves.scans.filter(F.col("x.count") > start), samples=curves.samples, known_rows=curves.rows_if_known)
-    table = live.scans.select("dataset_id", c("x").alias("ax"))
-    last = F.least(F.lit(start + count), c("ax.count")) - 1
-    rows = attach(live, live.samples.filter((c("i") >= start) & (c("i") < start + count)), table).select(
-        "dataset_id", "i", c("z").cast("double").alias("z"), raw_to_real(c("ax"), c("i")).alias("xr"),
-        last.alias("last"), F.abs(c("ax.step")).alias("dx"), "ax")
-    ok = finite(c("z"))
-    peak = F.max(F.when(ok, F.struct(c("z").alias("v"), (-c("i")).alias("ni"))))
-    one = rows.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(F.when(ok, 1)).alias("n"),
-        F.min(F.when(ok, c("z"))).alias("lo"), F.avg(F.when(ok, c("z"))).alias("mean"), peak.alias("peak"),
-        F.sum(F.when(ok, c("z"))).alias("sum"), F.sum(F.when(ok, c("z") * c("xr"))).alias("sumx"),
-        F.max(F.when(c("i") == start, c("z"))).alias("z0"), F.max(F.when(c("i") == c("last"), c("z"))).alias("z1"),
-        F.first("last").alias("last"), F.first("dx").alias("dx"), F.first("ax").alias("ax"))
+    live = CurveSet(curves.scans.filter(c("x.count") > start), samples=curves.samples, known_rows=curves.rows_if_known)
+    table = live.scans.select("dataset_id", (F.least(F.lit(start + count), c("x.count")) - start).alias("n"))
+    ranged = live.samples.filter((c("i") >= start) & (c("i") < start + count)).withColumn("i", c("i") - start)
+    packed = halo_chunks(attach(live, ranged, table), reach=1, size=CHUNK)
+
+    @pandas_udf("struct<n:long,lo:double,hi:double,at:int,sum:double,sumi:double,z0:double,z1:double>")
+    def summed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            yield pd.DataFrame([total(*v) for v in zip(*cols)])
+
+    def total(p, z, wn, a, i0, cn, n):
+        core = _line(p, z, wn)[i0 - a:i0 - a + cn]
+        ok = np.flatnonzero(np.isfinite(core))
+        v = core[ok]
+        at = int(ok[np.argmax(v)]) if v.size else -1
+        return {"n": v.size, "lo": v.min(initial=np.inf), "hi": v.max(initial=-np.inf), "at": i0 + at, "sum": v.sum(), "sumi": (v * (i0 + ok)).sum(),
+                "z0": core[0] if i0 == 0 else None, "z1": core[-1] if i0 + cn == n else None}
+
+    @pandas_udf("struct<squares:double,ls:int,l0:double,l1:double,rs:int,r0:double,r1:double>")
+    def met(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            yield pd.DataFrame([crossed(*v) for v in zip(*cols)]).astype({"ls": "Int32", "rs": "Int32"})
+
+    def crossed(p, z, wn, a, i0, cn, hi, half, at, mean):
+        line, first = _line(p, z, wn), i0 - a
+        core = line[first:first + cn]
+        ok = np.isfinite(core)
+        stops = i0 + np.flatnonzero(~((core > half) & (core < hi)))
+        left, right = stops[stops < at], stops[stops > at]
+        out = {"squares": float(((core[ok] - mean) ** 2).sum()), "ls": None, "l0": None, "l1": None, "rs": None, "r0": None, "r1": None}
+        if left.size:
+            k = left[-1] - a
+            out |= {"ls": int(left[-1]), "l0": line[k], "l1": line[k + 1]}
+        if right.size:
+            k = right[0] - a
+            out |= {"rs": int(right[0]), "r0": line[k], "r1": line[k - 1]}
+        return out
+
+    window = ("p", "z", "wn", "a", "i0", "cn")
+    s = packed.select("dataset_id", "n", summed(*window, "n").alias("s")).select("dataset_id", "n", "s.*")
+    s = s.toDF("dataset_id", "length", "n", *s.columns[3:])
+    peak = F.max(F.when(c("n") > 0, F.struct(c("hi").alias("v"), (-c("at")).alias("ni")))).alias("peak")
+    one = s.groupBy("dataset_id", "length").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), peak, F.sum("sum").alias("sum"), F.sum("sumi").alias("sumi"),
+                                                F.first("z0", ignorenulls=True).alias("z0"), F.first("z1", ignorenulls=True).alias("z1"))
     hi, at = c("peak.v"), -c("peak.ni")
-    one = one.filter(c("n") > 0).select(
-        "dataset_id", "rows", "n", "lo", "mean", "sum", "sumx", "last", "dx", "ax", hi.alias("hi"), at.alias("at"),
-        single(c("z0"), c("z1")).alias("ends"), (hi - (hi - c("lo")) * 0.5).alias("half"))
-
-    def carried(table: DataFrame) -> list[Column]:
-        # what is already known rides along, so no earlier pass is evaluated twice
-        return [F.first(name).alias(name) for name in table.columns if name != "dataset_id"]
-
-    plain = live.samples.filter((c("i") >= start) & (c("i") < start + count)).select("dataset_id", "i", c("z").cast("double").alias("z"))
-    stop = ~((c("z") > c("half")) & (c("z") < c("hi")) & ~F.isnan("z"))
-    two = attach(live, plain, one).groupBy("dataset_id").agg(
-        *carried(one), F.sqrt(F.avg(F.when(ok, (c("z") - c("mean")) * (c("z") - c("mean"))))).alias("rms"),
-        F.max(F.when((c("i") < c("at")) & stop, c("i"))).alias("ls"),
-        F.min(F.when((c("i") > c("at")) & stop, c("i"))).alias("rs"))
-    picks = {"l0": c("ls"), "l1": c("ls") + 1, "r0": c("rs"), "r1": c("rs") - 1}
-    out = attach(live, plain, two).groupBy("dataset_id").agg(
-        *carried(two), *[F.max(F.when(c("i") == p, c("z"))).alias(name) for name, p in picks.items()])
-    left = c("ls") + (c("half") - c("l0")) / single(c("l1"), -c("l0"))
-    right = c("rs") - 1 + (c("r1") - c("half")) / single(c("r1"), -c("r0"))
-    crossed = ((c("hi") > c("lo")) & (c("at") > start) & (c("at") < c("last"))
-               & (c("l0") <= c("half")) & (c("r0") <= c("half")))
+    one = one.filter(c("n") > 0).select("dataset_id", "length", "n", "lo", "sum", "sumi", hi.alias("hi"), at.alias("at"), (c("sum") / c("n")).alias("mean"),
+                                        single(c("z0"), c("z1")).alias("ends"), (hi - (hi - c("lo")) * 0.5).alias("half"))
+    # one row per chunk on both sides, so a giant curve is no hot key
+    levels = one.select("dataset_id", "hi", "half", "at", "mean", F.explode(F.sequence(F.lit(0), floordiv(c("length") - 1, CHUNK))).alias("c"))
+    chunks = packed.select("dataset_id", "c", *window).join(levels, ["dataset_id", "c"])
+    two = chunks.select("dataset_id", met(*window, "hi", "half", "at", "mean").alias("m")).select("dataset_id", "m.*").groupBy("dataset_id").agg(
+        F.sum("squares").alias("squares"), F.max(F.when(c("ls").isNotNull(), F.struct("ls", "l0", "l1"))).alias("l"),
+        F.min(F.when(c("rs").isNotNull(), F.struct("rs", "r0", "r1"))).alias("r"))
+    out = one.join(two, "dataset_id").join(live.scans.select("dataset_id", c("x").alias("ax")), "dataset_id")
+    left = c("l.ls") + (c("half") - c("l.l0")) / single(c("l.l1"), -c("l.l0"))
+    right = c("r.rs") - 1 + (c("r.r1") - c("half")) / single(c("r.r1"), -c("r.r0"))
+    inside = ((c("hi") > c("lo")) & (c("at") > 0) & (c("at") < c("length") - 1) & (c("l.l0") <= c("half")) & (c("r.r0") <= c("half")))
+    dx = F.abs(c("ax.step"))
+    moment = raw_to_real(c("ax"), F.lit(start)) * c("sum") + (raw_to_real(c("ax"), F.lit(1)) - raw_to_real(c("ax"), F.lit(0))) * c("sumi")
     values = out.select(
         "dataset_id", c("lo").alias("RangeMin"), c("hi").alias("RangeMax"), c("mean").alias("RangeMean"),
-        c("rms").alias("RangeRms"), c("hi").alias("PeakValue"), raw_to_real(c("ax"), c("at")).alias("PeakPosition"),
-        F.when(c("rows") == c("n"), c("dx") * (c("sum") - c("ends") / 2)).otherwise(nan()).alias("Area"),
-        ratio(c("sumx"), c("sum")).alias("Centroid"),
-        F.when(crossed, (right - left) * c("dx")).otherwise(nan()).alias("Fwhm"))
+        F.sqrt(c("squares") / c("n")).alias("RangeRms"), c("hi").alias("PeakValue"), raw_to_real(c("ax"), c("at") + start).alias("PeakPosition"),
+        F.when(c("length") == c("n"), dx * (c("sum") - c("ends") / 2)).otherwise(nan()).alias("Area"),
+        ratio(moment, c("sum")).alias("Centroid"),
+        F.when(inside, (right - left) * dx).otherwise(nan()).alias("Fwhm"))
     return fill_missing(values, live.scans.select("dataset_id"))
 
 

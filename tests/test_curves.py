@@ -295,3 +295,18 @@ def test_noise_of_a_whole_chunk_takes_milliseconds():
         peaks.peaks_of(line, 0.1)
         took.append(time.process_time() - start)
     assert min(took) < 0.2  # tens of milliseconds on an idle core
+
+
+def test_range_statistics_over_several_chunks(spark, monkeypatch):
+    """Packed by seven samples: the same values as in one piece, also where the maximum or a crossing is at a border of chunks."""
+    arrays = [wave(k, n, gaps=g) for k, (n, g) in enumerate(((80, 0), (61, 5), (9, 0), (35, 30)))]
+    arrays.append(np.array([0, 1, 2, 3, 4, 5, 6, 9, 6, 5, 4, 3, 2, 1, 0, 0.0], dtype=np.float32))
+    for start, count in ((0, 200), (3, 40), (7, 7)):
+        c = curves(spark, *arrays, origin=0.4)
+        want = {r["dataset_id"]: r for r in curve.range_statistics(c, start, count).collect()}
+        monkeypatch.setattr(curve, "CHUNK", 7)
+        got = {r["dataset_id"]: r for r in curve.range_statistics(c, start, count).collect()}
+        monkeypatch.undo()
+        assert got.keys() == want.keys()
+        for k, r in want.items():
+            np.testing.assert_allclose([got[k][f] for f in sorted(r.asDict())], [r[f] for f in sorted(r.asDict())], rtol=1e-9, err_msg=f"{k} {start}")
