@@ -28,8 +28,8 @@ WORDS, BANDS, ROWS = 5, 32, 4
 TILE, TILE_ITEMS = 1024, 500_000
 # Estimated similarity from which a pair of a tile is confirmed on full sets; at 0.75 the estimate lies below with a chance under 1e-5.
 LIKELY = 0.58
-# Copies of each small-side row when a join key may be hot.
-SALTS = 8
+# Classes that one copy of a class is compared with on full sets.
+MEETING = 1024
 
 _K = BANDS * ROWS
 _SHIFTS = (np.arange(1, _K + 1, dtype=np.uint64) * np.uint64(0x9E3779B1) % np.uint64(1 << 32)).astype(np.uint32)
@@ -116,10 +116,13 @@ def classes_of(drawn: DataFrame) -> DataFrame:
                                        F.first("sketch").alias("sketch"))
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """Each member of a bucket beside the smallest of its bucket: (a, b) with a > b, each pair once."""
-    head = rows.groupBy("band").agg(F.min("f").alias("b"), F.max("f").alias("top")).filter("top > b").select("band", "b")
-    return rows.join(head, "band").filter("f > b").select(F.col("f").alias("a"), "b").distinct()
+def _star(rows: DataFrame, percent: int) -> DataFrame:
+    """Each member of a bucket beside the smallest of its bucket: (a, b, close) with a > b, each pair once; sets whose sizes alone
+    rule a link out are not close."""
+    head = rows.groupBy("band").agg(F.min(F.struct("f", "n_shingles")).alias("h"), F.max("f").alias("top")).filter("top > h.f").select("band", "h")
+    size, other = F.col("n_shingles"), F.col("h.n_shingles")
+    close = F.least(size, other) * 100 >= percent * F.greatest(size, other)
+    return rows.join(head, "band").filter("f > h.f").select(F.col("f").alias("a"), F.col("h.f").alias("b"), close.alias("close")).distinct()
 
 
 def _contents(batch: pa.RecordBatch):
@@ -131,23 +134,23 @@ def _contents(batch: pa.RecordBatch):
 def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(f, items): the full shingle sets of the classes in ``wanted``, made again from the text of one member."""
     ids = classes.select("f", "doc_id").join(wanted.distinct(), "f", "left_semi").select(F.col("f").alias("class"), "doc_id")
-    texts = docs.filter(F.col("text").isNotNull()).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    made = C.extend(texts, _contents, "f bigint, items array<bigint>", ["doc_id"])
-    return made.join(ids, "doc_id").filter("f = class").select("f", "items").dropDuplicates(["f"])
+    texts = docs.filter(F.col("text").isNotNull()).join(ids, "doc_id")
+    made = C.extend(texts, _contents, "f bigint, items array<bigint>", ["class"])
+    return made.filter("f = class").select("f", "items").dropDuplicates(["f"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes with 100 * intersection >= percent * union, decided on the full sets.
 
-    A class compared with many others is dealt out in salted copies.
+    A class compared with more than MEETING others is dealt out in as many copies as that takes.
     """
-    sets = C.stored(_sets(pairs.select(F.explode(F.array("a", "b")).alias("f")), docs, classes), "sets")
-    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
-    left = pairs.join(sets.select(F.col("f").alias("a"), F.col("items").alias("x")), "a").withColumn("salt", salt)
-    right = sets.join(pairs.select(F.col("b").alias("f")).distinct(), "f", "left_semi").select(
-        F.col("f").alias("b"), F.col("items").alias("y"), F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
+    copies = F.ceil(F.col("n") / MEETING).cast("int")
+    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", copies.alias("copies"))
+    salt = F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")
+    left = pairs.select("a", "b").join(many, "b").select("a", "b", salt.alias("salt")).join(sets.select(F.col("f").alias("a"), F.col("items").alias("x")), "a")
+    right = sets.join(many.withColumnRenamed("b", "f"), "f").select(F.col("f").alias("b"), F.col("items").alias("y"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     nx, ny = F.size("x"), F.size("y")
-    return (left.join(right, ["b", "salt"]).filter(F.least(nx, ny) * 100 >= percent * F.greatest(nx, ny))
+    return (left.join(right, ["b", "salt"])
             .select("a", "b", (nx + ny).alias("n"), F.size(F.array_intersect("x", "y")).alias("m"))
             .filter(F.col("m") * 100 >= percent * (F.col("n") - F.col("m"))).select("a", "b"))
 
@@ -213,7 +216,7 @@ def _tile_links(percent: int):
     return links
 
 
-def _rest(rows: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, comp: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside buckets that hold several, apart from those with the bucket's smallest member."""
     labelled = rows.join(comp, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
     heads = labelled.groupBy("band").agg(F.min("f").alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
@@ -223,7 +226,7 @@ def _rest(rows: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame,
                                      F.sum("n_shingles").alias("items")).filter("lo < hi")
     parts = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("items") / TILE_ITEMS)).cast("int")
     left = C.stored(left.join(still.select("band", parts.alias("parts")), "band"), "mixed")
-    sets = C.stored(_sets(left.select("f"), docs, classes), "sets").join(classes.select("f", "sketch", "bands"), "f")
+    sets = sets.join(left.select("f").distinct(), "f", "left_semi").join(classes.select("f", "sketch", "bands"), "f")
     p, q = F.col("p"), F.col("q")
     dealt = left.withColumn("p", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = dealt.select("band", F.least(p, q).alias("i"), F.greatest(p, q).alias("j"), "f", "comp",
@@ -237,9 +240,12 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     drawn = C.stored(sketches(docs), "sketches")
     classes = C.stored(classes_of(drawn), "classes")
     rows = classes.select("f", "n_shingles", F.explode("bands").alias("band"))
-    edges = C.stored(_confirm(C.stored(_star(rows), "pairs"), docs, classes, percent), "edges")
+    pairs = C.stored(_star(rows, percent), "pairs")
+    # every member of a bucket of several is in a pair, so these sets serve the tiles as well
+    sets = C.stored_by(_sets(pairs.select(F.explode(F.array("a", "b")).alias("f")), docs, classes), "f", "sets")
+    edges = C.stored(_confirm(pairs.filter("close"), sets, percent), "edges")
     comp = components(edges)
-    more = C.stored(_rest(rows, comp, classes, docs, percent), "edges")
+    more = C.stored(_rest(rows, comp, classes, sets, percent), "edges")
     if more.limit(1).count():
         comp = components(edges.unionByName(more))
     grown = classes.select("f", "doc_id").join(comp, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
