@@ -1,14 +1,23 @@
 """Documents that hold a benchmark item, also with words added, dropped or changed.
 
-Words (letters and digits, lower case) are the symbols.  An item that may have k edits is cut into k + 1 pieces of neighbouring words.
-An edit spoils at most one piece, so whatever is within the limit holds at least one piece word by word, and no more than k words
-from where the item has it: every place of a piece in a document is a candidate, whatever the length of the item and wherever
-the text ends.  Candidates with too few words of the item around them are further away than the limit; the edit distance to the whole item
-decides on the rest.  Nothing within the limit is passed over.
-
-Defined results: null, empty and wordless texts and items match nothing; items under eight words must match word by word; a document
-that holds an item several times is reported with the closest place (the first of equals); repeated rows are
-reported each.
+Words (letters and digits, lower case) are the symbols.  The random walk of Chakraborty, Goldenberg and Koucky maps edit distance to Hamming
+distance: a window is read from its start, each step writes the current word and moves on or stays by a random bit of that word.
+Repetitions with fresh bits each sample two places of the walk as a bucket key; a window of a document that shares
+a bucket with an item of its size is a candidate, and the edit distance to the whole item decides.
+
+Windows stand at every word, up to the last of a text, and have the size of the items' size class (sizes a quarter apart; an item takes the
+largest class within it); where the text ends first, so does the window.  Windows with too few words, or pairs of neighbouring words, that
+occur in any item are passed over without loss: each edit spoils one word and two pairs, so they are further from every item than
+the limit.  Repetitions go on until items edited at random, as much as the limit allows, in running text and at the end of a
+text, are found with the wanted recall, and then twice as long; no number of them is a cap.
+
+Edits that stand close together, as where the first words of an item are gone, put a walk out of step for good.  An exact completion finds those:
+an item that may have k edits is cut into k + 1 pieces, one of which every text within the limit holds word by word.
+Windows and pieces with too few words of the item around them are further away than the limit.
+
+Defined results: null, empty and wordless texts and items match nothing; items under eight words must match word by word, since an edit
+in so few words leaves common phrases; a document that holds an item several times is reported with the closest place (the first of
+equals); repeated rows are reported each.
 """
 
 from __future__ import annotations
@@ -25,6 +34,8 @@ from heightfield.llm import common as C
 
 # Edits per word that still count as the item, for items of at least SHORT words.
 RATE, SHORT = 0.25, 8
+# Sampled places of one repetition, the share of the walk they lie in by turns, and the recall to reach on edited copies.
+SAMPLED, REACH, RECALL, COPIES, LEAST = 2, (0.35, 0.6, 0.85), 0.999, 256, 6
 # Items looked for in one pass over the documents, and words (or candidates) searched together.
 ITEMS, TOGETHER = 8192, 1_000_000
 
@@ -50,6 +61,25 @@ def grams(x: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+def pairs(x: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return C.mix(x[:-1] * np.uint64(0x9FB21C651E98DF25) + x[1:])
+
+
+def walk(x: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: int, places: np.ndarray) -> np.ndarray:
+    """Bucket keys: the words that the walk from each start writes at the sampled places (nothing beyond its stop)."""
+    pos = start.copy()
+    key = np.full(len(start), np.uint64(salt), np.uint64)
+    sampled = set(places.tolist())
+    for step in range(int(places[-1]) + 1):
+        word = np.where(pos < stop, x[np.minimum(pos, len(x) - 1)], np.uint64(0))
+        if step in sampled:
+            key = C.mix(key * np.uint64(0x9FB21C651E98DF25) + word)
+        odd = np.uint64((salt * (2 * step + 1) | 1) & 0xFFFFFFFFFFFFFFFF)
+        pos += ((word * odd) >> np.uint64(63)).astype(np.int64)
+    return key
+
+
 def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers from each start up to its stop, and which start each belongs to."""
     n = stop - start
@@ -74,7 +104,7 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Pieces of a block of items."""
+    """Buckets of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         data = [t.encode("utf-8", "surrogatepass") for _, t in items]
@@ -85,6 +115,22 @@ class Index:
         self.most = np.array([limit(n) for n in self.size.tolist()], np.int64)
         self.member = np.zeros(1 << 22, bool)
         self.member[self.own(self.words, np.repeat(np.arange(len(self.size)), self.size))] = True
+        self.seen, self.beside = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        self.seen[self.words >> np.uint64(44)] = True
+        self.beside[pairs(self.words) >> np.uint64(44)] = True
+        ladder = [1]
+        while self.size.size and ladder[-1] < self.size.max():
+            ladder.append(max(ladder[-1] + 1, int(ladder[-1] * 1.25)))
+        rung = np.searchsorted(ladder, self.size, side="right") - 1
+        self.classes = []
+        for c in np.unique(rung[self.size > 0]).tolist():
+            mine, width = np.flatnonzero(rung == c), ladder[c]
+            buckets = []
+            for salt, places in self.repetitions(mine, width):
+                key = walk(self.words, self.at[mine], self.at[mine] + width, salt, places)
+                order = np.argsort(key, kind="stable")
+                buckets.append((salt, places, key[order], mine[order]))
+            self.classes.append((width, int(self.most[mine].max()), buckets))
         full = np.flatnonzero(self.size)
         part, which = ranges(np.zeros(len(full), np.int64), self.most[full] + 1)
         owner = full[which]
@@ -99,13 +145,70 @@ class Index:
             held[key >> np.uint64(44)] = True
             self.pieces.append((n, held, key[order], owner[mine][order], first[mine][order]))
 
+    def repetitions(self, mine: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+        """Salts and places: twice as many as edited copies of the items need for the recall."""
+        rng = np.random.default_rng(width)
+        chosen = mine[rng.integers(0, len(mine), COPIES)]
+        flat, begin, end = [], [], []
+        for k, i in enumerate(chosen.tolist()):
+            w = self.words[self.at[i]:self.at[i] + width].tolist()
+            for _ in range(int(self.most[i])):
+                p, kind = int(rng.integers(0, max(len(w), 1))), int(rng.integers(0, 3))
+                w[p:p + (kind > 0)] = [int(rng.integers(1, 1 << 62))] if kind < 2 else []
+            more = rng.integers(1, 1 << 62, width).tolist() if k % 2 else []  # every other copy ends its text
+            begin.append(len(flat))
+            end.append(len(flat) + min(width, len(w) + len(more)))
+            flat += w + more
+        flat, begin, end = np.array(flat + [0], np.uint64), np.array(begin), np.array(end)
+        out, missed, needed = [], np.ones(COPIES, bool), 0
+        while len(out) < max(LEAST, 2 * needed) or not needed:
+            salt = int(rng.integers(1, 1 << 62))
+            upto = max(int(2 * width * REACH[len(out) % len(REACH)]), SAMPLED)
+            bounds = np.linspace(0, upto, SAMPLED + 1).astype(int)  # one place in each part
+            places = np.array([int(rng.integers(a, b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            out.append((salt, places))
+            missed &= walk(flat, begin, end, salt, places) != walk(self.words, self.at[chosen], self.at[chosen] + width, salt, places)
+            if not needed and missed.mean() <= 1 - RECALL:
+                needed = len(out)
+        return out
+
     @staticmethod
     def own(words: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Place of a word of an item among the members."""
         return C.mix(words + item.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(42)
 
     def candidates(self, x: np.ndarray, at: np.ndarray):
-        """Texts, items and stretches (from, to) around each place of a piece that have enough words of the item."""
+        """Texts, items and stretches (from, to) around each window that shares a bucket with an item and has enough of its words."""
+        known = np.concatenate([[0], np.cumsum(self.seen[x >> np.uint64(44)])])
+        beside = np.concatenate([[0], np.cumsum(self.beside[pairs(x) >> np.uint64(44)]), [0]])
+        last = np.repeat(at[1:], np.diff(at))  # end of the text that holds each word
+        for width, slack, buckets in self.classes:
+            start = np.arange(len(x))
+            stop = np.minimum(start + width, last)
+            # within the limit, all but ``slack`` words and all but twice as many neighbouring pairs occur in the item
+            start = start[known[stop] - known[start] >= width - slack]
+            stop = stop[start]
+            held = beside[stop - 1] - beside[start] >= width - 1 - 2 * slack
+            start, stop = start[held], stop[held]
+            if not len(start):
+                continue
+            for salt, places, keys, owners in buckets:
+                key = walk(x, start, stop, salt, places)
+                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                hits = np.flatnonzero(hi > lo)
+                upto = np.concatenate([[0], np.cumsum((hi - lo)[hits])])
+                for a in range(0, int(upto[-1]), TOGETHER):
+                    hit = np.arange(a, min(a + TOGETHER, int(upto[-1])))
+                    who = np.searchsorted(upto, hit, side="right") - 1
+                    item, here = owners[hit - upto[who] + lo[hits[who]]], start[hits[who]]
+                    text = np.searchsorted(at, here, side="right") - 1
+                    begin = np.maximum(at[text], here - self.most[item])
+                    end = np.minimum(at[text + 1], here + self.size[item] + self.most[item])
+                    enough = self.enough(x, item, begin, end)
+                    yield np.stack([text[enough], item[enough], begin[enough], end[enough]])
+
+    def completion(self, x: np.ndarray, at: np.ndarray):
+        """The same around each place of a piece of an item: what the walks can miss, where edits stand close together."""
         last = np.repeat(at[1:], np.diff(at))  # end of the text that holds each word
         for n, held, keys, owners, firsts in self.pieces:
             key = grams(x, n)
@@ -141,13 +244,13 @@ class Index:
             out[a:b] = count >= self.size[item[a:b]] - self.most[item[a:b]]
         return out
 
-    def search(self, x: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    def search(self, x: np.ndarray, at: np.ndarray, complete: bool = True) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item): (distance, first word, words) of the closest place, for all pairs within the limit."""
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        spots = list(self.candidates(x, at))
+        spots = [*self.candidates(x, at), *(self.completion(x, at) if complete else ())]
         if not spots:
             return found
-        spots = np.concatenate(spots, axis=1)
+        spots = np.unique(np.concatenate(spots, axis=1), axis=1)
         spots = spots[:, np.lexsort((spots[2], spots[1], spots[0]))]
         # stretches of one text and item that touch are looked at once
         joined: list[list[int]] = []

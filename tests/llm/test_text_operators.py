@@ -298,6 +298,26 @@ def test_recall_does_not_depend_on_the_length_of_the_item():
     assert all(found[t, k][0] == edit_distance(items[k], docs[t]) for t, k in want if k < 4)
 
 
+@pytest.mark.parametrize("rate, least", [(0.15, 0.99), (0.25, 0.98)])
+def test_recall_of_the_walks_alone_by_length_and_at_the_end_of_a_text(rate, least):
+    rng = np.random.default_rng(9)
+    for n in (8, 12, 20, 50, 100, 200, 400):
+        items = [[f"i{k}w{j}" for j in range(n)] for k in range(3)]
+        docs, want = [], set()
+        for d in range(100):
+            w = list(items[d % 3])
+            for _ in range(int(rate * n)):
+                p, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+                w[p:p + (kind > 0)] = [f"z{rng.integers(1 << 30)}"] if kind < 2 else []
+            want.add((d, d % 3))
+            docs.append([f"b{j}" for j in range(d % 7)] + w + (["after"] * 90 if d % 2 else []))
+        x, at = decontaminate.word_hashes(*C.text_of(batch([" ".join(d) for d in docs])))
+        index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+        found = set(index.search(x, at, complete=False))
+        assert found <= want and len(found) >= least * len(want), (n, len(found))
+        assert set(index.search(x, at)) == want
+
+
 def test_pairs_found_are_those_of_brute_force():
     rng = np.random.default_rng(6)
     items = [[f"w{v}" for v in rng.integers(0, 6, n)] for n in range(1, 25)]
