@@ -66,24 +66,36 @@ def region_roughness(images: ImageSet, regions: list[Region]) -> DataFrame:
                         table.select("dataset_id", F.col("region.region_id").alias("region_id")))
 
 
-def roi_statistics(images: ImageSet, shape: str = "Rectangle", left: int = 0, top: int = 0,
-                   width: int = 64, height: int = 64) -> DataFrame:
-    """Sq, Sa, Sz, Mean, Min, Max, PixelCount of the finite pixels in one box or inscribed ellipse.
-
-    The box is clamped to the image first, so the ellipse is the one inscribed in the clamped
-    box.  Images that do not contain the origin are skipped.
-    """
+def _boxed(images: ImageSet, shape: str, left: int, top: int, width: int, height: int) -> tuple[DataFrame, DataFrame]:
+    """Images (dataset_id, w, h) that hold the origin of the box, and their pixels in it."""
     if shape not in ("Rectangle", "Ellipse"):
         raise ValueError(f"unknown shape {shape!r}")
     inside = images.geometry().filter((F.col("w") > left) & (F.col("h") > top))
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    rows = images.pixels.filter(
-        (x >= left) & (x < left + width) & (y >= top) & (y < top + height) & finite(z))
+    x, y = F.col("x"), F.col("y")
+    rows = images.pixels.filter((x >= left) & (x < left + width) & (y >= top) & (y < top + height))
     if shape == "Ellipse":
         box = inside.select("dataset_id", F.least(F.lit(width), F.col("w") - left).alias("_ew"),
                             F.least(F.lit(height), F.col("h") - top).alias("_eh"))
         rows = attach(images, rows, box).filter(
             in_ellipse(x + 0.5, y + 0.5, F.lit(float(left)), F.lit(float(top)), F.col("_ew"), F.col("_eh")))
+    return inside, rows
+
+
+def roi_pixels(images: ImageSet, shape: str = "Rectangle", left: int = 0, top: int = 0, width: int = 64, height: int = 64) -> DataFrame:
+    """(dataset_id, pixels): pixels of the box or inscribed ellipse, finite or not, zero included."""
+    inside, rows = _boxed(images, shape, left, top, width, height)
+    return fill_missing(rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("pixels")), inside.select("dataset_id"), ("pixels",))
+
+
+def roi_statistics(images: ImageSet, shape: str = "Rectangle", left: int = 0, top: int = 0,
+                   width: int = 64, height: int = 64) -> DataFrame:
+    """Sq, Sa, Sz, Mean, Min, Max, PixelCount of the finite pixels in one box or inscribed ellipse.
+
+    The box is clamped to the image first, so the ellipse is the one inscribed in the clamped
+    box.  Images that do not contain the origin are skipped.
+    """
+    inside, rows = _boxed(images, shape, left, top, width, height)
+    rows = rows.filter(finite(F.col("z")))
     stats = moments(rows, attach_mean=lambda r, first: attach(images, r, first))
     named = stats.select("dataset_id", F.col("sq").alias("Sq"), F.col("sa").alias("Sa"), F.col("p2p").alias("Sz"),
                          F.col("mean").alias("Mean"), F.col("lo").alias("Min"), F.col("hi").alias("Max"),

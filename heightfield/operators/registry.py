@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import math
+import platform
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,6 +19,7 @@ from heightfield.functions.regions import Region
 from heightfield.functions.units import is_length
 from heightfield.model import CurveSet, ImageSet, fitting, rejected
 from heightfield.operators import baseline, curve, flatten, gauss, grains, peaks, pixel, profiles, regions, spectral, statistics, stencil
+from heightfield.plans.iterate import cut
 
 IMAGE, CURVE = "ScanImage", "LineProfile"
 VERSION = "2"
@@ -102,13 +107,14 @@ class Operation:
     extra_errors: Callable[[dict], list[str]] | None = None
     warnings: Callable | None = None              # (data, params, output) -> (dataset_id, code)
     effective: Callable[[dict], dict] | None = None  # parameters that actually took effect, where they differ
-    tables: Callable | None = None                # (data, params) -> further result tables by name
+    tables: Callable | None = None                # (data, params, shared) -> further result tables by name
+    shared: Callable | None = None                # (data, params) -> what ``run`` and ``tables`` are both made from, evaluated once
     rejects: Callable[[dict], list[tuple[Column, str, str]]] | None = None  # params -> (condition, code, message) of members it cannot take
 
 
 @dataclass(frozen=True)
 class Result:
-    """Exactly one of ``derived`` and ``measurements``, with diagnostics and provenance rows.
+    """Exactly one of ``derived`` and ``measurements``, with diagnostics (code and message) and provenance rows.
 
     ``rejects`` names the members the operation could not be given to, with the reason; ``tables`` holds what belongs
     beside the scalars: a histogram, a list of peaks.
@@ -162,9 +168,9 @@ class Registry:
         if not errors and op.extra_errors:
             errors = op.extra_errors(params)
         if (op.accepts == IMAGE) != isinstance(data, ImageSet):
-            errors.append(f"'{op.id}' requires {op.accepts} data.")
+            errors.append(f"it works on members of kind {op.accepts}, these are of another kind")
         if areas and not op.uses_region:
-            errors.append(f"'{op.id}' does not take regions.")
+            errors.append("it cannot be restricted to regions")
         if errors:
             raise ValueError(f"cannot run {op.id!r}: " + "; ".join(errors))
         rules = op.rejects(params) if op.rejects else []
@@ -174,14 +180,22 @@ class Registry:
         if rules:
             fit = fitting(data.scans, rules)
             data = data.among(fit) if isinstance(data, ImageSet) else data.with_samples(data.samples, fit)
-        out = op.run(data, **params, regions=areas) if areas else op.run(data, **params)
-        empty = data.scans.select("dataset_id", F.lit("").alias("code")).limit(0)
+        started, clock = datetime.datetime.now(datetime.timezone.utc), time.monotonic()
         told = params | ({"regions": areas} if areas else {})
-        warnings = op.warnings(data, told, out) if op.warnings else empty
-        steps = provenance_steps(op, data.scans, params, warnings, areas)
-        if op.output == "DerivedDataset":
+        shared = cut(op.shared(data, params)) if op.shared else None
+        out = op.run(data, **told) if shared is None else op.run(data, **told, shared=shared)
+        empty = data.scans.select("dataset_id", F.lit("").alias("code")).limit(0)
+        measured = op.output != "DerivedDataset"
+        if measured:
+            out = cut(out)  # a row per member: measurements, warnings and steps read it instead of running the operation again
+        warnings = (op.warnings(data, told, out) if op.warnings else empty).withColumn("message", _messages()[F.col("code")])
+        if measured:
+            warnings = cut(warnings)
+        took = time.monotonic() - clock if measured else None
+        steps = provenance_steps(op, data.scans, params, warnings, areas, started, took)
+        if not measured:
             return Result(_identified(op, out, params), None, warnings, steps, refused)
-        return Result(None, measurements(op, data, out, params, areas), warnings, steps, refused, op.tables(data, params) if op.tables else {})
+        return Result(None, measurements(op, data, out, params, areas), warnings, steps, refused, op.tables(data, params, shared) if op.tables else {})
 
 
 def artifact_id(op: Operation, params: dict, region: Column | None = None) -> Column:
@@ -227,11 +241,19 @@ def parameter_units(op: Operation) -> Column:
     return F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
 
 
-def provenance_steps(op: Operation, scans: DataFrame, params: dict, warnings: DataFrame, areas: list[Region] | None = None) -> DataFrame:
-    """One step per input dataset (and region): what ran, with which effective parameters, and its diagnostics.
+DIAGNOSTIC = "array<struct<code:string,message:string>>"
+
+
+def provenance_steps(op: Operation, scans: DataFrame, params: dict, warnings: DataFrame, areas: list[Region] | None = None,
+                     started: datetime.datetime | None = None, took: float | None = None) -> DataFrame:
+    """One step per input dataset (and region): what ran when, where and for how long, with which effective parameters, and its diagnostics.
 
-    Choices are recorded by code; values an input clamps are recorded as clamped for that input.
+    Choices are recorded by code; values an input clamps are recorded as clamped for that input.  A step has an id of its own per run;
+    the time is that of the run, whenever the table is read; the duration is null for a derived dataset, which is lazy.
     """
+    started = started or datetime.datetime.now(datetime.timezone.utc)
+    spark, run = scans.sparkSession, uuid.uuid4().hex
+    environment = {"library": VERSION, "spark": spark.version, "python": platform.python_version(), "system": platform.system()}
     used = params | (op.effective(params) if op.effective else {})
     choices = {p.name: p.choices for p in op.params if p.choices}
     coded = {k: float(choices[k].index(v)) if k in choices else v for k, v in used.items()}
@@ -241,18 +263,21 @@ def provenance_steps(op: Operation, scans: DataFrame, params: dict, warnings: Da
         return F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,double>)")
 
     keys = ["dataset_id", "region_id"] if areas else ["dataset_id"]
-    told = warnings.groupBy(*keys).agg(F.sort_array(F.collect_set("code")).alias("warnings"))
+    told = warnings.groupBy(*keys).agg(F.sort_array(F.collect_set("code")).alias("warnings"), F.sort_array(F.collect_set(F.struct("code", "message"))).alias("details"))
     rows, region, parameters = scans, None, table({})
     if areas:
         one = F.explode(F.array(*[F.struct(F.lit(r.region_id).alias("region_id"), table(region_parameters(r)).alias("parameters")) for r in areas]))
         rows = scans.withColumn("_r", one).withColumn("region_id", F.col("_r.region_id"))
         region, parameters = F.col("region_id"), F.col("_r.parameters")
     rows = rows.join(told, keys, "left")
+    made = artifact_id(op, params, region)
     return rows.select(
-        artifact_id(op, params, region).alias("artifact_id"), F.col("dataset_id").alias("input_dataset_id"), F.lit(0).alias("input_version"),
+        F.sha2(F.concat_ws("|", made, F.lit(run)), 256).alias("step_id"), made.alias("artifact_id"), F.col("dataset_id").alias("input_dataset_id"), F.lit(0).alias("input_version"),
         F.lit(op.id).alias("operation_id"), F.lit(op.version).alias("operation_version"), F.lit(0).alias("step_order"),
         parameters.alias("parameters"), parameter_units(op).alias("parameter_units"), F.lit(VERSION).alias("library_version"),
-        F.current_timestamp().alias("ran_at"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+        F.lit(started).alias("ran_at"), F.lit(took).cast("double").alias("seconds"), F.create_map(*[F.lit(x) for kv in environment.items() for x in kv]).alias("environment"),
+        F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), F.coalesce("details", F.array().cast(DIAGNOSTIC)).alias("warning_details"),
+        F.array().cast(DIAGNOSTIC).alias("errors"))
 
 
 def measurements(op: Operation, data, wide: DataFrame, params: dict, areas: list[Region] | None = None) -> DataFrame:
@@ -326,11 +351,9 @@ def _region_warnings(gap: str, none: str) -> Callable:
 
 
 def _roi_warnings(data: ImageSet, p: dict, out: DataFrame) -> DataFrame:
-    # finite pixels are counted in the result; the region's own pixels come from the same operator on zeroed data
-    solid = data.with_pixels(data.pixels.withColumn("z", F.lit(0.0).cast("float")))
-    whole = regions.roi_statistics(solid, **p).select("dataset_id", F.col("PixelCount").alias("all"))
-    both = out.join(whole, "dataset_id")
-    return _flagged(both, F.col("PixelCount") < F.col("all"), "roi.non-finite").unionByName(_flagged(both, F.col("PixelCount") == 0, "roi.empty"))
+    # finite pixels are counted in the result, those of the region in one aggregate
+    both = out.join(regions.roi_pixels(data, **p), "dataset_id")
+    return _flagged(both, F.col("PixelCount") < F.col("pixels"), "roi.non-finite").unionByName(_flagged(both, F.col("PixelCount") == 0, "roi.empty"))
 
 
 def _range_warnings(data: CurveSet, p: dict, out: DataFrame) -> DataFrame:
@@ -362,23 +385,23 @@ def _band_cutoffs(p: dict) -> dict:
 
 def _cutoffs(p: dict) -> list[str]:
     if p["kind"] in ("BandPass", "BandStop") and not p["lowCutoff"] < p["highCutoff"]:
-        return ["The low cutoff must be below the high cutoff."]
+        return ["lowCutoff: not below highCutoff"]
     return []
 
 
 def _odd_size(p: dict) -> list[str]:
     if p["kind"] in stencil.SIZED and p["size"] not in (3, 5, 7, 9):
-        return ["The kernel size must be 3, 5, 7 or 9."]
+        return ["size: a kernel has an odd edge from 3 to 9"]
     return []
 
 
 def _window(p: dict) -> list[str]:
-    errors = [] if p["window"] % 2 else ["The window must be odd."]
-    return errors + ([] if p["order"] < p["window"] else ["The order must be smaller than the window."])
+    errors = [] if p["window"] % 2 else ["window: an even number has no middle sample"]
+    return errors + ([] if p["order"] < p["window"] else ["order: needs a window with more samples"])
 
 
 def _positive_cutoff(p: dict) -> list[str]:
-    return [] if p["cutoff"] > 0 else ["The cutoff wavelength must be greater than zero."]
+    return [] if p["cutoff"] > 0 else ["cutoff: a wavelength is above zero"]
 
 
 def _origin(axes: tuple[tuple[str, str], ...]) -> Callable[[dict], list]:
@@ -391,6 +414,28 @@ def _no_line(p: dict) -> list:
     return [(~_lengths(), *gauss.NOT_LENGTH), ((ends["x0"] == ends["x1"]) & (ends["y0"] == ends["y1"]), "line.no-length", "the line has no length inside the image")]
 
 
+# What each warning code says.
+MESSAGES = {
+    "statistics.non-finite": "samples that are not finite make the values NaN", "statistics.degenerate-range": "all finite samples are equal, so the histogram is empty",
+    "roughness.non-finite": "samples that are not finite make the parameters NaN", "roughness.empty-region": "the region covers no pixel of the image",
+    "filtered-roughness.non-finite": "samples that are not finite were met by the filter", "filtered-roughness.empty-region": "the region covers no pixel of the image",
+    "filtered-roughness.short": "the curve holds fewer than five sampling lengths", "roi.non-finite": "pixels of the region that are not finite were left out",
+    "roi.empty": "the region holds no finite pixel", "grains.non-finite": "pixels that are not finite belong to no grain",
+    "flatten.underdetermined": "too few samples for the order: returned as given", "psd.skipped-lines": "lines with samples that are not finite were left out",
+    "psd.empty": "no line is finite throughout: the spectrum is zero", "profile-roughness.non-finite": "samples that are not finite were left out",
+    "profile-roughness.empty": "no sample is finite", "range-statistics.non-finite": "samples of the range that are not finite were left out",
+    "range-statistics.empty": "the range holds no finite sample", "peaks.none": "no peak is left by prominence, signal-to-noise ratio and width",
+    "profile-flatten.non-finite": "samples that are not finite took no part in the fit", "profile-flatten.low-rank": "too few finite samples for the order: returned as given",
+    "profile-flatten.singular": "the fit has no solution: returned as given", "profile-smooth.non-finite": "samples that are not finite took no part in the local fits",
+    "profile-baseline.non-finite": "samples that are not finite took no part in the baseline", "profile-baseline.low-rank": "fewer than three finite samples: returned as given",
+    "profile-baseline.singular": "the baseline has no solution: returned as given",
+}
+
+
+def _messages() -> Column:
+    return F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+
+
 # Fixed values in the registrations below: operation ids, parameter names, defaults, ranges and warning codes.
 def standard() -> Registry:
     """Every operation of the library under its stable id."""
@@ -410,7 +455,7 @@ def standard() -> Registry:
     artifact("reference.identity", IMAGE, (), lambda d: d.scans.select("dataset_id", F.lit(1.0).alias("value")), {"value": "1"})
     artifact("image.statistics", IMAGE, (Param("binCount", int, 256, 1),), _statistics,
              dict.fromkeys(statistics.STATISTICS[:8], "z") | {"skewness": "1", "kurtosis": "1", "count": "1"},
-             warnings=_statistics_warnings, tables=lambda d, p: {"histogram": statistics.histogram(d, p["binCount"])})
+             warnings=_statistics_warnings, tables=lambda d, p, shared: {"histogram": statistics.histogram(d, p["binCount"])})
     artifact("image.roughness", IMAGE, (), _roughness, areal, uses_region=True,
              warnings=_region_warnings("roughness.non-finite", "roughness.empty-region"))
     artifact("image.roughness-filtered", IMAGE, (cutoff,), gauss.filtered_roughness, areal, uses_region=True,
@@ -460,10 +505,10 @@ def standard() -> Registry:
              rejects=_origin((("x", "start"),)))
     artifact("curve.peaks", CURVE,
              (Param("prominence", float, 0.1, 0.0, 1.0), Param("minSnr", float, 0.0, 0.0), Param("minWidth", float, 0.0, 0.0)),
-             lambda d, prominence, minSnr, minWidth: peaks.dominant_peaks(d, peaks.peak_table(d, prominence, minSnr, minWidth)),
-             {"PeakCount": "1", "DominantPosition": "x", "DominantValue": "z", "DominantProminence": "z", "DominantWidth": "x", "DominantSnr": "1"},
+             lambda d, shared, **p: peaks.dominant_peaks(d, shared), shared=lambda d, p: peaks.peak_table(d, p["prominence"], p["minSnr"], p["minWidth"]),
+             units={"PeakCount": "1", "DominantPosition": "x", "DominantValue": "z", "DominantProminence": "z", "DominantWidth": "x", "DominantSnr": "1"},
              warnings=lambda d, p, out: _flagged(out, F.col("PeakCount") == 0, "peaks.none"),
-             tables=lambda d, p: {"peaks": peaks.peak_table(d, p["prominence"], p["minSnr"], p["minWidth"])})
+             tables=lambda d, p, shared: {"peaks": shared})
     derived("profile.crop", CURVE, (Param("start", int, 0, 0), Param("count", int, 128, 1)), pixel.crop_curve, effective=_clamped_count,
             rejects=_origin((("x", "start"),)))
     derived("profile.flatten", CURVE, (Param("order", int, 1, 0, 8),), flatten.flatten_curves,

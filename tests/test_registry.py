@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heightfield.functions import units
 from heightfield.functions.regions import polygon, rectangle
-from heightfield.operators import lineage, registry
+from heightfield.operators import lineage, peaks, regions, registry
 
 OPS = registry.standard()
 
@@ -177,5 +177,52 @@ def test_members_that_do_not_fit_are_named(spark):
 def test_singular_baselines_are_told(spark):
     two = curves(spark, np.arange(40.0), np.zeros(40))
     res = OPS.run("profile.baseline", two, {"lambda": 1.7e308})
-    assert [tuple(r) for r in res.warnings.collect()] == [(0, "profile-baseline.singular")]
+    assert [tuple(r) for r in res.warnings.select("dataset_id", "code").collect()] == [(0, "profile-baseline.singular")]
     assert OPS.run("profile.baseline", two, {}).warnings.count() == 0
+
+
+def counted(spark, rows):
+    """The rows, with an accumulator of how many of them were read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return rows.mapInArrow(count, rows.schema), seen
+
+
+def all_read(res):
+    for df in (res.measurements, res.warnings, res.steps, res.rejects, *res.tables.values()):
+        df.collect()
+
+
+@pytest.mark.parametrize("op", ["curve.peaks", "image.roi-statistics"])
+def test_an_operation_is_evaluated_once_per_run(spark, op):
+    rng = np.random.default_rng(2)
+    if op == "curve.peaks":
+        data = curves(spark, rng.normal(size=90), [1.0] * 20)
+        rows, seen = counted(spark, data.samples)
+        peaks.peak_table(data.with_samples(rows), 0.1).collect()
+        data = data.with_samples(rows)
+    else:
+        data = images(spark, rng.normal(size=(20, 30)))
+        rows, seen = counted(spark, data.pixels)
+        data = data.with_pixels(rows)
+        regions.roi_statistics(data).collect()
+        regions.roi_pixels(data).collect()
+    once = seen.value
+    all_read(OPS.run(op, data))
+    assert once and seen.value == 2 * once
+
+
+def test_warnings_carry_messages_and_steps_say_where_and_when(spark):
+    res = OPS.run("curve.peaks", curves(spark, [1.0] * 9))
+    assert [(r["code"], r["message"]) for r in res.warnings.collect()] == [("peaks.none", registry.MESSAGES["peaks.none"])]
+    step = res.steps.first()
+    assert step["warning_details"] == [("peaks.none", registry.MESSAGES["peaks.none"])] and step["errors"] == []
+    assert step["ran_at"] == res.steps.first()["ran_at"] and step["step_id"] == res.steps.first()["step_id"] and step["seconds"] > 0
+    assert set(step["environment"]) == {"library", "spark", "python", "system"}
+    again = OPS.run("curve.peaks", curves(spark, [1.0] * 9)).steps.first()
+    assert again["artifact_id"] == step["artifact_id"] and again["step_id"] != step["step_id"]
