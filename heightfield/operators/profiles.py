@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heightfield.functions.expr import clamp, finite, nan
+from heightfield.functions.expr import clamp, finite, floordiv, nan
 from heightfield.functions.units import is_length, scale_of
 from heightfield.model import CurveSet, ImageSet, axis, fitting, rejected
+from heightfield.plans.layout import TILE
 
 CORNER_ROWS = 200_000  # corner rows broadcast at most; beyond that both sides are exchanged
 SAMPLES = (2, 100_000)  # fixed values: samples a line may ask for
@@ -49,7 +50,8 @@ def line_profiles(images: ImageSet, lines: DataFrame) -> CurveSet:
 
     All lines are sampled in one plan: sample points become four corner lookups that meet the
     pixels in an equi-join.  The corner side is broadcast only when the lines ask for few
-    enough samples; its size is known from the line table before anything is joined.
+    enough samples; its size is known from the line table before anything is joined.  Beyond that, only pixels of tiles that
+    a line passes through are exchanged.
     """
     c = F.col
     live = effective_lines(images, lines)
@@ -69,7 +71,12 @@ def line_profiles(images: ImageSet, lines: DataFrame) -> CurveSet:
     asked = lines.agg(F.sum(F.col("samples").cast("long"))).first()[0] or 0
     if 4 * asked <= CORNER_ROWS:
         corners = F.broadcast(corners)
-    met = images.pixels.join(corners, ["dataset_id", "y", "x"])
+        pixels = images.pixels
+    else:
+        block = {"_by": floordiv(c("y"), TILE), "_bx": floordiv(c("x"), TILE)}
+        passed = corners.select("dataset_id", *[v.alias(k) for k, v in block.items()]).distinct()
+        pixels = images.pixels.withColumns(block).join(passed, ["dataset_id", "_by", "_bx"], "left_semi").drop("_by", "_bx")
+    met = pixels.join(corners, ["dataset_id", "y", "x"])
 
     def pick(dy: int, dx: int):
         return F.max(F.when((c("k.dy") == dy) & (c("k.dx") == dx), c("z")))

@@ -152,6 +152,38 @@ class Registry:
                  for o in self.all()]
         return scans.select("dataset_id", F.explode(F.array_compact(F.array(*rules))).alias("operation_id"))
 
+    def listing(self, scans: DataFrame) -> DataFrame:
+        """(dataset_id, position, operation_id, label): the operations for each dataset's kind in the order they are listed."""
+        rows = [(kind, n, o.id, o.id.split(".")[-1]) for kind in (IMAGE, CURVE) for n, o in enumerate(self.for_kind(kind))]
+        table = scans.sparkSession.createDataFrame(rows, "kind string, position int, operation_id string, label string")
+        return scans.select("dataset_id", "kind").join(F.broadcast(table), "kind").select("dataset_id", "position", "operation_id", humanise(F.col("label")).alias("label"))
+
+    def parameters(self, spark) -> DataFrame:
+        """(operation_id, parameter, whole, low, high, required): every parameter, choices as codes from 0."""
+        rows = [(o.id, p.name, p.type is int or bool(p.choices), 0.0 if p.choices else p.low, float(len(p.choices) - 1) if p.choices else p.high,
+                 bool(p.choices), p.default is None) for o in self.all() for p in o.params]
+        rows = [(i, n, w, None if lo is None else float(lo), None if hi is None else float(hi), c, r) for i, n, w, lo, hi, c, r in rows]
+        return spark.createDataFrame(rows, "operation_id string, parameter string, whole boolean, low double, high double, choice boolean, required boolean")
+
+    def problems(self, sets: DataFrame) -> DataFrame:
+        """(set_id, operation_id, parameter, problem) of recorded parameter sets, checked where they lie.
+
+        ``sets`` is (set_id, operation_id, parameter, value DOUBLE), choices by code, as provenance records them.  The rules are those of
+        :func:`validate`, the first that holds is told; the registry is a broadcast table of one row per parameter.
+        """
+        spark, v, c = sets.sparkSession, F.col("value"), F.col
+        known = self.parameters(spark).withColumn("known", F.lit(True))
+        operations = spark.createDataFrame([(o.id, True) for o in self.all()], "operation_id string, registered boolean")
+        rows = sets.join(F.broadcast(operations), "operation_id", "left").join(F.broadcast(known), ["operation_id", "parameter"], "left")
+        problem = (F.when(c("registered").isNull(), "unknown operation").when(c("known").isNull(), "unknown parameter").when(v.isNull(), "no value")
+                   .when(~finite(v), "not finite").when(c("whole") & (v != F.floor(v)), F.when(c("choice"), "no such choice").otherwise("not a whole number"))
+                   .when((v < c("low")) | (v > c("high")), F.when(c("choice"), "no such choice").when(v < c("low"), "too small").otherwise("too large")))
+        told = rows.select("set_id", "operation_id", "parameter", problem.alias("problem")).filter("problem is not null")
+        needed = known.filter("required").select("operation_id", "parameter")
+        missing = sets.select("set_id", "operation_id").distinct().join(F.broadcast(needed), "operation_id").join(
+            sets.select("set_id", "operation_id", "parameter"), ["set_id", "operation_id", "parameter"], "left_anti")
+        return told.unionByName(missing.select("set_id", "operation_id", "parameter", F.lit("required").alias("problem")))
+
     def enum_codes(self, spark) -> DataFrame:
         """(operation_id, operation_version, parameter, code, label) of every choice parameter."""
         rows = [(o.id, o.version, p.name, float(k), c) for o in self.all() for p in o.params for k, c in enumerate(p.choices)]

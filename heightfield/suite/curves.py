@@ -270,3 +270,20 @@ o AS (SELECT bs.dataset_id, i, CAST(any_value(z) - sum(c * q) AS FLOAT) AS z FRO
 @query("f1_curve_order3", f"WITH {ev()}, {CUBIC} {SAM} o")
 def _(spark, path):
     return flatten.flatten_curves(event_curves(spark, path), 3).samples
+
+
+# A straight line through the finite samples of each window of five; fewer than two of them leave the sample as it is.
+@query("w10_savitzky_golay_gaps", f"""WITH {ev(7)}, po AS (SELECT cv.dataset_id, i, z, greatest(0, least(i - 2, n - 5)) AS s FROM cv JOIN len USING (dataset_id)),
+ft AS (SELECT po.dataset_id, po.i, any_value(po.z) AS z, count(q.i) AS n, regr_intercept(CAST(q.z AS DOUBLE), q.i - po.i) AS c FROM po
+    LEFT JOIN cv q ON q.dataset_id = po.dataset_id AND q.i BETWEEN s AND s + 4 AND isfinite(q.z) GROUP BY 1, 2)
+SELECT dataset_id, {b('i')}, round_even((CASE WHEN n >= 2 THEN CAST(c AS FLOAT) ELSE z END::DOUBLE + 0.000137) * 1e3, 0) / 1e3 + 0.0 AS z FROM ft""")
+def _(spark, path):
+    smooth = curve.smooth(event_curves(spark, path, gaps=7), 5, 1)
+    # averages of two-decimal values often end in a five: both sides are shifted off these before they are rounded
+    return smooth.samples.select("dataset_id", "i", (F.rint((F.col("z").cast("double") + 0.000137) * 1e3) / 1e3 + F.lit(0.0)).alias("z"))
+
+
+@query("f5_warnings", f"""WITH {ev(2)}, k AS (SELECT len.dataset_id, n, count(z) FILTER ({OK}) AS ok FROM len JOIN cv USING (dataset_id) GROUP BY 1, 2)
+SELECT dataset_id, 'profile-baseline.non-finite' AS code FROM k WHERE ok < n UNION ALL SELECT dataset_id, 'profile-baseline.low-rank' FROM k WHERE ok < 3""")
+def _(spark, path):
+    return baseline.baseline_warnings(event_curves(spark, path, gaps=2))

@@ -270,7 +270,7 @@ def _(spark, path):
 LINES = [("2.25", "1.5", "60.75", "40.25", 97), ("-10.0", "8.0", "200.0", "8.0", 64), ("33.0", "0.0", "33.0", "500.0", 41)]
 
 
-@query("j1_line_profiles", f"""WITH {PX}, ln AS (SELECT dataset_id * 10 + k AS line_id, dataset_id, w, h,
+PROFILE = f"""ln AS (SELECT dataset_id * 10 + k AS line_id, dataset_id, w, h,
     greatest(0.0, least(w - 1.0, x0 + dataset_id * 0.125)) AS x0, greatest(0.0, least(h - 1.0, y0)) AS y0,
     greatest(0.0, least(w - 1.0, x1)) AS x1, greatest(0.0, least(h - 1.0, y1)) AS y1, n
   FROM dims, (VALUES {', '.join(f'({k}, {a}, {c}, {d}, {e}, {n})' for k, (a, c, d, e, n) in enumerate(LINES))}) t(k, x0, y0, x1, y1, n)),
@@ -280,15 +280,22 @@ ii AS MATERIALIZED (SELECT *, CAST(least(floor(px), w - 2) AS INT) AS ix, CAST(l
 SELECT line_id AS dataset_id, i, {r('''CAST((a.z + (px - ix) * (b.z - a.z)) + (py - iy) * ((c.z + (px - ix) * (d.z - c.z))
        - (a.z + (px - ix) * (b.z - a.z))) AS FLOAT)''', 'z')}
 FROM ii JOIN px a ON a.dataset_id = ii.dataset_id AND a.y = iy AND a.x = ix JOIN px b ON b.dataset_id = ii.dataset_id AND b.y = iy AND b.x = ix + 1
- JOIN px c ON c.dataset_id = ii.dataset_id AND c.y = iy + 1 AND c.x = ix JOIN px d ON d.dataset_id = ii.dataset_id AND d.y = iy + 1 AND d.x = ix + 1""")
-def _(spark, path):
-    images = embedding_images(spark, path)
+ JOIN px c ON c.dataset_id = ii.dataset_id AND c.y = iy + 1 AND c.x = ix JOIN px d ON d.dataset_id = ii.dataset_id AND d.y = iy + 1 AND d.x = ix + 1"""
+
+
+def drawn_lines(images):
+    """The lines above on every image, a little further right from image to image."""
     shapes = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), line[:4])],
                                 F.lit(line[4]).alias("samples")) for k, line in enumerate(LINES)])
-    lines = images.scans.select("dataset_id", F.explode(shapes).alias("s")).select(
+    return images.scans.select("dataset_id", F.explode(shapes).alias("s")).select(
         (F.col("dataset_id") * 10 + F.col("s.k")).alias("line_id"), "dataset_id", (F.col("s.x0") + F.col("dataset_id") * 0.125).alias("x0"),
         "s.y0", "s.x1", "s.y1", "s.samples")
-    return profiles.line_profiles(images, lines).samples
+
+
+@query("j1_line_profiles", f"WITH {PX}, {PROFILE}")
+def _(spark, path):
+    images = embedding_images(spark, path)
+    return profiles.line_profiles(images, drawn_lines(images)).samples
 
 
 # Every third image has a voltage along X, and every seventh is one pixel wide: some operations ask for lengths or lines.
@@ -371,6 +378,39 @@ def _(spark, path):
     return named.select("input_dataset_id", "operation_id", "operation_version", "parameter", "value", "label", "warnings")
 
 
+# Recorded parameter sets, one per event: some values are out of range, unknown, fractional or not finite.
+@query("u2_parameter_problems", """WITH s AS (SELECT event_id, event_id % 13 - 2 + CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE 0 END AS ord, event_id % 5 AS scp,
+    CASE WHEN event_id % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE event_id % 17 * 0.1 END AS thr FROM events)
+SELECT event_id AS set_id, 'image.flatten' AS operation_id, 'order' AS parameter, CASE WHEN ord <> floor(ord) THEN 'not a whole number' WHEN ord < 0 THEN 'too small' ELSE 'too large' END AS problem
+    FROM s WHERE ord <> floor(ord) OR ord < 0 OR ord > 8
+UNION ALL SELECT event_id, 'image.flatten', 'scope', 'no such choice' FROM s WHERE scp > 2
+UNION ALL SELECT event_id, 'image.grains', 'threshold', CASE WHEN isinf(thr) THEN 'not finite' ELSE 'too large' END FROM s WHERE thr > 1
+UNION ALL SELECT event_id, 'image.grains', 'colour', 'unknown parameter' FROM s WHERE event_id % 19 = 0
+UNION ALL SELECT event_id, 'image.melt', 'order', 'unknown operation' FROM s WHERE event_id % 23 = 0""")
+def _(spark, path):
+    k = F.col("event_id")
+    cases = [("image.flatten", "order", k % 13 - 2 + F.when(k % 7 == 0, 0.5).otherwise(0.0), None), ("image.flatten", "scope", k % 5, None),
+             ("image.grains", "threshold", F.when(k % 11 == 0, float("inf")).otherwise(k % 17 * 0.1), None), ("image.grains", "colour", F.lit(1), k % 19 == 0),
+             ("image.melt", "order", F.lit(1), k % 23 == 0)]
+    one = [F.struct(F.lit(o).alias("operation_id"), F.lit(p).alias("parameter"), v.cast("double").alias("value")) for o, p, v, _ in cases]
+    kept = F.array_compact(F.array(*[x if when is None else F.when(when, x) for x, (*_, when) in zip(one, cases)]))
+    sets = spark.read.parquet(f"{path}/events.parquet").select(k.alias("set_id"), F.explode(kept).alias("s")).select("set_id", "s.*")
+    return registry.standard().problems(sets)
+
+
+@query("u3_listing", f"""WITH {EM}, o AS (SELECT unnest(['curve.peaks', 'curve.range-statistics', 'profile.roughness', 'profile.roughness-filtered', 'profile.baseline', 'profile.crop',
+    'profile.filter', 'profile.flatten', 'profile.smooth']) AS operation_id, unnest(range(9)) AS position, unnest(['Peaks', 'Range-statistics', 'Roughness', 'Roughness-filtered',
+    'Baseline', 'Crop', 'Filter', 'Flatten', 'Smooth']) AS label) SELECT dataset_id, position, operation_id, label FROM len, o""")
+def _(spark, path):
+    return registry.standard().listing(embedding_curves(spark, path).scans)
+
+
+@query("f7_labels", f"""WITH {PX}, n AS (SELECT unnest(['boundedPointAverageRoughness', 'count', 'kurtosis', 'max', 'mean', 'meanAbsoluteDeviation', 'mid', 'min', 'peakToPeak', 'rms', 'skewness']) AS name)
+SELECT dataset_id, upper(name[1]) || regexp_replace(name[2:], '([^A-Z])([A-Z])', '\\1 \\2', 'g') AS label FROM dims, n""")
+def _(spark, path):
+    return statistics.image_statistics(embedding_images(spark, path)).select("dataset_id", registry.humanise(F.col("name")).alias("label"))
+
+
 @query("u6_identity", f"WITH {PX} SELECT dataset_id AS source_id, {r('1', 'value')} FROM dims")
 def _(spark, path):
     return registry.standard().run("reference.identity", embedding_images(spark, path)).measurements.select("source_id", "value")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from heightfield.functions.regions import ellipse, rectangle
 from heightfield.model import ImageSet
-from heightfield.operators import flatten, gauss, grains, spectral, stencil
+from heightfield.operators import flatten, gauss, grains, profiles, spectral, stencil
 from heightfield.operators.statistics import areal_roughness
 from heightfield.sources.tables import embedding_images
 from heightfield.suite import query
+from heightfield.suite.images import PROFILE, drawn_lines
 from heightfield.suite.sql import AREAL, PIX, PX, moments, r
 
 # Spikes and drop-outs planted by pixel position, the same on both sides.
@@ -343,3 +344,9 @@ o AS (SELECT bs.dataset_id, y, x, any_value(z) - CAST(sum(c * q) AS FLOAT) AS z
 @query("f2_flatten_surface_order2", f"WITH {PX}, {QUADRIC} {PIX} o")
 def _(spark, path):
     return flatten.flatten(embedding_images(spark, path), "Surface", 2).pixels
+
+
+@query("j1_line_profiles_nan", f"WITH {HOLED}, {PROFILE}")
+def _(spark, path):
+    images = holed(spark, path)
+    return profiles.line_profiles(images, drawn_lines(images)).samples

@@ -279,3 +279,18 @@ def test_filters_reach_the_scan(spark):
     stored = im.with_pixels(spark.read.parquet(folder).withColumn("unused", F.lit(1)))
     plan = pixel.crop(stored, 1, 1, 2, 2).pixels._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x,1)" in plan and "Exchange" not in plan
+
+
+def test_lines_beyond_the_broadcast_bound_read_only_tiles_they_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    im = images(spark, rng.normal(size=(40, 50)), rng.normal(size=(12, 9)))
+    drawn = spark.createDataFrame([(1, 0, 1.0, 2.0, 47.5, 3.5, 60), (2, 0, 3.0, 1.0, 3.0, 39.0, 17), (3, 1, 0.0, 0.0, 8.0, 11.0, 30)],
+                                  "line_id int, dataset_id bigint, x0 double, y0 double, x1 double, y1 double, samples int")
+    want = lines(profiles.line_profiles(im, drawn))
+    monkeypatch.setattr(profiles, "CORNER_ROWS", 0)
+    monkeypatch.setattr(profiles, "TILE", 8)
+    pruned = profiles.line_profiles(im, drawn)
+    assert "LeftSemi" in pruned.samples._jdf.queryExecution().executedPlan().toString()
+    got = lines(pruned)
+    for k in want:
+        np.testing.assert_array_equal(got[k], want[k])

@@ -226,3 +226,16 @@ def test_warnings_carry_messages_and_steps_say_where_and_when(spark):
     assert set(step["environment"]) == {"library", "spark", "python", "system"}
     again = OPS.run("curve.peaks", curves(spark, [1.0] * 9)).steps.first()
     assert again["artifact_id"] == step["artifact_id"] and again["step_id"] != step["step_id"]
+
+
+def test_recorded_parameter_sets_have_the_problems_that_validation_tells(spark):
+    rows = [(1, "image.flatten", "order", 9.0), (1, "image.flatten", "scope", 3.0), (2, "image.flatten", "order", 1.5), (2, "image.flatten", "bogus", 1.0),
+            (3, "image.flatten", "order", -1.0), (3, "image.flatten", "orientation", 1.0), (4, "image.grains", "threshold", math.nan), (5, "nothing", "x", 0.0),
+            (6, "image.flatten", "order", None), (7, "image.grains", "minArea", 3.0), (8, "image.flatten", "basement", 0.5)]
+    got = {(r["set_id"], r["parameter"]): r["problem"] for r in OPS.problems(spark.createDataFrame(rows, "set_id int, operation_id string, parameter string, value double")).collect()}
+    assert got == {(1, "order"): "too large", (1, "scope"): "no such choice", (2, "order"): "not a whole number", (2, "bogus"): "unknown parameter", (3, "order"): "too small",
+                   (4, "threshold"): "not finite", (5, "x"): "unknown operation", (6, "order"): "no value", (8, "basement"): "no such choice"}
+    need = registry.Registry()
+    need.add(registry.Operation("own", "ScanImage", (registry.Param("must", int),), lambda d: d, "DerivedDataset"))
+    sets = spark.createDataFrame([(1, "own", "must", 2.0), (2, "own", "other", 2.0)], "set_id int, operation_id string, parameter string, value double")
+    assert {tuple(r) for r in need.problems(sets).collect()} == {(2, "own", "other", "unknown parameter"), (2, "own", "must", "required")}
