@@ -20,14 +20,15 @@ from heightfield.model import BROADCAST_ROWS, CurveSet, ImageSet
 TILE = 256       # image block edge, pixels
 CHUNK = 65_536   # curve block length, samples
 SALTS = 64       # copies of a per-key table where no block is known
-BATCH = 64       # blocks or files handed to a Python worker at once: a block may hold half a megabyte
+BATCH_BYTES = 64 << 20  # bytes handed to a Python worker at once: rows may be whole blocks, lines or files
 
 
 def bound_batches(df: DataFrame) -> None:
-    """Hold the session's Arrow batches to BATCH rows, for rows that are whole blocks or files."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > BATCH:
-        df.sparkSession.conf.set(key, str(BATCH))
+    """Hold the session's Arrow batches to BATCH_BYTES, where the session has no bound of its own: the same bound for every operator, so it
+    does not matter which one is planned last."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
 
 
 def attach(members: ImageSet | CurveSet, rows: DataFrame, table: DataFrame, *,

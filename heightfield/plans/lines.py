@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from heightfield.functions.expr import floordiv, nan
 from heightfield.model import BROADCAST_ROWS, ImageSet
-from heightfield.plans.layout import TILE, with_geometry
+from heightfield.plans.layout import TILE, bound_batches, with_geometry
 
 # Samples of the lines that are worked on together.
 BLOCK = 1 << 18
@@ -39,6 +39,7 @@ def lines_of(images: ImageSet) -> DataFrame:
             flat[np.repeat(at[:-1], np.asarray(x.value_lengths())) + x.flatten().to_numpy()] = floats(b.column("z"))
             yield pa.RecordBatch.from_arrays([b.column("dataset_id"), b.column("y"), listed(at, flat)], names=["dataset_id", "y", "z"])
 
+    bound_batches(rows)
     return rows.mapInArrow(run, f"dataset_id {key}, y int, z array<float>")
 
 
@@ -105,4 +106,5 @@ def mapped(lines: DataFrame, work, out: str = "array<float>", same: tuple[str, .
             z = listed(at, np.concatenate(parts))
             yield pa.RecordBatch.from_arrays([z if c == "z" else b.column(c) for c in names], names=names)
 
+    bound_batches(lines)
     return lines.mapInArrow(run, schema)

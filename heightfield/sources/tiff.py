@@ -10,9 +10,11 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from heightfield.functions.units import KIND_OF_DIMENSION, convert, dimension_of
 from heightfield.model import CHANNEL, ImageSet, axis
 from heightfield.plans.iterate import scratch_dir
 from heightfield.plans.layout import bound_batches
+from heightfield.plans.lines import attach_lines, floats, lines_of
 
 # Tag numbers of the format.
 TAG_DESCRIPTION = 0x010E
@@ -216,8 +219,8 @@ def read_scans(spark: SparkSession, path: str, pattern: str | None = None) -> tu
     return ImageSet(scan_catalog(parsed), pixels=pixels, lines=lines), ingest_errors(parsed)
 
 
-def encode(row, z: np.ndarray) -> bytes:
-    """Bytes of one scan file: directory of four ascending tags, side-car, header, float pixels."""
+def preamble(row) -> bytes:
+    """Bytes of a scan file before its float pixels: directory of four ascending tags, side-car, header."""
     head = bytearray(HEADER_BYTES)
     values = {"image_type": 0, "width": row.w, "height": row.h, "x_size": row.xs * row.w, "y_size": row.ys * row.h,
               "x_offset": row.xo, "y_offset": row.yo, "gain": 1.0, "z_offset": 0.0, "pixel_type": 2}
@@ -231,39 +234,52 @@ def encode(row, z: np.ndarray) -> bytes:
                       "Provenance": json.loads(row.provenance) if row.provenance else {"ParentId": None, "Steps": []}},
                      separators=(",", ":"), ensure_ascii=False).encode("utf-8") + b"\0"
     car += b"\0" * (len(car) % 2)
-    data = np.ascontiguousarray(z, dtype="<f4").tobytes()
+    size = 4 * row.w * row.h
     first = 8 + 2 + 4 * 12 + 4
     entries = [(TAG_DESCRIPTION, 2, len(car), first), (TAG_MAGIC, 4, 1, MAGIC),
-               (TAG_DATA, 1, len(data), first + len(car) + HEADER_BYTES), (TAG_HEADER, 1, HEADER_BYTES, first + len(car))]
+               (TAG_DATA, 1, size, first + len(car) + HEADER_BYTES), (TAG_HEADER, 1, HEADER_BYTES, first + len(car))]
     directory = struct.pack("<2sHIH", b"II", 42, 8, len(entries))
     for entry in entries:
         directory += struct.pack("<HHII", *entry)
-    return directory + struct.pack("<I", 0) + car + bytes(head) + data
+    return directory + struct.pack("<I", 0) + car + bytes(head)
 
 
-def export_rows(images: ImageSet) -> DataFrame:
-    """(dataset_id, content BINARY, error): one encoded file per scan, or why it cannot be written.
+def encode(row, z: np.ndarray) -> bytes:
+    """Bytes of one scan file."""
+    return preamble(row) + np.ascontiguousarray(z, dtype="<f4").tobytes()
 
-    Pixels are packed line by line before they meet in a file.  A file is one row by nature, so
-    scans too large for the format's 32-bit offsets are refused before any packing.
-    """
+
+def _facts(images: ImageSet) -> DataFrame:
+    """What a file says of each scan, under its file name (file_id), and why it cannot be written (error)."""
     c = F.col
     cols = images.scans.columns
     um = F.lit("um")
-    scans = images.scans.select(
+    file_id = c("dataset_id").cast("string")
+    as_uuid = F.when(file_id.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), file_id).otherwise(
+        F.regexp_replace(F.md5(file_id), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    return images.scans.select(
         "dataset_id", c("x.count").alias("w"), c("y.count").alias("h"),
         convert(c("x.origin"), c("x.unit"), um)["value"].alias("xo"), convert(c("y.origin"), c("y.unit"), um)["value"].alias("yo"),
         (c("x.step") * scale_of(c("x.unit")) / scale_of(um)).alias("xs"), (c("y.step") * scale_of(c("y.unit")) / scale_of(um)).alias("ys"),
         c("x.direction").alias("xdir"), c("y.direction").alias("ydir"), c("channel.key").alias("key"), c("channel.unit").alias("unit"),
         (c("instrument_model") if "instrument_model" in cols else F.lit("unknown")).alias("model"),
-        (c("provenance") if "provenance" in cols else F.lit(None).cast("string")).alias("provenance"),
+        (c("provenance") if "provenance" in cols else F.lit(None).cast("string")).alias("provenance"), as_uuid.alias("file_id"),
         F.when(~(is_length(c("x.unit")) & is_length(c("y.unit"))), "the scan axes are not lengths")
         .when(c("x.count").cast("long") * c("y.count") > MAX_PIXELS, "the scan exceeds one file").alias("error"))
-    fits = scans.filter("error is null")
-    pixels = images.pixels.join(fits.select("dataset_id"), "dataset_id", "left_semi")
-    lines = pixels.groupBy("dataset_id", "y").agg(F.collect_list("x").alias("xi"), F.collect_list("z").alias("z"))
-    packed = lines.groupBy("dataset_id").agg(F.collect_list("y").alias("y"), F.collect_list("xi").alias("xi"), F.collect_list("z").alias("z"))
-    rows = fits.drop("error").join(packed, "dataset_id")
+
+
+def _refused(facts: DataFrame) -> DataFrame:
+    return facts.filter("error is not null").select("dataset_id", F.concat(F.lit("Unsupported: "), "error").alias("error"))
+
+
+def export_rows(images: ImageSet) -> DataFrame:
+    """(dataset_id, content BINARY, error): one encoded file per scan as a row, or why it cannot be written.
+
+    For files that have to travel as rows; :func:`write_scans` writes files of any size line by line.
+    """
+    facts = _facts(images)
+    lines = lines_of(images).groupBy("dataset_id").agg(F.collect_list("y").alias("y"), F.collect_list("z").alias("z"))
+    rows = facts.filter("error is null").drop("error").join(lines, "dataset_id")
     key = images.scans.schema["dataset_id"].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,20 +287,80 @@ def export_rows(images: ImageSet) -> DataFrame:
             out = []
             for row in batch.itertuples(index=False):
                 z = np.full((row.h, row.w), np.nan, dtype=np.float32)
-                for y, xi, line in zip(row.y, row.xi, row.z):
-                    z[y, xi] = line
+                for y, line in zip(row.y, row.z, strict=True):
+                    z[y] = line
                 out.append((row.dataset_id, encode(row, z)))
             yield pd.DataFrame(out, columns=["dataset_id", "content"])
 
-    file_id = F.col("dataset_id").cast("string")
-    as_uuid = F.when(file_id.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), file_id).otherwise(
-        F.regexp_replace(F.md5(file_id), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
-    written = rows.withColumn("file_id", as_uuid).mapInPandas(run, f"dataset_id {key.simpleString()}, content binary")
-    refused = scans.filter("error is not null").select(
-        "dataset_id", F.lit(None).cast("binary").alias("content"), F.concat(F.lit("Unsupported: "), "error").alias("error"))
+    written = rows.mapInPandas(run, f"dataset_id {key.simpleString()}, content binary")
+    refused = _refused(facts).select("dataset_id", F.lit(None).cast("binary").alias("content"), "error")
     return written.withColumn("error", F.lit(None).cast("string")).unionByName(refused)
 
 
+class _OpenFile:
+    """A scan file being written line by line under a temporary name."""
+
+    def __init__(self, path: str, row):
+        self.store, folder = FileSystem.from_uri(path)
+        name = str(row.dataset_id)
+        if "/" in name or "\\" in name or name in ("", ".", ".."):
+            raise ValueError(f"{name!r} cannot name a file")
+        self.store.create_dir(folder, recursive=True)
+        self.part, self.final = f"{folder}/.{name}.{uuid.uuid4().hex}", f"{folder}/{name}.tiff"
+        self.row, self.next = row, 0
+        self.stream = self.store.open_output_stream(self.part)
+        self.stream.write(preamble(row))
+
+    def add(self, y: int, line: np.ndarray) -> None:
+        self.fill(y)
+        self.stream.write(line.astype("<f4").tobytes())
+        self.next = y + 1
+
+    def fill(self, upto: int) -> None:
+        """Lines that are missing are NaN."""
+        for _ in range(self.next, upto):
+            self.stream.write(np.full(self.row.w, np.nan, "<f4").tobytes())
+        self.next = max(self.next, upto)
+
+    def done(self) -> None:
+        self.fill(self.row.h)
+        self.stream.close()
+        self.store.move(self.part, self.final)
+
+    def dropped(self) -> None:
+        self.stream.close()
+        self.store.delete_file(self.part)
+
+
+def stream_files(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[int]:
+    """Write lines that arrive by scan and y, each with its scan's facts, into one file per scan; gives the rows of each batch.
+
+    Nothing but the current batch is held: a file grows with its lines and gets its name when it is whole.
+    """
+    open_: _OpenFile | None = None
+    try:
+        for batch in batches:
+            facts = batch.select([n for n in batch.schema.names if n not in ("y", "z")])
+            y, z = batch.column("y").to_pylist(), batch.column("z")
+            at = np.concatenate([[0], np.cumsum(np.asarray(z.value_lengths()))])
+            flat = floats(z)
+            for k, name in enumerate(batch.column("dataset_id").to_pylist()):
+                if open_ is None or open_.row.dataset_id != name:
+                    if open_ is not None:
+                        open_.done()
+                    open_ = None
+                    open_ = _OpenFile(path, SimpleNamespace(**facts.slice(k, 1).to_pylist()[0]))
+                open_.add(y[k], flat[at[k]:at[k + 1]])
+            yield batch.num_rows
+        if open_ is not None:
+            last, open_ = open_, None
+            last.done()
+    except BaseException:
+        if open_ is not None:
+            open_.dropped()
+        raise
+
+
 def write_files(rows: DataFrame, path: str) -> int:
     """Write (dataset_id, content) rows as ``<dataset_id>.tiff`` under ``path``; returns the number of files.
 
@@ -309,7 +385,20 @@ def write_files(rows: DataFrame, path: str) -> int:
 
 
 def write_scans(images: ImageSet, path: str) -> DataFrame:
-    """Write one file per scan under ``path``; returns the refusals as (dataset_id, error)."""
-    rows = export_rows(images)
-    write_files(rows.filter("error is null"), path)
-    return rows.filter("error is not null").select("dataset_id", "error")
+    """Write one file per scan under ``path``; returns the refusals as (dataset_id, error).
+
+    Packed lines meet by scan in the order of their lines and are appended to the file as they arrive, so a task holds one batch of
+    lines however large a scan is.  ``path`` is a folder every executor sees; a retried task writes its files anew under
+    other temporary names.
+    """
+    facts = _facts(images)
+    good = facts.filter("error is null").drop("error")
+    bound_batches(images.scans)
+    rows = attach_lines(images, lines_of(images), good)
+    named = rows.withColumn("dataset_id", F.col("dataset_id").cast("string")).repartition("dataset_id").sortWithinPartitions("dataset_id", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"lines": pa.array([sum(stream_files(batches, path))], pa.int64())})
+
+    named.mapInArrow(run, "lines long").agg(F.sum("lines")).collect()
+    return _refused(facts)

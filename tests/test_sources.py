@@ -127,3 +127,49 @@ def test_rank_is_dense_across_blocks(spark):
     got = ranked(rows, "k", ["id"], F.floor(F.col("id") / 7)).toPandas().sort_values("id")
     for _, g in got.groupby("k"):
         assert g["rank"].tolist() == list(range(len(g)))
+
+
+def test_files_are_written_line_by_line_from_batches():
+    """Twenty lines at a time: what is held at once is a batch, not a scan."""
+    import os
+    import tracemalloc
+
+    import pyarrow as pa
+
+    w, h, where = 4000, 1500, folder()
+    facts = {"w": w, "h": h, "xo": 0.0, "yo": 0.0, "xs": 0.1, "ys": 0.1, "xdir": "Forward", "ydir": "Forward", "key": "z", "unit": "nm", "model": "m",
+             "provenance": None, "file_id": "0" * 8}
+
+    def batches():
+        for name in ("one", "two"):
+            for y in range(0, h, 20):
+                keep = [k for k in range(y, y + 20) if not (name == "two" and k in (0, 700, h - 1))]
+                rows = {"dataset_id": pa.array([name] * len(keep)), "y": pa.array(keep, pa.int32()), "z": pa.array([np.full(w, k, np.float32) for k in keep], pa.list_(pa.float32()))}
+                yield pa.RecordBatch.from_pydict(rows | {f: pa.array([v] * len(keep)) for f, v in facts.items()})
+
+    tracemalloc.start()
+    assert sum(tiff.stream_files(batches(), where)) == 2 * h - 3
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20 < 4 * w * h
+    assert sorted(os.listdir(where)) == ["one.tiff", "two.tiff"]
+    z = np.array(tiff.decode(open(f"{where}/two.tiff", "rb").read())["lines"])
+    assert z.shape == (h, w) and np.isnan(z[[0, 700, h - 1]]).all() and (z[701] == 701).all()
+
+
+def test_a_failed_stream_leaves_no_file():
+    import os
+
+    import pyarrow as pa
+
+    where = folder()
+    rows = {"dataset_id": ["a", "a"], "y": [0, 1], "z": [[1.0, 2.0], [3.0, 4.0]], "w": [2, 2], "h": [2, 2], "xo": [0.0] * 2, "yo": [0.0] * 2, "xs": [1.0] * 2, "ys": [1.0] * 2,
+            "xdir": ["Forward"] * 2, "ydir": ["Forward"] * 2, "key": ["k"] * 2, "unit": ["nm"] * 2, "model": ["m"] * 2, "provenance": [None] * 2, "file_id": ["0"] * 2}
+
+    def broken():
+        yield pa.RecordBatch.from_pydict(rows)
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        list(tiff.stream_files(broken(), where))
+    assert os.listdir(where) == []
