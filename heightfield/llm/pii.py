@@ -194,10 +194,11 @@ class Classifier:
 
     def find(self, text: str) -> tuple[list[S.Span], list[S.Span]]:
         own = base(text)
-        known, added = set(own), []
+        known, added, taken = set(own), [], S.Taken(own)
         for span in candidates(text):
-            if span not in known and S.free_of(span[:2], own + added) and self.chance(text, span, known) >= THRESHOLD:
+            if span not in known and taken.free(*span[:2]) and self.chance(text, span, known) >= THRESHOLD:
                 added.append(span)
+                taken.add(*span[:2])
         return own, own + added
 
 

@@ -188,9 +188,9 @@ class Formats:
         """Base spans and all spans, each (start, end, kind, value start, value end)."""
         own = base(text)
         added: list = []
-        taken = [x[:3] for x in own]
+        taken = S.Taken(own)
         for a, b in candidates(text):
-            if S.free_of((a, b), taken) and (kind := self.kind_of(text[a:b])):
+            if taken.free(a, b) and (kind := self.kind_of(text[a:b])):
                 added.append((a, b, kind, a, b))
         return own, own + added
 
@@ -201,8 +201,8 @@ def _evidence(batch: pa.RecordBatch):
     for t in S.texts(batch):
         own = base(t)
         found = [(k, t[a:b]) for _, _, k, a, b in own if b - a <= LONGEST]
-        taken = [x[:3] for x in own]
-        out.append(found + [("-", t[a:b]) for a, b in candidates(t) if b - a <= LONGEST and S.free_of((a, b), taken)])
+        taken = S.Taken(own)
+        out.append(found + [("-", t[a:b]) for a, b in candidates(t) if b - a <= LONGEST and taken.free(a, b)])
     kind = pa.struct([("kind", pa.string()), ("value", pa.string())])
     return [pa.array([[{"kind": k, "value": v} for k, v in x] for x in out], pa.list_(kind))]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import pyarrow as pa
 
@@ -22,8 +23,27 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(written(spans, kinds).encode()).hexdigest()
 
 
-def free_of(span: tuple[int, int], taken: list[Span]) -> bool:
-    return all(span[1] <= a or b <= span[0] for a, b, _ in taken)
+class Taken:
+    """Stretches of a text that are taken, joined where they overlap, so that a question is one binary search."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(s[:2] for s in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b)
+        return not at or self.ends[at - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Take a free stretch."""
+        at = bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
 
 
 def summary(found: list[tuple[list[Span], list[Span]]], kinds: tuple[str, ...]) -> list[pa.Array]:

@@ -280,3 +280,39 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(v.filter("false"), v.filter("false")).count() == 0
     assert neighbours.nearest(v, v.filter("vec_id = 400")).count() == 0
     assert neighbours.nearest(v.filter("vec_id = 0"), v.filter("vec_id = 0")).count() == 0
+
+
+def test_taken_stretches_answer_as_all_spans_would():
+    from heightfield.llm import spans as S
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        given = [(int(a), int(a + rng.integers(1, 9)), "k") for a in rng.integers(0, 60, rng.integers(0, 8))]
+        taken, held = S.Taken(given), list(given)
+        for a in rng.integers(0, 70, 20).tolist():
+            b = a + int(rng.integers(1, 7))
+            free = all(b <= x or y <= a for x, y, _ in held)
+            assert taken.free(a, b) == free
+            if free:
+                taken.add(a, b)
+                held.append((a, b, "k"))
+
+
+def test_a_long_text_full_of_values_takes_time_in_proportion():
+    import time
+
+    from heightfield.llm import pii, secrets
+
+    def seconds(work, text):
+        start = time.process_time()
+        work(text)
+        return time.process_time() - start
+
+    n = 2000
+    text = " ".join(f"user{k}@mail{k % 7}.example token={k:08d}abcdef{k % 97} 10.0.{k % 250}.{k % 199} x" for k in range(n))
+    own = secrets.base(text)
+    taken = secrets.S.Taken(own)
+    small = seconds(lambda t: [taken.free(a, b) for a, b in secrets.candidates(t)], text)
+    big = text * 8
+    taken = secrets.S.Taken(secrets.base(big))
+    assert seconds(lambda t: [taken.free(a, b) for a, b in secrets.candidates(t)], big) < 40 * max(small, 0.005)
+    assert len(pii.base(big)) >= 8 * n
