@@ -41,7 +41,8 @@ def save(workspace: Workspace, root: str) -> str:
     """Write a complete new version, then publish it by one appended manifest row.
 
     Readers see the previous version until that append commits.  Pixels are laid out by
-    (dataset, line block) and sorted, so Parquet statistics prune by dataset and rows.
+    (dataset, line block) and sorted, so Parquet statistics prune by dataset and rows.  What is written is summed up once per dataset
+    (number and positions of its pixels), so that opening need not read pixels.
     """
     images = workspace.images
     spark = images.spark
@@ -57,6 +58,7 @@ def save(workspace: Workspace, root: str) -> str:
     (images.pixels.select("dataset_id", "y", "x", "z")
      .repartition("dataset_id", floordiv(F.col("y"), LINES_PER_BLOCK))
      .sortWithinPartitions("dataset_id", "y", "x").write.parquet(f"{base}/pixels"))
+    positions(spark.read.parquet(f"{base}/pixels")).write.parquet(f"{base}/positions")
     if workspace.steps is not None:
         workspace.steps.write.parquet(f"{base}/steps")
     row = [(version, SCHEMA_VERSION, time.time_ns(), workspace.active_id, list(workspace.comparison))]
@@ -72,13 +74,21 @@ def _moments(x: Column, y: Column) -> dict[str, Column]:
     return {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
 
 
-def problems(images: ImageSet, active_id: str | None, comparison: tuple[str, ...]) -> DataFrame:
-    """Integrity violations as (dataset_id STRING, problem); empty for a sound workspace."""
+def positions(pixels: DataFrame) -> DataFrame:
+    """Per dataset the number of pixels, their extent, and the sums of their positions."""
+    return pixels.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+        *[F.sum(v.cast("decimal(28,0)")).cast("decimal(38,0)").alias(n) for n, v in _moments(whole("x"), whole("y")).items()])
+
+
+def problems(images: ImageSet, active_id: str | None, comparison: tuple[str, ...], counted: DataFrame | None = None) -> DataFrame:
+    """Integrity violations as (dataset_id STRING, problem); empty for a sound workspace.
+
+    ``counted`` holds the :func:`positions` where they are known; otherwise all pixels are read.
+    """
     c = F.col
     ident = c("dataset_id").cast("string").alias("dataset_id")
-    counted = images.pixels.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
-        *[F.sum(v.cast("decimal(38,0)")).alias(n) for n, v in _moments(whole("x"), whole("y")).items()])
+    counted = positions(images.pixels) if counted is None else counted
     full = images.geometry().join(counted, "dataset_id", "full_outer")
     exact = ((c("n") == c("w").cast("long") * c("h")) & (c("x0") == 0) & (c("y0") == 0)
              & (c("x1") == c("w") - 1) & (c("y1") == c("h") - 1))
@@ -111,7 +121,11 @@ def problems(images: ImageSet, active_id: str | None, comparison: tuple[str, ...
 
 
 def open_workspace(spark: SparkSession, root: str) -> Workspace:
-    """Latest published version, checked; raises WorkspaceError with a typed kind."""
+    """Latest published version, checked; raises WorkspaceError with a typed kind.
+
+    The check compares the catalog with the positions recorded at saving, and their number with the row counts in the Parquet footers: no
+    pixel is read.  :func:`audit` reads them all.
+    """
     try:
         manifests = spark.read.schema(MANIFEST).json(f"{root}/manifest")
         latest = manifests.orderBy(F.desc("saved_at")).first()
@@ -132,8 +146,21 @@ def open_workspace(spark: SparkSession, root: str) -> Workspace:
         steps = spark.read.parquet(f"{base}/steps")
     except AnalysisException:
         steps = None
-    comparison = tuple(latest["comparison"] or ())
-    found = problems(images, latest["active_id"], comparison).head(1)
+    opened = Workspace(images, steps, latest["active_id"], tuple(latest["comparison"] or ()))
+    try:
+        recorded = spark.read.parquet(f"{base}/positions")
+    except AnalysisException:  # saved before positions were recorded
+        recorded = None
+    if recorded is not None:
+        rows, expected = images.pixels.count(), recorded.agg(F.sum("n")).first()[0] or 0
+        if rows != expected:
+            raise WorkspaceError("Corrupt", f"{rows} pixels where {expected} were saved")
+    return audit(opened, recorded)
+
+
+def audit(workspace: Workspace, recorded: DataFrame | None = None) -> Workspace:
+    """The workspace, if it is sound; without the positions recorded at saving every pixel is read."""
+    found = problems(workspace.images, workspace.active_id, workspace.comparison, recorded).head(1)
     if found:
         raise WorkspaceError("Corrupt", f"{found[0]['dataset_id']}: {found[0]['problem']}")
-    return Workspace(images, steps, latest["active_id"], comparison)
+    return workspace

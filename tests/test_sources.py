@@ -173,3 +173,29 @@ def test_a_failed_stream_leaves_no_file():
     with pytest.raises(OSError):
         list(tiff.stream_files(broken(), where))
     assert os.listdir(where) == []
+
+
+def test_opening_reads_no_pixels_and_the_audit_reads_them_all(spark, monkeypatch):
+    import os
+
+    where = folder()
+    version = workspace.save(workspace.Workspace(images(spark, np.arange(400.0).reshape(20, 20), np.ones((5, 7)))), where)
+    read = []
+    monkeypatch.setattr(workspace, "positions", lambda pixels, real=workspace.positions: read.append(1) or real(pixels))
+    opened = workspace.open_workspace(spark, where)
+    assert not read and "ReadSchema: struct<>" in opened.images.pixels.groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert workspace.audit(opened) is opened and read == [1]
+    # another pixel in place of one leaves the counts, which only the audit sees
+    base = f"{where}/versions/{version}"
+    moved = opened.images.pixels.withColumn("x", F.when((F.col("dataset_id") == 1) & (F.col("y") == 2) & (F.col("x") == 3), 4).otherwise(F.col("x")))
+    moved.repartition(3).write.parquet(f"{base}/moved")
+    os.rename(f"{base}/pixels", f"{base}/before")
+    os.rename(f"{base}/moved", f"{base}/pixels")
+    opened = workspace.open_workspace(spark, where)
+    with pytest.raises(workspace.WorkspaceError, match="does not match"):
+        workspace.audit(opened)
+    # a lost file is seen by the footers
+    lost = max(glob.glob(f"{base}/pixels/part-*.parquet"), key=os.path.getsize)
+    os.remove(lost)
+    with pytest.raises(workspace.WorkspaceError, match="pixels where"):
+        workspace.open_workspace(spark, where)
