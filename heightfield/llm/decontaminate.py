@@ -9,7 +9,7 @@ Windows stand at every word, up to the last of a text, and have the size of the
 largest class within it); where the text ends first, so does the window.  Windows with too few words, or pairs of neighbouring words, that
 occur in any item are passed over without loss: each edit spoils one word and two pairs, so they are further from every item than
 the limit.  Repetitions go on until items edited at random, as much as the limit allows, in running text and at the end of a
-text, are found with the wanted recall, and then twice as long; no number of them is a cap.
+text, are found with the wanted recall; no number of them is a cap.
 
 Edits that stand close together, as where the first words of an item are gone, put a walk out of step for good.  An exact completion finds those:
 an item that may have k edits is cut into k + 1 pieces, one of which every text within the limit holds word by word.
@@ -146,7 +146,7 @@ class Index:
             self.pieces.append((n, held, key[order], owner[mine][order], first[mine][order]))
 
     def repetitions(self, mine: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
-        """Salts and places: twice as many as edited copies of the items need for the recall."""
+        """Salts and places: as many as edited copies of the items need for the recall."""
         rng = np.random.default_rng(width)
         chosen = mine[rng.integers(0, len(mine), COPIES)]
         flat, begin, end = [], [], []
@@ -160,16 +160,14 @@ class Index:
             end.append(len(flat) + min(width, len(w) + len(more)))
             flat += w + more
         flat, begin, end = np.array(flat + [0], np.uint64), np.array(begin), np.array(end)
-        out, missed, needed = [], np.ones(COPIES, bool), 0
-        while len(out) < max(LEAST, 2 * needed) or not needed:
+        out, missed = [], np.ones(COPIES, bool)
+        while len(out) < LEAST or missed.mean() > 1 - RECALL:
             salt = int(rng.integers(1, 1 << 62))
             upto = max(int(2 * width * REACH[len(out) % len(REACH)]), SAMPLED)
             bounds = np.linspace(0, upto, SAMPLED + 1).astype(int)  # one place in each part
             places = np.array([int(rng.integers(a, b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
             out.append((salt, places))
             missed &= walk(flat, begin, end, salt, places) != walk(self.words, self.at[chosen], self.at[chosen] + width, salt, places)
-            if not needed and missed.mean() <= 1 - RECALL:
-                needed = len(out)
         return out
 
     @staticmethod
@@ -192,6 +190,7 @@ class Index:
             start, stop = start[held], stop[held]
             if not len(start):
                 continue
+            met, new, waiting = np.zeros(0, np.int64), [], 0  # an item and a window in one number
             for salt, places, keys, owners in buckets:
                 key = walk(x, start, stop, salt, places)
                 lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
@@ -200,12 +199,19 @@ class Index:
                 for a in range(0, int(upto[-1]), TOGETHER):
                     hit = np.arange(a, min(a + TOGETHER, int(upto[-1])))
                     who = np.searchsorted(upto, hit, side="right") - 1
-                    item, here = owners[hit - upto[who] + lo[hits[who]]], start[hits[who]]
-                    text = np.searchsorted(at, here, side="right") - 1
-                    begin = np.maximum(at[text], here - self.most[item])
-                    end = np.minimum(at[text + 1], here + self.size[item] + self.most[item])
-                    enough = self.enough(x, item, begin, end)
-                    yield np.stack([text[enough], item[enough], begin[enough], end[enough]])
+                    pair = owners[hit - upto[who] + lo[hits[who]]] << 40 | start[hits[who]]
+                    new.append(pair)
+                    waiting += len(pair)
+                    if waiting > TOGETHER:  # most repetitions meet the same pairs
+                        met, new, waiting = np.unique(np.concatenate([met, *new])), [], 0
+            met = np.unique(np.concatenate([met, *new]))
+            for a in range(0, len(met), TOGETHER):
+                item, here = met[a:a + TOGETHER] >> 40, met[a:a + TOGETHER] & ((1 << 40) - 1)
+                text = np.searchsorted(at, here, side="right") - 1
+                begin = np.maximum(at[text], here - self.most[item])
+                end = np.minimum(at[text + 1], here + self.size[item] + self.most[item])
+                enough = self.enough(x, item, begin, end)
+                yield np.stack([text[enough], item[enough], begin[enough], end[enough]])
 
     def completion(self, x: np.ndarray, at: np.ndarray):
         """The same around each place of a piece of an item: what the walks can miss, where edits stand close together."""
