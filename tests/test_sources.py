@@ -199,3 +199,11 @@ def test_opening_reads_no_pixels_and_the_audit_reads_them_all(spark, monkeypatch
     os.remove(lost)
     with pytest.raises(workspace.WorkspaceError, match="pixels where"):
         workspace.open_workspace(spark, where)
+
+
+def test_the_round_trip_never_broadcasts_its_pixels(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["s1_s5_tiff_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # pixels come out of arrays, on the left: they were the side that is built
+    assert "BuildRight" in plan and "BuildLeft" not in plan
