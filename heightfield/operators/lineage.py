@@ -58,19 +58,22 @@ def descendants(links: DataFrame, targets: DataFrame) -> DataFrame:
 def cycles(links: DataFrame) -> DataFrame:
     """Datasets that are their own ancestor.
 
-    After strides that exceed the table, whatever is still reachable upward lies on a cycle, and
-    every member of a cycle is reached by another member.
+    Strides double; each round keeps only the datasets that are met by a stride from another one still kept, which no member of a cycle
+    fails to be.  Once none drops out, the stride maps what is left onto itself, so all of it lies on cycles: the number of rounds is the
+    logarithm of the longest way into a cycle, and the rows of a round shrink with every stride.
     """
-    state = parents(links).select("dataset_id", F.col("parent_id").alias("up")).filter("up is not null")
-    state = cut(state)
-    total, stride = state.count(), 1
-    while stride <= total:
-        far = state.select(F.col("dataset_id").alias("up"), F.col("up").alias("up2"))
-        state = cut(join_unique(state, far, "up", "inner", "dataset_id", total).select("dataset_id", F.col("up2").alias("up")))
-        stride *= 2
-        if not state.head(1):
+    state = cut(parents(links).select("dataset_id", F.col("parent_id").alias("up")).filter("up is not null"))
+    total = state.count()
+    while total:
+        met = state.select(F.col("up").alias("dataset_id")).distinct().hint("merge")
+        live = cut(state.join(met, "dataset_id", "left_semi"))
+        left = live.count()
+        if left == total:
             break
-    return state.select(F.col("up").alias("dataset_id")).distinct()
+        far = live.select(F.col("dataset_id").alias("up"), F.col("up").alias("up2"))
+        state = cut(join_unique(live, far, "up", "inner", "dataset_id", left).select("dataset_id", F.col("up2").alias("up")))
+        total = state.count()
+    return state.select("dataset_id")
 
 
 def blocked(links: DataFrame, targets: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str, spread: s
     """``rows.join(table, key, how)`` for a table with one row per key: the rows of a heavy key are dealt out by ``spread``, and the
     table's row of that key, only that one, is repeated once per part.
 
-    ``total`` is the number of rows, counted where it is not given; too few rows for any key to be heavy are joined as they are.
+    ``total`` is the number of rows, counted where it is not given; too few rows for any key to be heavy are joined as they are.  More rows are
+    merged by hint: a table as long as they are may be estimated small enough, by its compressed bytes, to be broadcast through the driver.
     """
     total = rows.select(key).count() if total is None else total
     if total <= HEAVY_ROWS:
@@ -32,5 +33,5 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str, spread: s
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("parts"))).cast("int")
     dealt = rows.join(heavy, key, "left").withColumn("_part", part).drop("parts")
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    repeated = table.join(heavy, key, "left").withColumn("_part", parts).drop("parts")
+    repeated = table.join(heavy, key, "left").withColumn("_part", parts).drop("parts").hint("merge")
     return dealt.join(repeated, [key, "_part"], how).drop("_part")
