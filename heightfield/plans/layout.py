@@ -20,7 +20,7 @@ from heightfield.model import BROADCAST_ROWS, CurveSet, ImageSet
 TILE = 256       # image block edge, pixels
 CHUNK = 65_536   # curve block length, samples
 SALTS = 64       # copies of a per-key table where no block is known
-BATCH_BYTES = 64 << 20  # bytes handed to a Python worker at once: rows may be whole blocks, lines or files
+BATCH_BYTES = 16 << 20  # bytes handed to a Python worker at once: rows may be whole blocks, lines or files
 
 
 def bound_batches(df: DataFrame) -> None:

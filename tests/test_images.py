@@ -294,3 +294,22 @@ def test_lines_beyond_the_broadcast_bound_read_only_tiles_they_pass(spark, monke
     got = lines(pruned)
     for k in want:
         np.testing.assert_array_equal(got[k], want[k])
+
+
+def test_tiles_reach_python_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from heightfield.plans.layout import halo_tiles
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        pixels = spark.range(2560 * 1024).select(F.lit(1).alias("dataset_id"), F.floor(F.col("id") / 1024).cast("int").alias("y"), (F.col("id") % 1024).cast("int").alias("x"),
+                                                 F.lit(0.5).cast("float").alias("z"), F.lit(1024).alias("w"), F.lit(2560).alias("h"))
+        tiles = halo_tiles(pixels).select("p", "z").repartition(1)  # 40 tiles of half a megabyte, for one task
+        sizes = tiles.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
+    assert sum(r.n for r in sizes) > 20e6 and max(r.n for r in sizes) < 18e6
