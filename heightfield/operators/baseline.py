@@ -18,6 +18,7 @@ from heightfield.plans.layout import CHUNK, chunk_samples, halo_chunks, with_cur
 
 SEGMENT = 256  # samples eliminated together inside one chunk
 STEP = 64      # piece lengths are padded to a multiple of this
+WORK = 1 << 16  # samples a task eliminates together, whatever the rows of a batch; at least one row
 FAN = 1024     # chunks, or groups of chunks, whose borders are solved together
 
 
@@ -243,6 +244,16 @@ def unfold(part: list[Piece], own: list[np.ndarray], s: np.ndarray) -> np.ndarra
     return np.concatenate([expand(piece, x, s[k], s[k + 1]) for k, (piece, x) in enumerate(zip(part, own))])
 
 
+def portions(*cols: pd.Series) -> Iterator[list[pd.Series]]:
+    """The rows of a batch, about WORK samples at a time; the first column holds the samples."""
+    upto = np.cumsum([len(z) for z in cols[0]])
+    first = 0
+    while first < len(upto):
+        last = max(first + 1, int(np.searchsorted(upto, WORK + (upto[first - 1] if first else 0), "right")))
+        yield [v.iloc[first:last] for v in cols]
+        first = last
+
+
 def asls(lines: list[np.ndarray], lam: float, p: float, iterations: int) -> list[np.ndarray | None]:
     """Baselines of several curves; None where fewer than three samples are finite or the system is singular."""
     oks = [np.isfinite(z) for z in lines]
@@ -271,14 +282,16 @@ def baseline(curves: CurveSet, lam: float = 1e5, p: float = 0.01, iterations: in
     @pandas_udf("array<float>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
-            lines = []
-            for pos, z, wn in zip(*cols):
-                line = np.full(wn, np.nan, dtype=np.float32)
-                line[pos] = z
-                lines.append(line)
-            bases = asls([line.astype(np.float64) for line in lines], lam, p, iterations)
-            yield pd.Series([line if x is None else (line.astype(np.float64) - x).astype(np.float32)
-                             for line, x in zip(lines, bases)], dtype=object)
+            out = []
+            for part in portions(*cols):
+                lines = []
+                for pos, z, wn in zip(*part):
+                    line = np.full(wn, np.nan, dtype=np.float32)
+                    line[pos] = z
+                    lines.append(line)
+                bases = asls([line.astype(np.float64) for line in lines], lam, p, iterations)
+                out += [line if x is None else (line.astype(np.float64) - x).astype(np.float32) for line, x in zip(lines, bases)]
+            yield pd.Series(out, dtype=object)
 
     packed = halo_chunks(with_curve_geometry(curves), size=chunk)
     return curves.with_samples(chunk_samples(packed.withColumn("out", run("p", "z", "wn")), "out"))
@@ -319,19 +332,22 @@ def _chunked(curves: CurveSet, lam: float, p: float, iterations: int, chunk: int
     @pandas_udf("array<double>")
     def eliminate(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
-            done = reduce_all([pieces(*v) for v in zip(*cols)])
-            yield pd.Series([None if s is None else condense(s).packed() for _, _, s in done], dtype=object)
+            out = []
+            for part in portions(*cols):
+                out += [None if s is None else condense(s).packed() for _, _, s in reduce_all([pieces(*v) for v in zip(*part)])]
+            yield pd.Series(out, dtype=object)
 
     @pandas_udf("struct<w:array<double>,x:array<double>>")
     def advance(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
             ws, xs = [], []
-            done = reduce_all([pieces(*v) for v in zip(*cols[:4])])
-            for z, s, (part, own, stretches) in zip(cols[0], cols[4], done):
-                s, y = np.asarray(s), samples(z)
-                x = unfold(part, own, separators(stretches, s[:2], s[2:]))
-                ws.append(reweight(y, x, np.isfinite(y), p))
-                xs.append(x)
+            for rows in portions(*cols):
+                done = reduce_all([pieces(*v) for v in zip(*rows[:4])])
+                for z, s, (part, own, stretches) in zip(rows[0], rows[4], done):
+                    s, y = np.asarray(s), samples(z)
+                    x = unfold(part, own, separators(stretches, s[:2], s[2:]))
+                    ws.append(reweight(y, x, np.isfinite(y), p))
+                    xs.append(x)
             yield pd.DataFrame({"w": pd.Series(ws, dtype=object), "x": pd.Series(xs, dtype=object)})
 
     state = cut(packed.select("dataset_id", "c", "i0", "n", begin("p", "z", "wn").alias("b")).select(

@@ -310,3 +310,13 @@ def test_range_statistics_over_several_chunks(spark, monkeypatch):
         assert got.keys() == want.keys()
         for k, r in want.items():
             np.testing.assert_allclose([got[k][f] for f in sorted(r.asDict())], [r[f] for f in sorted(r.asDict())], rtol=1e-9, err_msg=f"{k} {start}")
+
+
+def test_baseline_works_on_a_bounded_part_of_a_batch():
+    import pandas as pd
+
+    sizes = [10, baseline.WORK + 5, 32, 32] + [32] * 10_000
+    cols = [pd.Series([np.zeros(n) for n in sizes], dtype=object), pd.Series(range(len(sizes)))]
+    parts = list(baseline.portions(*cols))
+    assert [k for _, at in parts for k in at] == list(range(len(sizes)))
+    assert all(len(z) == 1 or sum(map(len, z)) <= baseline.WORK for z, _ in parts) and len(parts) < 10
