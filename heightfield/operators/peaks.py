@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -15,9 +16,12 @@ from heightfield.model import CurveSet
 from heightfield.operators.curve import _line, _sigma, noise
 from heightfield.operators.statistics import finite_range
 from heightfield.plans.iterate import cut
-from heightfield.plans.layout import CHUNK, attach, halo_chunks, with_curve_geometry
+from heightfield.plans.layout import CHUNK, attach, bound_batches, halo_chunks, with_curve_geometry
+from heightfield.plans.lines import floats
 
-FAN = 1024  # chunks whose outlines are looked up together
+FAN = 1024   # chunks whose outlines are looked up together
+SHARE = 32   # chunks whose walks meet these outlines in one row
+WORK = 1 << 16  # samples a task follows walks over at once; at least one row
 PEAK = "array<struct<i:int,value:double,prominence:double,width:double>>"
 
 
@@ -33,10 +37,10 @@ def local_maxima(line: np.ndarray) -> np.ndarray:
 class Heights:
     """Maxima and minima of all runs of 1, 2, 4, ... samples, by which many walks over a line are followed at once."""
 
-    def __init__(self, line: np.ndarray):
+    def __init__(self, line: np.ndarray, bottoms: np.ndarray | None = None):
         self.n = len(line)
         self.high = [np.where(np.isnan(line), np.inf, line)]  # a NaN stops every walk
-        self.low = [np.where(np.isnan(line), np.inf, line)]
+        self.low = [self.high[0] if bottoms is None else bottoms]
         while 2 << (len(self.high) - 1) <= self.n:
             half = 1 << (len(self.high) - 1)
             for table, pick in ((self.high, np.maximum), (self.low, np.minimum)):
@@ -64,10 +68,11 @@ class Heights:
         return out
 
 
-def descend(line: np.ndarray, wanted: np.ndarray, side: int, heights: Heights | None = None) -> tuple[np.ndarray, np.ndarray]:
+def descend(line: np.ndarray, wanted: np.ndarray, side: int, heights: Heights | None = None,
+            inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Walk to one side from each wanted index while samples are not higher.
 
-    Returns the lowest finite value met (the start value if none) and whether the walk ran off the end.
+    Returns the lowest finite value met (the start value if none) and whether the walk ran off the end, or into a sample that is not ``inside``.
     """
     if not len(wanted):
         return np.empty(0), np.zeros(0, dtype=bool)
@@ -76,7 +81,8 @@ def descend(line: np.ndarray, wanted: np.ndarray, side: int, heights: Heights |
     if np.isneginf(line).any():
         heights = Heights(np.where(np.isneginf(line), np.inf, line))
     near, far = (stop + 1, wanted) if side < 0 else (wanted, stop - 1)
-    return heights.lowest(near, far), (stop < 0) | (stop == len(line))
+    off = (stop < 0) | (stop == len(line))
+    return heights.lowest(near, far), off if inside is None else off | ~inside[np.clip(stop, 0, len(line) - 1)]
 
 
 def crossings(line: np.ndarray, at: np.ndarray, side: int, value: np.ndarray, level: np.ndarray, first: int, last: int,
@@ -90,11 +96,16 @@ def crossings(line: np.ndarray, at: np.ndarray, side: int, value: np.ndarray, le
     j = (heights or Heights(core)).stops(at - first, side, value, level)
     stopped = (j >= 0) & (j < len(core))
     j = np.clip(j, 0, len(core) - 1) + first
+    return stopped, np.where(stopped, between(line, j, side, level), np.nan)
+
+
+def between(line: np.ndarray, j: np.ndarray, side: int, level: np.ndarray, origin=0) -> np.ndarray:
+    """Where the level is crossed next to each stopping sample, counted from ``origin``; NaN if the sample does not lie below it."""
     z, inner = line[j], line[np.clip(j - side, 0, len(line) - 1)]
     with np.errstate(invalid="ignore", divide="ignore"):
         drop = (inner.astype(np.float32) - z.astype(np.float32)).astype(np.float64)
-        place = j + (level - z) / drop if side < 0 else j - 1 + (inner - level) / drop
-        return stopped, np.where(stopped & (z <= level), place, np.nan)
+        place = (j - origin) + (level - z) / drop if side < 0 else (j - origin) - 1 + (inner - level) / drop
+        return np.where(z <= level, place, np.nan)
 
 
 def peaks_of(line: np.ndarray, fraction: float) -> list[dict]:
@@ -167,6 +178,70 @@ def _whole(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
 # sample, one row per chunk) tell in which chunk it must stop, and that chunk alone is searched.
 
 WALK = "struct<i:int,side:int,value:double,level:double,low:double>"
+OUTLINE = "array<struct<i:int,value:double,left:double,right:double,lopen:boolean,ropen:boolean>>"
+
+
+def _portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut to about WORK elements of an array column."""
+    for b in batches:
+        upto = np.cumsum(np.asarray(b.column(column).value_lengths()))
+        first = 0
+        while first < len(upto):
+            last = max(first + 1, int(np.searchsorted(upto, WORK + (upto[first - 1] if first else 0), "right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
+def _ints(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(k).to_numpy().astype(np.int64) for k in names]
+
+
+class _Windows:
+    """The windows of many chunks end to end, a NaN around each, so that walks in all of them are followed at once.
+
+    ``line`` has the windows, ``core`` only their chunks (NaN elsewhere), ``inside`` marks these; ``start`` is where a window begins.
+    """
+
+    def __init__(self, b: pa.RecordBatch):
+        wn, self.a, self.i0, self.cn, self.n = _ints(b, "wn", "a", "i0", "cn", "n")
+        self.start = np.cumsum(wn + 1) - wn
+        self.line = np.full(int(wn.sum()) + len(wn) + 1, np.nan)
+        p = b.column("p")
+        self.line[np.repeat(self.start, np.asarray(p.value_lengths())) + p.flatten().to_numpy()] = floats(b.column("z"))
+        self.first = np.cumsum(self.cn) - self.cn  # of each chunk among the samples of all chunks
+        self.at = np.repeat(self.start + self.i0 - self.a - self.first, self.cn) + np.arange(int(self.cn.sum()))
+        self.inside = np.zeros(len(self.line), bool)
+        self.inside[self.at] = True
+        self.core = np.where(self.inside, self.line, np.nan)
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Highest and lowest sample of each chunk, and the walks from its maxima with what they met in the chunk."""
+    for b in _portions(batches, "z"):
+        w = _Windows(b)
+        top = local_maxima(w.line)
+        top = top[w.inside[top]]
+        of = np.searchsorted(w.start, top, "right") - 1
+        heights = Heights(w.core)
+        (left, lopen), (right, ropen) = (descend(w.core, top, s, heights, w.inside) for s in (-1, 1))
+        found = pa.StructArray.from_arrays([
+            pa.array((top - w.start[of] + w.a[of]).astype(np.int32)), pa.array(w.line[top]), pa.array(left), pa.array(right),
+            pa.array(lopen & (w.i0[of] > 0)), pa.array(ropen & (w.i0[of] + w.cn[of] < w.n[of]))], names=["i", "value", "left", "right", "lopen", "ropen"])
+        upto = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b.num_rows))]).astype(np.int32)
+        z = w.line[w.at]
+        yield pa.RecordBatch.from_arrays([
+            b.column("dataset_id"), b.column("c"), pa.array(np.maximum.reduceat(np.where(np.isnan(z), np.inf, z), w.first)),
+            pa.array(np.minimum.reduceat(np.where(np.isfinite(z), z, np.inf), w.first)), pa.ListArray.from_arrays(pa.array(upto), found)],
+            names=["dataset_id", "c", "top", "bottom", "walks"])
+
+
+def _asked(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, dict[str, np.ndarray]]:
+    """The walks of all rows: the row of each, the walks as they came and their fields."""
+    asked = b.column("asked")
+    flat = asked.flatten()
+    k = flat.field("k")
+    values = {f: k.field(f).to_numpy(zero_copy_only=False) for f in ("side", "value", "level", "low")}
+    return np.repeat(np.arange(b.num_rows), np.asarray(asked.value_lengths())), k, values | {"at": flat.field("at").to_numpy().astype(np.int64)}
 
 
 def _chunked(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
@@ -174,30 +249,10 @@ def _chunked(curves: CurveSet, fraction: float, chunk: int) -> DataFrame:
     packed = cut(halo_chunks(with_curve_geometry(curves), reach=1, size=chunk))
     spans = finite_range(curves.samples).select("dataset_id", (c("hi") - c("lo")).alias("span"))
 
-    @pandas_udf("struct<top:double,bottom:double,walks:array<struct<i:int,value:double,left:double,right:double,lopen:boolean,ropen:boolean>>>")
-    def outline(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for cols in batches:
-            yield pd.DataFrame([_outline(*v) for v in zip(*cols)])
-
-    def _outline(p, z, wn, a, i0, cn, n):
-        line = _line(p, z, wn)
-        lo, hi = i0 - a, i0 - a + cn
-        core = line[lo:hi]
-        top = local_maxima(line)
-        top = top[(top >= lo) & (top < hi)] - lo
-        heights = Heights(core)
-        left, lopen = descend(core, top, -1, heights)
-        right, ropen = descend(core, top, 1, heights)
-        ok = np.isfinite(core)
-        walks = [{"i": int(i0 + t), "value": float(core[t]), "left": float(x), "right": float(y),
-                  "lopen": bool(u and i0 > 0), "ropen": bool(v and i0 + cn < n)}
-                 for t, x, y, u, v in zip(top, left, right, lopen, ropen)]
-        return {"top": np.inf if np.isnan(core).any() else float(core.max()),
-                "bottom": float(core[ok].min()) if ok.any() else np.inf, "walks": walks}
-
-    seen = cut(packed.select("dataset_id", "c", outline("p", "z", "wn", "a", "i0", "cn", "n").alias("o")))
-    outlines = seen.select("dataset_id", "c", c("o.top").alias("top"), c("o.bottom").alias("bottom"))
-    walks = seen.select("dataset_id", "c", F.explode("o.walks").alias("k")).select("dataset_id", "c", "k.*")
+    key = curves.samples.schema["dataset_id"].dataType.simpleString()
+    seen = cut(packed.mapInArrow(_outline, f"dataset_id {key}, c int, top double, bottom double, walks {OUTLINE}"))
+    outlines = seen.select("dataset_id", "c", "top", "bottom")
+    walks = seen.select("dataset_id", "c", F.explode("walks").alias("k")).select("dataset_id", "c", "k.*")
     opened = walks.select("dataset_id", "c", F.explode(F.array(
         F.when(c("lopen"), _walk(c("i"), -1, c("value"), F.lit(-np.inf), c("left"))),
         F.when(c("ropen"), _walk(c("i"), 1, c("value"), F.lit(-np.inf), c("right"))))).alias("k")).filter("k is not null")
@@ -266,64 +321,72 @@ def _route(units: DataFrame, walks: DataFrame, width: bool) -> DataFrame:
     outline = units.groupBy("dataset_id", "g").agg(F.sort_array(F.collect_list(F.struct("c", "top", "bottom"))).alias("u"))
     outline = outline.select("dataset_id", "g", c("u.c")[0].alias("first"), c("u.top").alias("top"), c("u.bottom").alias("bottom"))
 
-    @pandas_udf("struct<unit:int,low:double>")
-    def follow(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for cols in batches:
-            done = [_step_over(*v, width) for v in zip(*cols)]
-            yield pd.DataFrame({"unit": pd.array([u for u, _ in done], dtype="Int32"), "low": [low for _, low in done]})
-
-    k = c("k")
-    return walks.join(outline, ["dataset_id", "g"]).select("dataset_id", "g", "k", follow(
-        "first", "top", "bottom", "at", k["side"].alias("side"), k["value"].alias("value"), k["level"].alias("level"), k["low"].alias("low"),
-    ).alias("r")).select("dataset_id", "g", c("r.unit").alias("unit"), k.withField("low", c("r.low")).alias("k"))
-
-
-def _step_over(first, tops, bottoms, at, side, value, level, low, width: bool):
-    j = at - first + side
-    ahead = slice(j, None) if side > 0 else slice(j, None, -1) if j >= 0 else slice(0, 0)
-    t, m = tops[ahead], bottoms[ahead]
-    stop = np.flatnonzero((t >= value) | (m <= level) if width else t > value)
-    crossed = m[:stop[0]] if stop.size else m
-    low = min(low, float(crossed.min(initial=np.inf)))
-    return (int(first + j + side * stop[0]) if stop.size else None), low
+    block = [c("dataset_id"), c("g"), floordiv(c("at"), SHARE).alias("_s")]
+    asked = walks.groupBy(*block).agg(F.collect_list(F.struct("k", "at")).alias("asked")).drop("_s")
+    key = dict(walks.dtypes)["dataset_id"]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _portions(batches, "top"):
+            row, k, v = _asked(b)
+            many = np.asarray(b.column("top").value_lengths()).astype(np.int64)
+            start = np.cumsum(many + 1) - many  # a wall around the outline of each row
+            places = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            tops, bottoms = (np.full(int(many.sum()) + len(many) + 1, np.inf) for _ in range(2))
+            tops[places], bottoms[places] = floats(b.column("top")), floats(b.column("bottom"))
+            inside = np.zeros(len(tops), bool)
+            inside[places] = True
+            first = b.column("first").to_numpy().astype(np.int64)
+            at = v["at"] - first[row] + start[row]
+            heights = Heights(tops, bottoms)
+            unit, low = np.full(len(at), -1), v["low"].copy()
+            for s in (-1, 1):
+                w = np.flatnonzero(v["side"] == s)
+                value = v["value"][w]
+                stop = heights.stops(at[w], s, value, v["level"][w]) if width else heights.stops(
+                    at[w], s, np.nextafter(value, np.inf), np.full(len(w), np.nan))
+                unit[w] = np.where(inside[stop], stop - start[row[w]] + first[row[w]], -1)
+                begin, end = (stop + 1, at[w] - 1) if s < 0 else (at[w] + 1, stop - 1)
+                some = begin <= end
+                low[w[some]] = np.minimum(low[w[some]], heights.lowest(begin[some], end[some]))
+            fields = [pa.array(low) if f.name == "low" else k.field(f.name) for f in k.type]
+            yield pa.RecordBatch.from_arrays([
+                b.column("dataset_id").take(pa.array(row)), b.column("g").take(pa.array(row)), pa.array(unit.astype(np.int32), mask=unit < 0),
+                pa.StructArray.from_arrays(fields, names=[f.name for f in k.type])], names=["dataset_id", "g", "unit", "k"])
+
+    met = asked.join(outline, ["dataset_id", "g"])
+    bound_batches(met)
+    return met.mapInArrow(follow, f"dataset_id {key}, g int, unit int, k {WALK}")
 
 
 def _search(packed: DataFrame, walks: DataFrame, width: bool) -> DataFrame:
     """Search one chunk per walk from sample ``at`` on: adds ``stopped`` and ``low`` to each walk."""
     asked = walks.groupBy("dataset_id", "c").agg(F.collect_list(F.struct("k", "at")).alias("asked"))
 
-    @pandas_udf("array<struct<stopped:boolean,low:double>>")
-    def scan(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for cols in batches:
-            yield pd.Series([one(*v) for v in zip(*cols)], dtype=object)
-
-    def one(p, z, wn, a, i0, cn, n, asked):
-        line = _line(p, z, wn)
-        first, last = i0 - a, i0 - a + cn - 1
-        side, value, level, low = (np.array([q["k"][f] for q in asked]) for f in ("side", "value", "level", "low"))
-        at = np.array([q["at"] for q in asked]) - a
-        out = np.full(len(asked), np.nan)
-        stopped = np.zeros(len(asked), dtype=bool)
-        for s in (-1, 1):
-            k = np.flatnonzero(side == s)
-            if not k.size:
-                continue
-            edge = i0 == 0 if s < 0 else i0 + cn == n
-            if width:
-                stopped[k], out[k] = crossings(line, at[k], s, value[k], level[k], first, last)
-                stopped[k] |= edge
-                continue
-            core = line[first:last + 1]
-            stop = Heights(core).stops(at[k] - first, s, np.nextafter(value[k], np.inf), np.full(k.size, np.nan))
-            stopped[k] = (stop >= 0) & (stop < cn)
-            begin, end = (stop + 1, at[k] - first - 1) if s < 0 else (at[k] - first + 1, stop - 1)
-            met = np.full(k.size, np.inf)
-            some = begin <= end
-            met[some] = Heights(np.where(np.isfinite(core), core, np.inf)).lowest(begin[some], end[some])
-            out[k] = np.minimum(low[k], met)
-        return [{"stopped": bool(x), "low": float(y + a if width else y)} for x, y in zip(stopped, out)]
-
-    hit = packed.join(asked, ["dataset_id", "c"])
-    return hit.select("dataset_id", "c", F.explode(F.arrays_zip(
-        "asked", scan("p", "z", "wn", "a", "i0", "cn", "n", "asked").alias("r"))).alias("v")).select(
-        "dataset_id", "c", F.col("v.asked.k").alias("k"), F.col("v.r.stopped").alias("stopped"), F.col("v.r.low").alias("low"))
+    key = dict(walks.dtypes)["dataset_id"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _portions(batches, "z"):
+            row, k, v = _asked(b)
+            w = _Windows(b)
+            heights = Heights(w.core)
+            lows = None if width else Heights(np.where(np.isfinite(w.core), w.core, np.inf))
+            at = v["at"] - w.a[row] + w.start[row]
+            out, stopped = v["low"].copy(), np.zeros(len(at), bool)
+            for s in (-1, 1):
+                q = np.flatnonzero(v["side"] == s)
+                own, value = row[q], v["value"][q]
+                if width:
+                    stop = heights.stops(at[q], s, value, v["level"][q])
+                    place = between(w.line, stop, s, v["level"][q], w.start[own]) + w.a[own]
+                    out[q] = np.where(w.inside[stop], place, np.nan)
+                    stopped[q] = w.inside[stop] | (w.i0[own] == 0 if s < 0 else w.i0[own] + w.cn[own] == w.n[own])
+                    continue
+                stop = heights.stops(at[q], s, np.nextafter(value, np.inf), np.full(len(q), np.nan))
+                stopped[q] = w.inside[stop]
+                begin, end = (stop + 1, at[q] - 1) if s < 0 else (at[q] + 1, stop - 1)
+                some = begin <= end
+                out[q[some]] = np.minimum(out[q[some]], lows.lowest(begin[some], end[some]))
+            yield pa.RecordBatch.from_arrays([b.column("dataset_id").take(pa.array(row)), b.column("c").take(pa.array(row)), k, pa.array(stopped), pa.array(out)],
+                                             names=["dataset_id", "c", "k", "stopped", "low"])
+
+    return packed.join(asked, ["dataset_id", "c"]).mapInArrow(scan, f"dataset_id {key}, c int, k {WALK}, stopped boolean, low double")

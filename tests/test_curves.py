@@ -320,3 +320,26 @@ def test_baseline_works_on_a_bounded_part_of_a_batch():
     parts = list(baseline.portions(*cols))
     assert [k for _, at in parts for k in at] == list(range(len(sizes)))
     assert all(len(z) == 1 or sum(map(len, z)) <= baseline.WORK for z, _ in parts) and len(parts) < 10
+
+
+def test_walks_meet_an_outline_together(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    top, bottom = rng.normal(2, 1, 90), rng.normal(-2, 1, 90)
+    units = spark.createDataFrame([(1, 0, k, float(t), float(m)) for k, (t, m) in enumerate(zip(top, bottom))], "dataset_id bigint, g int, c int, top double, bottom double")
+    asked = [(int(rng.integers(90)), int(rng.choice([-1, 1])), float(rng.normal(3.5, 0.7)), float(rng.normal(-4, 0.5)), 9.0) for _ in range(400)]
+    walks = spark.createDataFrame([(n, *v) for n, v in enumerate(asked)], "i int, at int, side int, value double, level double, low double").select(
+        F.lit(1).cast("bigint").alias("dataset_id"), F.lit(0).alias("g"), "at", F.struct("i", "side", "value", "level", "low").alias("k"))
+    for width in (False, True):
+        routed = peaks._route(units, walks, width)
+        assert "collect_list(struct(k" in routed._jdf.queryExecution().executedPlan().toString()  # not one outline per walk
+        got = {r.k.i: (r.unit, r.k.low) for r in routed.collect()}
+        for n, (at, side, value, level, low) in enumerate(asked):
+            unit, j = None, at + side
+            while 0 <= j < 90 and unit is None:
+                if top[j] >= value or bottom[j] <= level if width else top[j] > value:
+                    unit = j
+                else:
+                    low, j = min(low, bottom[j]), j + side
+            assert got[n] == (unit, low)
